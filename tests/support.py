@@ -4,6 +4,7 @@ from datetime import datetime, timedelta, timezone
 
 from tracemill.operators.sessions import Staleness
 from tracemill.plans.derive import DeriveOptions, derive, file_counters
+from tracemill.session import materialize
 from tracemill.sources.lines import feed_lines
 from tracemill.sources.transcripts import decode_entries
 
@@ -45,9 +46,9 @@ class Run:
     def __init__(self, spark, transcripts, staleness=NO_RULE, consent=None, scope="history", cap=1024 * 1024,
                  name_key=NAME_KEY):
         consent = consent if consent is not None else consent_rows(spark, (REPO, "/repo"))
-        self.entries = decode_entries(feed_lines(feed(spark, transcripts), cap)).cache()
+        self.entries = materialize(decode_entries(feed_lines(feed(spark, transcripts), cap)))
         options = DeriveOptions(SALT, name_key, staleness, scope)
-        self.derived = derive(self.entries, consent, options)
+        self.derived = derive(self.entries, consent, options, materialize)
         files = spark.createDataFrame([(f, 1) for f in transcripts], "file string, length bigint")
         self.counters = {r.file: r for r in file_counters(files, self.entries, self.derived).collect()}
         self.records = {f: [] for f in transcripts}

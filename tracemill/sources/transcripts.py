@@ -86,7 +86,7 @@ def decode_entries(lines: DataFrame) -> DataFrame:
         *(f.value.alias(name) for name, f in text.items()),
         sidechain.value.alias("sidechain"),
         stamp.value.alias("stamp"),
-        (stamp.fits & (stamp.value.isNull() | parse_instant(stamp.value).isNotNull())).alias("stamp_ok"),
+        stamp.fits.alias("stamp_fits"),
         F.coalesce(interrupted.value, F.lit(False)).alias("interrupted"),
         F.coalesce(F.transform(content.value, _block), F.array()).alias("content"),
         J.all_fit(
@@ -97,9 +97,12 @@ def decode_entries(lines: DataFrame) -> DataFrame:
         ).alias("fits"),
     )
 
-    instant = parse_instant(F.col("stamp"))
     zero = F.lit("0001-01-01T00:00:00Z").cast("timestamp")
-    dated = typed.withColumn("ts", F.when(F.col("stamp_ok") & (instant != zero), instant))
+    dated = (
+        typed.withColumn("instant", parse_instant(F.col("stamp")))
+        .withColumn("stamp_ok", F.col("stamp_fits") & (F.col("stamp").isNull() | F.col("instant").isNotNull()))
+        .withColumn("ts", F.when(F.col("stamp_ok") & (F.col("instant") != zero), F.col("instant")))
+    )
 
     fits = F.col("fits") & F.forall("content", lambda block: block["fits"])
     entry = (

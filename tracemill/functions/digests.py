@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 _BLOCK = 64
 
 
-def _pads(key: bytes) -> tuple[bytes, bytes]:
+def hmac_pads(key: bytes) -> tuple[bytes, bytes]:
     block = (hashlib.sha256(key).digest() if len(key) > _BLOCK else key).ljust(_BLOCK, b"\0")
     return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
 
@@ -20,7 +20,7 @@ def hmac_hex(key: bytes, message: Column) -> Column:
 
     The two padded key blocks are folded into literals when the plan is built.
     """
-    inner_pad, outer_pad = _pads(key)
+    inner_pad, outer_pad = hmac_pads(key)
     inner = F.unhex(F.sha2(F.concat(F.lit(inner_pad), message.cast("binary")), 256))
     return F.sha2(F.concat(F.lit(outer_pad), inner), 256)
 

@@ -79,6 +79,8 @@ def pair_calls(
         *KEYS, "call", "result", "call_pos", "result_pos"
     )
     reused = per_id.where((F.col("uses") >= 1) & (F.col("uses") + F.col("voids") > 1)).select(*KEYS)
+    if stage is not lazy and reused.isEmpty():
+        return once
     return once.unionByName(fold_reused(events.join(reused, KEYS, "left_semi"), stage))
 
 

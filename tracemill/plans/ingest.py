@@ -40,10 +40,10 @@ def in_walk_order(records: DataFrame) -> DataFrame:
     return records.withColumn("walk", F.split("src_file", "/")).drop("src_file")
 
 
-def _scan(spark: SparkSession, path: str, cap: int) -> tuple[DataFrame, DataFrame]:
+def _scan(spark: SparkSession, path: str, cap: int, glob: str) -> tuple[DataFrame, DataFrame]:
     """The text is read and parsed once; everything later reads the narrow entry table."""
-    entries = materialize(decode_entries(scan_lines(spark, path, cap)), "entries")
-    return entries, list_files(spark, path)
+    entries = materialize(decode_entries(scan_lines(spark, path, cap, glob)), "entries")
+    return entries, list_files(spark, path, glob)
 
 
 def _report(
@@ -73,6 +73,7 @@ def ingest(
     refused_projects: DataFrame | None = None,
     health: ScanHealth | None = None,
     cap: int = TRANSCRIPT_LINE_CAP,
+    glob: str = "*.jsonl",
     rebuild: bool = False,
 ) -> IngestReport:
     """Scan everything below ``path`` and add what is new; running it again adds nothing.
@@ -80,7 +81,7 @@ def ingest(
     ``rebuild`` discards what is stored and derives it afresh; the old generation stays in
     force until the new one is complete.
     """
-    entries, files = _scan(spark, path, cap)
+    entries, files = _scan(spark, path, cap, glob)
     derived = derive(entries, consent, options, materialize)
     records = in_walk_order(derived.records)
     write = store.rebuild if rebuild else store.append

@@ -78,10 +78,7 @@ def decode_entries(lines: DataFrame) -> DataFrame:
     stamp = J.string(doc, f"{J.ROOT}.timestamp")
     content = J.elements(doc, f"{J.ROOT}.message.content")
     interrupted = J.boolean(doc, f"{J.ROOT}.toolUseResult.interrupted")
-
-    typed = parsed.select(
-        *passthrough,
-        "oversize",
+    fields = F.struct(
         doc.isNotNull().alias("syntax_ok"),
         *(f.value.alias(name) for name, f in text.items()),
         sidechain.value.alias("sidechain"),
@@ -96,6 +93,9 @@ def decode_entries(lines: DataFrame) -> DataFrame:
             content.fits,
         ).alias("fits"),
     )
+    # A one-row generator: filters that consumers add are pushed down to here but not
+    # through it, so no condition ever parses a line a second time.
+    typed = parsed.select(*passthrough, "oversize", F.inline(F.array(fields)))
 
     zero = F.lit("0001-01-01T00:00:00Z").cast("timestamp")
     dated = (

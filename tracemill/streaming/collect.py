@@ -164,6 +164,8 @@ def session_closures(feed: DataFrame, timeout: timedelta, cap: int = TRANSCRIPT_
     def track(key, frames, state: GroupState):
         last = state.get[0] if state.exists else None
         for frame in frames:
+            if frame.empty:  # a timer fired
+                continue
             newest = int(frame["last_micros"].max())
             last = newest if last is None else max(last, newest)
         silent_ms = state.getCurrentProcessingTimeMs() - last / 1000

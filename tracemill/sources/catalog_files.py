@@ -131,35 +131,45 @@ def listed_primitives(lines: DataFrame, roots: DataFrame) -> DataFrame:
     content = J.string(doc, f"{J.ROOT}.attachment.content")
     names = J.string_list(doc, f"{J.ROOT}.attachment.addedNames")
     types = J.string_list(doc, f"{J.ROOT}.attachment.addedTypes")
-    skills = F.transform(
-        F.filter(
-            F.split(content.value, "\n"),
-            lambda line: line.startswith("- ") & F.substr(line, F.lit(3)).contains(": "),
-        ),
-        lambda line: F.substring_index(F.substr(line, F.lit(3)), ": ", 1),
-    )
     shape = J.all_fit(
         cwd.fits, kind.fits, content.fits, names.fits, types.fits,
         J.object_fits(doc, f"{J.ROOT}.attachment"),
     )
+    fields = F.struct(
+        (doc.isNotNull() & shape).alias("fits"),
+        F.coalesce(cwd.value, F.lit("")).alias("cwd"),
+        kind.value.alias("type"),
+        content.value.alias("content"),
+        names.value.alias("added_names"),
+        types.value.alias("added_types"),
+    )
+    # Cheap text test first: most transcript lines carry no attachment at all. The one-row
+    # generator keeps later filters from parsing a line again.
     typed = (
-        # Cheap text test first: most transcript lines carry no attachment at all.
         lines.where(F.col("value").contains("attachment"))
         .select(J.parse(F.col("value")).alias("doc"))
-        .where(doc.isNotNull() & shape)
-        .select(
-            F.coalesce(cwd.value, F.lit("")).alias("cwd"),
-            F.when(kind.value == "skill_listing", F.lit("skill"))
-            .when(kind.value == "agent_listing_delta", F.lit("subagent"))
-            .when(kind.value == "mcp_instructions_delta", F.lit("mcp_server"))
-            .alias("kind"),
-            F.when(kind.value == "skill_listing", skills)
-            .when(kind.value == "agent_listing_delta", types.value)
-            .when(kind.value == "mcp_instructions_delta", names.value)
-            .alias("names"),
-        )
-        .where("kind is not null")
+        .select(F.inline(F.array(fields)))
+        .where("fits")
+    )
+    skills = F.transform(
+        F.filter(
+            F.split("content", "\n"),
+            lambda line: line.startswith("- ") & F.substr(line, F.lit(3)).contains(": "),
+        ),
+        lambda line: F.substring_index(F.substr(line, F.lit(3)), ": ", 1),
+    )
+    kinds = {
+        "skill_listing": ("skill", skills),
+        "agent_listing_delta": ("subagent", F.col("added_types")),
+        "mcp_instructions_delta": ("mcp_server", F.col("added_names")),
+    }
+    branches = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), F.when(F.col("type") == label, found).alias("names"))
+            for label, (kind, found) in kinds.items()
+        ]
     )
+    typed = typed.select("cwd", F.inline(branches)).where("names is not null")
     # A listing repeats in every session: collapse before the root test and after it.
     announced = typed.select("cwd", "kind", F.explode("names").alias("name")).distinct()
     return under_roots(announced, roots).select("kind", "name").distinct()

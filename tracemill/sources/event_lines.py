@@ -35,8 +35,10 @@ def decode_records(lines: DataFrame) -> DataFrame:
             value = F.nullif(value, F.lit(""))
         columns.append(value.cast(field.dataType).alias(field.name))
     keep = [c for c in lines.columns if c not in ("value", "oversize")]
-    parsed = lines.select(*keep, J.parse(F.col("value")).alias("doc")).where("doc is not null")
-    typed = parsed.where(J.all_fit(*(f.fits for f in fields.values()))).select(*keep, *columns)
+    parsed = lines.select(*keep, J.parse(F.col("value")).alias("doc"))
+    fits = doc.isNotNull() & J.all_fit(*(f.fits for f in fields.values()))
+    # The one-row generator keeps later filters from parsing a line again.
+    typed = parsed.select(*keep, F.inline(F.array(F.struct(fits.alias("fits"), *columns)))).where("fits").drop("fits")
     return validate(typed).where("invalid_reason is null").drop("invalid_reason")
 
 

@@ -13,6 +13,7 @@ equals one batch ingest of the same lines.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
@@ -185,3 +186,26 @@ def session_closures(feed: DataFrame, timeout: timedelta, cap: int = TRANSCRIPT_
 def collect_available(writer: DataStreamWriter) -> None:
     """Drain what the feed holds now, then stop."""
     writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def run_until_quiet(writer: DataStreamWriter, quiet_batches: int = 3, poll_seconds: float = 0.5) -> None:
+    """Run a stream with timers until some batches in a row saw neither lines nor changes of state.
+
+    A query with processing-time timers always wants another batch, so it never ends under
+    ``availableNow``; in service it simply keeps running on a processing-time trigger.
+    """
+    query = writer.trigger(processingTime="0 seconds").start()
+    try:
+        while query.isActive:
+            latest = query.recentProgress[-quiet_batches:]
+            idle = [
+                p.numInputRows == 0 and all(o.numRowsUpdated == 0 and o.numRowsRemoved == 0 for o in p.stateOperators)
+                for p in latest
+            ]
+            if len(idle) == quiet_batches and all(idle):
+                break
+            time.sleep(poll_seconds)
+        if query.exception() is not None:
+            raise query.exception()
+    finally:
+        query.stop()

@@ -11,7 +11,7 @@ from tracemill.plans.ingest import ingest
 from tracemill.plans.store import EventStore
 from tracemill.session import scratch_path
 from tracemill.sources.lines import list_files, scan_lines
-from tracemill.streaming.collect import FEED, Collector, collect_available, session_closures
+from tracemill.streaming.collect import FEED, Collector, collect_available, run_until_quiet, session_closures
 from tracemill.workbook.registry import query
 from tracemill.workbook.transcripts import (
     EVENTS_SQL,
@@ -75,7 +75,7 @@ def _(spark, tables):
     closures = session_closures(feed, timedelta(hours=24))
     writer = closures.writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", scratch_path(spark, "checkpoint"))
-    collect_available(writer)
+    run_until_quiet(writer)
     return spark.read.schema(closures.schema).parquet(out)
 
 

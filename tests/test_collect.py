@@ -1,0 +1,81 @@
+"""Ingest from files and incremental collection: both end at the same records."""
+
+from datetime import timedelta
+
+from tests.support import CALL_AT, CLOSED, HOUR, NAME_KEY, REPO, SALT, consent_rows
+from tests.test_transcripts import OK_RESULT, OPEN_CALL, SYNTAX, end_turn, entry, result, use
+from tracemill.operators.sessions import Staleness
+from tracemill.plans.derive import DeriveOptions
+from tracemill.plans.health import ScanHealth
+from tracemill.plans.ingest import ingest
+from tracemill.plans.store import EventStore, record_differences
+from tracemill.streaming.collect import FEED, Collector, collect_available
+
+TRANSCRIPTS = {
+    "pair": [OPEN_CALL, OK_RESULT],
+    "early": [OK_RESULT.replace("entry-2", "entry-8"), entry("entry-7", content=[use()])],
+    "silent": [entry("entry-3", content=[use("call-9")])],
+    "blind": [entry("entry-4", content=[use("call-4")]), SYNTAX],
+    "run": [end_turn("entry-5"), end_turn("entry-6", 3)],
+    # A copy of another file: the same event ids, so nothing new.
+    "copy": [OPEN_CALL, OK_RESULT],
+}
+
+
+def test_ingest_rebuild_and_counters(spark, tmp_path):
+    home = tmp_path / "projects"
+    for name, lines in TRANSCRIPTS.items():
+        (home / name).mkdir(parents=True)
+        (home / name / "session.jsonl").write_text("".join(line + "\n" for line in lines))
+    (home / "empty.jsonl").write_text("")
+    consent = consent_rows(spark, (REPO, "/repo"))
+    options = DeriveOptions(SALT, NAME_KEY, CLOSED)
+    health = ScanHealth(spark, str(tmp_path / "health"))
+    store = EventStore(spark, str(tmp_path / "store"))
+    report = ingest(spark, str(home), consent, store, options, health=health)
+    assert (report.append.written, report.append.duplicate, report.append.dropped) == (4, 1, 0)
+    counters = health.current().first()
+    assert (counters.transcripts, counters.unreadable, counters.parse_errors, counters.events_written) == (7, 0, 1, 4)
+    assert (counters.pending_calls, counters.interrupted_calls, counters.ambiguous_skill_runs, counters.skipped) == (1, 1, 1, 2)
+    assert health.diagnose().first().state == "collects nothing"
+    cursors = {r.file.split("/")[-2]: (r.open_sessions, r.cursor_floor) for r in report.cursors.collect()}
+    assert cursors["pair"] == (0, 0) and cursors["blind"] == (1, 0)
+
+    again = ingest(spark, str(home), consent, store, options)
+    assert (again.append.written, again.append.duplicate) == (0, 5)
+    before = store.read().collect()
+    ingest(spark, str(home), consent, store, options, rebuild=True)
+    rebuilt = store.read()
+    assert record_differences(rebuilt, spark.createDataFrame(before, rebuilt.schema)).isEmpty()
+
+
+def test_collection_in_pieces_equals_one_ingest(spark, tmp_path):
+    rows = []
+    for name, lines in TRANSCRIPTS.items():
+        offset = 0
+        for number, line in enumerate(lines):
+            rows.append((number, name, offset, line))
+            offset += len(line.encode()) + 1
+    for number in (1, 0):
+        piece = [(f, o, v) for n, f, o, v in rows if n == number]
+        spark.createDataFrame(piece, FEED).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    store = EventStore(spark, str(tmp_path / "store"))
+    options = DeriveOptions(SALT, NAME_KEY, Staleness(HOUR))
+    now = [CALL_AT + timedelta(minutes=5)]
+    collector = Collector(spark, str(tmp_path / "landing"), store, consent_rows(spark, (REPO, "/repo")), options, clock=lambda: now[0])
+    feed = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+    collect_available(collector.stream(feed, str(tmp_path / "checkpoint")))
+    assert sorted(r.outcome for r in store.read().collect()) == ["ok", "ok"]
+    # A replayed micro-batch changes nothing.
+    piece = spark.createDataFrame([(f, o, v) for n, f, o, v in rows if n == 0], FEED)
+    collector.process(piece, 1)
+    assert store.head() == 2
+    assert {r.file: r.open_sessions for r in collector.cursors().collect()}["pair"] == 1
+
+    now[0] = CALL_AT + 8 * HOUR
+    assert collector.sweep().written == 2
+    assert sorted(str(r.outcome) for r in store.read().collect()) == ["None", "interrupted", "ok", "ok"]
+    # A result that comes after its call ended as interrupted is dropped.
+    late = entry("entry-9", 30, content=[result("call-9", is_error=False)])
+    assert collector.process(spark.createDataFrame([("silent", 1000, late)], FEED), 2).written == 0
+    assert store.head() == 4

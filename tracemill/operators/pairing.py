@@ -62,21 +62,17 @@ def pair_calls(
     ``events`` is the output of :func:`call_events`.
     """
     tag, pos = F.col("tag"), F.col("pos")
-    use_pos = F.when(tag == USE, pos)
-    result_pos = F.when(tag == RESULT, pos)
     per_id = stage(
         events.groupBy(*KEYS).agg(
             F.count_if(tag == USE).alias("uses"),
             F.count_if(tag == VOID).alias("voids"),
-            F.min_by("call", use_pos).alias("call"),
-            F.min_by("result", result_pos).alias("result"),
-            F.min(use_pos).alias("call_pos"),
-            F.min(result_pos).alias("result_pos"),
+            F.min(F.when(tag == USE, F.struct(pos, "call"))).alias("c"),
+            F.min(F.when(tag == RESULT, F.struct(pos, "result"))).alias("r"),
         ),
         "calls-by-id",
     )
     once = per_id.where((F.col("uses") == 1) & (F.col("voids") == 0)).select(
-        *KEYS, "call", "result", "call_pos", "result_pos"
+        *KEYS, "c.call", "r.result", F.col("c.pos").alias("call_pos"), F.col("r.pos").alias("result_pos")
     )
     reused = per_id.where((F.col("uses") >= 1) & (F.col("uses") + F.col("voids") > 1)).select(*KEYS)
     if stage is not lazy and reused.isEmpty():

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.consent import under_roots
 from tracemill.sources import typed_json as J
+from tracemill.sources.folders import list_folder
 
 # Where a harness keeps its primitives below a base folder.
 SKILL_FILE = r"\A(.*)/skills/([^/]+)/SKILL\.md\z"
@@ -18,28 +18,16 @@ PROJECT_MCP_FILE = ".mcp.json"
 PLUGIN_MANIFEST = "plugins/installed_plugins.json"
 
 
-def list_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path) of every Markdown file below the given folders; contents are not read."""
-    found = spark.createDataFrame([], "path string")
-    for path in paths:
-        try:
-            files = (
-                spark.read.format("binaryFile")
-                .option("recursiveFileLookup", "true")
-                .option("pathGlobFilter", "*.md")
-                .load(path)
-            )
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            continue
-        found = found.unionByName(files.select(plain_path("_metadata.file_path").alias("path")))
-    return found
-
-
-def plain_path(column: str):
-    """A file URI as an ordinary path."""
-    return F.url_decode(F.replace(F.regexp_replace(F.col(column), r"\Afile:/*", "/"), F.lit("+"), F.lit("%2B")))
+def list_documents(bases: DataFrame) -> DataFrame:
+    """(path) of the files that may be primitives of ``bases(base)``: only their three
+    folders are listed, and skill folders one level deeper; contents are not read."""
+    base = bases.select("base").distinct()
+    skills = base.select(F.concat("base", F.lit("/skills")).alias("path"))
+    others = base.select(
+        F.explode(F.array(*[F.concat("base", F.lit(f"/{d}")) for d in ("agents", "commands")])).alias("path")
+    )
+    inside = list_folder(list_folder(skills).where("is_folder"))
+    return inside.unionByName(list_folder(others)).where("not is_folder").select("path")
 
 
 def primitives_in_layout(paths: DataFrame, bases: DataFrame) -> DataFrame:
@@ -66,18 +54,14 @@ def primitives_in_layout(paths: DataFrame, bases: DataFrame) -> DataFrame:
     return located.join(bases.select("base").distinct(), "base", "left_semi")
 
 
-def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, value) of whole configuration documents; a missing one is no row."""
-    found = spark.createDataFrame([], "path string, value string")
-    for path in paths:
-        try:
-            text = spark.read.option("wholetext", "true").text(path)
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            continue
-        found = found.unionByName(text.select(plain_path("_metadata.file_path").alias("path"), "value"))
-    return found
+def mcp_documents(home: DataFrame, plugins: DataFrame, projects: DataFrame) -> DataFrame:
+    """(path) of every document that may name servers, below the given ``base`` folders."""
+    return (
+        home.select(F.concat("base", F.lit(f"/{SETTINGS_FILE}")).alias("path"))
+        .unionByName(plugins.select(F.concat("base", F.lit(f"/{PROJECT_MCP_FILE}")).alias("path")))
+        .unionByName(projects.select(F.concat("base", F.lit(f"/{PROJECT_MCP_FILE}")).alias("path")))
+        .unionByName(projects.select(F.concat("base", F.lit(f"{PROJECT_FOLDER}/{SETTINGS_FILE}")).alias("path")))
+    )
 
 
 def mcp_servers(documents: DataFrame) -> DataFrame:

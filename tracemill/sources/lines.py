@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.schemas import LINES, TRANSCRIPT_LINE_CAP
+from tracemill.sources.folders import list_tree
 
 # Byte width of the coarse bucket that stands for an input split on a feed.
 FEED_CHUNK_BYTES = 64 * 1024 * 1024
@@ -59,7 +60,7 @@ def scan_lines(
             raise
         return spark.createDataFrame([], LINES)
     raw = text.select(
-        F.col("_metadata.file_path").alias("file"),
+        plain_path(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("chunk"),
         F.monotonically_increasing_id().alias("line"),
         (F.octet_length("value") + F.lit(1)).cast("bigint").alias("nbytes"),
@@ -68,20 +69,19 @@ def scan_lines(
     return frame(raw, cap)
 
 
+def plain_path(uri: Column) -> Column:
+    """A ``file:`` URI as an ordinary path, its escapes resolved; other schemes stay."""
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, r"\Afile:/*", "/")
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """(file, length) of the matching files; contents are never read."""
-    try:
-        listing = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", glob)
-            .load(path)
-        )
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], "file string, length bigint")
-    return listing.select(F.col("_metadata.file_path").alias("file"), "length")
+    """(file, length) of the matching files, empty ones included; contents are never read.
+
+    A listed file with bytes of which no line was read (no permission, or a name Spark's
+    file sources hide) shows up as unreadable in the counters.
+    """
+    return list_tree(spark, path, glob)
 
 
 def feed_lines(feed: DataFrame, cap: int = TRANSCRIPT_LINE_CAP) -> DataFrame:

@@ -242,7 +242,5 @@ def fold_reused(
 
 def first_results(results: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First result per call id in file order; a constant-size aggregate per id."""
-    rest = [c for c in results.columns if c not in keys]
-    return results.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("first")
-    ).select(*keys, "first.*")
+    rest = [c for c in results.columns if c not in keys and c not in order]
+    return results.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("first")).select(*keys, "first.*")

@@ -59,10 +59,9 @@ def first_copies(records: DataFrame, order: list[str]) -> DataFrame:
     A combining minimum instead of a ranking window: an id with very many copies shrinks
     to one row per task before it is shuffled. Ties are broken by the record itself.
     """
-    rest = [c for c in records.columns if c != "event_id"]
-    ranked = [F.col(c) for c in order] + [F.struct(*[c for c in rest if c not in order])]
+    rest = [c for c in records.columns if c != "event_id" and c not in order]
     return records.groupBy("event_id").agg(
-        F.min_by(F.struct(*rest), F.struct(*ranked)).alias("kept")
+        F.min(F.struct(*order, *rest)).alias("kept")
     ).select("event_id", "kept.*").select(*records.columns)
 
 

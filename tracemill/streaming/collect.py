@@ -150,7 +150,7 @@ def _latest_per_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def session_closures(feed: DataFrame, timeout: timedelta, cap: int = TRANSCRIPT_LINE_CAP) -> DataFrame:
     """Streaming (file, session, last_activity) rows, one when a session has been silent too long.
 
-    The state of a session is one number. The timer is only a wake-up: when it fires, the
+    The state of a session is one number. The timer is only a reminder: when it fires, the
     silence is measured again from the last activity, and the timer is set for the rest.
     A session that speaks again is tracked again.
     """

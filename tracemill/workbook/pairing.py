@@ -81,7 +81,7 @@ SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS session_id, o_orderdate AS call
        f.l_orderkey IS NULL AS is_open
 FROM orders LEFT JOIN first f ON o_orderkey = l_orderkey""")
 def _(spark, tables):
-    pairs = pair_calls(order_events(tables("orders"), tables("lineitem")))
+    pairs = pair_calls(order_events(tables("orders"), tables("lineitem")), materialize)
     return pairs.select(
         F.col("call.order").alias("o_orderkey"), F.col("call.session_id").alias("session_id"),
         F.col("call.ts").alias("called_at"), F.col("result.ts").alias("finished_at"),
@@ -207,7 +207,7 @@ def _(spark, tables):
     orders, lineitem = tables("orders"), tables("lineitem")
     lines = order_activity(orders, lineitem)
     closed = closed_sessions(session_activity(lines), blind_files(lines), QUIET)
-    pairs = pair_calls(order_events(orders, lineitem))
+    pairs = pair_calls(order_events(orders, lineitem), materialize)
     waiting = pairs.where(F.col("result").isNull()).select(
         F.concat(F.lit("f"), F.col("call.session_id").cast("bigint") % 16).alias("file"),
         F.col("call.session_id").alias("session"), F.col("call.order").alias("o_orderkey"), F.col("call.ts").alias("ts"),

@@ -16,8 +16,8 @@ WORD = re.compile(WORD_PATTERN)
 
 #: Rows of whole texts handed to a Python worker at once: keeps a batch small where texts are long.
 ARROW_SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 

@@ -25,7 +25,7 @@ MIN_WORDS = 50
 #: Names of the transformed statistics, the coordinates of a document.
 DIMENSIONS = ("word_length", "symbols", "dup_lines", "repeats")
 #: Deviations below these sizes (in transformed units) say nothing: many groups have no symbol or repeated line at all.
-FLOORS = (0.05, 0.1, 0.1, 0.1)
+FLOORS = (0.08, 0.1, 0.1, 0.1)
 STEPS = 8
 BINS = 512
 #: Groups with fewer documents borrow the estimate of their language, else that of all documents.
@@ -76,13 +76,13 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def vector() -> list[Column]:
-    """The transformed statistics: log mean word length, and square roots of rates (which evens out their spread)."""
+    """The transformed statistics: log mean word length, root of symbols per word, log(1 + rate) of what repeats."""
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return [
         F.log(F.greatest(F.col("word_chars") / words, F.lit(0.5))),
         F.sqrt(F.col("n_symbols") / words),
-        F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
-        F.sqrt(F.col("n_repeat_words") / words),
+        F.log1p(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
+        F.log1p(F.col("n_repeat_words") / words),
     ]
 
 
@@ -110,28 +110,19 @@ def _estimate(n: float, moments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, covariance
 
 
-ESTIMATE = ("grp string, size bigint, centre array<double>, inverse array<double>, scale double, "
-            "covariance array<double>")
+ESTIMATE = "grp string, size bigint, centre array<double>, inverse array<double>"
 
 
-def _concentrate(first: bool):
-    """From the bins of one group to its next estimate: the bins that hold the half nearest to the current one."""
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bin")
-        counts = rows["n"].to_numpy(dtype=float)
-        half = (counts.sum() + len(DIMENSIONS) + 1) // 2
-        upto = int(np.searchsorted(np.cumsum(counts), half)) + 1
-        inner = rows.iloc[:upto] if not first else rows
-        weight = inner["n"].sum()
-        mean, covariance = _estimate(weight, inner[MOMENTS].sum().to_numpy(dtype=float))
-        # The half is narrower than the whole: its covariance is scaled by the median distance (last step only).
-        floored = covariance + np.diag(np.square(FLOORS))
-        return pd.DataFrame([(rows["grp"].iloc[0], int(counts.sum()), mean.tolist(),
-                              np.linalg.inv(floored).ravel().tolist(), 1.0, covariance.ravel().tolist())],
-                            columns=["grp", "size", "centre", "inverse", "scale", "covariance"])
-
-    return step
+def _concentrate(rows: pd.DataFrame) -> pd.DataFrame:
+    """From the bins of one group to its next estimate: of the bins that hold the half nearest to the current one."""
+    rows = rows.sort_values("bin")
+    counts = rows["n"].to_numpy(dtype=float)
+    half = (counts.sum() + len(DIMENSIONS) + 1) // 2
+    inner = rows.iloc[:int(np.searchsorted(np.cumsum(counts), half)) + 1]
+    mean, covariance = _estimate(inner["n"].sum(), inner[MOMENTS].sum().to_numpy(dtype=float))
+    inverse = np.linalg.inv(covariance + np.diag(np.square(FLOORS)))
+    return pd.DataFrame([(rows["grp"].iloc[0], int(counts.sum()), mean.tolist(), inverse.ravel().tolist())],
+                        columns=["grp", "size", "centre", "inverse"])
 
 
 def _binned(rows: DataFrame, bins: Column) -> DataFrame:
@@ -164,7 +155,7 @@ def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     current = stage(start, "mcd")
     for _ in range(steps):
         binned = _binned(rows.join(current.select("grp", "centre", "inverse"), "grp"), _distance_bin())
-        current = stage(binned.groupBy("grp").applyInPandas(_concentrate(False), ESTIMATE), "mcd")
+        current = stage(binned.groupBy("grp").applyInPandas(_concentrate, ESTIMATE), "mcd")
     distances = rows.join(current.select("grp", "centre", "inverse"), "grp").groupBy("grp", _distance_bin().alias("bin")).count()
 
     def median_scale(bins: pd.DataFrame) -> pd.DataFrame:
@@ -174,7 +165,7 @@ def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         return pd.DataFrame([(bins["grp"].iloc[0], max(middle / CHI2_MEDIAN, 1.0))], columns=["grp", "scale"])
 
     scales = distances.groupBy("grp").applyInPandas(median_scale, "grp string, scale double")
-    return stage(current.drop("scale").join(scales, "grp"), "mcd")
+    return stage(current.join(scales, "grp"), "mcd")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

@@ -87,7 +87,7 @@ def _crossing(cells: DataFrame, cell: str) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
-    """Copies of each document in the mix: ``doc_id, size, source_size, target, copies, taken``.
+    """Copies of each document in the mix: ``doc_id, size, source_size, target, copies, taken, source``.
 
     One row per input row. ``size`` counts words (null text: none), ``taken`` is ``copies * size``. The same input
     gives the same mix: ranks come from a keyed hash of the id.
@@ -156,4 +156,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     extra = (F.col("chosen") | F.coalesce(F.col("doc_id") == F.col("filler"), F.lit(False))).cast("long")
     copies = F.col("certain") + extra
     return final.select(
-        "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+        F.when(~F.col("key.absent"), F.col("key.name")).alias("source"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
+    """The mix itself: every document as often as it is taken, with all its columns."""
+    plan = mix(docs, id_col, text_col, source_col, weights, cap, seed).where("copies > 0")
+    # Rows that repeat an id may differ in source or size: all three say which row a number of copies belongs to.
+    plan = stage(plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
+                             F.col("copies").alias("__copies")).distinct(), "mix")
+    same = (
+        (F.col(f"`{id_col}`") == F.col("__id")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source"))
+        & (n_words(F.col(f"`{text_col}`")) == F.col("__size")))
+    repeated = docs.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return repeated.drop("__id", "__source", "__size", "__copies", "__copy")

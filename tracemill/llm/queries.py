@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracemill.llm import exact_dedup, html_text, mixing, outliers, packing, simhash, substring_dedup, toxicity, warc_fixity
+from tracemill.llm import exact_dedup, html_text, mixing, outliers, packing, simhash, substring_dedup, surrogates, toxicity, warc_fixity
 from tracemill.llm.common import read_table
 from tracemill.llm.registry import query
 
@@ -62,3 +63,43 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_substring_dedup")
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
+#: The key of a deployment comes from its own secret store; results over the given tables use this one.
+QUERY_KEY = b"surrogates of the given tables"
+
+
+@query("op7_surrogates")
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(read_table(spark, sf_dir, "documents"), QUERY_KEY)
+
+
+# The second replica is the first with a byte in the middle of every 97th page replaced and every 101st page lost.
+FIXITY_SQL = r"""
+WITH records AS (
+  SELECT page_id, CAST(floor(page_id / 1000.0) AS BIGINT) AS archive,
+         strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ')
+         + strlen(coalesce(url, '')) + strlen(chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+         || 'Content-Length: ') + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + 4
+         + strlen(coalesce(html, '')) + 4 AS length
+  FROM pages
+), placed AS (
+  SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset"
+  FROM records
+)
+SELECT archive, CAST("offset" AS BIGINT) AS "offset", length AS length_a,
+       CASE WHEN page_id % 101 = 7 THEN NULL ELSE length END AS length_b,
+       CASE WHEN page_id % 101 = 7 THEN 'missing' ELSE 'changed' END AS status
+FROM placed WHERE page_id % 101 = 7 OR page_id % 97 = 13
+"""
+
+
+@query("op6_warc_fixity", FIXITY_SQL)
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = warc_fixity.warc_records(read_table(spark, sf_dir, "pages"))
+    middle = F.floor(F.col("length") / 2).cast("int")
+    flipped = F.overlay("record", F.encode(F.lit("\x00"), "UTF-8"), middle, F.lit(1))
+    second = first.where("page_id % 101 <> 7").withColumn(
+        "record", F.when(F.col("page_id") % 97 == 13, flipped).otherwise(F.col("record")))
+    return warc_fixity.audit(first, second)

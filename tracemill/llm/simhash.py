@@ -298,7 +298,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of their component, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id")
-    gone = stage(gone.select(F.col("doc_id").alias("__gone_id")).distinct(), "near-copies")
+    """The documents with the smallest id of their component, with all their columns.
+
+    Of rows that repeat an id all stay if one of them is first in its component.
+    """
+    later = near_duplicates(docs, id_col, text_col).groupBy("doc_id").agg(
+        F.min(F.col("doc_id") != F.col("component_id")).alias("later"))
+    gone = stage(later.where("later").select(F.col("doc_id").alias("__gone_id")), "near-copies")
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone_id"), "left_anti")

@@ -196,8 +196,11 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give every row of a table with ``length`` (1 to ``capacity``) its ``sequence_id`` and ``offset``."""
     staged = stage(cut, "pieces")
     columns = staged.columns
+    # Files by two hashes of their path: rows of files that share the first one are ranked together, by the second.
+    path = F.col("_metadata.file_path")
     located = staged.select(
-        *columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        *columns, F.xxhash64(path).alias("__file"), F.xxhash64(path, F.lit(1)).alias("__tie"),
+        F.col("_metadata.row_index").alias("__row"))
     located = located.withColumn("__chunk", F.floor(F.col("__row") / CHUNK_ROWS))
 
     per_chunk = stage(located.groupBy("length", "__file", "__chunk").agg(F.count("*").alias("rows")), "lengths")
@@ -207,7 +210,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     before = Window.partitionBy("length").orderBy("__file", "__chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_chunk.withColumn("__start", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
-    within = Window.partitionBy("length", "__file", "__chunk").orderBy("__row")
+    within = Window.partitionBy("length", "__file", "__chunk").orderBy("__row", "__tie")
     ranked = located.withColumn("__rank", F.row_number().over(within) - 1).join(starts, ["length", "__file", "__chunk"])
     ranked = ranked.select(*columns, (F.col("__start") + F.col("__rank")).alias("__rank"))
 

@@ -8,12 +8,12 @@ from tracemill.session import materialize
 from tracemill.sources.lines import feed_lines
 from tracemill.sources.transcripts import decode_entries
 
-REPO = "0123456789abcdef0123456789abcdef"
-CALL_AT = datetime(2026, 8, 13, 12, 0, 0, tzinfo=timezone.utc)
+REPO = "c0ffee00c0ffee00c0ffee00c0ffee00"
+CALL_AT = datetime(2021, 5, 4, 9, 30, 0, tzinfo=timezone.utc)
 HOUR = timedelta(hours=1)
 CLOSED = Staleness(HOUR, CALL_AT + 8 * HOUR)
 NO_RULE = Staleness()
-NAME_KEY = b"test scope key"
+NAME_KEY = b"key of the harbour"
 SALT = b"test salt"
 
 CONSENT_SCHEMA = (

@@ -2,21 +2,26 @@
 
 from datetime import timedelta
 
+from pyspark.sql import functions as F
+
 from tests.support import CALL_AT, CLOSED, HOUR, NAME_KEY, REPO, SALT, consent_rows
 from tests.test_transcripts import OK_RESULT, OPEN_CALL, SYNTAX, end_turn, entry, result, use
 from tracemill.operators.sessions import Staleness
 from tracemill.plans.derive import DeriveOptions
 from tracemill.plans.health import ScanHealth
 from tracemill.plans.ingest import ingest
+from tracemill.plans.inventory import UsageSnapshots
+from tracemill.plans.jobs import discover, doctor, report
 from tracemill.plans.store import EventStore, record_differences
-from tracemill.streaming.collect import FEED, Collector, collect_available
+from tracemill.sources.lines import list_files
+from tracemill.streaming.collect import FEED, Collector, collect_available, run_until_closed
 
 TRANSCRIPTS = {
     "pair": [OPEN_CALL, OK_RESULT],
-    "early": [OK_RESULT.replace("entry-2", "entry-8"), entry("entry-7", content=[use()])],
-    "silent": [entry("entry-3", content=[use("call-9")])],
-    "blind": [entry("entry-4", content=[use("call-4")]), SYNTAX],
-    "run": [end_turn("entry-5"), end_turn("entry-6", 3)],
+    "early": [OK_RESULT.replace("line-2", "line-8"), entry("line-7", content=[use()])],
+    "silent": [entry("line-3", content=[use("call-9")])],
+    "blind": [entry("line-4", content=[use("call-4")]), SYNTAX],
+    "run": [end_turn("line-5"), end_turn("line-6", 3)],
     # A copy of another file: the same event ids, so nothing new.
     "copy": [OPEN_CALL, OK_RESULT],
 }
@@ -76,6 +81,80 @@ def test_collection_in_pieces_equals_one_ingest(spark, tmp_path):
     assert collector.sweep().written == 2
     assert sorted(str(r.outcome) for r in store.read().collect()) == ["None", "interrupted", "ok", "ok"]
     # A result that comes after its call ended as interrupted is dropped.
-    late = entry("entry-9", 30, content=[result("call-9", is_error=False)])
+    late = entry("line-9", 30, content=[result("call-9", is_error=False)])
     assert collector.process(spark.createDataFrame([("silent", 1000, late)], FEED), 2).written == 0
     assert store.head() == 4
+
+
+def test_file_read_in_part_counts_once_and_gives_nothing(spark, tmp_path, monkeypatch):
+    home = tmp_path / "projects"
+    for name, lines in TRANSCRIPTS.items():
+        (home / name).mkdir(parents=True)
+        (home / name / "session.jsonl").write_text("".join(line + "\n" for line in lines))
+    listed = list_files
+
+    def longer(session, path, glob="*.jsonl"):
+        """The listing of files whose tail could not be read."""
+        cut = F.col("file").rlike("/(silent|run)/").cast("bigint")
+        return listed(session, path, glob).withColumn("length", F.col("length") + cut * 100)
+
+    monkeypatch.setattr("tracemill.plans.ingest.list_files", longer)
+    store = EventStore(spark, str(tmp_path / "store"))
+    report = ingest(spark, str(home), consent_rows(spark, (REPO, "/repo")), store, DeriveOptions(SALT, NAME_KEY, CLOSED))
+    files = {r.file.split("/")[-2]: r for r in report.files.collect()}
+    assert {n for n, r in files.items() if r.failed} == {"silent", "run"}
+    for name in ("silent", "run"):
+        r = files[name]
+        assert (r.parse_errors, r.parsed, r.interrupted_calls, r.pending_calls, r.skipped, r.unreadable) == (1, 0, 0, 0, False, False)
+    assert sorted(r.outcome for r in store.read().collect()) == ["ok", "ok"]
+    # Read whole later, its records come.
+    monkeypatch.undo()
+    again = ingest(spark, str(home), consent_rows(spark, (REPO, "/repo")), store, DeriveOptions(SALT, NAME_KEY, CLOSED))
+    assert again.append.written == 2
+
+
+def test_silence_becomes_a_record(spark, tmp_path):
+    """A session that falls silent ends its call without any new line."""
+    rows = [("silent", 0, entry("line-3", content=[use("call-9")])), ("pair", 0, OPEN_CALL), ("pair", 500, OK_RESULT)]
+    spark.createDataFrame(rows, FEED).coalesce(1).write.parquet(str(tmp_path / "feed"))
+    store = EventStore(spark, str(tmp_path / "store"))
+    before, after = (lambda: CALL_AT), (lambda: CALL_AT + 8 * HOUR)
+    options = DeriveOptions(SALT, NAME_KEY, Staleness(HOUR))
+    collector = Collector(spark, str(tmp_path / "landing"), store, consent_rows(spark, (REPO, "/repo")), options, clock=before)
+    feed = spark.readStream.schema(FEED).parquet(str(tmp_path / "feed"))
+    collect_available(collector.stream(feed, str(tmp_path / "checkpoint")))
+    assert [r.outcome for r in store.read().collect()] == ["ok"]
+    collector.clock = after
+    run_until_closed(collector.closing_stream(feed, str(tmp_path / "closing"), HOUR))
+    assert sorted(r.outcome for r in store.read().collect()) == ["interrupted", "ok"]
+
+
+def test_discovery_report_and_doctor(spark, tmp_path):
+    home, repo = tmp_path / "home", tmp_path / "repo"
+    for path, text in {
+        home / "skills" / "anchor" / "SKILL.md": "", home / "settings.json": '{"mcpServers":{"buoy":{}}}',
+        repo / ".claude" / "commands" / "reef.md": "", repo / ".mcp.json": '{"mcpServers":{"tide":{}}}',
+        home / "projects" / "p" / "s.jsonl": entry("line-1", cwd=str(repo), content=[use(name="Skill", skill="anchor")]) + "\n"
+        + OK_RESULT.replace('"cwd": "/repo"', f'"cwd": "{repo}"') + "\n",
+    }.items():
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    store, snapshots = EventStore(spark, str(tmp_path / "store")), UsageSnapshots(spark, str(tmp_path / "snapshots"))
+    health = ScanHealth(spark, str(tmp_path / "health"))
+    roots = spark.createDataFrame([(str(repo),)], "root string")
+    found = discover(spark, str(home), roots, NAME_KEY)
+    assert {(r.kind, r.name) for r in found.primitives.collect()} == {
+        ("skill", "anchor"), ("mcp_server", "buoy"), ("command", "reef"), ("mcp_server", "tide")}
+    assert {r.name for r in discover(spark, str(home), None, NAME_KEY).primitives.collect()} == {"anchor", "buoy"}
+    report(store, snapshots, found)
+    ingest(spark, str(home / "projects"), consent_rows(spark, (REPO, str(repo))), store, DeriveOptions(SALT, NAME_KEY, CLOSED),
+           health=health, snapshots=snapshots)
+    # The ingest refreshed the counters of the names that discovery had published.
+    assert {r.name: r.invocations for r in snapshots.read().collect()} == {"anchor": 1, "buoy": 0, "reef": 0, "tide": 0}
+    made = report(store, snapshots)
+    assert [(r.name, r.calls) for r in made.used.collect()] == [("anchor", 1)]
+    assert {r.name for r in made.unused.collect()} == {"buoy", "reef", "tide"}
+    assert made.unused_by_kind.collect()[-1].unused == 3
+    row = doctor(health, 2).first()
+    assert (row.state, row.transcripts, row.events_written, row.installed) == ("collecting", 1, 1, 2)
+    assert doctor(health, None).first().state == "hooks unreadable"

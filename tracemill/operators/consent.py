@@ -55,11 +55,11 @@ def resolve_directories(cwds: DataFrame, consent: DataFrame, salt: bytes) -> Dat
         "cwd", "fold", F.explode(ancestors(_fold_key(F.col("fold"), F.col("clean")))).alias("key")
     )
     # The longest spelling wins, then table order.
-    rank = F.struct(F.octet_length("spelling"), -F.col("entry"), -F.col("spelling_no"))
+    rank = F.struct(-F.octet_length("spelling"), "entry", "spelling_no")
     best = (
         probes.join(root_spellings(consent), ["fold", "key"])
         .groupBy("cwd")
-        .agg(F.max_by(F.struct("spelling", "id", "collect_from"), rank).alias("hit"))
+        .agg(F.min_by(F.struct("spelling", "id", "collect_from"), rank).alias("hit"))
     )
     own = F.substr(hmac_hex(salt, F.col("clean")), F.lit(1), F.lit(32))
     return cleaned.join(best, "cwd", "left").select(

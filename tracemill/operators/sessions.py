@@ -50,9 +50,10 @@ def closed_sessions(activity: DataFrame, blind: DataFrame, staleness: Staleness)
     return quiet.join(blind, "file", "left_anti").select(*SESSION)
 
 
-def stale_calls(pending: DataFrame, closed: DataFrame) -> DataFrame:
-    """Open calls of closed sessions; they end as interrupted at their own instant."""
-    return pending.join(closed, SESSION, "left_semi")
+def with_closed_flag(open_calls: DataFrame, closed: DataFrame) -> DataFrame:
+    """Open calls with ``is_closed``: those of closed sessions end as interrupted at their own instant."""
+    marked = closed.select(*SESSION, F.lit(True).alias("is_closed"))
+    return open_calls.join(marked, SESSION, "left").withColumn("is_closed", F.coalesce("is_closed", F.lit(False)))
 
 
 def with_line_offsets(lines: DataFrame) -> DataFrame:

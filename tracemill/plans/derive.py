@@ -23,7 +23,7 @@ from tracemill.operators.sessions import (
     blind_files,
     closed_sessions,
     session_activity,
-    stale_calls,
+    with_closed_flag,
 )
 from tracemill.operators.skills import collapse_candidates, uncovered_runs
 from tracemill.schemas import DEFAULT_HARNESS
@@ -80,8 +80,8 @@ def derive(
     closed = stage(closed_sessions(activity, blind_files(entries), options.staleness), "closed-sessions")
 
     open_calls = pairs.where(F.col("result").isNull()).withColumn("session", F.col("call.session_id"))
-    interrupted = stale_calls(open_calls, closed)
-    pending = open_calls.join(closed, ["file", "session"], "left_anti")
+    ended = stage(with_closed_flag(open_calls, closed), "open-calls")
+    interrupted, pending = ended.where("is_closed").drop("is_closed"), ended.where("not is_closed").drop("is_closed")
 
     invoked = calls.where((F.col("status") == "accepted") & (F.col("call.kind") == "skill"))
     candidates = collapse_candidates(skill_candidates(acting, options.name_key, options.harness))
@@ -123,11 +123,24 @@ def derive(
     )
 
 
-def file_counters(files: DataFrame, entries: DataFrame, derived: Derivation) -> DataFrame:
+def incomplete_files(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file) of which some lines, but fewer bytes than listed were read.
+
+    List before reading: a transcript that grows in between is longer than listed, not
+    shorter. Every line counts a newline, which the last one may lack.
+    """
+    read = lines.groupBy("file").agg(F.sum("nbytes").alias("read"))
+    return files.join(read, "file").where("read < length").select("file")
+
+
+def file_counters(
+    files: DataFrame, entries: DataFrame, derived: Derivation, incomplete: DataFrame | None = None
+) -> DataFrame:
     """One row per transcript with its counters; ``files`` is the (file, length) listing.
 
-    A non-empty file without a single line read is unreadable. All parts are combining
-    counts by file, summed once.
+    A non-empty file without a single line read is unreadable. One that was read in part
+    (``incomplete``; its entries are not in ``entries``) counts one parse error and nothing
+    else. All parts are combining counts by file, summed once.
     """
     zero = F.lit(0).cast("bigint")
     names = [
@@ -163,13 +176,20 @@ def file_counters(files: DataFrame, entries: DataFrame, derived: Derivation) ->
         merged = merged.unionByName(extra)
     totals = merged.groupBy("file").agg(*[F.sum(n).alias(n) for n in names])
     counted = files.select("file", "length").join(totals, "file", "left")
+    if incomplete is None:
+        counted = counted.withColumn("failed", F.lit(False))
+    else:
+        counted = counted.join(incomplete.withColumn("failed", F.lit(True)), "file", "left")
+    failed = F.coalesce("failed", F.lit(False))
     return counted.select(
         "file",
-        ((F.col("length") > 0) & F.col("lines").isNull()).alias("unreadable"),
+        ((F.col("length") > 0) & F.col("lines").isNull() & ~failed).alias("unreadable"),
+        failed.alias("failed"),
         *[F.coalesce(n, zero).alias(n) for n in names],
-        F.coalesce(F.col("malformed") + F.col("oversize"), zero).alias("parse_errors"),
+        (F.coalesce(F.col("malformed") + F.col("oversize"), zero) + failed.cast("bigint")).alias("parse_errors"),
     ).withColumn(
-        "skipped", ~F.col("unreadable") & (F.col("parsed") == 0) & (F.col("refused_calls") == 0)
+        "skipped",
+        ~F.col("unreadable") & ~F.col("failed") & (F.col("parsed") == 0) & (F.col("refused_calls") == 0),
     )
 
 

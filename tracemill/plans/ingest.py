@@ -14,11 +14,12 @@ from tracemill.plans.derive import (
     DeriveOptions,
     derive,
     file_counters,
+    incomplete_files,
     total_counters,
 )
 from tracemill.plans.health import ScanHealth
+from tracemill.plans.inventory import PRIMITIVES, UsageSnapshots
 from tracemill.plans.store import AppendResult, EventStore
-from tracemill.schemas import TRANSCRIPT_LINE_CAP
 from tracemill.session import materialize
 from tracemill.sources.lines import list_files, scan_lines
 from tracemill.sources.transcripts import decode_entries
@@ -40,18 +41,23 @@ def in_walk_order(records: DataFrame) -> DataFrame:
     return records.withColumn("walk", F.split("src_file", "/")).drop("src_file")
 
 
-def _scan(spark: SparkSession, path: str, cap: int, glob: str) -> tuple[DataFrame, DataFrame]:
-    """The text is read and parsed once; everything later reads the narrow entry table."""
+def _scan(spark: SparkSession, path: str, cap: int | None, glob: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries, the listing, and the files that were read in part, whose entries are left out.
+
+    The text is read and parsed once; everything later reads the narrow entry table.
+    """
+    files = materialize(list_files(spark, path, glob), "files")
     entries = materialize(decode_entries(scan_lines(spark, path, cap, glob)), "entries")
-    return entries, list_files(spark, path, glob)
+    incomplete = materialize(incomplete_files(files, entries), "incomplete")
+    return entries.join(incomplete, "file", "left_anti"), files, incomplete
 
 
 def _report(
-    entries: DataFrame, files: DataFrame, derived: Derivation,
+    entries: DataFrame, files: DataFrame, incomplete: DataFrame, derived: Derivation,
     appended: AppendResult, refused_projects: DataFrame, options: DeriveOptions,
     health: ScanHealth | None,
 ) -> IngestReport:
-    per_file = materialize(file_counters(files, entries, derived), "file-counters")
+    per_file = materialize(file_counters(files, entries, derived, incomplete), "file-counters")
     refused = refused_projects.first()[0]
     totals = total_counters(per_file).select(
         "*",
@@ -72,20 +78,24 @@ def ingest(
     options: DeriveOptions,
     refused_projects: DataFrame | None = None,
     health: ScanHealth | None = None,
-    cap: int = TRANSCRIPT_LINE_CAP,
+    cap: int | None = None,
     glob: str = "*.jsonl",
     rebuild: bool = False,
+    snapshots: UsageSnapshots | None = None,
 ) -> IngestReport:
     """Scan everything below ``path`` and add what is new; running it again adds nothing.
 
     ``rebuild`` discards what is stored and derives it afresh; the old generation stays in
-    force until the new one is complete.
+    force until the new one is complete. With ``snapshots`` the usage snapshot follows the
+    facts: names stay those of the last discovery.
     """
-    entries, files = _scan(spark, path, cap, glob)
+    entries, files, incomplete = _scan(spark, path, cap, glob)
     derived = derive(entries, consent, options, materialize)
     records = in_walk_order(derived.records)
     write = store.rebuild if rebuild else store.append
     appended = write(records, order=WALK_ORDER)
+    if snapshots is not None:
+        snapshots.refresh(store.read(), spark.createDataFrame([], PRIMITIVES), scanned=False)
     none_refused = spark.range(1).select(F.lit(0).alias("refused_projects"))
     refused = none_refused if refused_projects is None else refused_projects
-    return _report(entries, files, derived, appended, refused, options, health)
+    return _report(entries, files, incomplete, derived, appended, refused, options, health)

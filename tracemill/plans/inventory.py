@@ -10,6 +10,8 @@ from tracemill.operators.usage import PRIMITIVE_KEY, usage_by_primitive
 from tracemill.plans.published import PublishedTable
 from tracemill.schemas import DEFAULT_HARNESS, SNAPSHOT_KINDS, SNAPSHOT_VERSION, USAGE_SNAPSHOT
 
+PRIMITIVES = "harness string, kind string, name string"
+
 
 def catalog(found: list[DataFrame], name_key: bytes | None, harness: str = DEFAULT_HARNESS) -> DataFrame:
     """Union of all discovered (kind, name) rows, names derived, refused ones left out."""
@@ -39,8 +41,10 @@ def carry_forward(discovered: DataFrame, scanned: bool, previous: DataFrame) ->
 
 def valid_usage() -> Column:
     shape = is_harness(F.col("harness")) & is_name(F.col("name")) & F.col("kind").isin(SNAPSHOT_KINDS)
-    counts = (F.col("unknown") <= F.col("invocations")) & (
-        F.col("failures") <= F.col("invocations") - F.col("unknown")
+    counts = (
+        (F.least("invocations", "failures", "unknown") >= 0)
+        & (F.col("unknown") <= F.col("invocations"))
+        & (F.col("failures") <= F.col("invocations") - F.col("unknown"))
     )
     dated = (F.col("invocations") == 0) == F.col("last_used").isNull()
     return F.coalesce(shape & counts & dated, F.lit(False))

@@ -17,9 +17,9 @@ COUNTERS_VERSION = 3
 # The harness whose transcripts are read, unless a job names another.
 DEFAULT_HARNESS = "claude-code"
 
-# Line caps in bytes.
+# The transcript line cap in bytes of readers with a line buffer. No cap is in force unless a job
+# passes one.
 TRANSCRIPT_LINE_CAP = 1024 * 1024
-LISTING_LINE_CAP = 2 * 1024 * 1024
 
 # Enumerations of an invocation record.
 KINDS = [

@@ -13,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # A JSON object that repeats a key keeps the last value instead of failing to parse.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Expressions too large for the JIT compiler run faster outside one generated method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -45,14 +47,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tra
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only a session without that
-    setting (a test) gets a folder on this machine.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session (a test) without
+    that setting gets a folder on this machine; anywhere else executors would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     existing = spark.sparkContext.getCheckpointDir()
     if not existing:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracemill-"))
         existing = spark.sparkContext.getCheckpointDir()
     return existing.rstrip("/")

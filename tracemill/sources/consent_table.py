@@ -40,11 +40,13 @@ def parse_consent(documents: DataFrame) -> DataFrame:
     """(path, value) documents -> one row per entry, in table order.
 
     The version of every document is checked first; an unknown one is refused, never
-    upgraded. One document is one installation's table: a handful of entries.
+    upgraded. One document is one installation's table: a handful of entries. ``entry`` is
+    (document, place in it), so the entries of several documents never meet.
     """
     doc = F.col("doc")
     entries = J.elements(doc, f"{J.ROOT}.projects")
-    parsed = documents.select(J.parse(F.col("value")).alias("doc")).select(
+    parsed = documents.select("path", J.parse(F.col("value")).alias("doc")).select(
+        "path",
         J.integer(doc, f"{J.ROOT}.version").value.alias("version"),
         entries.fits.alias("fits"),
         F.coalesce(entries.value, F.array().cast("array<variant>")).alias("items"),
@@ -61,8 +63,8 @@ def parse_consent(documents: DataFrame) -> DataFrame:
     )
     item = F.col("item")
     aliases = J.string_list(item, "$.aliases")
-    return checked.select(F.posexplode("items").alias("entry", "item")).select(
-        "entry",
+    return checked.select("path", F.posexplode("items").alias("place", "item")).select(
+        F.struct("path", "place").alias("entry"),
         *[
             F.coalesce(J.string(item, f"$.{n}").value, F.lit("")).alias(n)
             for n in _TEXT

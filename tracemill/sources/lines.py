@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.schemas import LINES, TRANSCRIPT_LINE_CAP
+from tracemill.schemas import LINES
 from tracemill.sources.folders import list_tree
 
 # Byte width of the coarse bucket that stands for an input split on a feed.
@@ -20,13 +20,13 @@ def strip_return(value: Column) -> Column:
     ).otherwise(value)
 
 
-def frame(raw: DataFrame, cap: int = TRANSCRIPT_LINE_CAP) -> DataFrame:
-    """Mark lines over ``cap`` bytes and drop their text; blank lines stay.
+def frame(raw: DataFrame, cap: int | None = None) -> DataFrame:
+    """Strip carriage returns; with a ``cap``, mark lines over so many bytes and drop their text. Blank lines stay.
 
     ``raw`` has (file, chunk, line, nbytes, value) where nbytes counts the newline.
     """
     text = strip_return(F.col("value"))
-    oversize = F.octet_length(text) > cap
+    oversize = F.lit(False) if cap is None else F.octet_length(text) > cap
     passthrough = [c for c in raw.columns if c not in ("value", "oversize")]
     return raw.select(
         *passthrough,
@@ -38,13 +38,14 @@ def frame(raw: DataFrame, cap: int = TRANSCRIPT_LINE_CAP) -> DataFrame:
 def scan_lines(
     spark: SparkSession,
     path: str,
-    cap: int = TRANSCRIPT_LINE_CAP,
+    cap: int | None = None,
     glob: str = "*.jsonl",
 ) -> DataFrame:
     """Every line of every matching file below ``path``; an absent folder is zero lines.
 
     Splits of one large file are read by many tasks. ``line`` grows inside a split,
-    ``chunk`` is where the split starts, so (chunk, line) is file order.
+    ``chunk`` is where the split starts, so (chunk, line) is file order. A file that fails
+    midway yields the lines before the fault; ``incomplete_files`` finds it by its length.
     """
     try:
         text = (
@@ -84,7 +85,7 @@ def list_files(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFra
     return list_tree(spark, path, glob)
 
 
-def feed_lines(feed: DataFrame, cap: int = TRANSCRIPT_LINE_CAP) -> DataFrame:
+def feed_lines(feed: DataFrame, cap: int | None = None) -> DataFrame:
     """Frame a line feed of (file, offset, value) rows, batch or streaming.
 
     The feed names byte offsets itself, so nothing has to be summed up.

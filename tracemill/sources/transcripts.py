@@ -32,17 +32,27 @@ def parse_instant(text: Column) -> Column:
     return F.when(text.rlike(RFC3339), F.try_to_timestamp(micros))
 
 
-def _block(item: Column, position: Column) -> Column:
-    kind = J.string(item, "$.type")
-    call_id = J.string(item, "$.id")
-    tool = J.string(item, "$.name")
-    answers = J.string(item, "$.tool_use_id")
-    failed = J.boolean(item, "$.is_error")
-    skill = J.string(item, "$.input.skill")
-    subagent = J.string(item, "$.input.subagent_type")
+def _blocks(items: Column) -> Column:
+    """Content blocks with their typed fields.
+
+    One step after the other: a lambda's variable is computed once, an expression inside it
+    every time it is mentioned.
+    """
+    opened = F.transform(items, lambda item: F.struct(
+        item.alias("item"), J.members(item, "type", "id", "name", "tool_use_id", "is_error", "input").alias("own")))
+    opened = F.transform(opened, lambda b: F.struct(
+        b["item"].alias("item"), b["own"].alias("own"), J.members(b["own"]["input"], "skill", "subagent_type").alias("input")))
+    return F.transform(opened, _block)
+
+
+def _block(opened: Column, position: Column) -> Column:
+    own, given = opened["own"], opened["input"]
+    kind, call_id, tool, answers = (J.leaf(own[n], "STRING", "string") for n in ("type", "id", "name", "tool_use_id"))
+    failed = J.leaf(own["is_error"], "BOOLEAN", "boolean")
+    skill, subagent = (J.leaf(given[n], "STRING", "string") for n in ("skill", "subagent_type"))
     fits = J.all_fit(
-        J.object_fits(item, "$"),
-        J.object_fits(item, "$.input"),
+        J.members_fit(opened["item"], own),
+        J.members_fit(own["input"], given),
         *(f.fits for f in (kind, call_id, tool, answers, failed, skill, subagent)),
     )
     return F.struct(
@@ -58,6 +68,15 @@ def _block(item: Column, position: Column) -> Column:
     )
 
 
+def _once(rows: DataFrame, passthrough: list[str], **made: Column) -> DataFrame:
+    """Columns computed once per row, behind a one-row generator.
+
+    Filters that consumers add are pushed down to here but not through it, so no condition
+    ever parses a line a second time.
+    """
+    return rows.select(*passthrough, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
 def decode_entries(lines: DataFrame) -> DataFrame:
     """One row per line with its typed fields and a three-way verdict.
 
@@ -70,76 +89,88 @@ def decode_entries(lines: DataFrame) -> DataFrame:
     prompt and result text stay behind.
     """
     passthrough = [c for c in lines.columns if c not in ("value", "oversize")]
-    parsed = lines.select(*passthrough, "oversize", J.parse(F.col("value")).alias("doc"))
-    doc = F.col("doc")
-
-    text = {name: J.string(doc, f"{J.ROOT}.{path}") for path, name in TEXT_FIELDS}
-    sidechain = J.boolean(doc, f"{J.ROOT}.isSidechain")
-    stamp = J.string(doc, f"{J.ROOT}.timestamp")
-    content = J.elements(doc, f"{J.ROOT}.message.content")
-    interrupted = J.boolean(doc, f"{J.ROOT}.toolUseResult.interrupted")
-    fields = F.struct(
-        doc.isNotNull().alias("syntax_ok"),
-        *(f.value.alias(name) for name, f in text.items()),
-        sidechain.value.alias("sidechain"),
-        stamp.value.alias("stamp"),
-        stamp.fits.alias("stamp_fits"),
-        F.coalesce(interrupted.value, F.lit(False)).alias("interrupted"),
-        F.coalesce(F.transform(content.value, _block), F.array()).alias("content"),
-        J.all_fit(
-            *(f.fits for f in text.values()),
-            sidechain.fits,
-            J.object_fits(doc, f"{J.ROOT}.message"),
-            content.fits,
-        ).alias("fits"),
+    kept = [*passthrough, "oversize"]
+    parsed = _once(lines, kept, _doc=J.parse(F.col("value")))
+    root = F.try_variant_get(F.col("_doc"), J.ROOT, "variant")
+    top = dict.fromkeys([path.split(".")[0] for path, _ in TEXT_FIELDS] + ["isSidechain", "timestamp", "toolUseResult"])
+    opened = _once(parsed, kept, _sound=F.col("_doc").isNotNull(), _line=J.members(root, *top))
+    line = F.col("_line")
+    opened = _once(
+        opened, kept, _sound=F.col("_sound"), _line=line,
+        _message=J.members(line["message"], "model", "stop_reason", "content"),
+        _result=J.members(line["toolUseResult"], "interrupted"),
+    )
+    message = F.col("_message")
+    content = J.elements(message["content"], "$")
+    opened = _once(
+        opened, kept, _sound=F.col("_sound"), _line=line, _message=message, _result=F.col("_result"),
+        _blocks=_blocks(content.value), _content_fits=content.fits,
+    )
+    text = {}
+    for path, name in TEXT_FIELDS:
+        holder = message if path.startswith("message.") else line
+        text[name] = J.leaf(holder[path.removeprefix("message.")], "STRING", "string")
+    sidechain = J.leaf(line["isSidechain"], "BOOLEAN", "boolean")
+    stamp = J.leaf(line["timestamp"], "STRING", "string")
+    interrupted = J.leaf(F.col("_result")["interrupted"], "BOOLEAN", "boolean")
+    typed = _once(
+        opened, kept,
+        syntax_ok=F.col("_sound"),
+        **{name: f.value for name, f in text.items()},
+        sidechain=sidechain.value,
+        stamp=stamp.value,
+        stamp_fits=stamp.fits,
+        interrupted=F.coalesce(interrupted.value, F.lit(False)),
+        content=F.coalesce("_blocks", F.array()),
+        fits=J.all_fit(
+            *(f.fits for f in text.values()), sidechain.fits, J.members_fit(line["message"], message), F.col("_content_fits")
+        ),
     )
-    # A one-row generator: filters that consumers add are pushed down to here but not
-    # through it, so no condition ever parses a line a second time.
-    typed = parsed.select(*passthrough, "oversize", F.inline(F.array(fields)))
 
     zero = F.lit("0001-01-01T00:00:00Z").cast("timestamp")
-    dated = (
-        typed.withColumn("instant", parse_instant(F.col("stamp")))
-        .withColumn("stamp_ok", F.col("stamp_fits") & (F.col("stamp").isNull() | F.col("instant").isNotNull()))
-        .withColumn("ts", F.when(F.col("stamp_ok") & (F.col("instant") != zero), F.col("instant")))
+    names = [name for _, name in TEXT_FIELDS]
+    carried = {n: F.col(n) for n in (*names, "syntax_ok", "sidechain", "interrupted")}
+    dated = _once(
+        typed, kept, **carried,
+        instant=parse_instant(F.col("stamp")),
+        stamp_absent=F.col("stamp_fits") & F.col("stamp").isNull(),
+        seen=bounded_token(F.col("session")),
+        uuid_ok=bounded_token(F.col("uuid")).isNotNull(),
+        fits=F.col("fits") & F.forall("content", lambda block: block["fits"]),
+        shows_result=F.exists("content", lambda block: F.coalesce(block["type"] == "tool_result", F.lit(False))),
+        relevant=F.transform(
+            F.filter("content", lambda block: F.coalesce(block["type"].isin("tool_use", "tool_result"), F.lit(False))),
+            lambda block: block.dropFields("fits"),
+        ),
     )
-
-    fits = F.col("fits") & F.forall("content", lambda block: block["fits"])
+    # A wrongly typed stamp reads as NULL, so it has no instant and is not absent.
+    stamp_ok = F.col("stamp_absent") | F.col("instant").isNotNull()
+    ts = F.when(F.col("instant") != zero, F.col("instant"))
     entry = (
-        F.col("syntax_ok")
-        & F.col("stamp_ok")
-        & fits
-        & F.col("ts").isNotNull()
-        & (F.coalesce(F.col("session"), F.lit("")) != "")
-        & F.coalesce(bounded_token(F.col("uuid")).isNotNull(), F.lit(False))
-    )
-    shows_result = F.exists("content", lambda block: F.coalesce(block["type"] == "tool_result", F.lit(False)))
-    blind = ~F.col("syntax_ok") | ~F.col("stamp_ok") | (~entry & shows_result)
-    relevant = F.filter(
-        "content",
-        lambda block: F.coalesce(block["type"].isin("tool_use", "tool_result"), F.lit(False)),
+        F.col("syntax_ok") & stamp_ok & F.col("fits") & ts.isNotNull()
+        & (F.coalesce(F.col("session"), F.lit("")) != "") & F.coalesce("uuid_ok", F.lit(False))
     )
-    status = F.when(F.col("oversize"), F.lit("oversize")).when(entry, F.lit("entry")).otherwise(F.lit("malformed"))
-
+    blind = ~F.col("syntax_ok") | ~stamp_ok | (~entry & F.col("shows_result"))
     keep = ["uuid", "cwd", "version", "mcp_server", "via_agent", "via_skill", "denial", "model", "stop_reason"]
+    judged = _once(
+        dated, kept, **{n: F.col(n) for n in (*keep, "fits", "sidechain", "interrupted", "seen", "relevant")},
+        instant=ts,
+        status=F.when(F.col("oversize"), F.lit("oversize")).when(entry, F.lit("entry")).otherwise(F.lit("malformed")),
+        blind=~F.col("oversize") & F.coalesce(blind, F.lit(True)),
+    )
     is_entry = F.col("status") == "entry"
-    return (
-        dated.withColumn("status", status)
-        .withColumn("blind", ~F.col("oversize") & F.coalesce(blind, F.lit(True)))
-        .withColumn("seen_session", bounded_token(F.col("session")))
-        .select(
-            *passthrough,
-            "status",
-            "blind",
-            F.when(F.col("ts").isNotNull(), F.col("seen_session")).alias("seen_session"),
-            F.when(F.col("seen_session").isNotNull(), F.col("ts")).alias("seen_ts"),
-            *(F.when(is_entry, F.col(name)).alias(name) for name in keep),
-            F.when(is_entry, F.col("ts")).alias("ts"),
-            F.when(is_entry, F.coalesce("sidechain", F.lit(False))).alias("sidechain"),
-            F.when(is_entry, F.col("interrupted")).alias("interrupted"),
-            F.when(is_entry, F.transform(relevant, lambda b: b.dropFields("fits"))).alias("blocks"),
-            malformed_reason().alias("malformed_reason"),
-        )
+    return judged.select(
+        *passthrough,
+        "status",
+        "blind",
+        F.when(F.col("instant").isNotNull(), F.col("seen")).alias("seen_session"),
+        F.when(F.col("seen").isNotNull(), F.col("instant")).alias("seen_ts"),
+        *(F.when(is_entry, F.col(name)).alias(name) for name in keep),
+        F.when(is_entry, F.col("instant")).alias("ts"),
+        F.when(is_entry, F.coalesce("sidechain", F.lit(False))).alias("sidechain"),
+        F.when(is_entry, F.col("interrupted")).alias("interrupted"),
+        F.when(is_entry, F.col("relevant")).alias("blocks"),
+        malformed_reason().alias("malformed_reason"),
     )
 
 

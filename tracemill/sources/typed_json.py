@@ -23,7 +23,7 @@ ROOT = "$[0]"
 def parse(text: Column) -> Column:
     """The document as a variant whose root is at ``ROOT``; NULL when the syntax is broken."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    closed = F.try_variant_get(wrapped, "$[1]", "string") == _END
+    closed = (F.try_variant_get(wrapped, "$[1]", "string") == _END) & F.try_variant_get(wrapped, "$[2]", "variant").isNull()
     return F.when(closed, wrapped)
 
 
@@ -47,6 +47,25 @@ def scalar(doc: Column, path: str, json_type: str, sql_type: str) -> Typed:
     )
 
 
+def leaf(raw: Column, json_type: str, sql_type: str) -> Typed:
+    """A variant that stands for one field: its value if it has the JSON type."""
+    shape = F.schema_of_variant(raw)
+    return Typed(
+        F.when(shape == json_type, F.try_variant_get(raw, "$", sql_type)),
+        raw.isNull() | shape.isin(json_type, "VOID"),
+    )
+
+
+def members(raw: Column, *names: str) -> Column:
+    """The named members of a JSON object as a struct of variants, in one step; NULL for anything else."""
+    return F.try_variant_get(raw, "$", f"struct<{', '.join(f'`{n}`: variant' for n in names)}>")
+
+
+def members_fit(raw: Column, found: Column) -> Column:
+    """Is ``raw``, from which ``found`` was taken, an object, absent or a JSON null?"""
+    return found.isNotNull() | raw.isNull() | F.coalesce(F.is_variant_null(raw), F.lit(False))
+
+
 def string(doc: Column, path: str) -> Typed:
     return scalar(doc, path, "STRING", "string")
 

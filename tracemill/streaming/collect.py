@@ -30,7 +30,6 @@ from tracemill.plans.derive import DeriveOptions, derive
 from tracemill.plans.ingest import WALK_ORDER, in_walk_order
 from tracemill.plans.published import read_if_present
 from tracemill.plans.store import AppendResult, EventStore
-from tracemill.schemas import TRANSCRIPT_LINE_CAP
 from tracemill.session import materialize
 from tracemill.sources.lines import feed_lines
 from tracemill.sources.transcripts import decode_entries
@@ -59,7 +58,7 @@ class Collector:
         consent: DataFrame,
         options: DeriveOptions,
         clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
-        cap: int = TRANSCRIPT_LINE_CAP,
+        cap: int | None = None,
     ):
         self.spark, self.landing, self.store = spark, landing.rstrip("/"), store
         self.consent, self.options, self.clock, self.cap = consent, options, clock, cap
@@ -147,7 +146,7 @@ def _latest_per_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.groupby(["file", "session"], as_index=False)["last_micros"].max()
 
 
-def session_closures(feed: DataFrame, timeout: timedelta, cap: int = TRANSCRIPT_LINE_CAP) -> DataFrame:
+def session_closures(feed: DataFrame, timeout: timedelta, cap: int | None = None) -> DataFrame:
     """Streaming (file, session, last_activity) rows, one when a session has been silent too long.
 
     The state of a session is one number. The timer is only a reminder: when it fires, the
@@ -188,21 +187,20 @@ def collect_available(writer: DataStreamWriter) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def run_until_quiet(writer: DataStreamWriter, quiet_batches: int = 3, poll_seconds: float = 0.5) -> None:
-    """Run a stream with timers until some batches in a row saw neither lines nor changes of state.
+def run_until_closed(writer: DataStreamWriter, poll_seconds: float = 0.5) -> None:
+    """Run a stream with timers until it has read its feed and holds no session any more.
 
     A query with processing-time timers always wants another batch, so it never ends under
-    ``availableNow``; in service it simply keeps running on a processing-time trigger.
+    ``availableNow``; in service it simply keeps running on a processing-time trigger. Here
+    every session is waited for, however young: the end follows from the state alone.
     """
     query = writer.trigger(processingTime="0 seconds").start()
     try:
         while query.isActive:
-            latest = query.recentProgress[-quiet_batches:]
-            idle = [
-                p.numInputRows == 0 and all(o.numRowsUpdated == 0 and o.numRowsRemoved == 0 for o in p.stateOperators)
-                for p in latest
-            ]
-            if len(idle) == quiet_batches and all(idle):
+            latest = query.recentProgress[-2:]
+            if len(latest) == 2 and all(
+                p.numInputRows == 0 and all(o.numRowsTotal == 0 for o in p.stateOperators) for p in latest
+            ):
                 break
             time.sleep(poll_seconds)
         if query.exception() is not None:

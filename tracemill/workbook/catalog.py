@@ -15,9 +15,10 @@ from tracemill.plans.inventory import (
     order_catalog,
     order_snapshot,
 )
+from tracemill.plans.jobs import primitives_of, report_of
 from tracemill.plans.marts import unused_overview, unused_primitives, used_primitives
 from tracemill.operators.usage import usage_by_primitive
-from tracemill.session import scratch_path
+from tracemill.session import materialize, scratch_path
 from tracemill.sources.catalog_files import listed_primitives, mcp_servers, plugin_paths, primitives_in_layout
 from tracemill.sources.lines import frame
 from tracemill.schemas import INVOCATION
@@ -31,33 +32,37 @@ def _kind(key: str):
     return F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col(key) % 6 + 1).cast("int"))
 
 
+#: A part is listed once per supplier group; what no supplier of a group sold is unused, at any scale.
+GROUPS = 25
+
+
 def part_catalog(part: DataFrame) -> DataFrame:
-    return part.select(F.lit("shop").alias("harness"), _kind("p_partkey").alias("kind"),
-                       F.concat(F.lit("p"), "p_partkey").alias("name"))
+    listed = part.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+    return listed.select(F.lit("shop").alias("harness"), _kind("p_partkey").alias("kind"),
+                         F.concat(F.lit("p"), "p_partkey", F.lit("g"), "g").alias("name"))
 
 
 def sales_facts(lineitem: DataFrame) -> DataFrame:
-    """Recent line items as records of the part they sell."""
+    """Line items as records of the part and supplier group they sell."""
     made = {
         "ts": F.col("l_shipdate"), "harness": F.lit("shop"), "kind": _kind("l_partkey"),
-        "name": F.concat(F.lit("p"), "l_partkey"), "session_id": F.concat(F.lit("o"), "l_orderkey"),
+        "name": F.concat(F.lit("p"), "l_partkey", F.lit("g"), F.col("l_suppkey") % GROUPS), "session_id": F.concat(F.lit("o"), "l_orderkey"),
         "outcome": F.when(F.col("l_returnflag") == "R", "error").when(F.col("l_returnflag") == "A", "ok"),
     }
-    recent = lineitem.where(F.col("l_shipdate") >= F.lit("2001-08-01").cast("timestamp_ntz"))
-    return recent.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in INVOCATION.fields])
+    return lineitem.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in INVOCATION.fields])
 
 
 def sold(tables) -> DataFrame:
     return catalog_usage(part_catalog(tables("part")), usage_by_primitive(sales_facts(tables("lineitem"))))
 
 
-_SOLD = """sold AS (
+_SOLD = f"""sold AS (
   SELECT 'shop' AS harness, CASE p_partkey % 6 WHEN 0 THEN 'skill' WHEN 1 THEN 'subagent' WHEN 2 THEN 'command'
-         WHEN 3 THEN 'mcp_tool' WHEN 4 THEN 'mcp_server' END AS kind, 'p' || p_partkey AS name,
+         WHEN 3 THEN 'mcp_tool' WHEN 4 THEN 'mcp_server' END AS kind, 'p' || p_partkey || 'g' || g AS name,
          count(l_partkey) AS invocations, count(*) FILTER (l_returnflag = 'R') AS failures,
          count(*) FILTER (l_partkey IS NOT NULL AND l_returnflag NOT IN ('R', 'A')) AS unknown, max(l_shipdate) AS last_used
-  FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-08-01') ON l_partkey = p_partkey
-  WHERE p_partkey % 6 <> 5 GROUP BY p_partkey)"""
+  FROM (SELECT p_partkey, unnest(range({GROUPS})) AS g FROM part) LEFT JOIN lineitem ON l_partkey = p_partkey AND l_suppkey % {GROUPS} = g
+  WHERE p_partkey % 6 <> 5 GROUP BY p_partkey, g)"""
 
 
 @query("catalog_usage", f"""WITH {_SOLD} SELECT harness, kind, name, invocations, failures, unknown, last_used FROM sold
@@ -115,11 +120,12 @@ def _(spark, tables):
 
 @query("catalog_carry_forward", """
 SELECT DISTINCT 'shop' AS harness, CASE k % 6 WHEN 0 THEN 'skill' WHEN 1 THEN 'subagent' WHEN 2 THEN 'command'
-       WHEN 3 THEN 'mcp_tool' WHEN 4 THEN 'mcp_server' ELSE 'builtin_tool' END AS kind, 'p' || k AS name
-FROM (SELECT p_partkey AS k FROM part WHERE p_size < 20 UNION ALL SELECT p_partkey FROM part WHERE p_size % 2 = 0)""")
+       WHEN 3 THEN 'mcp_tool' WHEN 4 THEN 'mcp_server' ELSE 'builtin_tool' END AS kind, 'p' || k || 'g' || g AS name
+FROM (SELECT p_partkey AS k FROM part WHERE p_size < 30 UNION ALL SELECT p_partkey FROM part WHERE p_size >= 20),
+     (SELECT unnest(range(25)) AS g)""")
 def _(spark, tables):
     part = tables("part")
-    return carry_forward(part_catalog(part.where("p_size < 20")), False, part_catalog(part.where("p_size % 2 = 0")))
+    return carry_forward(part_catalog(part.where("p_size < 30")), False, part_catalog(part.where("p_size >= 20")))
 
 
 _LAYOUT = r"""p AS (
@@ -188,20 +194,64 @@ def _(spark, tables):
     lines = tables("conversations").select(F.lit("c").alias("file"), F.lit(0).alias("chunk"), n.alias("line"),
                                            F.lit(0).alias("nbytes"), line.alias("value"))
     roots = spark.createDataFrame([("/repo",)], "root string")
-    return listed_primitives(frame(lines, 2 * 1024 * 1024), roots)
+    return listed_primitives(frame(lines), roots)
 
 
 @query("catalog_union", rf"""WITH {_LAYOUT}, found AS (
-  SELECT CASE m WHEN 0 THEN 'skill' WHEN 1 THEN 'subagent' ELSE 'command' END AS kind, 'n' || (page_id % 50) AS name FROM p WHERE m < 3
+  SELECT CASE m WHEN 0 THEN 'skill' WHEN 1 THEN 'subagent' WHEN 2 THEN 'command' ELSE 'mcp_server' END AS kind, 'n' || (page_id % 50) AS name FROM p
   UNION ALL SELECT 'skill', 'n' || (p_partkey % 90) FROM part UNION ALL SELECT 'mcp_server', lower(c_mktsegment) FROM customer)
 SELECT DISTINCT 'claude-code' AS harness, kind, name FROM found ORDER BY kind || ':' || name""")
 def _(spark, tables):
     m = F.col("page_id") % 6
-    pages = tables("pages").where(m < 3).select(
-        F.when(m == 0, "skill").when(m == 1, "subagent").otherwise("command").alias("kind"),
+    pages = tables("pages").select(
+        F.when(m == 0, "skill").when(m == 1, "subagent").when(m == 2, "command").otherwise("mcp_server").alias("kind"),
         F.concat(F.lit("n"), F.col("page_id") % 50).alias("name"))
     part = tables("part").select(F.lit("skill").alias("kind"), F.concat(F.lit(" n"), F.col("p_partkey") % 90).alias("name"))
     # Absolute paths are refused names and leave no row.
     refused = tables("pages").select(F.lit("skill").alias("kind"), F.concat(F.lit("/"), "url").alias("name"))
     servers = tables("customer").select(F.lit("mcp_server").alias("kind"), F.lower("c_mktsegment").alias("name"))
     return order_catalog(catalog([pages, part, refused, servers], NAME_KEY))
+
+
+@query("discovery_report", rf"""WITH {_LAYOUT}, found AS (
+  SELECT CASE m WHEN 0 THEN 'skill' WHEN 1 THEN 'subagent' ELSE 'command' END AS kind, 'n' || page_id AS name FROM p WHERE m < 3
+  UNION SELECT 'mcp_server', 'seg-' || lower(c_mktsegment) FROM customer
+  UNION SELECT 'skill', 'turn-' || role || (turn % 10) FROM conversations WHERE conv_id % 3 <> 2
+), used AS (
+  SELECT f.kind, f.name, count(l_partkey) AS calls FROM found f LEFT JOIN lineitem ON f.name = 'n' || l_partkey
+    AND f.kind = CASE l_partkey % 6 WHEN 0 THEN 'skill' WHEN 1 THEN 'subagent' WHEN 2 THEN 'command' ELSE 'mcp_tool' END
+  GROUP BY ALL)
+SELECT 'used' AS section, replace(kind, '_', ' ') AS kind, name, calls FROM used WHERE calls > 0
+UNION ALL SELECT 'unused', replace(kind, '_', ' '), name, NULL FROM used WHERE calls = 0
+UNION ALL SELECT 'unused by kind', upper(kind[1]) || replace(kind[2:], '_', ' '), NULL, count(*) FROM used WHERE calls = 0 GROUP BY kind
+UNION ALL SELECT 'unused by kind', 'Total unused', NULL, count(*) FROM used WHERE calls = 0 HAVING count(*) > 0""")
+def _(spark, tables):
+    """From layout, configuration, session listings and facts to the tables of a report."""
+    n, m = F.col("page_id"), F.col("page_id") % 6
+    base = F.concat(F.lit("/"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
+    folder = F.when(m == 0, "/skills/n").when(m == 1, "/agents/n").when(m == 2, "/commands/n").otherwise("/notes/n")
+    files = tables("pages").select(
+        base.alias("base"), F.concat(base, folder, n, F.when(m == 0, "/SKILL.md").otherwise(".md")).alias("path"))
+    documents = tables("customer").select(
+        F.concat(F.lit('{"mcpServers":{"seg-'), F.lower("c_mktsegment"), F.lit('":{}}}')).alias("value"))
+    cwd = F.when(F.col("conv_id") % 3 == 2, "/other").otherwise("/repo/a")
+    listing = F.concat(F.lit("- turn-"), "role", F.col("turn") % 10, F.lit(": listed"))
+    line = F.to_json(F.struct(cwd.alias("cwd"), F.struct(F.lit("skill_listing").alias("type"), listing.alias("content")).alias("attachment")))
+    lines = frame(tables("conversations").select(
+        F.lit("c").alias("file"), F.lit(0).alias("chunk"), F.col("turn").alias("line"), F.lit(0).alias("nbytes"), line.alias("value")))
+    found = primitives_of(files, files, documents, lines, spark.createDataFrame([("/repo",)], "root string"), NAME_KEY, "shop")
+    kind = F.col("l_partkey") % 6
+    made = {
+        "ts": F.col("l_shipdate"), "harness": F.lit("shop"), "session_id": F.concat(F.lit("o"), "l_orderkey"),
+        "kind": F.when(kind == 0, "skill").when(kind == 1, "subagent").when(kind == 2, "command").otherwise("mcp_tool"),
+        "name": F.concat(F.lit("n"), "l_partkey"), "outcome": F.lit("ok"),
+    }
+    facts = tables("lineitem").select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in INVOCATION.fields])
+    tables_of = report_of(facts, materialize(catalog_usage(found, usage_by_primitive(facts)), "snapshot"))
+    no_name, no_calls = F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("calls")
+    return (
+        tables_of.used.select(F.lit("used").alias("section"), "kind", "name", "calls")
+        .unionByName(tables_of.unused.select(F.lit("unused").alias("section"), "kind", "name", no_calls))
+        .unionByName(tables_of.unused_by_kind.select(
+            F.lit("unused by kind").alias("section"), F.col("label").alias("kind"), no_name, F.col("unused").alias("calls")))
+    )

@@ -112,18 +112,20 @@ def _registered(pages: DataFrame) -> DataFrame:
     n = F.col("page_id")
     clean = F.rtrim(F.concat(F.lit("/"), "host", "path"), F.lit("/"))
     return _pages(pages).select(
-        n.alias("entry"), F.md5((n % 240).cast("string")).alias("id"),
+        n.alias("entry"),
+        # Every tenth page repeats the id of the page before it, every fifth alias that of the alias before.
+        F.md5((n - (n % 10 == 3).cast("int")).cast("string")).alias("id"),
         F.when(n % 9 == 0, F.concat(F.lit("/"), "host")).when(n % 10 == 0, F.upper(clean)).otherwise(clean).alias("root"),
-        F.when(n % 8 == 0, F.array(F.concat(F.lit("/alt/"), n % 100))).otherwise(F.array().cast("array<string>")).alias("aliases"),
+        F.when(n % 8 == 0, F.array(F.concat(F.lit("/alt/"), n - 8 * (n % 40 == 8).cast("int")))).otherwise(F.array().cast("array<string>")).alias("aliases"),
         (n % 5 == 0).alias("case_insensitive"), F.lit(None).cast("timestamp").alias("collect_from"),
     )
 
 
 _REGISTERED = _PAGES + """, reg AS (
-  SELECT page_id AS entry, md5(CAST(page_id % 240 AS VARCHAR)) AS id, page_id % 5 = 0 AS fold,
+  SELECT page_id AS entry, md5(CAST(page_id - CASE WHEN page_id % 10 = 3 THEN 1 ELSE 0 END AS VARCHAR)) AS id, page_id % 5 = 0 AS fold,
          CASE WHEN page_id % 9 = 0 THEN '/' || host WHEN page_id % 10 = 0 THEN upper(rtrim('/' || host || path, '/'))
               ELSE rtrim('/' || host || path, '/') END AS root,
-         CASE WHEN page_id % 8 = 0 THEN '/alt/' || (page_id % 100) END AS alias FROM p
+         CASE WHEN page_id % 8 = 0 THEN '/alt/' || (page_id - CASE WHEN page_id % 40 = 8 THEN 8 ELSE 0 END) END AS alias FROM p
 ), sp AS (SELECT entry, id, fold, root AS s FROM reg UNION ALL SELECT entry, id, fold, alias FROM reg WHERE alias IS NOT NULL)"""
 
 
@@ -150,7 +152,7 @@ SIGNING = Signing(SALT)
 
 
 @query("consent_trust", """WITH c AS (
-  SELECT c_custkey AS n, '/home/u' || (c_custkey % 1400 % (SELECT greatest(count(*) - 50, 1) FROM customer)) AS root,
+  SELECT c_custkey AS n, '/home/u' || (c_custkey - CASE WHEN c_custkey % 12 = 7 THEN 1 ELSE 0 END) AS root,
          c_custkey % 17 = 0 AS slash_label, c_custkey % 19 = 0 AS bad_boundary, c_custkey % 4 = 0 AS bounded,
          c_custkey % 10 = 3 AS bad_id, c_custkey % 11 = 5 AS tampered, c_custkey % 6 = 1 AS old_form,
          CASE WHEN c_custkey % 7 = 0 THEN '/alt/' || c_custkey END AS alias FROM customer
@@ -162,11 +164,9 @@ SELECT n AS entry, CASE WHEN first <> 'signed' THEN first
 FROM judged""")
 def _(spark, tables):
     customer = tables("customer")
-    total = customer.agg(F.greatest(F.count(F.lit(1)) - 50, F.lit(1)).alias("m"))
     n = F.col("c_custkey")
-    # The modulus is one row; it travels as a scalar subquery, not as a join.
-    modulus = total.scalar()
-    root = F.concat(F.lit("/home/u"), (n % 1400) % modulus)
+    # Every twelfth customer names the root of the one before.
+    root = F.concat(F.lit("/home/u"), n - (n % 12 == 7).cast("int"))
     entries = customer.select(
         n.alias("entry"),
         F.substr(hmac_hex(SALT, F.when(n % 10 == 3, F.lit("elsewhere")).otherwise(root)), F.lit(1), F.lit(32)).alias("id"),

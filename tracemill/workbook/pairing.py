@@ -14,7 +14,7 @@ from tracemill.operators.sessions import (
     closed_sessions,
     cursor_floor,
     session_activity,
-    stale_calls,
+    with_closed_flag,
     with_line_offsets,
 )
 from tracemill.operators.skills import collapse_candidates, uncovered_runs
@@ -212,13 +212,12 @@ def _(spark, tables):
         F.concat(F.lit("f"), F.col("call.session_id").cast("bigint") % 16).alias("file"),
         F.col("call.session_id").alias("session"), F.col("call.order").alias("o_orderkey"), F.col("call.ts").alias("ts"),
     )
-    ended = stale_calls(waiting, closed).withColumn("state", F.lit("interrupted"))
-    pending = waiting.join(closed, ["file", "session"], "left_anti").withColumn("state", F.lit("pending"))
-    return ended.unionByName(pending).select("o_orderkey", "ts", "state")
+    state = F.when(F.col("is_closed"), "interrupted").otherwise("pending")
+    return with_closed_flag(waiting, closed).select("o_orderkey", "ts", state.alias("state"))
 
 
 def _runs(orders: DataFrame) -> DataFrame:
-    return orders.where("o_orderstatus = 'O'").select(
+    return orders.select(
         F.concat(F.lit("f"), F.col("o_custkey") % 16).alias("file"), F.col("o_custkey").cast("string").alias("session"),
         F.lower(F.substr("o_orderpriority", F.lit(3))).alias("name"),
         F.struct(F.col("o_orderdate").cast("timestamp").alias("ts"),
@@ -229,15 +228,19 @@ def _runs(orders: DataFrame) -> DataFrame:
 _COLLAPSED = """runs AS (
   SELECT 'f' || (o_custkey % 16) AS file, CAST(o_custkey AS VARCHAR) AS session, lower(substr(o_orderpriority, 3)) AS name,
          first(o_orderkey ORDER BY o_orderdate, sha256(CAST(o_orderkey AS VARCHAR))) AS o_orderkey, count(*) - 1 AS extra
-  FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2, 3)"""
+  FROM orders {where} GROUP BY 1, 2, 3)"""
 
 
-@query("candidate_collapse", f"WITH {_COLLAPSED} SELECT file, session, name, o_orderkey, extra FROM runs")
+#: Finished orders are calls by name; all others are turns that may show a run nobody called.
+_NOT_INVOKED = "WHERE o_orderstatus <> 'F'"
+
+
+@query("candidate_collapse", f"WITH {_COLLAPSED.format(where='')} SELECT file, session, name, o_orderkey, extra FROM runs")
 def _(spark, tables):
     return collapse_candidates(_runs(tables("orders"))).select("file", "session", "name", "record.o_orderkey", "extra")
 
 
-@query("uncovered_skill_runs", f"""WITH {_COLLAPSED}, {_ACTIVITY}
+@query("uncovered_skill_runs", f"""WITH {_COLLAPSED.format(where=_NOT_INVOKED)}, {_ACTIVITY}
 SELECT file, session, name, o_orderkey, extra FROM runs
 WHERE (file, session) IN (SELECT file, session FROM closed)
   AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F' AND CAST(o_custkey AS VARCHAR) = session
@@ -250,7 +253,7 @@ def _(spark, tables):
         F.concat(F.lit("f"), F.col("o_custkey") % 16).alias("file"), F.col("o_custkey").cast("string").alias("session"),
         F.lower(F.substr("o_orderpriority", F.lit(3))).alias("name"),
     )
-    runs = uncovered_runs(collapse_candidates(_runs(orders)), invoked, closed)
+    runs = uncovered_runs(collapse_candidates(_runs(orders.where("o_orderstatus <> 'F'"))), invoked, closed)
     return runs.select("file", "session", "name", "record.o_orderkey", "extra")
 
 

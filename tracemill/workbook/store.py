@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.digests import event_key
-from tracemill.operators.validation import first_copies, unseen
+from tracemill.operators.validation import first_copies, unseen, validate
 from tracemill.plans.health import ScanHealth
 from tracemill.plans.store import EventStore, record_differences
 from tracemill.schemas import COUNTER_NAMES, INVOCATION
@@ -33,6 +33,10 @@ def line_facts(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in INVOCATION.fields])
 
 
+def valid_facts(lineitem: DataFrame) -> DataFrame:
+    return validate(line_facts(lineitem)).where("invalid_reason is null").drop("invalid_reason")
+
+
 _LINES = """lines AS (
   SELECT sha256('shop' || chr(0) || l_orderkey || '-' || l_linenumber) AS event_id, l_shipdate AS ts, 'o' || l_orderkey AS session_id,
          md5(CAST(l_suppkey AS VARCHAR)) AS repo, 'p' || l_partkey AS name, l_partkey % 13 = 0 AS bad, l_shipdate < TIMESTAMP '1998-01-01' AS early
@@ -42,18 +46,18 @@ _LINES = """lines AS (
 
 @query("first_copies", f"WITH {_LINES} SELECT event_id, ts, session_id, repo, name FROM kept")
 def _(spark, tables):
-    valid = line_facts(tables("lineitem").where("l_partkey % 13 <> 0"))
-    return first_copies(valid, ["ts"]).select("event_id", "ts", "session_id", "repo", "name")
+    return first_copies(valid_facts(tables("lineitem")), ["ts"]).select("event_id", "ts", "session_id", "repo", "name")
 
 
-@query("store_dedup", f"""WITH {_LINES}
-SELECT event_id FROM kept WHERE NOT early AND event_id NOT IN (SELECT event_id FROM lines WHERE early AND NOT bad)""")
+@query("store_dedup", f"""WITH {_LINES}, later AS (
+  SELECT * FROM lines WHERE NOT bad AND NOT early QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts, session_id, repo, name) = 1)
+SELECT event_id, ts, session_id, repo, name FROM later WHERE event_id NOT IN (SELECT event_id FROM lines WHERE early AND NOT bad)""")
 def _(spark, tables):
     cut = F.lit("1998-01-01").cast("timestamp_ntz")
-    rows = tables("lineitem").where("l_partkey % 13 <> 0")
-    stored = line_facts(rows.where(F.col("l_shipdate") < cut)).select("event_id")
-    batch = first_copies(line_facts(rows.where(F.col("l_shipdate") >= cut)), ["ts"])
-    return unseen(batch, stored).select("event_id")
+    rows = tables("lineitem")
+    stored = valid_facts(rows.where(F.col("l_shipdate") < cut)).select("event_id")
+    batch = first_copies(valid_facts(rows.where(F.col("l_shipdate") >= cut)), ["ts"])
+    return unseen(batch, stored).select("event_id", "ts", "session_id", "repo", "name")
 
 
 @query("idempotent_append", f"""WITH {_LINES}

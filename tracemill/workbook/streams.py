@@ -11,7 +11,7 @@ from tracemill.plans.ingest import ingest
 from tracemill.plans.store import EventStore
 from tracemill.session import scratch_path
 from tracemill.sources.lines import list_files, scan_lines
-from tracemill.streaming.collect import FEED, Collector, collect_available, run_until_quiet, session_closures
+from tracemill.streaming.collect import FEED, Collector, collect_available, run_until_closed, session_closures
 from tracemill.workbook.registry import query
 from tracemill.workbook.transcripts import (
     EVENTS_SQL,
@@ -35,7 +35,7 @@ def write_transcripts(spark: SparkSession, events: DataFrame) -> str:
 
 
 @query("transcript_scan", f"""WITH {EVENTS_SQL}, lines AS (
-  SELECT file FROM seen UNION ALL SELECT file FROM e WHERE u % 16 = 3 AND id % 97 = 0)
+  SELECT file FROM seen UNION ALL SELECT file FROM e WHERE u % 64 = 3 AND id % 97 = 0)
 SELECT file, count(*) AS lines, true AS whole FROM lines GROUP BY file""")
 def _(spark, tables):
     path = write_transcripts(spark, tables("events"))
@@ -75,7 +75,7 @@ def _(spark, tables):
     closures = session_closures(feed, timedelta(hours=24))
     writer = closures.writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", scratch_path(spark, "checkpoint"))
-    run_until_quiet(writer)
+    run_until_closed(writer)
     return spark.read.schema(closures.schema).parquet(out)
 
 

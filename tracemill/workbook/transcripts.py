@@ -11,7 +11,14 @@ from tracemill.functions.classify import kind_for, outcome_from, package_from_at
 from tracemill.operators.calls import acting_entries, project_calls, skill_candidates
 from tracemill.operators.consent import attach_consent, resolve_directories
 from tracemill.operators.sessions import Staleness
-from tracemill.plans.derive import DeriveOptions, Derivation, derive, file_counters, total_counters
+from tracemill.plans.derive import (
+    DeriveOptions,
+    Derivation,
+    derive,
+    file_counters,
+    incomplete_files,
+    total_counters,
+)
 from tracemill.session import materialize
 from tracemill.sources.lines import feed_lines
 from tracemill.sources.transcripts import decode_entries, explode_blocks
@@ -30,7 +37,7 @@ def _shape(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("id"), user.alias("u"), F.col("ts").cast("timestamp").alias("ts"), value.alias("v"),
         F.col("event_type").alias("et"), k.alias("k"),
-        F.concat(F.lit("f"), user % 16).alias("file"), F.concat(F.lit("s"), user).alias("session"),
+        F.concat(F.lit("f"), F.floor(user / 8)).alias("file"), F.concat(F.lit("s"), user).alias("session"),
         F.concat(F.lit("/repo/r"), user % 10, F.lit("/src")).alias("cwd"),
         F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(value * 1000).cast("bigint") * 1000).alias("ended"),
     )
@@ -41,7 +48,7 @@ def event_feed(events: DataFrame) -> DataFrame:
 
     Signups are finished skill turns instead. Every twentieth call never ends, every
     twentieth result comes before its call, some lines are routine bookkeeping, and one
-    file in sixteen has broken lines.
+    file in eight has broken lines.
     """
     e = _shape(events)
     et, k, n = F.col("et"), F.col("k"), F.col("id")
@@ -99,7 +106,7 @@ def event_feed(events: DataFrame) -> DataFrame:
         "file", (n * 1000 + 700).alias("offset"),
         F.to_json(F.struct(F.lit("queue-operation").alias("type"), F.col("session").alias("sessionId"),
                            F.date_format("ended", _STAMP).alias("timestamp"))).alias("value"))
-    broken = e.where((F.col("u") % 16 == 3) & (n % 97 == 0)).select(
+    broken = e.where((F.col("u") % 64 == 3) & (n % 97 == 0)).select(
         "file", (n * 1000 + 800).alias("offset"), F.lit('{"uuid":"x",').alias("value"))
     lines = calls.unionByName(turns).unionByName(results).unionByName(bookkeeping).unionByName(broken)
     # Transcripts are stored text; reading them must not re-run the code that writes them.
@@ -128,7 +135,7 @@ def derived_events(events: DataFrame) -> tuple[DataFrame, Derivation]:
 
 EVENTS_SQL = """e AS (
   SELECT event_id AS id, user_id AS u, ts, value AS v, event_type AS et, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
-         'f' || (user_id % 16) AS file, 's' || user_id AS session,
+         'f' || (user_id // 8) AS file, 's' || user_id AS session,
          ts + to_microseconds(CAST(floor(value * 1000) AS BIGINT) * 1000) AS ended FROM events
 ), calls AS (
   SELECT *, CASE WHEN u % 10 >= 8 THEN 'skipped' WHEN et = 'purchase' AND k % 9 = 0 THEN 'refused' ELSE 'accepted' END AS status,
@@ -144,7 +151,7 @@ EVENTS_SQL = """e AS (
   UNION ALL SELECT file, session, id * 1000 + CASE WHEN id % 20 = 1 THEN -400 ELSE 500 END, ended FROM calls WHERE id % 20 <> 0
   UNION ALL SELECT file, session, id * 1000 + 700, ended FROM e WHERE id % 20 = 2
 ), activity AS (SELECT file, session, max(seen_at) AS last_activity, min(off) AS first_offset FROM seen GROUP BY ALL
-), blind AS (SELECT DISTINCT file FROM e WHERE u % 16 = 3 AND id % 97 = 0
+), blind AS (SELECT DISTINCT file FROM e WHERE u % 64 = 3 AND id % 97 = 0
 ), closed AS (SELECT file, session FROM activity WHERE last_activity < TIMESTAMP '2024-01-30 12:00:00'
               AND file NOT IN (SELECT file FROM blind)
 ), runs AS (
@@ -182,7 +189,7 @@ def _(spark, tables):
 _COUNTERS = f"""WITH {EVENTS_SQL}, per AS (
   SELECT f.file,
     (SELECT count(*) FROM e WHERE e.file = f.file AND id % 20 = 2) AS bookkeeping,
-    (SELECT count(*) FROM e WHERE e.file = f.file AND u % 16 = 3 AND id % 97 = 0) AS blind,
+    (SELECT count(*) FROM e WHERE e.file = f.file AND u % 64 = 3 AND id % 97 = 0) AS blind,
     (SELECT count(*) FROM calls c WHERE c.file = f.file AND status = 'refused') AS refused_calls,
     (SELECT count(*) FROM ended_calls c WHERE c.file = f.file AND status = 'accepted' AND is_open AND NOT is_closed) AS pending_calls,
     (SELECT count(*) FROM ended_calls c WHERE c.file = f.file AND status = 'accepted' AND is_open AND is_closed) AS interrupted_calls,
@@ -223,11 +230,31 @@ def _(spark, tables):
     return file_counters(files, entries, derived).where("skipped").select("file")
 
 
+@query("incomplete_files", f"""{_COUNTERS}
+SELECT file, CAST(substr(file, 2) AS INT) % 5 = 2 AS failed,
+       CASE WHEN CAST(substr(file, 2) AS INT) % 5 = 2 THEN 1 ELSE bookkeeping + blind END AS parse_errors,
+       CASE WHEN CAST(substr(file, 2) AS INT) % 5 = 2 THEN 0 ELSE parsed END AS parsed,
+       CASE WHEN CAST(substr(file, 2) AS INT) % 5 = 2 THEN 0 ELSE pending_calls + interrupted_calls END AS open_calls,
+       CAST(substr(file, 2) AS INT) % 5 <> 2 AND parsed = 0 AND refused_calls = 0 AS skipped
+FROM per""")
+def _(spark, tables):
+    """Every fifth transcript is longer in the listing than what was read of it: it fails as a whole."""
+    entries = decoded(tables("events"))
+    short = F.substr("file", F.lit(2)).cast("int") % 5 == 2
+    files = entries.groupBy("file").agg(F.sum("nbytes").alias("read")).select(
+        "file", (F.col("read") + F.when(short, 2).otherwise(-1)).alias("length"))
+    incomplete = materialize(incomplete_files(files, entries), "incomplete")
+    whole = entries.join(incomplete, "file", "left_anti")
+    derived = derive(whole, event_consent(tables("events")), OPTIONS, materialize)
+    return file_counters(files, whole, derived, incomplete).select(
+        "file", "failed", "parse_errors", "parsed", (F.col("pending_calls") + F.col("interrupted_calls")).alias("open_calls"), "skipped")
+
+
 @query("entry_classification", f"""WITH {EVENTS_SQL}
 SELECT file, 'entry' AS status, false AS blind, count(*) AS lines FROM (
   SELECT file FROM e UNION ALL SELECT file FROM calls WHERE id % 20 <> 0) GROUP BY file
 UNION ALL SELECT file, 'malformed', false, count(*) FROM e WHERE id % 20 = 2 GROUP BY file
-UNION ALL SELECT file, 'malformed', true, count(*) FROM e WHERE u % 16 = 3 AND id % 97 = 0 GROUP BY file""")
+UNION ALL SELECT file, 'malformed', true, count(*) FROM e WHERE u % 64 = 3 AND id % 97 = 0 GROUP BY file""")
 def _(spark, tables):
     return decoded(tables("events")).groupBy("file", "status", "blind").agg(F.count(F.lit(1)).alias("lines"))
 

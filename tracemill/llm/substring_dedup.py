@@ -1,17 +1,20 @@
 """Substring deduplication on content-defined chunks.
 
-A gear hash rolls over the bytes of a text; a chunk ends where the hash of the last sixteen bytes is small and no
-other such place lies in the few bytes before it. Both conditions look at nearby bytes only, so an insertion moves
-the cuts around it and no others, and a passage is cut alike wherever it stands. Chunks are deduplicated by digest:
-one combining aggregate finds digests that occur in several documents, a join that adaptive execution can split
-brings them back to their places, and neighbouring repeated chunks of a document become one span.
-
-A span counts when it holds ``min_words`` words. A digest has 64 bits; a false span would take several collisions
-in a row.
+A gear hash rolls over the bytes of a text (white space counts as one space); a chunk ends where the hash of the
+last sixteen bytes is small and no other such place lies in the few bytes before it. Both conditions look at nearby
+bytes only, so an insertion moves the cuts around it and no others, and a passage is cut alike wherever it stands.
+Chunks are deduplicated by digest: one combining aggregate finds digests that occur in several documents, a join that
+adaptive execution can split brings them back to their places, and neighbouring repeated chunks of a document become
+one run.
+
+A run of ``min_words`` words is a repeated span. A shorter one of ``try_words`` words or more may be the inside of
+such a span, whose ends are no whole chunks: an exact check compares the windows of ``min_words`` words around it. A
+digest has 64 bits; a false run would take several collisions in a row.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +29,12 @@ from tracemill.llm.common import stage
 #: One in CUT_ONE_IN places is a possible cut; chunks shorter than MIN_CHUNK or longer than MAX_CHUNK bytes do not occur
 #: (but for the ends of a text).
 CUT_ONE_IN, MIN_CHUNK, MAX_CHUNK = 12, 12, 256
-#: Words of a reported span. Of a passage of 50 words, about 35 lie between its first and last own cut.
-MIN_WORDS = 12
+#: Words of a repeated span: of a passage of over 50 words this much is left when the words at its ends touch others.
+MIN_WORDS = 48
+#: Words of a run that is worth the exact check: of a passage of 50, about 35 lie between its first and last own cut.
+TRY_WORDS = 10
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], dtype=np.uint16)
+WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -64,9 +70,10 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``doc_id``, ``digest``, ``start``, ``stop``, ``words``) per chunk; places are bytes of the UTF-8 text.
+    """(``doc_id``, ``digest``, ``chunk``, ``start``, ``stop``, ``words``) per chunk, in the order of ``chunk``.
 
-    ``words`` counts the words that begin in the chunk. Null and empty texts have no chunks.
+    Places are bytes of the UTF-8 text, ``words`` counts the words that begin in the chunk. Texts without words have
+    no chunks.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text <> ''")
 
@@ -75,61 +82,129 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 128):
-                owner, digests, starts, stops, words = [], [], [], [], []
+                owner, digests, columns = [], [], []
                 for i in range(at, min(at + 128, batch.num_rows)):
-                    raw = texts[i].as_buffer().to_pybytes()
-                    data = np.frombuffer(raw, dtype=np.uint8)
-                    ends = cuts(data)
-                    begins = np.r_[0, ends[:-1]]
+                    data = np.frombuffer(texts[i].as_buffer(), dtype=np.uint8)
                     space = SPACE[data]
-                    first = ~space & np.r_[True, space[:-1]]
-                    owner.append(np.full(len(ends), i))
+                    # Each run of white space shrinks to its first byte, one at the start to nothing.
+                    place = np.flatnonzero(~space | np.r_[False, ~space[:-1]])
+                    if not len(place):
+                        continue
+                    plain, space = data[place], space[place]
+                    plain[space] = 32
+                    ends = cuts(plain)
+                    begins = np.r_[0, ends[:-1]]
+                    raw = plain.tobytes()
                     digests += [digest(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                    starts.append(begins)
-                    stops.append(ends)
-                    words.append(np.add.reduceat(first.astype(np.int32), begins))
-                if not owner:
-                    continue
-                yield pa.RecordBatch.from_arrays([
-                    ids.take(pa.array(np.concatenate(owner))),
-                    pa.array(np.array(digests, dtype=np.uint64).view(np.int64)),
-                    pa.array(np.concatenate(starts).astype(np.int32)),
-                    pa.array(np.concatenate(stops).astype(np.int32)),
-                    pa.array(np.concatenate(words).astype(np.int32)),
-                ], names=["doc_id", "digest", "start", "stop", "words"])
+                    owner.append(np.full(len(ends), i))
+                    first = ~space & np.r_[True, space[:-1]]
+                    columns.append(np.stack([np.arange(len(ends)), place[begins], place[ends - 1] + 1,
+                                             np.add.reduceat(first.astype(np.int64), begins)]).astype(np.int32))
+                if owner:
+                    made = np.concatenate(columns, axis=1)
+                    yield pa.RecordBatch.from_arrays([
+                        ids.take(pa.array(np.concatenate(owner))), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)),
+                        *map(pa.array, made)], names=["doc_id", "digest", "chunk", "start", "stop", "words"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(run, f"doc_id {kind}, digest bigint, chunk int, start int, stop int, words int")
+
+
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that several documents hold, with the first of them."""
+    held = rows.groupBy(key).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
+    return held.where("first_doc_id <> last_doc_id").select(key, "first_doc_id")
+
+
+def _islands(rows: DataFrame, at: str, reach: int) -> DataFrame:
+    """Rows of a document whose ``at`` follows the one before by at most ``reach``, numbered as one ``island``.
+
+    The window is one document's rows, bounded by its length.
+    """
+    order = Window.partitionBy("doc_id").orderBy(at)
+    fresh = F.coalesce((F.col(at) - F.lag(at).over(order) > reach).cast("int"), F.lit(1))
+    return rows.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))
+
+
+def _span_columns() -> list:
+    return [
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first_doc_id", "start").alias("first_doc_id"),
+        F.min(F.col("first_doc_id") == F.col("doc_id")).alias("is_first"),
+    ]
+
+
+def _windows(docs: DataFrame, doubtful: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(``doc_id``, ``hash``, ``word``, ``start``, ``stop``): the windows of ``words`` words that meet doubtful places."""
+    runs = doubtful.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    runs = runs.withColumnRenamed("doc_id", "__id")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.join(runs, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "runs")
+
+    def of(raw: bytes, places) -> tuple[np.ndarray, ...] | None:
+        spans = np.array([m.span() for m in WORD_BYTES.finditer(raw)], dtype=np.int64)
+        if len(spans) < words:
+            return None
+        wanted = np.zeros(len(spans) - words + 1, dtype=bool)
+        for place in places:
+            first = int(np.searchsorted(spans[:, 1], place["start"], side="right"))
+            last = int(np.searchsorted(spans[:, 0], place["stop"])) - 1
+            wanted[max(0, last - words + 1):max(0, first + 1)] = True
+        if not wanted.any():
+            return None
+        inside = np.flatnonzero(np.convolve(wanted, np.ones(words, dtype=np.int8)) > 0)
+        codes = np.zeros(len(spans), dtype=np.uint64)
+        codes[inside] = np.array([xxhash.xxh3_64_intdigest(raw[spans[i, 0]:spans[i, 1]]) for i in inside], dtype=np.uint64)
+        at = np.flatnonzero(wanted)
+        hashes = np.zeros(len(at), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for step in range(words):
+                hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[at + step]
+        return hashes.view(np.int64), at, spans[at, 0], spans[at + words - 1, 1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, text, places in zip(batch["doc_id"], batch["text"], batch["runs"], strict=True):
+                found = of(text.encode(), places)
+                if found is not None:
+                    yield pd.DataFrame({"doc_id": [doc] * len(found[0]), **dict(zip(("hash", "word", "start", "stop"), found, strict=True))})
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, digest bigint, start int, stop int, words int")
+    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, hash bigint, word int, start int, stop int")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Spans of text that other documents share: ``doc_id, start, stop, n_words, n_chunks, first_doc_id, is_first``.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                   try_words: int = TRY_WORDS) -> DataFrame:
+    """Spans of text that other documents share: ``doc_id, start, stop, n_words, first_doc_id, is_first``.
 
-    ``first_doc_id`` is the smallest id that holds the span's first chunk; ``is_first`` marks the spans whose every
-    chunk is owned by its own document: the occurrence that stays.
+    ``first_doc_id`` is the smallest id that holds the beginning of the span; ``is_first`` marks the spans that no
+    document with a smaller id holds a part of: the occurrence that stays.
 
-    * null and empty texts have no spans; whole texts are cut, however long
+    * null and empty texts have no spans; whole texts are cut, however long; white space does not matter
     * text that repeats within one document only is no span; ties go to the smaller id
     * repeated rows of an id are one document
     * an empty table gives an empty result; other columns, whatever their names, are not read
     """
     pieces = chunks(docs, id_col, text_col)
-    shared = pieces.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
-    shared = stage(shared.where("first_doc_id <> last_doc_id").select("digest", "first_doc_id"), "shared-chunks")
-    places = pieces.join(shared, "digest").select("doc_id", "start", "stop", "words", "first_doc_id").distinct()
-    # Rows of one document, bounded by its length.
-    order = Window.partitionBy("doc_id").orderBy("start")
-    fresh = F.coalesce((F.lag("stop").over(order) != F.col("start")).cast("int"), F.lit(1))
-    runs = places.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-    spans = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"),
-        F.count("*").alias("n_chunks"), F.min_by("first_doc_id", "start").alias("first_doc_id"),
-        F.min(F.col("first_doc_id") == F.col("doc_id")).alias("is_first"))
-    return spans.where(F.col("n_words") >= min_words).drop("run")
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    shared = stage(_shared(pieces, "digest"), "shared-chunks")
+    places = _islands(pieces.join(shared, "digest").distinct(), "chunk", 1)
+    run_words = F.sum("words").over(Window.partitionBy("doc_id", "island"))
+    places = stage(places.withColumn("n_words", run_words).where(F.col("n_words") >= try_words), "places")
+    runs = places.where(F.col("n_words") >= min_words).groupBy("doc_id", "island").agg(
+        *_span_columns(), F.max("n_words").alias("n_words")).drop("island")
+
+    # Wherever chunks of a short run stand, also inside long ones: there may be the other copy.
+    short = places.where(F.col("n_words") < min_words).select("digest").distinct()
+    doubtful = places.join(short, "digest", "left_semi")
+    windows = stage(_windows(docs, doubtful, id_col, text_col, min_words), "windows")
+    again = windows.join(_shared(windows, "hash"), "hash").drop("hash").distinct()
+    checked = _islands(again, "word", min_words).groupBy("doc_id", "island").agg(
+        *_span_columns(), (F.max("word") - F.min("word") + min_words).cast("long").alias("n_words")).drop("island")
+    return runs.unionByName(checked)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                   try_words: int = TRY_WORDS) -> DataFrame:
     """The documents, all columns, without the spans that an earlier document holds; texts may become empty."""
-    spans = repeated_spans(docs, id_col, text_col, min_words).where(~F.col("is_first"))
+    spans = repeated_spans(docs, id_col, text_col, min_words, try_words).where(~F.col("is_first"))
     gone = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("__gone"))
     gone = stage(gone.withColumnRenamed("doc_id", "__gone_id"), "repeats")
 
@@ -141,7 +216,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 raw, kept, at = value.encode(), [], 0
                 for span in sorted(found, key=lambda s: s["start"]):
                     kept.append(raw[at:span["start"]])
-                    at = span["stop"]
+                    at = max(at, span["stop"])
                 value = b"".join([*kept, raw[at:]]).decode()
             out.append(value)
         return pd.Series(out)

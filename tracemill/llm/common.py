@@ -49,6 +49,15 @@ def squeezed(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS, "")
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A table of ids about to be joined to whole rows: always by a sorted merge.
+
+    Whether such a table is small enough to broadcast depends on the corpus. One plan at every size: the rows are
+    shuffled once, and no executor holds all ids.
+    """
+    return side.hint("merge")
+
+
 def like_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The rows with exactly the given columns, in that order."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])

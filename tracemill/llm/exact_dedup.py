@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import squeezed, stage
+from tracemill.llm.common import merged, squeezed, stage
 
 PREFIX_CHARS = 64
 
@@ -82,4 +82,4 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     digest = F.sha2(F.encode(squeezed(F.col(f"`{text_col}`")), "UTF-8"), 256)
     marked = docs.withColumn("__digest", digest)
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest"))
-    return marked.join(gone, same, "left_anti").drop("__digest")
+    return marked.join(merged(gone), same, "left_anti").drop("__digest")

@@ -8,8 +8,8 @@ lowest ranks are taken until the words are reached: a sample of fixed size, coun
 
 The cut in the order of a source is found on sums over a fixed grid of ranks, twice refined, so that only the
 rows of one grid cell out of sixteen million are ever ordered together: a source with a third of all documents
-is sums over many tasks. One document per source, the one whose size is nearest to what is still missing,
-closes the gap that whole documents leave.
+is sums over many tasks. Up to five documents per source, each of the size that fits best into what is still missing,
+close the gap that whole documents leave.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import n_words, stage
+from tracemill.llm.common import merged, n_words, stage
 
 #: Weights of the sources by code point of their name, repeating; targets stop at CAP times the size.
 WEIGHTS = (1, 2, 3)
 CAP = 3
 GRID = 4096
+#: Documents per source that may be added to close its gap.
+FILLERS = 5
 
 
 def _key(source: Column) -> Column:
@@ -85,6 +87,29 @@ def _crossing(cells: DataFrame, cell: str) -> DataFrame:
         F.min(cell).alias("cut"), F.min(F.col("upto") - F.col("words")).alias("before"))
 
 
+def _fillers(marked: DataFrame) -> DataFrame:
+    """(``key``, ``doc_id``, ``size``) of the few documents that close the gap of a source, one per round and source.
+
+    Whole documents leave a gap of up to one document at the cut. Each round takes the largest document that fits
+    into it; the last one the document whose size is nearest, if that brings the source nearer to its target.
+    """
+    candidates = marked.where("size > 0 and not chosen and reached is not null")
+    found = stage(candidates.select("key", "doc_id", "size").limit(0), "fillers")
+    for number in range(FILLERS):
+        filled = found.groupBy("key").agg(F.sum("size").alias("filled"))
+        left = candidates.join(found.select("key", "doc_id"), ["key", "doc_id"], "left_anti").join(filled, "key", "left")
+        missing = F.col("rest") - F.col("reached") - F.coalesce("filled", F.lit(0))
+        left = left.withColumn("off", F.abs(missing - F.col("size")))
+        last = number == FILLERS - 1
+        left = left.where(F.col("off") < F.abs(missing) if last else F.col("size") <= missing)
+        nearest = left.groupBy("key").agg(F.min("off").alias("off"))
+        # Sizes on both sides of the gap may be equally near: the smaller id decides.
+        first = left.join(nearest, ["key", "off"]).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+        picked = stage(left.join(first, ["key", "doc_id"]).groupBy("key", "doc_id").agg(F.sum("size").alias("size")), "filler")
+        found = stage(found.unionByName(picked), "fillers")
+    return found
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
     """Copies of each document in the mix: ``doc_id, size, source_size, target, copies, taken, source``.
@@ -147,13 +172,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     kept = ["doc_id", "key", "size", "rank"]
     marked = ranked.select(*kept).join(params, "key").withColumn("chosen", F.coalesce(chosen, F.lit(False)))
 
-    gap = F.col("rest") - F.col("reached")
-    candidates = marked.where("size > 0 and not chosen and reached is not null").withColumn("off", F.abs(gap - F.col("size")))
-    candidates = candidates.where(F.col("off") < F.abs(gap))
-    nearest = candidates.groupBy("key").agg(F.min("off").alias("off"))
-    filler = candidates.join(nearest, ["key", "off"]).groupBy("key").agg(F.min("doc_id").alias("filler"))
-    final = marked.join(stage(filler, "filler"), "key", "left")
-    extra = (F.col("chosen") | F.coalesce(F.col("doc_id") == F.col("filler"), F.lit(False))).cast("long")
+    marked = stage(marked, "chosen")
+    fillers = _fillers(marked)
+    final = marked.join(fillers.select("key", F.col("doc_id").alias("filler"), F.lit(True).alias("fills")),
+                        marked["key"].eqNullSafe(fillers["key"]) & (F.col("doc_id") == F.col("filler")), "left").drop(fillers["key"])
+    extra = (F.col("chosen") | F.coalesce("fills", F.lit(False))).cast("long")
     copies = F.col("certain") + extra
     return final.select(
         "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
@@ -170,5 +193,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     same = (
         (F.col(f"`{id_col}`") == F.col("__id")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source"))
         & (n_words(F.col(f"`{text_col}`")) == F.col("__size")))
-    repeated = docs.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    repeated = docs.join(merged(plan), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return repeated.drop("__id", "__source", "__size", "__copies", "__copy")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import stage
+from tracemill.llm.common import merged, stage
 from tracemill.llm.components import Forest, components
 
 SHINGLE_WORDS = 3
@@ -305,4 +305,4 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     later = near_duplicates(docs, id_col, text_col).groupBy("doc_id").agg(
         F.min(F.col("doc_id") != F.col("component_id")).alias("later"))
     gone = stage(later.where("later").select(F.col("doc_id").alias("__gone_id")), "near-copies")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone_id"), "left_anti")
+    return docs.join(merged(gone), F.col(f"`{id_col}`") == F.col("__gone_id"), "left_anti")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import stage
+from tracemill.llm.common import merged, stage
 
 #: One in CUT_ONE_IN places is a possible cut; chunks shorter than MIN_CHUNK or longer than MAX_CHUNK bytes do not occur
 #: (but for the ends of a text).
@@ -138,7 +138,7 @@ def _windows(docs: DataFrame, doubtful: DataFrame, id_col: str, text_col: str, w
     runs = doubtful.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     runs = runs.withColumnRenamed("doc_id", "__id")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.join(runs, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "runs")
+    rows = rows.join(merged(runs), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "runs")
 
     def of(raw: bytes, places) -> tuple[np.ndarray, ...] | None:
         spans = np.array([m.span() for m in WORD_BYTES.finditer(raw)], dtype=np.int64)
@@ -221,5 +221,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append(value)
         return pd.Series(out)
 
-    joined = docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone_id"), "left")
+    joined = docs.join(merged(gone), F.col(f"`{id_col}`") == F.col("__gone_id"), "left")
     return joined.withColumn(text_col, rest(F.col(f"`{text_col}`"), F.col("__gone"))).drop("__gone", "__gone_id")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import stage
+from tracemill.llm.common import merged, stage
 
 # Titles by the gender they tell (empty: none).
 TITLES = {
@@ -309,7 +309,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     special = named.join(redrawn, ["kind", "canonical"]).groupBy("doc_id").agg(
         F.collect_set(F.struct("kind", "canonical", "attempt")).alias("redrawn"))
     special = stage(special.withColumnRenamed("doc_id", "__id"), "special")
-    joined = rows.join(special, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "redrawn")
+    joined = rows.join(merged(special), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "redrawn")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -37,7 +37,7 @@ def _shape(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("id"), user.alias("u"), F.col("ts").cast("timestamp").alias("ts"), value.alias("v"),
         F.col("event_type").alias("et"), k.alias("k"),
-        F.concat(F.lit("f"), F.floor(user / 8)).alias("file"), F.concat(F.lit("s"), user).alias("session"),
+        F.concat(F.lit("f"), F.floor(user / 2)).alias("file"), F.concat(F.lit("s"), user).alias("session"),
         F.concat(F.lit("/repo/r"), user % 10, F.lit("/src")).alias("cwd"),
         F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(value * 1000).cast("bigint") * 1000).alias("ended"),
     )
@@ -135,7 +135,7 @@ def derived_events(events: DataFrame) -> tuple[DataFrame, Derivation]:
 
 EVENTS_SQL = """e AS (
   SELECT event_id AS id, user_id AS u, ts, value AS v, event_type AS et, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
-         'f' || (user_id // 8) AS file, 's' || user_id AS session,
+         'f' || (user_id // 2) AS file, 's' || user_id AS session,
          ts + to_microseconds(CAST(floor(value * 1000) AS BIGINT) * 1000) AS ended FROM events
 ), calls AS (
   SELECT *, CASE WHEN u % 10 >= 8 THEN 'skipped' WHEN et = 'purchase' AND k % 9 = 0 THEN 'refused' ELSE 'accepted' END AS status,

@@ -56,7 +56,7 @@ def test_odd_pages(spark):
     pages = spark.createDataFrame([(None, None, None), (1, "u", "<p>a"), (1, "u", "<p>a")], "page_id bigint, url string, html string")
     wide = pages.selectExpr("*", "1 AS text", "2 AS n_chars", "3 AS record", "4 AS archive", "5 AS length")
     assert html_text.extract(wide).count() == 3 and html_text.extract(wide.limit(0)).count() == 0
-    records = warc_fixity.warc_records(wide)
+    records = warc_fixity.placed(warc_fixity.warc_records(wide))
     assert records.count() == 3
     assert warc_fixity.audit(records, records).count() == 0
     gone = warc_fixity.audit(records, records.where("page_id is null"))

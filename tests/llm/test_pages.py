@@ -85,7 +85,7 @@ def test_audit_descends_only_bad_branches(spark):
 def test_warc_records(spark):
     prepare(spark)
     pages = spark.createDataFrame([(1, "http://é", "<p>ü"), (2, None, None), (1500, "u", "")], "page_id bigint, url string, html string")
-    got = {r.page_id: r for r in warc_fixity.warc_records(pages).collect()}
+    got = {r.page_id: r for r in warc_fixity.placed(warc_fixity.warc_records(pages)).collect()}
     first = bytes(got[1].record)
     head, body = first.split(b"\r\n\r\n", 1)
     assert head.startswith(b"WARC/1.0\r\n") and body == "<p>ü\r\n\r\n".encode()

@@ -97,9 +97,12 @@ FROM placed WHERE page_id % 101 = 7 OR page_id % 97 = 13
 
 @query("op6_warc_fixity", FIXITY_SQL)
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = warc_fixity.warc_records(read_table(spark, sf_dir, "pages"))
+    records = warc_fixity.warc_records(read_table(spark, sf_dir, "pages"))
     middle = F.floor(F.col("length") / 2).cast("int")
     flipped = F.overlay("record", F.encode(F.lit("\x00"), "UTF-8"), middle, F.lit(1))
-    second = first.where("page_id % 101 <> 7").withColumn(
-        "record", F.when(F.col("page_id") % 97 == 13, flipped).otherwise(F.col("record")))
-    return warc_fixity.audit(first, second)
+    altered = F.when(F.col("page_id") % 97 == 13, flipped).otherwise(F.col("record"))
+    both = warc_fixity.placed(records.select(
+        "archive", "page_id", "length", warc_fixity.digest(F.col("record")).alias("first"), warc_fixity.digest(altered).alias("second")))
+    place = ["archive", "offset", "length"]
+    kept = both.where("page_id % 101 <> 7")
+    return warc_fixity.audit(both.select(*place, F.col("first").alias("digest")), kept.select(*place, F.col("second").alias("digest")))

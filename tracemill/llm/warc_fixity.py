@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import stage
@@ -26,7 +26,7 @@ ARCHIVE_PAGES = 1000
 
 def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                  archive_pages: int = ARCHIVE_PAGES) -> DataFrame:
-    """WARC/1.0 resource records of pages: ``archive, page_id, offset, length, record`` (bytes).
+    """WARC/1.0 resource records of pages: ``archive, page_id, length, record`` (bytes).
 
     Archives hold the pages of consecutive ids, in the order of id. A null url or html counts as empty; a null id
     goes to an archive of its own with null number.
@@ -40,17 +40,27 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     made = rows.select(
         F.floor(F.col("page_id") / archive_pages).alias("archive"), "page_id",
         F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8")).alias("record"))
-    made = made.withColumn("length", F.octet_length("record").cast("long"))
-    # Offsets come from the lengths alone: the records themselves are not sorted.
+    return made.withColumn("length", F.octet_length("record").cast("long"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows with ``archive``, ``page_id`` and ``length``, and the ``offset`` each has in its archive.
+
+    Hash records before placing them: the window sorts whatever columns the rows have, an archive at a time.
+    """
     before = Window.partitionBy("archive").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    return made.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(
-        "archive", "page_id", "offset", "length", "record")
+    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+
+
+def digest(record: Column) -> Column:
+    """Digest of a record; a null record hashes like an empty one."""
+    return F.sha2(F.coalesce(record, F.lit("").cast("binary")), 256)
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """One digest per record: ``archive, offset, length, digest``; a null record hashes like an empty one."""
-    digest = F.sha2(F.coalesce("record", F.lit("").cast("binary")), 256)
-    return records.select("archive", "offset", "length", digest.alias("digest"))
+    """One digest per record: ``archive, offset, length, digest``; rows that bring their digest keep it."""
+    own = F.col("digest") if "digest" in records.columns else digest(F.col("record"))
+    return records.select("archive", "offset", "length", own.alias("digest"))
 
 
 def _node(children: DataFrame, at: str, *parts: str) -> DataFrame:
@@ -86,8 +96,8 @@ def _within(level: DataFrame, bad: DataFrame, parent) -> DataFrame:
 def audit(replica_a: DataFrame, replica_b: DataFrame, span: int = SPAN, fanout: int = FANOUT) -> DataFrame:
     """Where two replicas of archives differ: ``archive, offset, length_a, length_b, status``.
 
-    Inputs are tables of (``archive``, ``offset``, ``length``, ``record``); ``status`` is changed, missing (in b) or
-    extra (in b).
+    Inputs are tables of (``archive``, ``offset``, ``length``) and ``record`` or its ``digest``; ``status`` is
+    changed, missing (in b) or extra (in b).
 
     * null records hash like empty ones, null archive numbers are one archive
     * of rows that repeat an (archive, offset) the set of digests is compared

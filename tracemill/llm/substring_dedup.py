@@ -7,9 +7,11 @@ Chunks are deduplicated by digest: one combining aggregate finds digests that oc
 adaptive execution can split brings them back to their places, and neighbouring repeated chunks of a document become
 one run.
 
-A run of ``min_words`` words is a repeated span. A shorter one of ``try_words`` words or more may be the inside of
-such a span, whose ends are no whole chunks: an exact check compares the windows of ``min_words`` words around it. A
-digest has 64 bits; a false run would take several collisions in a row.
+Chunks of a run may come from many documents, so each window of neighbouring chunks with ``min_words`` words is compared
+as a whole: those that another document holds are repeated. Where no window confirms a stretch of ``try_words`` words or
+more, or an earlier document holds its chunks than its windows, it may be the inside of a repeated passage whose ends
+are no whole chunks: an exact check compares the windows of ``min_words`` words around it. Windows in a row with the
+same first holder are one span. A digest has 64 bits; a false window would take a collision.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ CUT_ONE_IN, MIN_CHUNK, MAX_CHUNK = 12, 12, 256
 MIN_WORDS = 48
 #: Words of a run that is worth the exact check: of a passage of 50, about 35 lie between its first and last own cut.
 TRY_WORDS = 10
+#: Orders chunks by the words before them, then by number: more than a text has chunks.
+STEP = 2**31
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], dtype=np.uint16)
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 SPACE = np.zeros(256, dtype=bool)
@@ -116,21 +120,61 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return held.where("first_doc_id <> last_doc_id").select(key, "first_doc_id")
 
 
-def _islands(rows: DataFrame, at: str, reach: int) -> DataFrame:
+def _islands(rows: DataFrame, at: str, reach: int, same: str | None = None) -> DataFrame:
     """Rows of a document whose ``at`` follows the one before by at most ``reach``, numbered as one ``island``.
 
-    The window is one document's rows, bounded by its length.
+    An island ends where ``same`` changes. The window is one document's rows, bounded by its length.
     """
     order = Window.partitionBy("doc_id").orderBy(at)
-    fresh = F.coalesce((F.col(at) - F.lag(at).over(order) > reach).cast("int"), F.lit(1))
-    return rows.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))
+    apart = F.col(at) - F.lag(at).over(order) > reach
+    if same is not None:
+        apart = apart | (F.col(same) != F.lag(same).over(order))
+    return rows.withColumn("fresh", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("island", F.sum("fresh").over(order))
 
 
-def _span_columns() -> list:
-    return [
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first_doc_id", "start").alias("first_doc_id"),
-        F.min(F.col("first_doc_id") == F.col("doc_id")).alias("is_first"),
-    ]
+def _chunk_windows(places: DataFrame, words: int) -> DataFrame:
+    """Adds to each chunk the window of neighbouring chunks that starts there and first holds ``words`` words.
+
+    ``before`` and ``upto`` are the words of the run before the window and up to its end, ``reach`` is its last byte;
+    ``hash`` is that of no other document where the run ends too early.
+    """
+    run = Window.partitionBy("doc_id", "island")
+    before = F.sum("words").over(run.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    ahead = run.orderBy("place").rangeBetween(0, words * STEP - 1)
+    return places.withColumn("before", before).withColumn("place", F.col("before") * STEP + F.col("chunk")).withColumns({
+        "upto": F.max(F.col("before") + F.col("words")).over(ahead), "reach": F.max("stop").over(ahead),
+        "digests": F.collect_list("digest").over(ahead),
+    }).withColumn("whole", F.col("upto") - F.col("before") >= words).withColumn(
+        "hash", F.when(F.col("whole"), F.xxhash64("digests")).otherwise(F.xxhash64("doc_id", "chunk")))
+
+
+def _confirmed(places: DataFrame, words: int, try_words: int) -> DataFrame:
+    """Adds the ``holder`` of each window that several documents hold, its ``part`` and whether the chunk is ``doubtful``.
+
+    Windows in a row with one holder are one part. Doubtful are stretches of ``try_words`` words that no window
+    confirms, or whose chunks an earlier document holds than their windows.
+    """
+    held = _shared(places.where("whole"), "hash").withColumnRenamed("first_doc_id", "holder")
+    # Only whole windows are shared: the other hashes are there to deal their rows out evenly.
+    rows = places.join(held, "hash", "left").withColumn("holder", F.when(F.col("whole"), F.col("holder")))
+    order = Window.partitionBy("doc_id").orderBy("chunk")
+    covering = Window.partitionBy("doc_id", "island").orderBy("place").rangeBetween(1 - words * STEP, 0)
+    cover = F.min("holder").over(covering)
+    rows = rows.withColumn("place", F.col("before") * STEP + F.col("chunk")).withColumn(
+        "open", cover.isNull() | (F.col("first_doc_id") < cover))
+    follows = F.col("chunk") - F.lag("chunk").over(order) <= 1
+    goes_on = follows & F.col("holder").eqNullSafe(F.lag("holder").over(order))
+    stays = follows & (F.col("open") == F.lag("open").over(order))
+    number = lambda on: F.sum(F.when(on, 0).otherwise(1)).over(order)
+    rows = rows.withColumn("part_on", goes_on).withColumn("stretch_on", stays)
+    rows = rows.withColumn("part", number(F.col("part_on"))).withColumn("stretch", number(F.col("stretch_on")))
+    long = F.sum("words").over(Window.partitionBy("doc_id", "stretch")) >= try_words
+    return rows.withColumn("doubtful", F.col("open") & long)
+
+
+def _span_columns(stop: str, holder: str) -> list:
+    return [F.min("start").alias("start"), F.max(stop).alias("stop"), F.first(holder).alias("first_doc_id"),
+            F.first(F.col(holder) == F.col("doc_id")).alias("is_first")]
 
 
 def _windows(docs: DataFrame, doubtful: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -175,8 +219,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    try_words: int = TRY_WORDS) -> DataFrame:
     """Spans of text that other documents share: ``doc_id, start, stop, n_words, first_doc_id, is_first``.
 
-    ``first_doc_id`` is the smallest id that holds the beginning of the span; ``is_first`` marks the spans that no
-    document with a smaller id holds a part of: the occurrence that stays.
+    Each window of ``min_words`` words (or of chunks with that many) has a first holder, the smallest id that holds it
+    as a whole; a span is a row of windows with one first holder, ``first_doc_id``. ``is_first`` marks the spans that no
+    document with a smaller id holds: the occurrence that stays. Where the first holder changes, the spans on both sides
+    overlap by less than a window.
 
     * null and empty texts have no spans; whole texts are cut, however long; white space does not matter
     * text that repeats within one document only is no span; ties go to the smaller id
@@ -187,17 +233,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = stage(_shared(pieces, "digest"), "shared-chunks")
     places = _islands(pieces.join(shared, "digest").distinct(), "chunk", 1)
     run_words = F.sum("words").over(Window.partitionBy("doc_id", "island"))
-    places = stage(places.withColumn("n_words", run_words).where(F.col("n_words") >= try_words), "places")
-    runs = places.where(F.col("n_words") >= min_words).groupBy("doc_id", "island").agg(
-        *_span_columns(), F.max("n_words").alias("n_words")).drop("island")
-
-    # Wherever chunks of a short run stand, also inside long ones: there may be the other copy.
-    short = places.where(F.col("n_words") < min_words).select("digest").distinct()
-    doubtful = places.join(short, "digest", "left_semi")
+    places = places.withColumn("n_words", run_words).where(F.col("n_words") >= try_words)
+    places = stage(_chunk_windows(places, min_words).drop("fresh", "n_words", "place", "digests"), "places")
+    known = stage(_confirmed(places, min_words, try_words).where("holder is not null or doubtful").select(
+        "doc_id", "digest", "start", "reach", "before", "upto", "holder", "part", "doubtful"), "confirmed")
+    runs = known.where("holder is not null").groupBy("doc_id", "part").agg(
+        *_span_columns("reach", "holder"), (F.max("upto") - F.min("before")).alias("n_words")).drop("part")
+
+    # Wherever doubtful chunks stand: there may be the other copy.
+    doubtful = places.join(known.where("doubtful").select("digest").distinct(), "digest", "left_semi")
     windows = stage(_windows(docs, doubtful, id_col, text_col, min_words), "windows")
     again = windows.join(_shared(windows, "hash"), "hash").drop("hash").distinct()
-    checked = _islands(again, "word", min_words).groupBy("doc_id", "island").agg(
-        *_span_columns(), (F.max("word") - F.min("word") + min_words).cast("long").alias("n_words")).drop("island")
+    checked = _islands(again, "word", min_words, "first_doc_id").groupBy("doc_id", "island").agg(
+        *_span_columns("stop", "first_doc_id"), (F.max("word") - F.min("word") + min_words).cast("long").alias("n_words")).drop("island")
     return runs.unionByName(checked)
 
 

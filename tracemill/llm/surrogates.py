@@ -44,7 +44,7 @@ PATTERNS = {
 }
 ENTITY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
 #: What every entity holds, found fast; the detectors only look around these places.
-ANCHOR = re.compile(rf"[0-9]+|@|=|\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b")
+ANCHOR = re.compile(rf"[0-9]+|@|=|\bAKIA|\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b")
 AROUND = 40
 PERSON = re.compile(rf"(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})(?P<gap>\.?[ \u00a0])(?P<names>.*)", re.S)
 
@@ -79,7 +79,9 @@ def _windows(text: str) -> Iterator[tuple[int, int]]:
         if b + AROUND <= stop:
             continue
         begin = max(text.rfind(" ", 0, max(a - AROUND, 0)), 0)
+        # Two words more: the names after a title may be long.
         end = text.find(" ", b + AROUND)
+        end = text.find(" ", end + 1) if end >= 0 else end
         end = len(text) if end < 0 else end
         if begin > stop:
             if stop > 0:

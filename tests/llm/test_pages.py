@@ -141,3 +141,26 @@ def test_windows_hold_every_entity(text, monkeypatch):
     found = surrogates.find_entities(text)
     monkeypatch.setattr(surrogates, "_windows", lambda t: [(0, len(t))])
     assert found == surrogates.find_entities(text) and found
+
+
+def test_values_without_free_surrogates(spark):
+    """Forms of few or no other values get longer surrogates of their type, still distinct, and the draws end."""
+    prepare(spark)
+    values = ["password=***", "secret=---", "password=пароль", "password=ΛΟΓΟΣ.", *[f"password={i}" for i in range(10)],
+              *[f"{c.upper()}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"], *[f"+49 {i // 10:02d} {i % 10}0" for i in range(1000)]]
+    docs = table(spark, values)
+    got = [r.text for r in surrogates.pseudonymise(docs, KEY).orderBy("doc_id").collect()]
+    assert len(set(got)) == len(values) and not set(got) & set(values)
+    for before, after in zip(values, got, strict=True):
+        kinds = [[k for _, _, k, _ in surrogates.find_entities(text)] for text in (before, after)]
+        assert kinds[0] == kinds[1]
+    assert re.fullmatch(r"password=[а-я]{6}", got[2]) and re.fullmatch(r"password=[Α-Ω]{5}\.", got[3])
+    assert all(text.isascii() for text in got[:2])
+
+
+def test_full_private_network(spark):
+    prepare(spark)
+    network = spark.range(65_536).selectExpr("'ip' AS kind", "concat('192.168.', id div 256, '.', id % 256) AS canonical")
+    attempts = {r.canonical: r.attempt for r in surrogates.assign(network, KEY).collect()}
+    made = {surrogates.surrogate("ip", c, a, KEY) for c, a in attempts.items()}
+    assert len(attempts) == len(made) == 65_536 and not made & set(attempts)

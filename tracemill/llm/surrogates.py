@@ -7,8 +7,10 @@ stay letters of their case and script, digits stay digits, separators stay where
 computed, and names keep the gender their title gives them.
 
 Distinct entities must get distinct surrogates, and no surrogate may be an entity of the corpus. Both are checked
-over the table of distinct entities; whoever collides draws again, until nothing collides. Only those few carry an
-attempt number that is joined to the documents that mention them; all other surrogates are computed in place.
+over the table of distinct entities; whoever collides draws again, until nothing collides. Where a form has few values
+or all of them are in use, draws after the first ``LONGER`` are longer or from a wider range of the type, so they end.
+Only those few carry an attempt number that is joined to the documents that mention them; all other surrogates are
+computed in place.
 """
 
 from __future__ import annotations
@@ -56,6 +58,12 @@ SYLLABLES = {
 }
 ENDS = {"latin": ("n", "s", "r"), "cyrillic": ("н", "с", "р"), "greek": ("ν", "ς", "ρ")}
 FEMALE_ENDS = {"latin": "a", "cyrillic": "а", "greek": "α"}
+# What letters outside a-z, symbols of a password and the additions to short values are drawn from.
+LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+SYMBOLS = "!#$%&*+-?^_~"
+SENTENCE_END = ".!?:)]}>"
+#: Attempts that keep the length of an entity.
+LONGER = 4
 
 
 def luhn_sum(digits: str) -> int:
@@ -144,7 +152,7 @@ class Draw:
 
 
 def _same_form(value: str, draw: Draw) -> str:
-    """Letters of the same case, digits, and everything else unchanged; hexadecimal words stay hexadecimal."""
+    """Letters of the same case and script, digits, and everything else unchanged; hexadecimal words stay hexadecimal."""
     hexadecimal = len(value) >= 8 and re.fullmatch(r"[0-9a-f]*[a-f][0-9a-f]*", value) is not None
     out = []
     for c in value:
@@ -156,20 +164,38 @@ def _same_form(value: str, draw: Draw) -> str:
             out.append(chr(97 + draw.below(26)))
         elif "A" <= c <= "Z":
             out.append(chr(65 + draw.below(26)))
+        elif c.isalpha():
+            letters = LETTERS[_script(c)]
+            made = letters[draw.below(len(letters))]
+            out.append(made.upper() if c.isupper() else made)
         else:
             out.append(c)
     return "".join(out)
 
 
+def _more(draw: Draw, attempt: int) -> str:
+    """What is added to a value whose own form is used up: nothing in the first attempts."""
+    return "".join("abcdefghijklmnopqrstuvwxyz0123456789"[draw.below(36)] for _ in range(12 if attempt >= LONGER else 0))
+
+
+def _password(value: str, draw: Draw, attempt: int) -> str:
+    """Symbols are drawn too; the end of a sentence after a letter or digit stays."""
+    body = value.rstrip(SENTENCE_END)
+    if not any(c.isalnum() for c in body):
+        body = value
+    made = "".join(c if c.isalnum() else SYMBOLS[draw.below(len(SYMBOLS))] for c in _same_form(body, draw))
+    return made + _more(draw, attempt) + value[len(body):]
+
+
 def _script(word: str) -> str:
     point = ord(word[0])
     return "cyrillic" if 0x400 <= point < 0x530 else "greek" if 0x370 <= point < 0x400 else "latin"
 
 
-def _name(word: str, gender: str, first: bool, draw: Draw) -> str:
+def _name(word: str, gender: str, first: bool, draw: Draw, attempt: int) -> str:
     script = _script(word)
     syllables = SYLLABLES[script]
-    made = "".join(syllables[draw.below(len(syllables))] for _ in range(2 + draw.below(2)))
+    made = "".join(syllables[draw.below(len(syllables))] for _ in range(2 + draw.below(2) + attempt // LONGER))
     if first and gender == "f":
         made = made[:-1] + FEMALE_ENDS[script]
     elif first and gender == "m" or draw.below(2):
@@ -187,8 +213,10 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
         labels = domain.split(".")
         # The top-level domain stays; the domain is drawn for itself, so addresses of one domain share one.
         within = Draw(key, "domain", domain, 0)
-        return _same_form(local, draw) + "@" + ".".join([*[_same_form(x, within) for x in labels[:-1]], labels[-1]])
+        return _same_form(local, draw) + _more(draw, attempt) + "@" + ".".join([*[_same_form(x, within) for x in labels[:-1]], labels[-1]])
     if kind == "ip":
+        if attempt >= LONGER:  # of the reserved addresses, which no host has
+            return ".".join([str(240 + draw.below(16)), *[str(draw.below(256)) for _ in range(3)]])
         first, *rest = canonical.split(".")
         if first in ("10", "127"):
             return ".".join([first, *[str(draw.below(256)) for _ in rest]])
@@ -202,6 +230,8 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
             check = (check + 1 + draw.below(9)) % 10
         return body + str(check)
     if kind == "ssn":
+        if attempt >= LONGER:
+            return f"{draw.below(1000):03d}-{draw.below(100):02d}-{draw.below(10_000):04d}"
         return f"{900 + draw.below(100)}-{10 + draw.below(90)}-{1000 + draw.below(9000)}"
     if kind == "iban":
         body = _same_form(canonical[4:], draw)
@@ -209,7 +239,8 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
     if kind == "phone":
         # Country code (after a plus: up to two digits) stays.
         kept = 3 if canonical.startswith("+") and not canonical.startswith("+1") else 2 if canonical.startswith("+") else 0
-        return canonical[:kept] + "".join(str(draw.below(10)) for _ in canonical[kept:])
+        more = 8 if attempt >= LONGER and len(canonical) - kept < 9 else 0
+        return canonical[:kept] + "".join(str(draw.below(10)) for _ in range(len(canonical) - kept + more))
     if kind == "secret":
         return "AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw.below(32)] for _ in canonical[4:])
     if kind == "person":
@@ -219,9 +250,9 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
         made = []
         for place, word in enumerate(words):
             first = place == 0 and len(words) > 1
-            made.append(_name(word, gender, first, Draw(key, "first" if first else "family", word.casefold(), attempt)))
+            made.append(_name(word, gender, first, Draw(key, "first" if first else "family", word.casefold(), attempt), attempt))
         return " ".join(made)
-    return _same_form(canonical, draw)
+    return _password(canonical, draw, attempt)
 
 
 def dressed(value: str, kind: str, made: str) -> str:
@@ -231,10 +262,14 @@ def dressed(value: str, kind: str, made: str) -> str:
         gap = "\u00a0" if "\u00a0" in parts["names"] else " "
         return parts["title"] + parts["gap"] + made.replace(" ", gap)
     if kind == "email":
-        return "".join(m.upper() if v.isupper() and m.isalpha() else m for v, m in zip(value, made, strict=True))
+        size = value.index("@")  # of the surrogate the local part may be longer
+        more = made.index("@") - size
+        kept = made[:size] + made[size + more:]
+        cased = "".join(m.upper() if v.isupper() and m.isalpha() else m for v, m in zip(value, kept, strict=True))
+        return cased[:size] + made[size:size + more] + cased[size:]
     if kind in ("card", "phone", "iban"):
         letters = iter(made.lstrip("+"))
-        return "".join(next(letters) if c.isalnum() else c for c in value)
+        return "".join([*[next(letters) if c.isalnum() else c for c in value], *letters])
     return made
 
 

@@ -228,3 +228,19 @@ def test_ordinal_fit_orders_grades():
     assert np.all(weights[:4] > 1) and abs(weights[4]) < 0.3 and np.all(np.diff(cuts) > 0)
     margin = np.array([weights[r].sum() for r in rows])
     assert np.mean(np.searchsorted(cuts, margin) == np.array(grades)) > 0.95
+
+
+def test_repeating_outliers_below_the_base_rule(spark):
+    """Repeated lines alone, and repeated phrases alone, reject a document that the base rule passes."""
+    prepare(spark)
+    lines = lambda seed, n, size: [invented(seed * 1000 + k, size) for k in range(n)]
+    rows = [(i, "\n".join(lines(i, 20, 8)), "en", "a", 0) for i in range(300)]
+    short = lines(900, 60, 2)
+    rows.append((300, "\n".join(x for k in range(60) for x in ([short[k], short[k // 2]] if k % 2 else [short[k]])), "en", "a", 0))
+    phrases = lines(901, 6, 5)
+    text = " ".join(f"{phrases[k % 6]} {invented(902_000 + k, 10)}" for k in range(12))
+    rows.append((301, text, "en", "a", 0))
+    got = {r.doc_id: r for r in outliers.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].kept for i in range(300))
+    assert not got[300].base_failed and got[300].n_dup_lines == 30 and not got[300].kept
+    assert not got[301].base_failed and got[301].n_dup_lines == 0 and not got[301].kept

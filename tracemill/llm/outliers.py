@@ -25,7 +25,8 @@ MIN_WORDS = 50
 #: Names of the transformed statistics, the coordinates of a document.
 DIMENSIONS = ("word_length", "symbols", "dup_lines", "repeats")
 #: Deviations below these sizes (in transformed units) say nothing: many groups have no symbol or repeated line at all.
-FLOORS = (0.08, 0.1, 0.1, 0.1)
+#: Those of the two rates of repeats let each reject for itself below the base rule: from about 19 % on, where a group repeats nothing.
+FLOORS = (0.08, 0.1, 0.03, 0.03)
 STEPS = 8
 BINS = 512
 #: Groups with fewer documents borrow the estimate of their language, else that of all documents.

@@ -265,3 +265,18 @@ def test_chunks_of_many_documents_are_no_passage(spark):
     shared = chunks.where("doc_id = 0").join(chunks.where("doc_id > 0").select("digest").distinct(), "digest", "left_semi")
     assert shared.agg({"words": "sum"}).first()[0] > 100
     assert substring_dedup.repeated_spans(docs).count() == 0
+
+
+def test_one_row_of_repeated_ids_stays(spark):
+    """A retried write: rows that share id and text leave one row behind in both stages, null ids too."""
+    rows = [(1, invented(70, 60), "en", "s", 1)] * 5 + [(1, invented(71, 60), "en", "s", 1), (2, invented(70, 60), "en", "s", 1)]
+    rows += [(None, invented(72, 60), "en", "s", 1)] * 3 + [(3, invented(73, 60), "en", "s", 1), (3, invented(73, 60) + " ", "en", "s", 2)]
+    prepare(spark)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for digest_all in (True, False):
+        kept = [(r.doc_id, r.group_size) for r in exact_dedup.refine(docs, digest_all=digest_all).collect() if r.kept]
+        assert sorted(kept, key=str) == sorted([(1, 6), (1, 1), (None, 3), (3, 2)], key=str)
+    unique = [(r.doc_id, r.text) for r in exact_dedup.without_copies(docs).collect()]
+    assert sorted(unique, key=str) == sorted([(1, invented(70, 60)), (1, invented(71, 60)), (None, invented(72, 60)), (3, invented(73, 60) + " ")], key=str)
+    single = simhash.one_per_component(docs)
+    assert sorted((str(r.doc_id) for r in single.collect())) == ["1", "1", "3", "None"] and single.columns == docs.columns

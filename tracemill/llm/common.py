@@ -58,6 +58,22 @@ def merged(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
+def one_of_equal(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of rows that share id and text (white space aside) one, with the longest original; ``repeated`` holds their ids.
+
+    Combines before its shuffle: thousands of copies of one row never meet in one task.
+    """
+    if repeated.isEmpty():
+        return docs
+    text = F.col(f"`{text_col}`")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__again_id"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = docs.join(merged(repeated), same, "left_semi").groupBy(
+        F.col(f"`{id_col}`").alias("__id"), F.sha2(F.encode(squeezed(text), "UTF-8"), 256).alias("__digest"),
+    ).agg(F.max_by(row, F.coalesce(F.char_length(text), F.lit(0))).alias("__row")).select("__row.*")
+    return docs.join(merged(repeated), same, "left_anti").union(once)
+
+
 def like_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The rows with exactly the given columns, in that order."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])

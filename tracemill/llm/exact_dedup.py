@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import merged, squeezed, stage
+from tracemill.llm.common import merged, one_of_equal, squeezed, stage
 
 PREFIX_CHARS = 64
 
@@ -28,7 +28,7 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
 
     * a null text counts as empty; empty and white-space texts are one group
     * ties in length go to the smallest id; a null id comes last
-    * rows repeating an id with an equal text count in ``group_size`` and share the verdict of that id
+    * rows repeating an id with an equal text count in ``group_size``; of those with the chosen id one is kept
     * an empty table gives an empty result; other columns of ``docs``, whatever their names, are not read
     """
     base = docs.select(
@@ -52,13 +52,16 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
     judged = prefixed.select(*columns).join(prefixes, ["size", "prefix"], "left")
     if not digest_all:
         judged = judged.withColumn("text_sha256", F.when(F.col("shared"), full))
-    rows = stage(judged.select("doc_id", "points", "text_sha256", F.col("shared").isNotNull().alias("shared")), "digests")
+    # The staged number tells rows of one id apart.
+    rows = stage(judged.select("doc_id", "points", "text_sha256", F.col("shared").isNotNull().alias("shared"),
+                               F.monotonically_increasing_id().alias("row")), "digests")
 
     # Two combining steps: fixed-width aggregates over all rows, the choice over what is left of a group.
     by_points = rows.where("shared").groupBy("text_sha256", "points").agg(
-        F.count("*").alias("rows"), F.min("doc_id").alias("first_id"))
+        F.count("*").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")).alias("first"))
     groups = by_points.groupBy("text_sha256").agg(
-        F.sum("rows").alias("group_size"), F.max_by("first_id", "points").alias("best_id"),
+        F.sum("rows").alias("group_size"), F.max_by("first.doc_id", "points").alias("best_id"),
+        F.max_by("first.row", "points").alias("best_row"),
     ).where("group_size > 1").withColumnRenamed("text_sha256", "group_digest")
     joined = rows.join(groups, F.col("shared") & (F.col("text_sha256") == F.col("group_digest")), "left")
     grouped = F.col("group_size").isNotNull()
@@ -67,19 +70,25 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        (~grouped | F.coalesce(F.col("row") == F.col("best_row"), F.lit(False))).alias("kept"),
         "text_sha256",
     )
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; (id, digest) of those that go are joined to the rows."""
-    gone = stage(
-        refine(docs, id_col, text_col, digest_all=True).where(~F.col("kept"))
-        .select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_digest")).distinct(),
+    """The documents that stay, one of each group, with all their columns.
+
+    (id, digest) of those that go are joined to the rows; of rows that share both, one is left.
+    """
+    pairs = stage(
+        refine(docs, id_col, text_col, digest_all=True).groupBy("doc_id", "text_sha256")
+        .agg(F.max("kept").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"),
         "gone",
     )
+    gone = pairs.where("not stays").select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_digest"))
     digest = F.sha2(F.encode(squeezed(F.col(f"`{text_col}`")), "UTF-8"), 256)
     marked = docs.withColumn("__digest", digest)
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest"))
-    return marked.join(merged(gone), same, "left_anti").drop("__digest")
+    left = marked.join(merged(gone), same, "left_anti").drop("__digest")
+    again = stage(pairs.where("stays").select(F.col("doc_id").alias("__again_id")).distinct(), "again")
+    return one_of_equal(left, again, id_col, text_col)

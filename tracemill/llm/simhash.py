@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import merged, stage
+from tracemill.llm.common import merged, one_of_equal, stage
 from tracemill.llm.components import Forest, components
 
 SHINGLE_WORDS = 3
@@ -300,9 +300,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the smallest id of their component, with all their columns.
 
-    Of rows that repeat an id all stay if one of them is first in its component.
+    Of rows that repeat an id those with different texts all stay if one of them is first in its component; of those
+    with equal texts (white space aside) one stays.
     """
-    later = near_duplicates(docs, id_col, text_col).groupBy("doc_id").agg(
-        F.min(F.col("doc_id") != F.col("component_id")).alias("later"))
-    gone = stage(later.where("later").select(F.col("doc_id").alias("__gone_id")), "near-copies")
-    return docs.join(merged(gone), F.col(f"`{id_col}`") == F.col("__gone_id"), "left_anti")
+    ids = near_duplicates(docs, id_col, text_col).groupBy("doc_id").agg(
+        F.min(F.col("doc_id") != F.col("component_id")).alias("later"), F.count("*").alias("rows"))
+    ids = stage(ids.where("later or rows > 1"), "near-copies")
+    gone = ids.where("later").select(F.col("doc_id").alias("__gone_id"))
+    left = docs.join(merged(gone), F.col(f"`{id_col}`") == F.col("__gone_id"), "left_anti")
+    again = ids.where("not coalesce(later, false) and rows > 1").select(F.col("doc_id").alias("__again_id"))
+    return one_of_equal(left, again, id_col, text_col)

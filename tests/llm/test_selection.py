@@ -244,3 +244,12 @@ def test_repeating_outliers_below_the_base_rule(spark):
     assert all(got[i].kept for i in range(300))
     assert not got[300].base_failed and got[300].n_dup_lines == 30 and not got[300].kept
     assert not got[301].base_failed and got[301].n_dup_lines == 0 and not got[301].kept
+
+
+def test_mixed_keeps_rows_without_id(spark):
+    rows = [(None if i % 3 == 0 else i, invented(i, 20 + i % 50), "en", f"s{i % 3 if i % 2 else 4}", 0) for i in range(300)]
+    prepare(spark)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plan, got = mixing.mix(docs).collect(), mixing.mixed(docs).collect()
+    assert sum(r.copies for r in plan if r.doc_id is None) == sum(r.doc_id is None for r in got) > 0
+    assert sum(r.copies for r in plan) == len(got) and sum(r.taken for r in plan) == sum(len(r.text.split()) for r in got)

@@ -91,9 +91,10 @@ def _fillers(marked: DataFrame) -> DataFrame:
     """(``key``, ``doc_id``, ``size``) of the few documents that close the gap of a source, one per round and source.
 
     Whole documents leave a gap of up to one document at the cut. Each round takes the largest document that fits
-    into it; the last one the document whose size is nearest, if that brings the source nearer to its target.
+    into it; the last one the document whose size is nearest, if that brings the source nearer to its target. Rows
+    without id share a verdict, so all of them would come in at once: they close no gap.
     """
-    candidates = marked.where("size > 0 and not chosen and reached is not null")
+    candidates = marked.where("size > 0 and not chosen and reached is not null and doc_id is not null")
     found = stage(candidates.select("key", "doc_id", "size").limit(0), "fillers")
     for number in range(FILLERS):
         filled = found.groupBy("key").agg(F.sum("size").alias("filled"))
@@ -185,13 +186,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
-    """The mix itself: every document as often as it is taken, with all its columns."""
+    """The mix itself: every document as often as it is taken, with all its columns; null ids are ids like others."""
     plan = mix(docs, id_col, text_col, source_col, weights, cap, seed).where("copies > 0")
     # Rows that repeat an id may differ in source or size: all three say which row a number of copies belongs to.
     plan = stage(plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
                              F.col("copies").alias("__copies")).distinct(), "mix")
     same = (
-        (F.col(f"`{id_col}`") == F.col("__id")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source"))
+        F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source"))
         & (n_words(F.col(f"`{text_col}`")) == F.col("__size")))
     repeated = docs.join(merged(plan), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return repeated.drop("__id", "__source", "__size", "__copies", "__copy")

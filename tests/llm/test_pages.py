@@ -164,3 +164,16 @@ def test_full_private_network(spark):
     attempts = {r.canonical: r.attempt for r in surrogates.assign(network, KEY).collect()}
     made = {surrogates.surrogate("ip", c, a, KEY) for c, a in attempts.items()}
     assert len(attempts) == len(made) == 65_536 and not made & set(attempts)
+
+
+@pytest.mark.parametrize("around", ["body", "main"])
+def test_all_marked_parts_of_a_page(around):
+    """Sibling articles all stay; reader comments marked as articles go, with the block around them."""
+    parts = "".join(f"<article>{''.join(f'<p>{LONG} {i}{k}</p>' for k in range(3 + i))}</article>" for i in range(3))
+    comments = f"<section class=comments><h2>Comments</h2>{f'<article class=comment><p>{LONG} First!</p></article>' * 4}</section>"
+    teaser = "<article><a href=x>Read</a> <a href=y>more</a></article>"
+    got = main_text(f"<nav><a href=/>Home</a></nav><{around}>{parts}{comments}{teaser}</{around}><footer>(c)</footer>")
+    assert got.split("\n\n")[:12] == [f"{LONG} {i}{k}" for i in range(3) for k in range(3 + i)]
+    assert "First!" not in got and "Comments" not in got
+    assert main_text(f"<main><p>{LONG}</p>{comments}</main>") == LONG
+    assert main_text(f"<article class='post sidebar'><p>{LONG}</p></article>") == LONG

@@ -5,7 +5,9 @@ page, sidebars, notices, adverts, forms, scripts, styles, reader comments; known
 Each remaining node gets its characters per tag, adjusted for the share of link characters and link tags in it and
 in the whole body. The subtree whose children's densities sum highest is the article; further parts of the page
 count as content if they are at least as dense as the thinnest node between that subtree and the body. Where a
-page marks its article (article, main), the search stays inside it and the whole marked element is the result.
+page marks its article (article, main), the search stays inside it and the whole marked element is the result, with the
+other marked elements beside it that are as dense. Of several marked elements those with a class or role of noise
+(a reader comment as an article) do not count as marked.
 
 Pages are independent: one pass over the table in Arrow batches, no shuffle.
 """
@@ -139,6 +141,10 @@ def parse(html: str) -> list[Node]:
 
 def _measure(nodes: list[Node]) -> list[Node]:
     """Drop noise and compute densities; returns the nodes that are left, parents first."""
+    if any(node.core and not node.noise for node in nodes):
+        for node in nodes:
+            node.core = node.core and not node.noise
+            node.in_core = node.core or (node.parent is not None and node.parent.in_core)
     for node in reversed(nodes):
         node.has_core = node.has_core or node.core
         if node.parent is not None:
@@ -185,14 +191,25 @@ def _chosen(left: list[Node]) -> set[Node]:
     for node in search:
         if node.density_sum > best.density_sum:
             best = node
-    if cores:
-        # The innermost marked element around the densest subtree is the article.
-        while not best.core and best.parent is not None:
-            best = best.parent
-        return {best}
     threshold, node = best.density, best
     while node is not None:
         threshold, node = min(threshold, node.density), node.parent
+    if cores:
+        # The innermost marked element around the densest subtree is the article, others beside it its further parts.
+        while not best.core and best.parent is not None:
+            best = best.parent
+        around, node = set(), best.parent
+        while node is not None:
+            around.add(node)
+            node = node.parent
+        parts, within = set(), set()
+        for node in left:
+            if node.parent in within:
+                within.add(node)
+            elif node is best or (node.core and node.chars and node not in around and node.density >= threshold):
+                parts.add(node)
+                within.add(node)
+        return parts
     # The densest subtree of every node that is dense enough, found from the leaves up.
     top: dict[Node, Node] = {}
     for node in reversed(left):

@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import exact_dedup, html_text, mixing, outliers, packing, simhash, substring_dedup, surrogates, toxicity, warc_fixity
+from tracemill.llm import (
+    exact_dedup,
+    html_text,
+    mixing,
+    outliers,
+    packing,
+    simhash,
+    substring_dedup,
+    surrogates,
+    toxicity,
+    warc_fixity,
+    whitening,
+)
 from tracemill.llm.common import read_table
 from tracemill.llm.registry import query
 
@@ -106,3 +118,8 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = ["archive", "offset", "length"]
     kept = both.where("page_id % 101 <> 7")
     return warc_fixity.audit(both.select(*place, F.col("first").alias("digest")), kept.select(*place, F.col("second").alias("digest")))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))

@@ -111,4 +111,4 @@ def test_odd_vectors(spark):
     clashing = table(spark, rows).selectExpr("*", "1 AS id", "2 AS x", "'a' AS kind", "3 AS n", "4 AS width")
     assert whitening.whiten(clashing).count() == 10
     huge = [(1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [1.0, 2.0])]
-    assert whitening.whiten(table(spark, huge, "vec_id bigint, embedding array<double>")).count() == 6
+    assert whitening.whiten(table(spark, huge, "vec_id bigint, embedding array<double>")).count() == 3

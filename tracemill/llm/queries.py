@@ -178,7 +178,7 @@ WITH pieces AS (
 ), candidates AS (
   SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS ws, f AS a FROM phrases WHERE k > 1
 ), cuts AS (
-  SELECT c.lang, c.phrase, c.size, c.a, n, k, l.f AS l, r.f AS r,
+  SELECT c.lang, c.phrase, c.size, c.a, n, c.k, l.f AS l, r.f AS r,
          CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
   FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c JOIN sizes ON c.lang = sizes.lang
   JOIN phrases l ON l.lang = c.lang AND l.k = c.k AND l.phrase = array_to_string(c.ws[1:c.k], ' ')

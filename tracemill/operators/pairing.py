@@ -9,19 +9,22 @@ Per (file, call id) the file is a sequence of three kinds of events:
 
 Nearly every id is used once and never voided. Those ids need no sequence at all: the
 first result by file position is the answer, and that is a constant-size aggregate that
-combines before the shuffle, however hot the id is. Only reused ids go through the
-ordered fold, which streams over sorted rows and splits one id at file chunks, so that no
-task ever has to hold a whole id.
+combines before the shuffle, however hot the id is.
+
+Only reused ids need their order. An event maps the three states an id can be in to three
+states, and such maps compose: a block of events is summed up by where each start state
+ends and which call or result is held then, blocks of a chunk by the composition of their
+summaries, chunks of an id likewise. Walking down again gives every block the state it
+starts in. A block holds a bounded number of events, so no task ever holds a whole id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracemill.session import lazy
 
@@ -30,10 +33,13 @@ POSITION = ["chunk", "line", "block"]
 POSITION_TYPE = "struct<chunk: bigint, line: bigint, block: int>"
 
 USE, VOID, RESULT = "use", "void", "result"
-# A row placed before the first event of a chunk to carry the state into it.
-CARRY = "carry"
+TAGS = [USE, VOID, RESULT]
 
 IDLE, WAITING, EARLY = 0, 1, 2
+# The state after each tag, by the state before: rows are states, columns tags.
+AFTER = [WAITING, IDLE, EARLY, WAITING, WAITING, IDLE, IDLE, IDLE, EARLY]
+# Events of one id that are folded as one array.
+BLOCK_EVENTS = 256
 
 
 def call_events(uses: DataFrame, results: DataFrame) -> DataFrame:
@@ -54,189 +60,177 @@ def call_events(uses: DataFrame, results: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def pair_calls(
-    events: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = lazy
-) -> DataFrame:
-    """(file, call_id, call, result, call_pos, result_pos); result is NULL while a call is open.
-
-    ``events`` is the output of :func:`call_events`.
-    """
+def _by_id(events: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     tag, pos = F.col("tag"), F.col("pos")
-    per_id = stage(
+    return stage(
         events.groupBy(*KEYS).agg(
             F.count_if(tag == USE).alias("uses"),
             F.count_if(tag == VOID).alias("voids"),
+            F.count_if(tag == RESULT).alias("results"),
             F.min(F.when(tag == USE, F.struct(pos, "call"))).alias("c"),
             F.min(F.when(tag == RESULT, F.struct(pos, "result"))).alias("r"),
         ),
         "calls-by-id",
     )
-    once = per_id.where((F.col("uses") == 1) & (F.col("voids") == 0)).select(
-        *KEYS, "c.call", "r.result", F.col("c.pos").alias("call_pos"), F.col("r.pos").alias("result_pos")
-    )
+
+
+def _as_pairs(per_id: DataFrame) -> DataFrame:
+    return per_id.select(*KEYS, "c.call", "r.result", F.col("c.pos").alias("call_pos"), F.col("r.pos").alias("result_pos"))
+
+
+def pair_calls(
+    events: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = lazy
+) -> DataFrame:
+    """(file, call_id, call, result, call_pos, result_pos); result is NULL while a call is open.
+
+    ``events`` is the output of :func:`call_events`.
+    """
+    per_id = _by_id(events, stage)
+    once = _as_pairs(per_id.where((F.col("uses") == 1) & (F.col("voids") == 0)))
     reused = per_id.where((F.col("uses") >= 1) & (F.col("uses") + F.col("voids") > 1)).select(*KEYS)
     if stage is not lazy and reused.isEmpty():
         return once
-    return once.unionByName(fold_reused(events.join(reused, KEYS, "left_semi"), stage))
+    folded = fold_reused(events.join(reused, KEYS, "left_semi"), stage)
+    left = folded.ends.where(F.col("state") == WAITING).select(
+        *KEYS, "held.call", F.lit(None).cast(events.schema["result"].dataType).alias("result"),
+        F.col("held.pos").alias("call_pos"), F.lit(None).cast(POSITION_TYPE).alias("result_pos"))
+    return once.unionByName(folded.pairs).unionByName(left)
 
 
-# --- ordered fold of reused ids -------------------------------------------------------
+@dataclass(frozen=True)
+class Carried:
+    """Completed pairs, and the events an id is left with: a waiting call or an early result."""
 
-def _step(state: int, held, tag: str, item):
-    """Next (state, held item, emitted pair) of one id after one event."""
-    if tag == USE:
-        if state == EARLY:
-            return IDLE, None, (item, held)
-        return WAITING, item, None
-    if tag == VOID:
-        return (IDLE, None, None) if state == EARLY else (state, held, None)
-    if state == WAITING:
-        return IDLE, None, (held, item)
-    return (EARLY, item, None) if state == IDLE else (state, held, None)
-
-
-_INHERITED = "inherited"
-
-_SUMMARY = "file string, call_id string, chunk bigint, " + ", ".join(
-    f"end_{s} int, held_{s} string" for s in (IDLE, WAITING, EARLY)
-)
-_ENTRY = "file string, call_id string, chunk bigint, state int, held string"
-# Opaque items keep instants at full precision while they pass through the fold.
-_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-_PAIR = "file string, call_id string, call string, result string"
-
-
-def _summarize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted events -> per (id, chunk) the end state for each of the three start states."""
-    key, ends = None, None
-
-    def row():
-        flat = [v for state, held in ends for v in (state, held)]
-        return (*key, *flat)
-
-    columns = [c.strip().split(" ")[0] for c in _SUMMARY.split(",")]
-    for frame in frames:
-        out = []
-        for file, call_id, chunk, tag, item in zip(
-            frame["file"], frame["call_id"], frame["chunk"], frame["tag"], frame["item"]
-        ):
-            if (file, call_id, chunk) != key:
-                if key is not None:
-                    out.append(row())
-                key = (file, call_id, chunk)
-                ends = [(IDLE, None), (WAITING, _INHERITED), (EARLY, _INHERITED)]
-            ends = [_step(state, held, tag, item)[:2] for state, held in ends]
-        yield pd.DataFrame(out, columns=columns)
-    if key is not None:
-        yield pd.DataFrame([row()], columns=columns)
-
-
-def _enter_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted summaries -> the state each chunk of an id starts in.
-
-    The row after the last chunk (chunk NULL) tells how the id ends.
+    pairs: DataFrame
+    left: DataFrame
+
+
+def carry_calls(events: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = lazy) -> Carried:
+    """Pair what can be paired and keep what later events of the same ids will need.
+
+    ``events`` may hold what an earlier call left. As long as the events of an id arrive in file order, feeding them
+    in pieces gives the pairs of feeding them at once; a call and its only result may come in any order.
     """
-    key, state, held = None, IDLE, None
-    columns = ["file", "call_id", "chunk", "state", "held"]
-
-    def typed(rows):
-        return pd.DataFrame(rows, columns=columns).astype({"chunk": "Int64", "state": "int32"})
-
-    for frame in frames:
-        out = []
-        for record in frame.itertuples(index=False):
-            if (record.file, record.call_id) != key:
-                if key is not None:
-                    out.append((*key, None, state, held))
-                key, state, held = (record.file, record.call_id), IDLE, None
-            out.append((*key, record.chunk, state, held))
-            end = getattr(record, f"end_{state}")
-            kept = getattr(record, f"held_{state}")
-            held = held if kept == _INHERITED else kept
-            state = end
-        yield typed(out)
-    if key is not None:
-        yield typed([(*key, None, state, held)])
-
-
-def _emit_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted events, each chunk led by its carry row -> completed pairs."""
-    state, held = IDLE, None
-    for frame in frames:
-        out = []
-        for file, call_id, tag, item, start in zip(
-            frame["file"], frame["call_id"], frame["tag"], frame["item"], frame["state"]
-        ):
-            if tag == CARRY:
-                state, held = int(start), item
-                continue
-            state, held, pair = _step(state, held, tag, item)
-            if pair is not None:
-                out.append((file, call_id, *pair))
-        yield pd.DataFrame(out, columns=["file", "call_id", "call", "result"])
-
-
-def _blob_schema(item: T.DataType) -> T.StructType:
-    position = T.StructType([T.StructField(c, T.LongType()) for c in POSITION])
-    return T.StructType([T.StructField("pos", position), T.StructField("body", item)])
-
-
-def fold_reused(
-    events: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = lazy
-) -> DataFrame:
-    """Exact pairing for ids that occur more than once as a call.
+    per_id = _by_id(events, stage)
+    simple = (F.col("uses") <= 1) & (F.col("results") <= 1) & (F.col("voids") == 0)
+    once = per_id.where(simple)
+    call_type, result_type = events.schema["call"].dataType, events.schema["result"].dataType
+    no_call, no_result = F.lit(None).cast(call_type).alias("call"), F.lit(None).cast(result_type).alias("result")
+    waiting = once.where("results = 0").select(*KEYS, "c.pos", F.lit(USE).alias("tag"), "c.call", no_result)
+    early = once.where("uses = 0").select(*KEYS, "r.pos", F.lit(RESULT).alias("tag"), no_call, "r.result")
+    pairs, left = _as_pairs(once.where("uses = 1 and results = 1")), waiting.unionByName(early)
+    # Voids alone leave nothing behind.
+    reused = per_id.where(~simple & (F.col("uses") + F.col("results") > 0)).select(*KEYS)
+    if stage is not lazy and reused.isEmpty():
+        return Carried(pairs, left)
+    folded = fold_reused(events.join(reused, KEYS, "left_semi"), stage)
+    held = folded.ends.where(F.col("state") != IDLE).select(
+        *KEYS, "held.pos", F.when(F.col("state") == WAITING, USE).otherwise(RESULT).alias("tag"), "held.call", "held.result")
+    return Carried(pairs.unionByName(folded.pairs), left.unionByName(held))
+
+
+# --- ordered fold of reused ids -------------------------------------------------------
+
+@dataclass(frozen=True)
+class Folded:
+    """Completed pairs of reused ids, and per id its last ``state`` with the event ``held`` in it."""
+
+    pairs: DataFrame
+    ends: DataFrame
 
-    Three passes over (id, chunk)-partitioned, sorted rows: summarise each chunk for every
-    possible start state, walk the summaries of an id to learn the start states, then emit
-    the pairs of each chunk. Rows are streamed in order, never gathered into a list.
+
+class _Fold:
+    """Column expressions over events ``(pos, code, call, result)`` and over summaries of blocks of them.
+
+    A summary has, for each start state k, the state ``s<k>`` it ends in and the event ``h<k>`` held there. A held
+    event of NULL in a state that holds one stands for whatever was held at the start.
     """
-    call_type = events.schema["call"].dataType
-    result_type = events.schema["result"].dataType
-    blob = F.when(
-        F.col("tag") == USE, F.to_json(F.struct("pos", F.col("call").alias("body")), _JSON)
-    ).when(F.col("tag") == RESULT, F.to_json(F.struct("pos", F.col("result").alias("body")), _JSON))
-    flat = stage(
-        events.select(*KEYS, *[F.col(f"pos.{c}").alias(c) for c in POSITION], "tag", blob.alias("item")),
-        "reused-calls",
-    )
+
+    def __init__(self, event_type: str):
+        self.nothing = F.lit(None).cast(event_type)
+
+    def _next(self, state: Column, held: Column, event: Column) -> tuple[Column, Column]:
+        after = F.get(F.array(*map(F.lit, AFTER)), state * 3 + event["code"])
+        # A call that waits and a first early result are held; whatever ends in the idle state holds nothing.
+        takes = (event["code"] == TAGS.index(USE)) | ((event["code"] == TAGS.index(RESULT)) & (state == IDLE))
+        return after, F.when(after != IDLE, F.when(takes, event).otherwise(held))
+
+    def _summary(self, parts: list[tuple[Column, Column]]) -> Column:
+        fields = [c for k, (state, held) in enumerate(parts) for c in (state.alias(f"s{k}"), held.alias(f"h{k}"))]
+        return F.struct(*fields)
+
+    def _start(self) -> Column:
+        return self._summary([(F.lit(k), self.nothing) for k in (IDLE, WAITING, EARLY)])
+
+    def of_events(self, events: Column) -> Column:
+        return F.aggregate(events, self._start(), lambda ends, event: self._summary(
+            [self._next(ends[f"s{k}"], ends[f"h{k}"], event) for k in (IDLE, WAITING, EARLY)]))
+
+    @staticmethod
+    def _through(state: Column, held: Column, ends: Column) -> tuple[Column, Column]:
+        after = F.get(F.array(*[ends[f"s{k}"] for k in (IDLE, WAITING, EARLY)]), state)
+        inside = F.get(F.array(*[ends[f"h{k}"] for k in (IDLE, WAITING, EARLY)]), state)
+        return after, F.when(after != IDLE, F.coalesce(inside, held))
+
+    def of_parts(self, parts: Column) -> Column:
+        return F.aggregate(parts, self._start(), lambda ends, part: self._summary(
+            [self._through(ends[f"s{k}"], ends[f"h{k}"], part["ends"]) for k in (IDLE, WAITING, EARLY)]))
+
+    def walk(self, parts: Column, key: str, state: Column, held: Column, part_type: str) -> Column:
+        """Struct of the state after all parts, what is held there, and the state each part starts in."""
+        def step(at: Column, part: Column) -> Column:
+            after, kept = self._through(at["state"], at["held"], part["ends"])
+            entered = F.struct(part[key].alias(key), at["state"].alias("state"), at["held"].alias("held"))
+            return F.struct(after.alias("state"), kept.alias("held"), F.concat(at["out"], F.array(entered)).alias("out"))
+
+        start = F.struct(state.alias("state"), held.alias("held"), F.array().cast(part_type).alias("out"))
+        return F.aggregate(parts, start, step)
+
+    def pairs(self, events: Column, state: Column, held: Column, pair_type: str) -> Column:
+        """The pairs completed inside a block that starts in the given state."""
+        def step(at: Column, event: Column) -> Column:
+            after, kept = self._next(at["state"], at["held"], event)
+            by_use = (at["state"] == EARLY) & (event["code"] == TAGS.index(USE))
+            by_result = (at["state"] == WAITING) & (event["code"] == TAGS.index(RESULT))
+            pair = F.when(by_use, F.struct(event.alias("c"), at["held"].alias("r"))).when(
+                by_result, F.struct(at["held"].alias("c"), event.alias("r")))
+            return F.struct(after.alias("state"), kept.alias("held"),
+                            F.when(pair.isNull(), at["out"]).otherwise(F.concat(at["out"], F.array(pair))).alias("out"))
+
+        start = F.struct(state.alias("state"), held.alias("held"), F.array().cast(pair_type).alias("out"))
+        return F.aggregate(events, start, step)["out"]
+
+
+def fold_reused(events: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = lazy) -> Folded:
+    """Exact pairing for ids that occur more than once, in any mixture of calls, voids and results."""
+    code = F.array_position(F.array(*map(F.lit, TAGS)), F.col("tag")).cast("int") - 1
+    event = F.struct("pos", code.alias("code"), "call", "result")
+    chunk = F.col("pos.chunk")
+    rank = F.row_number().over(Window.partitionBy(*KEYS, chunk).orderBy("pos"))
+    numbered = events.select(*KEYS, chunk.alias("chunk"), event.alias("event"), F.floor((rank - 1) / BLOCK_EVENTS).cast("int").alias("part"))
+    event_type = numbered.schema["event"].dataType.simpleString()
+    fold = _Fold(event_type)
     by_chunk = [*KEYS, "chunk"]
-    summaries = (
-        flat.repartition(*by_chunk)
-        .sortWithinPartitions(*by_chunk, "line", "block")
-        .select(*by_chunk, "tag", "item")
-        .mapInPandas(_summarize, _SUMMARY)
-    )
-    entries = stage(
-        summaries.repartition(*KEYS).sortWithinPartitions(*by_chunk).mapInPandas(_enter_chunks, _ENTRY),
-        "reused-states",
-    )
-    carries = entries.where(F.col("chunk").isNotNull()).select(
-        *by_chunk, F.lit(-1).cast("bigint").alias("line"), F.lit(-1).alias("block"),
-        F.lit(CARRY).alias("tag"), F.col("held").alias("item"), "state",
-    )
-    pairs = (
-        flat.withColumn("state", F.lit(None).cast("int"))
-        .unionByName(carries)
-        .repartition(*by_chunk)
-        .sortWithinPartitions(*by_chunk, "line", "block")
-        .select(*KEYS, "tag", "item", "state")
-        .mapInPandas(_emit_pairs, _PAIR)
-    )
-    still_open = entries.where(F.col("chunk").isNull() & (F.col("state") == WAITING)).select(
-        *KEYS, F.col("held").alias("call"), F.lit(None).cast("string").alias("result")
+    blocks = stage(
+        numbered.groupBy(*by_chunk, "part").agg(F.array_sort(F.collect_list("event")).alias("events"))
+        .withColumn("ends", fold.of_events(F.col("events"))),
+        "reused-calls",
     )
-    call = F.from_json("call", _blob_schema(call_type), _JSON)
-    result = F.from_json("result", _blob_schema(result_type), _JSON)
-    return (
-        pairs.unionByName(still_open)
-        .select(*KEYS, call.alias("c"), result.alias("r"))
-        .select(
-            *KEYS,
-            F.col("c.body").alias("call"),
-            F.col("r.body").alias("result"),
-            F.col("c.pos").cast(POSITION_TYPE).alias("call_pos"),
-            F.col("r.pos").cast(POSITION_TYPE).alias("result_pos"),
-        )
+    chunks = blocks.groupBy(*by_chunk).agg(F.array_sort(F.collect_list(F.struct("part", "ends"))).alias("parts"))
+    summed = chunks.select(*by_chunk, fold.of_parts(F.col("parts")).alias("ends"))
+    ids = summed.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("chunk", "ends"))).alias("chunks"))
+    walked = fold.walk(F.col("chunks"), "chunk", F.lit(IDLE), fold.nothing,
+                       f"array<struct<chunk: bigint, state: int, held: {event_type}>>")
+    walks = stage(ids.select(*KEYS, walked.alias("walk")), "reused-states")
+    into_chunks = walks.select(*KEYS, F.inline("walk.out"))
+    inside = fold.walk(F.col("parts"), "part", F.col("state"), F.col("held"),
+                       f"array<struct<part: int, state: int, held: {event_type}>>")
+    into_blocks = chunks.join(into_chunks, by_chunk).select(*by_chunk, inside.alias("walk")).select(*by_chunk, F.inline("walk.out"))
+    completed = fold.pairs(F.col("events"), F.col("state"), F.col("held"), f"array<struct<c: {event_type}, r: {event_type}>>")
+    pairs = blocks.join(into_blocks, [*by_chunk, "part"]).select(*KEYS, F.inline(completed))
+    return Folded(
+        pairs.select(*KEYS, "c.call", "r.result", F.col("c.pos").alias("call_pos"), F.col("r.pos").alias("result_pos")),
+        walks.select(*KEYS, "walk.state", "walk.held"),
     )
 
 

@@ -1,12 +1,16 @@
 """Append, rebuild, import and positions."""
 
+import hashlib
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tests.hostile import not_names
 from tracemill.operators.positions import with_positions
 from tracemill.operators.validation import validate
+from tracemill.plans.commits import FOLD_AFTER, CommitLog
+from tracemill.plans.id_index import MAX_DIGITS
 from tracemill.plans.store import EventStore, record_differences
 from tracemill.schemas import INVOCATION
 from tracemill.sources.event_lines import read_event_lines
@@ -63,6 +67,65 @@ def test_append_is_idempotent(spark, tmp_path):
     assert store.read(after_batch=0).count() == 1
 
 
+def test_lookup_cost_follows_the_batch_not_the_store(spark, tmp_path):
+    """Ids read from the index by the same append into stores of 1, 4 and 16 times the size."""
+    read = []
+    for times in (1, 4, 16):
+        store = EventStore(spark, str(tmp_path / f"x{times}"), leaf_ids=64)
+        rows = spark.range(1000 * times).select(F.sha2(F.col("id").cast("string"), 256).alias("event_id"))
+        fields = [F.lit(BASE.get(f.name)).cast(f.dataType).alias(f.name) if f.name != "event_id" else F.col("event_id") for f in INVOCATION.fields]
+        store.append(rows.select(*fields))
+        ids = [hashlib.sha256(str(i).encode()).hexdigest() for i in [*range(5), *range(10**6, 10**6 + 5)]]
+        looked_up = store._index(0).stored(store._contents(0).segments, [i[:MAX_DIGITS] for i in ids])
+        read.append(looked_up.count())
+        # Whole folders are left out, not rows.
+        assert "PartitionFilters: [prefix" in looked_up._jdf.queryExecution().executedPlan().toString()
+        result = store.append(frame(spark, *[record(1, event_id=i) for i in ids]))
+        assert (result.written, result.duplicate) == (5, 5)
+    # Ten folders at most, whatever the size of the store.
+    assert max(read) <= 1.25 * 10 * 64
+
+
+def test_segments_are_merged_and_stay_few(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "store"), leaf_ids=4)
+    for number in range(11):
+        assert store.append(frame(spark, record(number), record(max(0, number - 1)))).written == 1
+    contents = store._contents(0)
+    assert len(contents.batches) == 11 and len(contents.segments) < 8 and store.head() == 11
+    # A batch written again after its ids were merged: what it no longer holds may be stored again.
+    assert store.append(frame(spark, record(100)), batch_id=3).written == 1
+    assert store.append(frame(spark, record(3), record(4))).written == 1
+    assert sorted(int(r.event_id, 16) for r in store.read().where("event_id < repeat('1', 64)").collect()) == [*range(11), 100]
+
+
+def test_positions_of_later_batches_read_no_earlier_one(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "store"))
+    for number in range(3):
+        store.append(frame(spark, *[record(number * 100 + i, ts=BASE["ts"].replace(minute=59 - i)) for i in range(10)]))
+    got = store.entries(after=14)
+    assert [(r.position, int(r.event_id, 16)) for r in got.orderBy("position").collect()] == [
+        (p, (p - 1) // 10 * 100 + 9 - (p - 1) % 10) for p in range(15, 31)]
+    assert all("/batch_id=0/" not in path for path in got.inputFiles())
+    assert "Exchange rangepartitioning" not in got._jdf.queryExecution().toString()
+
+
+def test_files_are_written_in_order(spark, tmp_path):
+    """Records lie in their files by time and id, files of a batch over disjoint ranges."""
+    store = EventStore(spark, str(tmp_path / "store"))
+    store.append(frame(spark, *[record(i, ts=BASE["ts"].replace(minute=i * 7 % 60)) for i in range(200)]))
+    rows = store._rows(list(store._contents(0).batches.values()), 0).orderBy("slot").select("ts", "event_id").collect()
+    assert rows == sorted(rows) and len(rows) == 200
+
+
+def test_log_is_folded(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path / "log"), StructType().add("name", "string").add("n", "long"), ["name"])
+    for number in range(FOLD_AFTER + 3):
+        assert log.commit([{"name": f"k{number % 3}", "n": number}, {"name": "gone", "n": 0, "live": number % 2 == 0}]) == number + 1
+    rows, following = log.read()
+    assert following == FOLD_AFTER + 4 and log.table.version() == 1
+    assert {r.name: r.n for r in rows} == {"k0": 33, "k1": 34, "k2": 32, "gone": 0}
+
+
 def test_rebuild_replaces_and_equals_a_first_ingest(spark, tmp_path):
     store, other = EventStore(spark, str(tmp_path / "a")), EventStore(spark, str(tmp_path / "b"))
     rows = frame(spark, *[record(i) for i in range(20)])

@@ -87,9 +87,20 @@ def derive(
     candidates = collapse_candidates(skill_candidates(acting, options.name_key, options.harness))
     runs = stage(uncovered_runs(candidates, invoked, closed), "skill-runs")
 
-    paired = pairs.where(F.col("result").isNotNull())
-    no_pos = F.lit(None).cast(POSITION_TYPE)
-    records = (
+    records = finished_records(pairs.where(F.col("result").isNotNull()), interrupted, runs)
+    return Derivation(
+        records=records,
+        pending=pending,
+        interrupted=interrupted,
+        skill_runs=runs,
+        refused=calls.where(F.col("status") == "refused"),
+        activity=activity,
+    )
+
+
+def finished_records(paired: DataFrame, interrupted: DataFrame, runs: DataFrame) -> DataFrame:
+    """The records of completed pairs, of calls that were never answered, and of skill runs, with their provenance."""
+    return (
         paired.select(
             *invocation("call", F.col("result.ts"), F.col("result.outcome")),
             F.col("file").alias("src_file"),
@@ -109,18 +120,10 @@ def derive(
                 *invocation("record", F.col("record.ts"), F.lit(None)),
                 F.col("file").alias("src_file"),
                 F.lit(SKILL_RUN).alias("src_phase"),
-                no_pos.alias("src_pos"),
+                F.lit(None).cast(POSITION_TYPE).alias("src_pos"),
             )
         )
     )
-    return Derivation(
-        records=records,
-        pending=pending,
-        interrupted=interrupted,
-        skill_runs=runs,
-        refused=calls.where(F.col("status") == "refused"),
-        activity=activity,
-    )
 
 
 def incomplete_files(files: DataFrame, lines: DataFrame) -> DataFrame:

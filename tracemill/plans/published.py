@@ -18,22 +18,22 @@ def read_if_present(spark: SparkSession, path: str, schema: StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
-_POINTER = StructType().add("version", "long").add("published_at", "timestamp")
+_POINTER = StructType().add("published_at", "timestamp").add("version", "long")
 
 
 class PublishedTable:
-    """Version folders next to an append-only pointer table; the highest version counts.
+    """Version folders next to a folder of pointers, one per version; the highest version counts.
 
-    A version is written completely before its pointer row appears, so a job that dies in
-    between leaves the previous version in force.
+    A version is written completely before its pointer appears, so a job that dies in
+    between leaves the previous version in force. Pointers are found by listing them.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
     def version(self) -> int:
-        pointers = read_if_present(self.spark, f"{self.root}/pointer", _POINTER)
-        return pointers.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        pointers = read_if_present(self.spark, f"{self.root}/pointer", _POINTER).inputFiles()
+        return max((int(path.rsplit("/version=", 1)[1].split("/")[0]) for path in pointers), default=0)
 
     def path(self, version: int) -> str:
         return f"{self.root}/version={version}"
@@ -45,10 +45,8 @@ class PublishedTable:
         return self.spark.read.schema(self.schema).parquet(self.path(version))
 
     def point_to(self, version: int) -> int:
-        row = self.spark.range(1).select(
-            F.lit(version).cast("bigint").alias("version"), F.current_timestamp().alias("published_at")
-        )
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
+        row = self.spark.range(1).select(F.current_timestamp().alias("published_at"))
+        row.write.mode("overwrite").parquet(f"{self.root}/pointer/version={version}")
         return version
 
     def publish(self, rows: DataFrame) -> int:

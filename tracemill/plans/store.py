@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DateType, IntegerType, LongType, StringType, StructField, StructType
 
-from tracemill.operators.positions import with_positions
 from tracemill.operators.validation import first_copies, unseen, validate
+from tracemill.plans.commits import CommitLog
+from tracemill.plans.id_index import LEAF_IDS, MAX_DIGITS, IdIndex, Segment
 from tracemill.plans.published import PublishedTable, read_if_present
 from tracemill.schemas import INVOCATION, INVOCATION_COLUMNS
 from tracemill.session import materialize
@@ -19,11 +20,16 @@ STORED = StructType(
     INVOCATION.fields
     + [StructField("batch_id", LongType()), StructField("event_date", DateType())]
 )
-# Write order of a stored record. Arrival order does not exist on a cluster, so batches
-# are ordered, and records inside a batch by time and id.
-WRITE_ORDER = ["batch_id", "ts", "event_id"]
+# The place a record was written to inside its batch: file and row, in order of time and id.
+_WRITTEN = StructType(STORED.fields + [StructField("slot", LongType()), StructField("attempt", LongType())])
+_ROW_BITS = 33
 RECORD_ORDER = ["ts"]
 
+_COMMITTED = StructType([
+    StructField("kind", StringType()), StructField("id", LongType()), StructField("folder", StringType()), StructField("rows", LongType()),
+    StructField("attempt", LongType()), StructField("digits", IntegerType()), StructField("dead", ArrayType(LongType())),
+])
+
 
 @dataclass(frozen=True)
 class AppendResult:
@@ -33,36 +39,86 @@ class AppendResult:
     dropped: int
 
 
+@dataclass(frozen=True)
+class _Contents:
+    """What is in force: batches by id with (folder, rows, attempt), segments of the id index, the next commit."""
+
+    batches: dict[int, Row]
+    segments: list[Segment]
+    next_commit: int
+
+
 class EventStore:
-    """Parquet below ``root/version=<g>``, partitioned by batch, ordered by time inside a batch.
+    """Parquet below ``root/version=<g>``, one folder per batch and attempt, ordered by time inside a batch.
+
+    A log of commits names the folders in force. Every write of a batch goes to a folder of its own and counts
+    once it is committed, so readers never see half of it; running the same batch id again replaces exactly what that
+    batch wrote before, which makes a retried micro-batch harmless. A generation is replaced only by :meth:`rebuild`.
 
-    A generation is replaced only by :meth:`rebuild`. A batch is its own partition, so
-    running the same batch id again replaces exactly what that batch wrote before; this is
-    what makes a retried micro-batch harmless.
+    Ids already stored are looked up in an index that is kept in the same log (see ``id_index``), and the log knows the
+    rows of each batch: neither an append nor a read after some position reads the earlier batches.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, root: str, leaf_ids: int = LEAF_IDS):
+        self.spark, self.leaf_ids = spark, leaf_ids
         self.table = PublishedTable(spark, root, STORED)
 
-    def _data_path(self, generation: int | None = None) -> str:
-        return self.table.path(self.table.version() if generation is None else generation)
+    def _log(self, generation: int) -> CommitLog:
+        return CommitLog(self.spark, f"{self.table.root}/log-{generation}", _COMMITTED, ["kind", "id"])
+
+    def _index(self, generation: int) -> IdIndex:
+        return IdIndex(self.spark, f"{self.table.root}/ids-{generation}", self.leaf_ids)
+
+    def _contents(self, generation: int) -> _Contents:
+        rows, number = self._log(generation).read()
+        return _Contents(
+            {r.id: r for r in rows if r.kind == "batch"},
+            [Segment(r.id, r.folder, r.rows, r.digits, list(r.dead or [])) for r in rows if r.kind == "segment"],
+            number,
+        )
+
+    def _rows(self, batches: list[Row], generation: int) -> DataFrame:
+        folders = [b.folder for b in batches if b.rows]
+        if not folders:
+            return self.spark.createDataFrame([], _WRITTEN)
+        return self.spark.read.schema(_WRITTEN).option("basePath", self.table.path(generation)).parquet(*folders)
 
     def read(self, after_batch: int | None = None) -> DataFrame:
-        """Stored records; ``after_batch`` prunes to later batches."""
-        rows = read_if_present(self.spark, self._data_path(), STORED)
-        return rows if after_batch is None else rows.where(F.col("batch_id") > after_batch)
+        """Stored records; ``after_batch`` reads later batches only."""
+        generation = self.table.version()
+        batches = self._contents(generation).batches
+        wanted = [b for n, b in sorted(batches.items()) if after_batch is None or n > after_batch]
+        return self._rows(wanted, generation).select(*STORED.fieldNames())
 
     def entries(self, after: int = 0) -> DataFrame:
-        """Records with their dense write position, from ``after`` on. Sorts the whole table."""
-        return with_positions(self.read(), WRITE_ORDER).where(F.col("position") > after)
+        """Records with their dense position from ``after`` on: by batch, then in the order they were written in.
+
+        The log knows where each batch begins, so earlier batches are not read; inside a batch the files are numbered
+        by their sizes. Nothing is sorted.
+        """
+        generation = self.table.version()
+        begins, wanted, total = [], [], 0
+        for number, batch in sorted(self._contents(generation).batches.items()):
+            if total + batch.rows > after:
+                begins.append((number, total))
+                wanted.append(batch)
+            total += batch.rows
+        rows = self._rows(wanted, generation).withColumn("_file", F.shiftright("slot", _ROW_BITS))
+        earlier = Window.partitionBy("batch_id").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = rows.groupBy("batch_id", "_file").agg(F.count(F.lit(1)).alias("_n"))
+        # One row per file of the batches read.
+        bases = sizes.join(self.spark.createDataFrame(begins, "batch_id bigint, _begin bigint"), "batch_id").select(
+            "batch_id", "_file", (F.col("_begin") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_base"))
+        row = F.col("slot").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+        placed = rows.join(bases, ["batch_id", "_file"]).withColumn("position", (F.col("_base") + row + 1).cast("bigint"))
+        return placed.select(*STORED.fieldNames(), "position").where(F.col("position") > after)
 
     def head(self) -> int:
         """Highest position: the number of stored records."""
-        return self.read().count()
+        return sum(b.rows for b in self._contents(self.table.version()).batches.values())
 
     def next_batch(self) -> int:
-        return self.read().agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0] + 1
+        return max(self._contents(self.table.version()).batches, default=-1) + 1
 
     def append(
         self,
@@ -76,8 +132,7 @@ class EventStore:
         ``order`` ranks copies of one id inside the batch; the first one is kept. Counts
         are taken from staged and committed files, so a retried task cannot inflate them.
         """
-        batch = self.next_batch() if batch_id is None else batch_id
-        return self._write(records, batch, self._data_path(), order or RECORD_ORDER, stage)
+        return self._write(records, batch_id, self.table.version(), order or RECORD_ORDER, stage)
 
     def rebuild(
         self,
@@ -87,18 +142,31 @@ class EventStore:
     ) -> AppendResult:
         """Write a new generation from scratch, then make it current."""
         generation = self.table.version() + 1
-        result = self._write(records, 0, self.table.path(generation), order or RECORD_ORDER, stage)
+        abandoned = self._contents(generation).batches
+        if abandoned:
+            self._log(generation).commit([
+                {"kind": kind, "id": n, "live": False} for kind, ids in (
+                    ("batch", abandoned), ("segment", [s.number for s in self._contents(generation).segments])) for n in ids])
+        result = self._write(records, 0, generation, order or RECORD_ORDER, stage)
         self.table.point_to(generation)
         return result
 
-    def _write(self, records, batch, path, order, stage) -> AppendResult:
+    def _write(self, records, batch, generation, order, stage) -> AppendResult:
+        contents = self._contents(generation)
+        batch = max(contents.batches, default=-1) + 1 if batch is None else batch
         extra = [c for c in order if c not in INVOCATION_COLUMNS]
         checked = stage(validate(records.select(*INVOCATION_COLUMNS, *extra)), "append")
         valid = checked.where("invalid_reason is null").drop("invalid_reason")
-        total, dropped = checked.agg(
-            F.count(F.lit(1)), F.count("invalid_reason")
+        # At most 16 ** MAX_DIGITS prefixes.
+        prefix = F.when(F.col("invalid_reason").isNull(), F.substring("event_id", 1, MAX_DIGITS))
+        total, dropped, prefixes = checked.agg(
+            F.count(F.lit(1)), F.count("invalid_reason"), F.collect_set(prefix)
         ).first()
-        stored = read_if_present(self.spark, path, STORED).where(F.col("batch_id") != batch)
+
+        # Ids of the attempt that this one replaces do not count as stored.
+        replaced = contents.batches.get(batch)
+        segments = [replace(s, dead=[*s.dead, replaced.attempt]) if replaced else s for s in contents.segments]
+        stored = self._index(generation).stored(segments, prefixes)
         fresh = (
             unseen(first_copies(valid, order), stored)
             .select(*INVOCATION_COLUMNS, F.to_date("ts").alias("event_date"))
@@ -106,12 +174,33 @@ class EventStore:
             # column statistics, a hot day is split, and a sparse batch stays a few files.
             .repartitionByRange("ts", "event_id")
             .sortWithinPartitions("ts", "event_id")
+            .withColumn("slot", F.monotonically_increasing_id())
         )
-        target = f"{path}/batch_id={batch}"
+        target = f"{self.table.path(generation)}/batch_id={batch}/attempt={contents.next_commit}"
         fresh.write.mode("overwrite").parquet(target)
         written = read_if_present(self.spark, target, INVOCATION).count()
+        self._commit(generation, batch, target, written, contents, segments if replaced else [])
         return AppendResult(batch, written, total - dropped - written, dropped)
 
+    def _commit(self, generation: int, batch: int, folder: str, rows: int, contents: _Contents, changed: list[Segment]) -> None:
+        """Put the batch in force together with its ids, then merge segments of the index as far as they are due."""
+        log, index, number = self._log(generation), self._index(generation), contents.next_commit
+
+        def row(segment: Segment, live: bool = True) -> dict:
+            return {"kind": "segment", "id": segment.number, "folder": segment.folder, "rows": segment.rows,
+                    "digits": segment.digits, "dead": segment.dead, "live": live}
+
+        own = Segment(number, folder, rows, 0)
+        replaced = contents.batches[batch].folder if batch in contents.batches else None
+        log.commit([{"kind": "batch", "id": batch, "folder": folder, "rows": rows, "attempt": number},
+                    *(row(s, live=s.folder != replaced) for s in changed), row(own)])
+        segments = [*(s for s in changed or contents.segments if s.folder != replaced), own]
+        while due := index.due(segments):
+            number = log.read()[1]
+            merged = index.merge(due, number)
+            log.commit([row(merged), *(row(s, live=False) for s in due)])
+            segments = [s for s in segments if s not in due] + [merged]
+
 
 def record_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows on one side only, with the side: empty when two stores hold the same records."""

@@ -4,16 +4,19 @@ The feed delivers rows (file, offset, value): a topic, a table or rotated segmen
 that grow in place are covered by scheduled batch ingests instead, because a file stream
 reads each file once.
 
-Every trigger lands the decoded lines and derives the touched files again from all their
-landed lines; the store drops what it already has. So a trigger may be skipped, repeated
-or replayed, a late result of a call that already ended as interrupted changes nothing,
-an early result waits for its call for as long as its lines are kept, and the outcome
-equals one batch ingest of the same lines.
+Every trigger merges its lines into a small state per file (see ``plans.carried``) and
+stores the records that became final; lines are not kept. The state lies in buckets of
+files: a trigger reads and rewrites the buckets of the files it touches, and a log of
+commits names the folder each bucket is in, together with the last epoch merged. So a
+trigger that is replayed changes nothing, a late result of a call that already ended as
+interrupted changes nothing, an early result waits for its call, and the outcome equals
+one batch ingest of the same lines, given that lines of an id used more than once come
+in file order.
 """
 
 from __future__ import annotations
 
-import time
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
@@ -21,30 +24,29 @@ from datetime import datetime, timedelta, timezone
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from tracemill.operators.sessions import Staleness, blind_files, cursor_floor, first_offsets
-from tracemill.plans.derive import DeriveOptions, derive
+from tracemill.operators.sessions import Staleness
+from tracemill.plans.carried import CarriedState, advance, forget, state_schema
+from tracemill.plans.commits import CommitLog
+from tracemill.plans.derive import DeriveOptions
 from tracemill.plans.ingest import WALK_ORDER, in_walk_order
-from tracemill.plans.published import read_if_present
 from tracemill.plans.store import AppendResult, EventStore
 from tracemill.session import materialize
 from tracemill.sources.lines import feed_lines
 from tracemill.sources.transcripts import decode_entries
 
 FEED = StructType().add("file", "string").add("offset", "long").add("value", "string")
-_LEDGER = StructType().add("epoch", "long").add("batch_id", "long")
+_LOG = (
+    StructType().add("kind", "string").add("id", "long").add("folder", "string").add("rows", "long")
+    .add("batch_id", "long").add("merged", "boolean")
+)
 
-# Landed lines are spread over this many folders by file, so that deriving a few files
-# again reads only their folders.
-LANDING_BUCKETS = 64
-
-
-def _landing_schema(spark: SparkSession) -> StructType:
-    empty = decode_entries(feed_lines(spark.createDataFrame([], FEED)))
-    return StructType(empty.schema.fields).add("epoch", "long").add("bucket", "integer")
+# The state is spread over this many folders by file, so that a trigger only rewrites
+# those of the files it touches.
+STATE_BUCKETS = 64
 
 
 class Collector:
@@ -59,59 +61,93 @@ class Collector:
         options: DeriveOptions,
         clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
         cap: int | None = None,
+        buckets: int = STATE_BUCKETS,
     ):
         self.spark, self.landing, self.store = spark, landing.rstrip("/"), store
-        self.consent, self.options, self.clock, self.cap = consent, options, clock, cap
-        self.schema = _landing_schema(spark)
-
-    def landed(self) -> DataFrame:
-        return read_if_present(self.spark, f"{self.landing}/lines", self.schema)
+        self.consent, self.options, self.clock, self.cap, self.buckets = consent, options, clock, cap, buckets
+        self.log = CommitLog(spark, f"{self.landing}/log", _LOG, ["kind", "id"])
+        self.entries = decode_entries(feed_lines(spark.createDataFrame([], FEED))).schema
+        state = state_schema(spark, self.entries, options, consent)
+        self.schema = StructType(state.fields).add("bucket", "integer")
 
     def _options(self) -> DeriveOptions:
         stale = self.options.staleness
         return replace(self.options, staleness=Staleness(stale.timeout, self.clock()))
 
-    def _batch_of(self, epoch: int) -> int:
-        """The store batch of a micro-batch; a retry gets the one it was given first."""
-        ledger = read_if_present(self.spark, f"{self.landing}/ledger", _LEDGER)
-        known = ledger.where(F.col("epoch") == epoch).agg(F.min("batch_id")).first()[0]
-        if known is not None:
-            return known
-        batch = max(self.store.next_batch(), ledger.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0] + 1)
-        self.spark.createDataFrame([(epoch, batch)], _LEDGER).coalesce(1).write.mode("append").parquet(
-            f"{self.landing}/ledger"
-        )
-        return batch
-
-    def _derive_and_append(self, touched: DataFrame, batch: int | None) -> AppendResult:
-        entries = self.landed().join(touched, ["bucket", "file"], "left_semi").drop("epoch", "bucket")
-        entries = materialize(entries, "touched")
-        derived = derive(entries, self.consent, self._options(), materialize)
-        return self.store.append(in_walk_order(derived.records), batch_id=batch, order=WALK_ORDER)
+    def _bucket(self):
+        return F.pmod(F.xxhash64("file"), F.lit(self.buckets)).cast("int")
+
+    def state_rows(self, buckets: list[int] | None = None) -> DataFrame:
+        """The packed state in force, of all buckets or of some."""
+        folders = [r.folder for r in self.log.read()[0] if r.kind == "bucket" and r.rows and (buckets is None or r.id in buckets)]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("basePath", f"{self.landing}/state").parquet(*folders)
+
+    def _advance(self, entries: DataFrame, buckets: list[int], batch: int | None, epoch: int | None = None) -> AppendResult:
+        """Merge entries into the state of their buckets, store what became final, then put the new state in force."""
+        state = CarriedState.unpacked(self.state_rows(buckets))
+        records, state = advance(entries, state, self.consent, self._options(), materialize)
+        appended = self.store.append(in_walk_order(records), batch_id=batch, order=WALK_ORDER)
+        done = [] if epoch is None else [{"kind": "epoch", "id": epoch, "batch_id": batch, "merged": True}]
+        self._write(state, buckets, done)
+        return appended
+
+    def _write(self, state: CarriedState, buckets: list[int], changes: list[dict]) -> None:
+        rows, number = self.log.read()
+        folder = f"{self.landing}/state/commit={number}"
+        # Files of even size per bucket; a bucket with very many rows becomes several.
+        packed = state.packed().withColumn("bucket", self._bucket()).select(*self.schema.fieldNames())
+        packed.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        written = self.spark.read.schema(self.schema).parquet(folder)
+        sizes = {r["bucket"]: r["count"] for r in written.groupBy("bucket").count().collect()}
+        epochs = [r.id for r in rows if r.kind == "epoch" and r.merged]
+        forgotten = [{"kind": "epoch", "id": e, "live": False} for e in epochs if changes and e != changes[0]["id"]]
+        self.log.commit([
+            *changes, *forgotten,
+            *({"kind": "bucket", "id": b, "folder": f"{folder}/bucket={b}", "rows": sizes.get(b, 0)} for b in buckets)])
 
     def process(self, feed: DataFrame, epoch: int) -> AppendResult:
-        """Body of ``foreachBatch``; running one epoch again replaces what it wrote."""
-        bucket = F.pmod(F.xxhash64("file"), F.lit(LANDING_BUCKETS)).cast("int")
-        target = f"{self.landing}/lines/epoch={epoch}"
-        decode_entries(feed_lines(feed, self.cap)).withColumn("bucket", bucket).write.mode(
-            "overwrite"
-        ).partitionBy("bucket").parquet(target)
-        touched = self.landed().where(F.col("epoch") == epoch).select("bucket", "file").distinct()
-        return self._derive_and_append(touched, self._batch_of(epoch))
+        """Body of ``foreachBatch``; an epoch that was merged before is left alone.
+
+        The store batch of an epoch is fixed before anything is stored: a trigger that failed half-way replaces it.
+        """
+        known = {r.id: r for r in self.log.read()[0] if r.kind == "epoch"}
+        merged = [e for e, r in known.items() if r.merged]
+        if merged and epoch <= max(merged):
+            return AppendResult(known[epoch].batch_id if epoch in known else -1, 0, 0, 0)
+        batch = known[epoch].batch_id if epoch in known else self.store.next_batch()
+        if epoch not in known:
+            self.log.commit([{"kind": "epoch", "id": epoch, "batch_id": batch, "merged": False}])
+        entries = materialize(decode_entries(feed_lines(feed, self.cap)), "entries")
+        return self._advance(entries, self._buckets_of(entries), batch, epoch)
+
+    def _buckets_of(self, files: DataFrame) -> list[int]:
+        return sorted(r.bucket for r in files.select(self._bucket().alias("bucket")).distinct().collect())
+
+    def _all_buckets(self) -> list[int]:
+        return sorted(r.id for r in self.log.read()[0] if r.kind == "bucket")
 
     def sweep(self, files: DataFrame | None = None) -> AppendResult:
-        """Apply the closing rule by the clock, to all landed files or to ``files(file)``."""
-        known = self.landed().select("bucket", "file").distinct()
-        touched = known if files is None else known.join(files.select("file"), "file", "left_semi")
-        return self._derive_and_append(touched, None)
+        """Apply the closing rule by the clock to the state, of all files or of the buckets of ``files(file)``."""
+        buckets = self._all_buckets() if files is None else self._buckets_of(files)
+        return self._advance(self.spark.createDataFrame([], self.entries), buckets, None)
 
     def cursors(self) -> DataFrame:
         """Per file: open sessions and the offset its lines must be kept from."""
-        entries = self.landed()
-        return cursor_floor(
-            entries.select("file").distinct(), first_offsets(entries), blind_files(entries),
-            self._options().staleness,
-        )
+        return CarriedState.unpacked(self.state_rows()).cursors(self._options().staleness)
+
+    def retain(self) -> DataFrame:
+        """Sweep, then drop from the state what lies before the cursors; returns them.
+
+        The feed may be cut at the cursors as well: no line before them is needed again.
+        """
+        self.sweep()
+        staleness, buckets = self._options().staleness, self._all_buckets()
+        state = CarriedState.unpacked(self.state_rows())
+        cursors = materialize(state.cursors(staleness), "cursors")
+        self._write(forget(state, staleness), buckets, [])
+        return cursors
 
     def stream(self, feed: DataFrame, checkpoint: str) -> DataStreamWriter:
         """The configured writer of the collecting stream; the caller sets a trigger and starts it."""
@@ -122,7 +158,10 @@ class Collector:
         )
 
     def closing_stream(self, feed: DataFrame, checkpoint: str, timeout: timedelta) -> DataStreamWriter:
-        """Sweeps exactly the files whose sessions fall silent, without waiting for new lines."""
+        """Sweeps the files whose sessions fall silent, without waiting for new lines.
+
+        The records come from the collector's state; nothing is derived a second time.
+        """
         closures = session_closures(feed, timeout, self.cap)
         return (
             closures.writeStream.option("checkpointLocation", checkpoint)
@@ -187,23 +226,52 @@ def collect_available(writer: DataStreamWriter) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def run_until_closed(writer: DataStreamWriter, poll_seconds: float = 0.5) -> None:
+class _Emptied(StreamingQueryListener):
+    """Notices when a query has read its feed and its state is empty, or has ended."""
+
+    def __init__(self):
+        self.query_id, self.over = None, threading.Event()
+
+    def _own(self, query_id) -> bool:
+        return self.query_id is not None and str(query_id) == self.query_id
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if self._own(progress.id) and progress.numInputRows == 0 and progress.stateOperators and all(
+            o.numRowsTotal == 0 for o in progress.stateOperators
+        ):
+            self.over.set()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if self._own(event.id):
+            self.over.set()
+
+
+def run_until_closed(writer: DataStreamWriter) -> None:
     """Run a stream with timers until it has read its feed and holds no session any more.
 
     A query with processing-time timers always wants another batch, so it never ends under
     ``availableNow``; in service it simply keeps running on a processing-time trigger. Here
-    every session is waited for, however young: the end follows from the state alone.
+    every session is waited for, however young: the end follows from the state alone, which
+    the query reports after each batch.
     """
-    query = writer.trigger(processingTime="0 seconds").start()
+    spark = SparkSession.getActiveSession()
+    listener = _Emptied()
+    spark.streams.addListener(listener)
     try:
-        while query.isActive:
-            latest = query.recentProgress[-2:]
-            if len(latest) == 2 and all(
-                p.numInputRows == 0 and all(o.numRowsTotal == 0 for o in p.stateOperators) for p in latest
-            ):
-                break
-            time.sleep(poll_seconds)
-        if query.exception() is not None:
-            raise query.exception()
+        query = writer.trigger(processingTime="0 seconds").start()
+        listener.query_id = str(query.id)
+        try:
+            listener.over.wait()
+            if query.exception() is not None:
+                raise query.exception()
+        finally:
+            query.stop()
     finally:
-        query.stop()
+        spark.streams.removeListener(listener)

@@ -5,10 +5,10 @@ phrase is the beginning of exactly one window per occurrence, so the counts of t
 ROLLUP over ever shorter prefixes, are the counts of all phrases of one to five words, and the total is the number of
 words. No phrase length is exploded on its own.
 
-Windows are padded as early as they can be without losing a phrase that is frequent enough: a first pass counts
-neighbouring words by hash bucket, and a window ends before a neighbour whose bucket holds too few. A bucket that
-several pairs share only lets a window grow longer than it need; the counts that decide are exact. The buckets are a
-bitmap of fixed size, whatever the size of the corpus.
+Windows are padded as early as they can be without losing a phrase that is frequent enough: before them, runs of one
+and two words, then runs of three words of which both pairs are left, are counted by hash bucket, and a window ends
+where the next run's bucket holds too few. A bucket that several runs share only lets a window grow longer than it
+need; the counts that decide are exact. The buckets are bitmaps of fixed size, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tracemill.llm.common import merged, stage
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: Share of a phrase's occurrences, in percent, that a longer phrase must cover to replace it.
 COVERED_PERCENT = 100
-#: Buckets of the bitmap as a power of two (16 MB).
+#: Buckets of a bitmap as a power of two (16 MB each); 15 at least.
 BUCKET_BITS = 27
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -44,11 +44,10 @@ def pieces(text: bytes | None) -> Iterator[list[bytes]]:
             yield found
 
 
-def _mixed(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket of a pair of hashes."""
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash of two hashes."""
     value = first * np.uint64(0x9E3779B97F4A7C15) + (second ^ (second >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    value = (value ^ (value >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return value >> np.uint64(64 - bits)
+    return (value ^ (value >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
 class Words:
@@ -67,22 +66,34 @@ class Words:
         seed = xxhash.xxh32_intdigest(lang.encode())
         self.hashes = np.array([xxhash.xxh64_intdigest(word, seed) for word in self.words] or [0], dtype=np.uint64)
 
-    def pair_buckets(self, bits: int) -> np.ndarray:
-        """Bucket of each word and the next one; -1 where either is a gap."""
-        first, second = self.flat[:-1], self.flat[1:]
-        buckets = _mixed(self.hashes[first], self.hashes[second], bits).astype(np.int64)
-        return np.where((first >= 0) & (second >= 0), buckets, -1)
+    def runs(self, size: int, bits: int) -> np.ndarray:
+        """Bucket of the run of ``size`` words from each place; -1 where a gap or the end comes first."""
+        whole = self.flat >= 0
+        value = self.hashes[self.flat]
+        for step in range(1, size):
+            whole = whole & np.append(self.flat[step:] >= 0, [False] * step)
+            value = _mixed(value, np.append(self.hashes[self.flat[step:]], np.zeros(step, dtype=np.uint64)))
+        return np.where(whole, (_mixed(value, np.uint64(size)) >> np.uint64(64 - bits)).astype(np.int64), -1)
+
+    def frequent(self, size: int, bits: int, bitmaps: dict[int, np.ndarray]) -> np.ndarray:
+        """Whether the run of ``size`` words from each place may be frequent enough."""
+        buckets = self.runs(size, bits)
+        return (buckets >= 0) & ((bitmaps[size][buckets >> 3] >> (buckets & 7).astype(np.uint8)) & 1).astype(bool)
 
-    def windows(self, frequent: np.ndarray, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, bitmaps: dict[int, np.ndarray], size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct windows (rows of word numbers, -1 for padding) and how often each stands here."""
         at = np.flatnonzero(self.flat >= 0)
-        buckets = self.pair_buckets(bits)
-        goes_on = np.append((buckets >= 0) & ((frequent[buckets >> 3] >> (buckets & 7).astype(np.uint8)) & 1).astype(bool), False)
-        columns, codes, count = [self.flat[at]], self.flat[at], len(self.words)
-        going = np.ones(len(at), dtype=bool)
+        pair, triple = (np.append(self.frequent(n, bits, bitmaps), [False] * size) for n in (2, 3))
+        flat = np.append(self.flat, [-1] * size)
+        going = self.frequent(1, bits, bitmaps)[at]
+        first = np.where(going, flat[at], -1)
+        # Number 0 stands for a window that is padding throughout.
+        columns, codes, count = [first], first + 1, len(self.words) + 1
         for step in range(1, size):
-            going = going & goes_on[np.minimum(at + step - 1, len(goes_on) - 1)]
-            column = np.where(going, self.flat[np.minimum(at + step, len(self.flat) - 1)], -1)
+            going = going & pair[at + step - 1]
+            if step > 1:
+                going = going & triple[at + step - 2]
+            column = np.where(going, flat[at + step], -1)
             columns.append(column)
             # Windows equal so far have one code; only those that go on are told apart further.
             longer = np.flatnonzero(going)
@@ -107,28 +118,38 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
                 yield found
 
 
-def frequent_pairs(texts: DataFrame, min_count: int, bits: int) -> np.ndarray:
-    """Bits of the buckets in which neighbouring words stand ``min_count`` times or more, packed from the lowest bit."""
+def frequent_runs(texts: DataFrame, sizes: tuple[int, ...], known: dict[int, np.ndarray], min_count: int, bits: int) -> dict[int, np.ndarray]:
+    """By size, the bits of the buckets that hold ``min_count`` runs or more, packed from the lowest bit.
+
+    Runs of three are counted only where both pairs may be frequent enough.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _by_language(batches):
-            buckets = found.pair_buckets(bits)
-            bucket, n = np.unique(buckets[buckets >= 0], return_counts=True)
+            buckets = []
+            for number, size in enumerate(sizes):
+                runs = found.runs(size, bits)
+                if size == 3:
+                    pair = found.frequent(2, bits, known)
+                    runs = np.where(pair & np.append(pair[1:], False), runs, -1)
+                buckets.append(runs[runs >= 0] + (number << bits))
+            bucket, n = np.unique(np.concatenate(buckets), return_counts=True)
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int64()), "n": pa.array(n, pa.int64())})
 
     buckets = texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     rows = buckets.groupBy((F.col("bucket") / BITMAP_ROW).cast("int").alias("row")).agg(
         F.bitmap_construct_agg(F.col("bucket") % BITMAP_ROW).alias("bits")).collect()
-    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    size_bytes = (1 << bits) // 8
+    out = np.zeros(len(sizes) * size_bytes, dtype=np.uint8)
     for row in rows:
-        out[row.row * (BITMAP_ROW // 8):(row.row + 1) * (BITMAP_ROW // 8)] = np.frombuffer(bytes(row.bits), dtype=np.uint8)[:len(out)]
-    return out
+        out[row.row * (BITMAP_ROW // 8):(row.row + 1) * (BITMAP_ROW // 8)] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
+    return {size: out[number * size_bytes:(number + 1) * size_bytes] for number, size in enumerate(sizes)}
 
 
-def padded_windows(texts: DataFrame, frequent: np.ndarray, size: int, bits: int) -> DataFrame:
+def padded_windows(texts: DataFrame, bitmaps: dict[int, np.ndarray], size: int, bits: int) -> DataFrame:
     """``lang``, ``w1`` to ``w<size>`` (null for padding) and ``n``, added up within a batch."""
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _by_language(batches):
-            rows, counts = found.windows(frequent, size, bits)
+            rows, counts = found.windows(bitmaps, size, bits)
             words = pa.array(found.words, pa.binary()).cast(pa.string())
             columns = {f"w{i + 1}": words.take(pa.array(rows[:, i], mask=rows[:, i] < 0)) for i in range(size)}
             yield pa.RecordBatch.from_pydict({"lang": pa.array([found.lang] * len(counts), pa.string()), **columns, "n": pa.array(counts, pa.int64())})
@@ -140,13 +161,13 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
                   min_count: int = MIN_COUNT, bucket_bits: int = BUCKET_BITS) -> DataFrame:
     """``lang``, ``size``, ``phrase`` and ``f`` of all phrases of up to ``max_words`` words with ``f >= min_count``.
 
-    The row of size 0 of a language holds its number of words. Single words that are no part of a longer phrase counted
-    here may come out too.
+    The row of size 0 of a language holds its number of words.
     """
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    frequent = frequent_pairs(texts, min_count, bucket_bits)
+    bitmaps = frequent_runs(texts, (1, 2), {}, min_count, bucket_bits)
+    bitmaps |= frequent_runs(texts, (3,), bitmaps, min_count, bucket_bits)
     lead = [f"w{i + 1}" for i in range(max_words)]
-    top = padded_windows(texts, frequent, max_words, bucket_bits).groupBy("lang", *lead).agg(F.sum("n").alias("n"))
+    top = padded_windows(texts, bitmaps, max_words, bucket_bits).groupBy("lang", *lead).agg(F.sum("n").alias("n"))
     sums = top.rollup("lang", *lead).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
     # The columns that a level keeps are those of the phrase; a null among them is padding, whose count is no phrase.
     sizes = {(1 << (max_words - k)) - 1: k for k in range(max_words + 1)}

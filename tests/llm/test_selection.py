@@ -86,8 +86,10 @@ HARD = ["<|endoftext|> it's  two\n\n lines\t", "naïve größe 12345 日本語 
 
 
 def test_ids_equal_those_of_tokenizers():
-    encode = packing.encoder(packing.vocabulary_path()).encode_ordinary
-    for text, want in zip(HARD, by_tokenizers(HARD), strict=True):
+    encode = packing.token_ids(packing.vocabulary_path())
+    end = "<|endoftext|>"
+    added = [end, f"{end}{end}", f"in{end}side", f"{end} at both ends {end}", f" {end} \n", end[:-1], f"<{end}>", f"twice {end}{end}, {end.upper()}"]
+    for text, want in zip([*HARD, *added], by_tokenizers([*HARD, *added]), strict=True):
         assert [*encode(text), 2] == want
 
 

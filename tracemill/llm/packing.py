@@ -11,8 +11,9 @@ bounded chunks of the staged table, to find their sequence and offset.
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +37,7 @@ def vocabulary_path() -> str:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """A byte-level BPE vocabulary file as a fast encoder; its special tokens are ordinary text.
+    """A byte-level BPE vocabulary file as a fast encoder of text without added tokens.
 
     The file's vocabulary numbers merges in their order, so ids serve as ranks. A test holds the ids against
     those of the tokenizers library.
@@ -55,6 +56,28 @@ def encoder(path: str):
     return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def token_ids(path: str) -> Callable[[str], list[int]]:
+    """Ids of a text as the tokenizers library gives them: added tokens of the file are found first, the longest first."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens", [])
+    if any(token.get(flag) for token in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take in what stands around them are not supported")
+    ordinary, ids = encoder(path).encode_ordinary, {token["content"]: token["id"] for token in added}
+    found = re.compile("|".join(re.escape(content) for content in sorted(ids, key=len, reverse=True)))
+
+    def encode(text: str) -> list[int]:
+        if not ids or not found.search(text):
+            return ordinary(text)
+        out, at = [], 0
+        for match in found.finditer(text):
+            out += [*ordinary(text[at:match.start()]), ids[match[0]]]
+            at = match.end()
+        return [*out, *ordinary(text[at:])]
+
+    return encode
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
            end_id: int = END_ID, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Token pieces of every document: ``doc_id, piece, start, length, ids_crc32`` and, if asked, ``ids``.
@@ -67,7 +90,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = token_ids(vocabulary)
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):

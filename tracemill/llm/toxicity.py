@@ -108,15 +108,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     """Fit on at most ``fit_rows`` labelled documents, chosen by a hash of their id.
 
     Only ids, at most ``max features`` counts and sparse vectors of the sample come to the driver. Null labels and
-    ids do not take part; of several labels of a document the highest counts. Without toxic labels the model finds
-    nothing toxic.
+    ids do not take part; of several labels of a document the highest counts, of several rows of an id the text with the
+    smallest hash. Without toxic labels the model finds nothing toxic.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("label")).dropna()
     known = known.groupBy("__id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(fit_rows)
     # At most fit_rows rows of two numbers: safe to broadcast.
     sample = docs.join(F.broadcast(stage(chosen, "labels")), F.col(f"`{id_col}`") == F.col("__id"))
-    sample = stage(sample.select("__id", (F.col("label") > 0).cast("int").alias("label"), F.col(f"`{text_col}`").alias("text")), "fit")
+    sample = sample.select("__id", (F.col("label") > 0).cast("int").alias("label"), F.col(f"`{text_col}`").alias("text"))
+    # One row of an id, however often it repeats; combines before its shuffle.
+    sample = stage(sample.groupBy("__id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")), "fit")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import merged, stage
@@ -286,17 +286,25 @@ def replace_entities(text: str | None, key: bytes, attempts: dict[tuple[str, str
     return "".join([*out, text[at:]]), len(found)
 
 
+def _row_key() -> Column:
+    """A key of a row by id and text: rows without id, and texts that share an id, stay apart.
+
+    Two rows that share a key by chance only share their tables of redrawn entities, which hold for every row.
+    """
+    return F.xxhash64("doc_id", "text").alias("key")
+
+
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``doc_id``, ``kind``, ``canonical``) of the distinct entities of every document."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    """(``key`` of the row, ``kind``, ``canonical``) of the distinct entities of every row."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).select(_row_key(), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(doc, *entity) for doc, text in zip(batch["doc_id"], batch["text"], strict=True)
+            found = [(row, *entity) for row, text in zip(batch["key"], batch["text"], strict=True)
                      for entity in sorted({(kind, canonical) for _, _, kind, canonical in find_entities(text)})]
-            yield pd.DataFrame(found, columns=["doc_id", "kind", "canonical"])
+            yield pd.DataFrame(found, columns=["key", "kind", "canonical"])
 
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, kind string, canonical string")
+    return rows.mapInPandas(run, "key bigint, kind string, canonical string")
 
 
 def _marked(kind: str, canonical: str, made: str) -> str:
@@ -336,17 +344,16 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """(``doc_id``, ``text`` with surrogates, ``n_entities``) of every row.
 
     * null texts stay null, empty ones empty; texts without entities are unchanged; long texts are read whole
-    * the same entity gets the same surrogate in every row, repeated rows included; the result depends on the key and
-      on the set of entities only
+    * the same entity gets the same surrogate in every row, repeated rows and rows without id included; the result
+      depends on the key and on the set of entities only
     * an empty table gives an empty result; other columns, whatever their names, are not read
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     named = stage(mentions(docs, id_col, text_col), "mentions")
     redrawn = stage(assign(named.select("kind", "canonical").distinct(), key), "redrawn")
-    special = named.join(redrawn, ["kind", "canonical"]).groupBy("doc_id").agg(
+    special = named.join(redrawn, ["kind", "canonical"]).groupBy("key").agg(
         F.collect_set(F.struct("kind", "canonical", "attempt")).alias("redrawn"))
-    special = stage(special.withColumnRenamed("doc_id", "__id"), "special")
-    joined = rows.join(merged(special), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "redrawn")
+    joined = rows.withColumn("key", _row_key()).join(merged(stage(special, "special")), "key", "left").select("doc_id", "text", "redrawn")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

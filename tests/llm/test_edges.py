@@ -73,3 +73,34 @@ def test_pipeline_over_odd_rows(spark, tmp_path):
     spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     labels.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_rows_without_id_are_later_than_any(spark):
+    prepare(spark)
+    texts = {n: invented(n, 1500) for n in (1, 2, 3)}
+    near = lambda text, n: f"{text} other{n}"
+    rows = [(7, texts[1]), (None, texts[1]), (None, near(texts[1], 1)), (None, near(texts[1], 2)),
+            (None, texts[2]), (None, near(texts[2], 2)), (None, texts[2] + " "), (9, texts[3]), (9, texts[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    component = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert component == {(7, 7), (None, 7), (None, None), (9, 9)}
+    left = simhash.one_per_component(docs).collect()
+    assert sorted((r.doc_id or 0) for r in left) == [0, 7, 9]
+    assert [r.text for r in left if r.doc_id is None][0] in (texts[2] + " ", near(texts[2], 2))
+
+
+def test_surrogates_of_rows_without_id_stay_apart(spark):
+    prepare(spark)
+    docs = spark.createDataFrame([(None, f"password={n}", "en", "s", 0) for n in range(10)] * 2, SCHEMA)
+    made = [r.text.removeprefix("password=") for r in surrogates.pseudonymise(docs, b"key").collect()]
+    assert len(made) == 20 and len(set(made)) == 10 and not {str(n) for n in range(10)} & set(made)
+
+
+def test_labelled_sample_is_bounded_by_rows(spark, monkeypatch):
+    docs, labels, _ = labelled(spark, 200, 5)
+    again = docs.union(docs.limit(1).crossJoin(spark.range(500)).drop("id"))
+    sizes = []
+    fit = toxicity.fit_ordinal
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda rows, *a: (sizes.append(len(rows)), fit(rows, *a))[1])
+    toxicity.fit(again, labels, fit_rows=50)
+    assert sizes == [50]

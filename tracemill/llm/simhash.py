@@ -26,10 +26,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import merged, one_of_equal, stage
+from tracemill.llm.common import merged, one_of_equal, squeezed, stage
 from tracemill.llm.components import Forest, components
 
 SHINGLE_WORDS = 3
@@ -67,16 +67,17 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(``doc_id``, ``fp``) per row; ``fp`` is the fingerprint as a signed long."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+                 shingle_words: int = SHINGLE_WORDS, digest: Column | None = None) -> DataFrame:
+    """(``doc_id``, ``fp``, ``digest``) per row; ``fp`` is the fingerprint as a signed long, ``digest`` what was given."""
+    digest = F.lit(None) if digest is None else digest
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), digest.cast("string").alias("digest"))
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = np.array([fingerprint(text, shingle_words) for text in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": values.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": values.view(np.int64), "digest": batch["digest"]})
 
-    return rows.mapInPandas(compute, f"doc_id {dict(rows.dtypes)['doc_id']}, fp bigint")
+    return rows.mapInPandas(compute, f"doc_id {dict(rows.dtypes)['doc_id']}, fp bigint, digest string")
 
 
 class Block:
@@ -274,6 +275,16 @@ def links(fps: DataFrame, codes: tuple = BLOCKS, threshold: int = THRESHOLD, hom
     return runs.mapInArrow(_compare(threshold), "a bigint, b bigint")
 
 
+def members(prints: DataFrame, codes: tuple = BLOCKS, threshold: int = THRESHOLD) -> DataFrame:
+    """Staged fingerprints with the ``root`` of their component and its ``component_id``, null where no row has an id."""
+    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    member = components(links(distinct, codes, threshold))
+    rooted = stage(distinct.join(member, distinct["fp"] == member["node"], "left")
+                   .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
+    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return prints.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
                     threshold: int = THRESHOLD, codes: tuple = BLOCKS) -> DataFrame:
     """(``doc_id``, ``fingerprint`` in 16 hex digits, ``component_id``) per row.
@@ -286,27 +297,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     * repeated rows come back as often as they occur, in one component
     * an empty table gives an empty result; other columns, whatever their names, are not read
     """
-    prints = stage(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    member = components(links(distinct, codes, threshold))
-    rooted = stage(distinct.join(member, distinct["fp"] == member["node"], "left")
-                   .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = members(stage(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints"), codes, threshold)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the smallest id of their component, with all their columns.
 
     Of rows that repeat an id those with different texts all stay if one of them is first in its component; of those
-    with equal texts (white space aside) one stays.
+    with equal texts (white space aside) one stays. A row without id is later than any with one; of a component whose
+    rows all lack an id one row stays, that with the smallest digest.
     """
-    ids = near_duplicates(docs, id_col, text_col).groupBy("doc_id").agg(
+    column, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    digest = F.sha2(F.encode(squeezed(text), "UTF-8"), 256)
+    member = stage(members(stage(fingerprints(docs, id_col, text_col, digest=F.when(column.isNull(), digest)), "fingerprints")), "members")
+    ids = member.where("doc_id is not null").groupBy("doc_id").agg(
         F.min(F.col("doc_id") != F.col("component_id")).alias("later"), F.count("*").alias("rows"))
     ids = stage(ids.where("later or rows > 1"), "near-copies")
     gone = ids.where("later").select(F.col("doc_id").alias("__gone_id"))
-    left = docs.join(merged(gone), F.col(f"`{id_col}`") == F.col("__gone_id"), "left_anti")
-    again = ids.where("not coalesce(later, false) and rows > 1").select(F.col("doc_id").alias("__again_id"))
-    return one_of_equal(left, again, id_col, text_col)
+    left = docs.where(column.isNotNull()).join(merged(gone), column == F.col("__gone_id"), "left_anti")
+    again = ids.where("not later and rows > 1").select(F.col("doc_id").alias("__again_id"))
+    named = one_of_equal(left, again, id_col, text_col)
+
+    chosen = member.where("doc_id is null and component_id is null").groupBy("root").agg(F.min("digest").alias("__chosen"))
+    chosen = stage(chosen.select("__chosen"), "nameless")
+    if chosen.isEmpty():
+        return named
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    nameless = docs.where(column.isNull()).withColumn("__digest", digest).join(merged(chosen), F.col("__digest") == F.col("__chosen"), "left_semi")
+    once = nameless.groupBy("__digest").agg(F.max_by(row, F.coalesce(F.char_length(text), F.lit(0))).alias("__row")).select("__row.*")
+    return named.unionByName(once)

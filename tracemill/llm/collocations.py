@@ -5,15 +5,15 @@ phrase is the beginning of exactly one window per occurrence, so the counts of t
 ROLLUP over ever shorter prefixes, are the counts of all phrases of one to five words, and the total is the number of
 words. No phrase length is exploded on its own.
 
-Windows are padded as early as they can be without losing a phrase that is frequent enough: before them, runs of one
-and two words, then runs of three words of which both pairs are left, are counted by hash bucket, and a window ends
-where the next run's bucket holds too few. A bucket that several runs share only lets a window grow longer than it
+Windows are padded as early as they can be without losing a phrase that is frequent enough: before them, runs of two
+words, then runs of three words of which both pairs are left, are counted by hash bucket, and a window ends where the
+next run's bucket holds too few. A bucket that several runs share only lets a window grow longer than it
 need; the counts that decide are exact. The buckets are bitmaps of fixed size, whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,10 +85,8 @@ class Words:
         at = np.flatnonzero(self.flat >= 0)
         pair, triple = (np.append(self.frequent(n, bits, bitmaps), [False] * size) for n in (2, 3))
         flat = np.append(self.flat, [-1] * size)
-        going = self.frequent(1, bits, bitmaps)[at]
-        first = np.where(going, flat[at], -1)
-        # Number 0 stands for a window that is padding throughout.
-        columns, codes, count = [first], first + 1, len(self.words) + 1
+        going = np.ones(len(at), dtype=bool)
+        columns, codes, count = [flat[at]], flat[at], len(self.words)
         for step in range(1, size):
             going = going & pair[at + step - 1]
             if step > 1:
@@ -118,31 +116,27 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
                 yield found
 
 
-def frequent_runs(texts: DataFrame, sizes: tuple[int, ...], known: dict[int, np.ndarray], min_count: int, bits: int) -> dict[int, np.ndarray]:
-    """By size, the bits of the buckets that hold ``min_count`` runs or more, packed from the lowest bit.
+def frequent_runs(texts: DataFrame, size: int, known: dict[int, np.ndarray], min_count: int, bits: int) -> np.ndarray:
+    """Bits of the buckets that hold ``min_count`` runs of ``size`` words or more, packed from the lowest bit.
 
     Runs of three are counted only where both pairs may be frequent enough.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _by_language(batches):
-            buckets = []
-            for number, size in enumerate(sizes):
-                runs = found.runs(size, bits)
-                if size == 3:
-                    pair = found.frequent(2, bits, known)
-                    runs = np.where(pair & np.append(pair[1:], False), runs, -1)
-                buckets.append(runs[runs >= 0] + (number << bits))
-            bucket, n = np.unique(np.concatenate(buckets), return_counts=True)
+            runs = found.runs(size, bits)
+            if size == 3:
+                pair = found.frequent(2, bits, known)
+                runs = np.where(pair & np.append(pair[1:], False), runs, -1)
+            bucket, n = np.unique(runs[runs >= 0], return_counts=True)
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int64()), "n": pa.array(n, pa.int64())})
 
     buckets = texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     rows = buckets.groupBy((F.col("bucket") / BITMAP_ROW).cast("int").alias("row")).agg(
         F.bitmap_construct_agg(F.col("bucket") % BITMAP_ROW).alias("bits")).collect()
-    size_bytes = (1 << bits) // 8
-    out = np.zeros(len(sizes) * size_bytes, dtype=np.uint8)
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
     for row in rows:
         out[row.row * (BITMAP_ROW // 8):(row.row + 1) * (BITMAP_ROW // 8)] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
-    return {size: out[number * size_bytes:(number + 1) * size_bytes] for number, size in enumerate(sizes)}
+    return out
 
 
 def padded_windows(texts: DataFrame, bitmaps: dict[int, np.ndarray], size: int, bits: int) -> DataFrame:
@@ -164,8 +158,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     The row of size 0 of a language holds its number of words.
     """
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    bitmaps = frequent_runs(texts, (1, 2), {}, min_count, bucket_bits)
-    bitmaps |= frequent_runs(texts, (3,), bitmaps, min_count, bucket_bits)
+    bitmaps = {2: frequent_runs(texts, 2, {}, min_count, bucket_bits)}
+    bitmaps[3] = frequent_runs(texts, 3, bitmaps, min_count, bucket_bits)
     lead = [f"w{i + 1}" for i in range(max_words)]
     top = padded_windows(texts, bitmaps, max_words, bucket_bits).groupBy("lang", *lead).agg(F.sum("n").alias("n"))
     sums = top.rollup("lang", *lead).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))

@@ -1,5 +1,6 @@
 """Ingest from files and incremental collection: both end at the same records."""
 
+import json
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -129,6 +130,50 @@ def test_silence_becomes_a_record(spark, tmp_path):
     assert sorted(r.outcome for r in store.read().collect()) == ["interrupted", "ok"]
 
 
+def test_late_result_changes_nothing_and_retention_forgets(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "store"))
+    now = [CALL_AT + timedelta(minutes=5)]
+    collector = Collector(spark, str(tmp_path / "landing"), store, consent_rows(spark, (REPO, "/repo")),
+                          DeriveOptions(SALT, NAME_KEY, Staleness(HOUR)), clock=lambda: now[0])
+    feed = lambda *rows: spark.createDataFrame(list(rows), FEED)
+    silent = [("silent", 0, entry("line-3", content=[use("call-9")])), ("silent", 400, entry("line-31", content=[result("other")]))]
+    assert collector.process(feed(*silent, ("run", 0, end_turn("line-5")), ("run", 700, end_turn("line-6", 3))), 0).written == 0
+    assert {(r.kind, r.file, r.tag) for r in collector.state_rows().collect()} == {
+        ("call", "silent", "use"), ("call", "silent", "result"), ("session", "silent", None), ("session", "run", None), ("run", "run", None)}
+    assert {r.file: (r.open_sessions, r.cursor_floor) for r in collector.cursors().collect()} == {"silent": (1, 0), "run": (1, 0)}
+    # A call and its result in different micro-batches, whichever comes first.
+    assert collector.process(feed(("early", 500, OK_RESULT)), 1).written == 0
+    assert collector.process(feed(("early", 0, OPEN_CALL)), 2).written == 1
+    now[0] = CALL_AT + 8 * HOUR
+    assert collector.sweep().written == 2 and collector.sweep() .written == 0
+    late = feed(("silent", 1000, entry("line-9", 30, content=[result("call-9", is_error=False)])))
+    assert collector.process(late, 3).written == 0
+    assert sorted(str(r.outcome) for r in store.read().collect()) == ["None", "interrupted", "ok"]
+    kept = collector.state_rows().count()
+    floors = {r.file: r.open_sessions for r in collector.retain().collect()}
+    assert floors == {"silent": 0, "run": 0, "early": 0} and collector.state_rows().count() == 0 < kept
+    # Epochs that were merged are left alone, later ones go on.
+    assert collector.process(late, 3).written == 0 and collector.process(feed(*silent), 2).written == 0
+    assert collector.state_rows().count() == 0 and store.head() == 3
+
+
+def test_transcripts_are_read_once_for_ingest_and_discovery(spark, tmp_path):
+    home = tmp_path / "home"
+    (home / "projects").mkdir(parents=True)
+    listing = json.dumps({"cwd": "/repo", "attachment": {"type": "skill_listing", "content": "x\n- anchor: holds\n- bad"}})
+    away = json.dumps({"cwd": "/away", "attachment": {"type": "mcp_instructions_delta", "addedNames": ["buoy"]}})
+    wrong = json.dumps({"cwd": "/repo", "attachment": {"type": "mcp_instructions_delta", "addedNames": [5]}})
+    (home / "projects" / "s.jsonl").write_text("\n".join([OPEN_CALL, listing, away, wrong, OK_RESULT, ""]))
+    roots = spark.createDataFrame([("/repo",)], "root string")
+    store = EventStore(spark, str(tmp_path / "store"))
+    done = ingest(spark, str(home / "projects"), consent_rows(spark, (REPO, "/repo")), store, DeriveOptions(SALT, NAME_KEY, CLOSED), announced=True)
+    assert done.append.written == 1
+    found = discover(spark, str(home), roots, NAME_KEY, announced=done.announced)
+    assert [(r.kind, r.name) for r in found.primitives.collect()] == [("skill", "anchor")]
+    assert "Scan text" not in found.primitives._jdf.queryExecution().toString()
+    assert {tuple(r) for r in discover(spark, str(home), roots, NAME_KEY).primitives.collect()} == {tuple(r) for r in found.primitives.collect()}
+
+
 def test_discovery_report_and_doctor(spark, tmp_path):
     home, repo = tmp_path / "home", tmp_path / "repo"
     for path, text in {

@@ -26,7 +26,7 @@ from tracemill.sources.catalog_files import (
     list_documents, listed_primitives, mcp_documents, mcp_servers, plugin_paths, primitives_in_layout,
 )
 from tracemill.sources.consent_table import Signing, consented, parse_consent, refused_count, trusted_consent
-from tracemill.sources.folders import read_documents
+from tracemill.sources.folders import list_folder, read_documents
 from tracemill.sources.lines import list_files, scan_lines
 
 UTC = timezone.utc
@@ -190,6 +190,23 @@ def test_offsets_across_splits(spark, tmp_path):
     assert scan_lines(spark, str(tmp_path / "absent")).count() == 0
 
 
+def test_deep_trees_are_listed_by_many_tasks(spark, tmp_path):
+    want = {}
+    for number in range(120):
+        folder = tmp_path / "projects" / "one" / f"p{number}" / ".hidden"
+        folder.mkdir(parents=True)
+        for name, size in ((f"{number}.jsonl", number), ("_empty.jsonl", 0), ("other.txt", 3)):
+            (folder / name).write_text("x" * size)
+            if name.endswith("jsonl"):
+                want[str(folder / name)] = size
+    (tmp_path / "projects" / "one" / "loop").symlink_to(tmp_path / "projects")
+    got = list_files(spark, str(tmp_path / "projects"))
+    assert {r.file: r.length for r in got.collect()} == want
+    folders = got.select(F.regexp_replace("file", "/[^/]*$", "").alias("path")).distinct()
+    assert list_folder(folders, 16).select(F.spark_partition_id()).distinct().count() > 8
+    assert list_files(spark, str(tmp_path / "absent")).count() == 0
+
+
 def test_catalog_discovery(spark, tmp_path):
     home, plugin, repo = tmp_path / "home", tmp_path / "plugin", tmp_path / "repo"
     for base, kind in ((home, "global"), (plugin, "plug"), (repo / ".claude", "proj")):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,19 +35,21 @@ class IngestReport:
     counters: DataFrame
     files: DataFrame
     cursors: DataFrame
+    #: (cwd, kind, name) of the session listings met on the way, when asked for.
+    announced: DataFrame | None = None
 
 
 def in_walk_order(records: DataFrame) -> DataFrame:
     return records.withColumn("walk", F.split("src_file", "/")).drop("src_file")
 
 
-def _scan(spark: SparkSession, path: str, cap: int | None, glob: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _scan(spark: SparkSession, path: str, cap: int | None, glob: str, announced: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries, the listing, and the files that were read in part, whose entries are left out.
 
     The text is read and parsed once; everything later reads the narrow entry table.
     """
     files = materialize(list_files(spark, path, glob), "files")
-    entries = materialize(decode_entries(scan_lines(spark, path, cap, glob)), "entries")
+    entries = materialize(decode_entries(scan_lines(spark, path, cap, glob), announced), "entries")
     incomplete = materialize(incomplete_files(files, entries), "incomplete")
     return entries.join(incomplete, "file", "left_anti"), files, incomplete
 
@@ -82,14 +84,16 @@ def ingest(
     glob: str = "*.jsonl",
     rebuild: bool = False,
     snapshots: UsageSnapshots | None = None,
+    announced: bool = False,
 ) -> IngestReport:
     """Scan everything below ``path`` and add what is new; running it again adds nothing.
 
     ``rebuild`` discards what is stored and derives it afresh; the old generation stays in
     force until the new one is complete. With ``snapshots`` the usage snapshot follows the
-    facts: names stay those of the last discovery.
+    facts: names stay those of the last discovery. With ``announced`` the report holds what
+    the session listings name, from the same read, for a discovery to use.
     """
-    entries, files, incomplete = _scan(spark, path, cap, glob)
+    entries, files, incomplete = _scan(spark, path, cap, glob, announced)
     derived = derive(entries, consent, options, materialize)
     records = in_walk_order(derived.records)
     write = store.rebuild if rebuild else store.append
@@ -98,4 +102,5 @@ def ingest(
         snapshots.refresh(store.read(), spark.createDataFrame([], PRIMITIVES), scanned=False)
     none_refused = spark.range(1).select(F.lit(0).alias("refused_projects"))
     refused = none_refused if refused_projects is None else refused_projects
-    return _report(entries, files, incomplete, derived, appended, refused, options, health)
+    made = _report(entries, files, incomplete, derived, appended, refused, options, health)
+    return replace(made, announced=entries.select(F.inline("announced"))) if announced else made

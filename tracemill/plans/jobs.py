@@ -17,6 +17,7 @@ from tracemill.session import materialize
 from tracemill.sources.catalog_files import (
     PLUGIN_MANIFEST,
     PROJECT_FOLDER,
+    announced_primitives,
     list_documents,
     listed_primitives,
     mcp_documents,
@@ -37,22 +38,22 @@ class Discovery:
 
 
 def primitives_of(
-    files: DataFrame, bases: DataFrame, documents: DataFrame, listings: DataFrame, roots: DataFrame,
-    name_key: bytes | None, harness: str = DEFAULT_HARNESS,
+    files: DataFrame, bases: DataFrame, documents: DataFrame, listed: DataFrame, name_key: bytes | None,
+    harness: str = DEFAULT_HARNESS,
 ) -> DataFrame:
-    """The catalog that follows from a file listing, configuration documents and session lines."""
-    return catalog(
-        [primitives_in_layout(files, bases), mcp_servers(documents), listed_primitives(listings, roots)], name_key, harness
-    )
+    """The catalog that follows from a file listing, configuration documents and what session listings name."""
+    return catalog([primitives_in_layout(files, bases), mcp_servers(documents), listed], name_key, harness)
 
 
 def discover(
-    spark: SparkSession, home: str, roots: DataFrame | None, name_key: bytes | None, harness: str = DEFAULT_HARNESS
+    spark: SparkSession, home: str, roots: DataFrame | None, name_key: bytes | None, harness: str = DEFAULT_HARNESS,
+    announced: DataFrame | None = None,
 ) -> Discovery:
     """Everything a harness can run: its own folder, its plugins, and the consented ``roots(root)``.
 
     Sources that are missing or malformed contribute nothing. Without roots only global
-    primitives are found, and a snapshot keeps the project names it had.
+    primitives are found, and a snapshot keeps the project names it had. ``announced`` is what
+    an ingest has read in the transcripts; without it they are read here.
     """
     base = spark.createDataFrame([(home.rstrip("/"),)], "base string")
     manifest = base.select(F.concat("base", F.lit(f"/{PLUGIN_MANIFEST}")).alias("path"))
@@ -60,10 +61,12 @@ def discover(
     known = spark.createDataFrame([], "root string") if roots is None else roots.select("root").distinct()
     projects = known.select(F.col("root").alias("base"))
     folders = base.unionByName(plugins).unionByName(projects.select(F.concat("base", F.lit(PROJECT_FOLDER)).alias("base")))
+    if announced is None:
+        listed = listed_primitives(scan_lines(spark, f"{home.rstrip('/')}/projects"), known)
+    else:
+        listed = announced_primitives(announced, known)
     found = primitives_of(
-        list_documents(folders), folders, read_documents(mcp_documents(base, plugins, projects)),
-        scan_lines(spark, f"{home.rstrip('/')}/projects"), known, name_key, harness,
-    )
+        list_documents(folders), folders, read_documents(mcp_documents(base, plugins, projects)), listed, name_key, harness)
     return Discovery(found, roots is not None)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.consent import under_roots
@@ -102,58 +102,59 @@ def plugin_paths(manifests: DataFrame) -> DataFrame:
     )
 
 
-def listed_primitives(lines: DataFrame, roots: DataFrame) -> DataFrame:
-    """(kind, name) announced in session listings of working directories under ``roots(root)``.
+def may_announce(text: Column) -> Column:
+    """Cheap text test: most transcript lines carry no attachment at all."""
+    return text.contains("attachment")
+
+
+def announced_names(doc: Column) -> Column:
+    """Array of (cwd, kind, name) that a parsed line announces; empty for any other line.
 
-    Reads framed lines (use the larger listing cap). Skill listings are text, one
-    ``- name: description`` per line; agents and servers come as arrays. A line that does
-    not decode is left out.
+    Skill listings are text, one ``- name: description`` per line; agents and servers come as arrays. A line that does
+    not decode announces nothing.
     """
-    doc = F.col("doc")
     cwd = J.string(doc, f"{J.ROOT}.cwd")
-    kind = J.string(doc, f"{J.ROOT}.attachment.type")
+    label = J.string(doc, f"{J.ROOT}.attachment.type")
     content = J.string(doc, f"{J.ROOT}.attachment.content")
     names = J.string_list(doc, f"{J.ROOT}.attachment.addedNames")
     types = J.string_list(doc, f"{J.ROOT}.attachment.addedTypes")
-    shape = J.all_fit(
-        cwd.fits, kind.fits, content.fits, names.fits, types.fits,
+    fits = J.all_fit(
+        cwd.fits, label.fits, content.fits, names.fits, types.fits,
         J.object_fits(doc, f"{J.ROOT}.attachment"),
     )
-    fields = F.struct(
-        (doc.isNotNull() & shape).alias("fits"),
-        F.coalesce(cwd.value, F.lit("")).alias("cwd"),
-        kind.value.alias("type"),
-        content.value.alias("content"),
-        names.value.alias("added_names"),
-        types.value.alias("added_types"),
-    )
-    # Cheap text test first: most transcript lines carry no attachment at all. The one-row
-    # generator keeps later filters from parsing a line again.
-    typed = (
-        lines.where(F.col("value").contains("attachment"))
-        .select(J.parse(F.col("value")).alias("doc"))
-        .select(F.inline(F.array(fields)))
-        .where("fits")
-    )
     skills = F.transform(
         F.filter(
-            F.split("content", "\n"),
+            F.split(content.value, "\n"),
             lambda line: line.startswith("- ") & F.substr(line, F.lit(3)).contains(": "),
         ),
         lambda line: F.substring_index(F.substr(line, F.lit(3)), ": ", 1),
     )
-    kinds = {
-        "skill_listing": ("skill", skills),
-        "agent_listing_delta": ("subagent", F.col("added_types")),
-        "mcp_instructions_delta": ("mcp_server", F.col("added_names")),
-    }
-    branches = F.array(
-        *[
-            F.struct(F.lit(kind).alias("kind"), F.when(F.col("type") == label, found).alias("names"))
-            for label, (kind, found) in kinds.items()
-        ]
+    listed = (
+        F.when(label.value == "skill_listing", skills)
+        .when(label.value == "agent_listing_delta", types.value)
+        .when(label.value == "mcp_instructions_delta", names.value)
     )
-    typed = typed.select("cwd", F.inline(branches)).where("names is not null")
+    kind = (
+        F.when(label.value == "skill_listing", "skill")
+        .when(label.value == "agent_listing_delta", "subagent")
+        .otherwise("mcp_server")
+    )
+    found = F.transform(listed, lambda name: F.struct(F.coalesce(cwd.value, F.lit("")).alias("cwd"), kind.alias("kind"), name.alias("name")))
+    return F.when(doc.isNotNull() & fits, found)
+
+
+def announced_primitives(announced: DataFrame, roots: DataFrame) -> DataFrame:
+    """(kind, name) announced in working directories under ``roots(root)``; ``announced`` is (cwd, kind, name)."""
     # A listing repeats in every session: collapse before the root test and after it.
-    announced = typed.select("cwd", "kind", F.explode("names").alias("name")).distinct()
-    return under_roots(announced, roots).select("kind", "name").distinct()
+    return under_roots(announced.distinct(), roots).select("kind", "name").distinct()
+
+
+def listed_primitives(lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """(kind, name) announced in session listings of working directories under ``roots(root)``.
+
+    Reads framed lines (use the larger listing cap). An ingest that is asked to gives the same names from its one read.
+    """
+    # The one-row generator keeps later filters from parsing a line again.
+    parsed = lines.where(may_announce(F.col("value"))).select(J.parse(F.col("value")).alias("doc"))
+    named = parsed.select(F.inline(F.array(F.struct(announced_names(F.col("doc")).alias("announced")))))
+    return announced_primitives(named.select(F.inline("announced")), roots)

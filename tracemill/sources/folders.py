@@ -2,11 +2,14 @@
 
 Spark's file sources leave out empty files and every name that starts with a dot or an
 underscore. Both matter here: an empty transcript is still a transcript, and project
-settings live in dot folders. Listing is spread over tasks, one folder each.
+settings live in dot folders. So folders are listed by tasks, one level of the tree after
+the other, each level dealt out anew: a tree below one top folder is listed by as many
+tasks as a wide one, and a task passes on what it finds in frames of bounded size.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -15,7 +18,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.session import materialize
+
 _FOUND = "path string, length bigint, is_folder boolean"
+#: Entries passed on at once; tasks of a level for each core.
+FRAME_ENTRIES, TASKS_PER_CORE = 4096, 4
+#: Stores that tasks can open by themselves; any other is listed by Spark's own reader.
+OPENED = re.compile(r"\A(/|(file|s3|s3a|gs|gcs|hdfs|abfs|abfss):)")
 
 
 def _plain(uri: str) -> str:
@@ -26,44 +35,55 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def _found(uri: str, recursive: bool) -> list[tuple[str, int, bool]]:
-    """Entries below ``uri``, spelled with the prefix the caller used; nothing when it is absent."""
+def _found(uri: str) -> Iterator[tuple[str, int, bool]]:
+    """Entries of the folder ``uri``, spelled with the prefix the caller used; nothing when it is absent."""
     uri = _plain(uri)
     system, root = _open(uri)
-    selector = fs.FileSelector(root, allow_not_found=True, recursive=recursive)
     base, cut = uri.rstrip("/"), len(root.rstrip("/"))
-    return [
-        (base + info.path[cut:], info.size or 0, info.type == fs.FileType.Directory)
-        for info in system.get_file_info(selector)
-    ]
-
+    for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        is_folder = info.type == fs.FileType.Directory
+        # A link to a folder may lead back up: it is not followed.
+        if not (is_folder and isinstance(system, fs.LocalFileSystem) and os.path.islink(info.path)):
+            yield base + info.path[cut:], info.size or 0, is_folder
 
-def _lister(recursive: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [row for path in frame["path"] for row in _found(path, recursive)]
-            yield pd.DataFrame(rows, columns=["path", "length", "is_folder"])
 
-    return run
+def _list(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows: list[tuple[str, int, bool]] = []
+    for frame in frames:
+        for path in frame["path"]:
+            for entry in _found(path):
+                rows.append(entry)
+                if len(rows) == FRAME_ENTRIES:
+                    yield pd.DataFrame(rows, columns=["path", "length", "is_folder"])
+                    rows = []
+    yield pd.DataFrame(rows, columns=["path", "length", "is_folder"])
 
 
-def list_folder(folders: DataFrame, recursive: bool = False) -> DataFrame:
-    """(path, length, is_folder) of what lies in each of ``folders(path)``."""
-    spread = folders.select("path").repartition(F.col("path"))
-    return spread.mapInPandas(_lister(recursive), _FOUND)
+def list_folder(folders: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(path, length, is_folder) of what lies in each of ``folders(path)``, dealt out to so many tasks."""
+    tasks = tasks or folders.sparkSession.sparkContext.defaultParallelism
+    return folders.select("path").repartition(tasks, F.col("path")).mapInPandas(_list, _FOUND)
 
 
 def list_tree(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(file, length) of all files below ``root`` whose name matches, empty ones included.
 
-    The first level is listed once; each folder on it is walked by its own task.
+    One job for each level of the tree. In a store that only Spark can open, empty files and names that its readers
+    hide are not seen.
     """
-    top = list_folder(spark.createDataFrame([(root,)], "path string"))
-    deep = list_folder(top.where("is_folder"), recursive=True)
-    files = top.where("not is_folder").unionByName(deep.where("not is_folder"))
-    return files.where(F.element_at(F.split("path", "/"), -1).like(_like(glob))).select(
-        F.col("path").alias("file"), "length"
-    )
+    name = F.element_at(F.split("path", "/"), -1)
+    if not OPENED.match(root):
+        seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+        return seen.select(F.col("path").alias("file"), "length")
+    most = spark.sparkContext.defaultParallelism * TASKS_PER_CORE
+    level, folders = spark.createDataFrame([(root,)], "path string"), 1
+    files = spark.createDataFrame([], "path string, length bigint")
+    while folders:
+        found = materialize(list_folder(level, min(folders, most)), "listing")
+        files = files.unionByName(found.where("not is_folder").select("path", "length"))
+        level = found.where("is_folder").select("path")
+        folders = level.count()
+    return files.where(name.like(_like(glob))).select(F.col("path").alias("file"), "length")
 
 
 def _like(glob: str) -> str:

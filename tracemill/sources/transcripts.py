@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.domains import bounded_token
 from tracemill.sources import typed_json as J
+from tracemill.sources.catalog_files import announced_names, may_announce
 
 # The text fields of an entry, as (JSON path, column).
 TEXT_FIELDS = [
@@ -77,7 +78,7 @@ def _once(rows: DataFrame, passthrough: list[str], **made: Column) -> DataFrame:
     return rows.select(*passthrough, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
 
 
-def decode_entries(lines: DataFrame) -> DataFrame:
+def decode_entries(lines: DataFrame, announced: bool = False) -> DataFrame:
     """One row per line with its typed fields and a three-way verdict.
 
     ``status`` is entry, malformed or oversize. ``blind`` marks a line that could have
@@ -86,11 +87,16 @@ def decode_entries(lines: DataFrame) -> DataFrame:
     session activity a line proves, even when the line has no entry.
 
     Each line is parsed once. Only identifiers, flags and instants leave this step;
-    prompt and result text stay behind.
+    prompt and result text stay behind. With ``announced`` the column of that name holds
+    the (cwd, kind, name) that a session listing announces, NULL for any other line.
     """
     passthrough = [c for c in lines.columns if c not in ("value", "oversize")]
     kept = [*passthrough, "oversize"]
-    parsed = _once(lines, kept, _doc=J.parse(F.col("value")))
+    listing = {"_lists": may_announce(F.col("value"))} if announced else {}
+    parsed = _once(lines, kept, _doc=J.parse(F.col("value")), **listing)
+    if announced:
+        parsed = _once(parsed, [*kept, "_doc"], announced=F.when(F.col("_lists"), announced_names(F.col("_doc"))))
+        passthrough, kept = [*passthrough, "announced"], [*kept, "announced"]
     root = F.try_variant_get(F.col("_doc"), J.ROOT, "variant")
     top = dict.fromkeys([path.split(".")[0] for path, _ in TEXT_FIELDS] + ["isSidechain", "timestamp", "toolUseResult"])
     opened = _once(parsed, kept, _sound=F.col("_doc").isNotNull(), _line=J.members(root, *top))

@@ -19,8 +19,9 @@ from tracemill.plans.jobs import primitives_of, report_of
 from tracemill.plans.marts import unused_overview, unused_primitives, used_primitives
 from tracemill.operators.usage import usage_by_primitive
 from tracemill.session import materialize, scratch_path
-from tracemill.sources.catalog_files import listed_primitives, mcp_servers, plugin_paths, primitives_in_layout
+from tracemill.sources.catalog_files import announced_primitives, listed_primitives, mcp_servers, plugin_paths, primitives_in_layout
 from tracemill.sources.lines import frame
+from tracemill.sources.transcripts import decode_entries
 from tracemill.schemas import INVOCATION
 from tracemill.workbook.registry import query
 from tracemill.workbook.transcripts import NAME_KEY
@@ -178,11 +179,13 @@ def _(spark, tables):
     return plugin_paths(tables("supplier").select(F.col("s_name").alias("path"), doc.alias("value")))
 
 
-@query("session_listings", r"""WITH c AS (SELECT *, conv_id * 100 + turn AS n FROM conversations), w AS (
+_LISTINGS_SQL = r"""WITH c AS (SELECT *, conv_id * 100 + turn AS n FROM conversations), w AS (
   SELECT n, unnest(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '')) AS word FROM c WHERE n % 5 < 4)
 SELECT DISTINCT CASE n % 3 WHEN 0 THEN 'skill' WHEN 1 THEN 'subagent' ELSE 'mcp_server' END AS kind, word AS name
-FROM w WHERE n % 5 < 3 AND word <> ''""")
-def _(spark, tables):
+FROM w WHERE n % 5 < 3 AND word <> ''"""
+
+
+def _listing_lines(conversations: DataFrame) -> DataFrame:
     n = F.col("conv_id") * 100 + F.col("turn")
     words = F.filter(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
     listing = F.concat(F.lit("Available:\n"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("- "), w, F.lit(": does it"))), "\n"))
@@ -191,10 +194,20 @@ def _(spark, tables):
     line = F.to_json(F.struct(cwd.alias("cwd"), F.struct(
         F.when(n % 5 == 4, F.lit("other")).otherwise(kind).alias("type"), listing.alias("content"),
         F.when(n % 3 == 1, words).alias("addedTypes"), F.when(n % 3 == 2, words).alias("addedNames")).alias("attachment")))
-    lines = tables("conversations").select(F.lit("c").alias("file"), F.lit(0).alias("chunk"), n.alias("line"),
-                                           F.lit(0).alias("nbytes"), line.alias("value"))
-    roots = spark.createDataFrame([("/repo",)], "root string")
-    return listed_primitives(frame(lines), roots)
+    return conversations.select(F.lit("c").alias("file"), F.lit(0).alias("chunk"), n.alias("line"),
+                                F.lit(0).alias("nbytes"), line.alias("value"))
+
+
+@query("session_listings", _LISTINGS_SQL)
+def _(spark, tables):
+    return listed_primitives(frame(_listing_lines(tables("conversations"))), spark.createDataFrame([("/repo",)], "root string"))
+
+
+@query("announced_in_decode", _LISTINGS_SQL)
+def _(spark, tables):
+    """The same names as a second output of the one decode that also gives the entries."""
+    entries = materialize(decode_entries(frame(_listing_lines(tables("conversations"))), announced=True), "entries")
+    return announced_primitives(entries.select(F.inline("announced")), spark.createDataFrame([("/repo",)], "root string"))
 
 
 @query("catalog_union", rf"""WITH {_LAYOUT}, found AS (
@@ -239,7 +252,7 @@ def _(spark, tables):
     line = F.to_json(F.struct(cwd.alias("cwd"), F.struct(F.lit("skill_listing").alias("type"), listing.alias("content")).alias("attachment")))
     lines = frame(tables("conversations").select(
         F.lit("c").alias("file"), F.lit(0).alias("chunk"), F.col("turn").alias("line"), F.lit(0).alias("nbytes"), line.alias("value")))
-    found = primitives_of(files, files, documents, lines, spark.createDataFrame([("/repo",)], "root string"), NAME_KEY, "shop")
+    found = primitives_of(files, files, documents, listed_primitives(lines, spark.createDataFrame([("/repo",)], "root string")), NAME_KEY, "shop")
     kind = F.col("l_partkey") % 6
     made = {
         "ts": F.col("l_shipdate"), "harness": F.lit("shop"), "session_id": F.concat(F.lit("o"), "l_orderkey"),

@@ -79,6 +79,23 @@ def _(spark, tables):
     return spark.createDataFrame(rows, "step int, written bigint, duplicate bigint, dropped bigint")
 
 
+@query("append_by_size", f"""WITH {_LINES}, shares AS (SELECT unnest([16, 4, 1]) AS share), orders_of AS (
+  SELECT share, event_id, bad, CAST(substr(session_id, 2) AS BIGINT) % share = 0 AS held, CAST(substr(session_id, 2) AS BIGINT) % 64 AS rest FROM lines, shares)
+SELECT share, count(DISTINCT CASE WHEN held AND NOT bad THEN event_id END) AS stored,
+       count(DISTINCT CASE WHEN rest IN (0, 1) AND NOT held AND NOT bad THEN event_id END) AS written,
+       count(*) FILTER (rest IN (0, 1) AND NOT bad) - count(DISTINCT CASE WHEN rest IN (0, 1) AND NOT held AND NOT bad THEN event_id END) AS duplicate
+FROM orders_of GROUP BY share""")
+def _(spark, tables):
+    """The same batch into stores of one, four and sixteen shares of the orders: ids are looked up, not read."""
+    lineitem, rows = tables("lineitem"), []
+    for share in (16, 4, 1):
+        store = EventStore(spark, scratch_path(spark, "store"))
+        held = store.append(line_facts(lineitem.where(F.col("l_orderkey") % share == 0))).written
+        result = store.append(line_facts(lineitem.where(F.col("l_orderkey") % 64 < 2)))
+        rows.append((share, held, result.written, result.duplicate))
+    return spark.createDataFrame(rows, "share int, stored bigint, written bigint, duplicate bigint")
+
+
 @query("rebuild_equivalence", f"""WITH {_LINES}
 SELECT (SELECT count(*) FROM kept) AS stored, 0::BIGINT AS differences""")
 def _(spark, tables):

@@ -82,9 +82,14 @@ class Words:
 
     def windows(self, bitmaps: dict[int, np.ndarray], size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct windows (rows of word numbers, -1 for padding) and how often each stands here."""
-        at = np.flatnonzero(self.flat >= 0)
         pair, triple = (np.append(self.frequent(n, bits, bitmaps), [False] * size) for n in (2, 3))
         flat = np.append(self.flat, [-1] * size)
+        # Most windows are one word and padding: those are counted by word, only the others column by column.
+        alone = np.bincount(self.flat[(self.flat >= 0) & ~pair[:len(self.flat)]], minlength=len(self.words))
+        words = np.flatnonzero(alone)
+        short = np.full((len(words), size), -1, dtype=np.int64)
+        short[:, 0] = words
+        at = np.flatnonzero(pair)
         going = np.ones(len(at), dtype=bool)
         columns, codes, count = [flat[at]], flat[at], len(self.words)
         for step in range(1, size):
@@ -96,14 +101,14 @@ class Words:
             # Windows equal so far have one code; only those that go on are told apart further.
             longer = np.flatnonzero(going)
             _, inner = np.unique(codes[longer] * np.int64(len(self.words)) + column[longer], return_inverse=True)
-            codes = codes.copy()
             codes[longer] = count + inner
             count += int(inner.max()) + 1 if len(inner) else 0
         counts = np.bincount(codes, minlength=count)
         example = np.zeros(count, dtype=np.int64)
         example[codes] = np.arange(len(at))
         used = np.flatnonzero(counts)
-        return np.stack([column[example[used]] for column in columns], axis=1), counts[used]
+        long = np.stack([column[example[used]] for column in columns], axis=1)
+        return np.concatenate([short, long]), np.concatenate([alone[words], counts[used]])
 
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:

@@ -104,3 +104,15 @@ def test_labelled_sample_is_bounded_by_rows(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit_ordinal", lambda rows, *a: (sizes.append(len(rows)), fit(rows, *a))[1])
     toxicity.fit(again, labels, fit_rows=50)
     assert sizes == [50]
+
+
+def test_repeats_of_rows_that_share_an_id_or_have_none(spark):
+    prepare(spark)
+    shared = invented(77, 60)
+    texts = ["\u00e9" * 30 + " " + shared, "\u0436" * 31 + " x " + shared + " y", "z " + shared]
+    for ids in ((1, 1, 2), (None, None, None), (5, None, None)):
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts)], SCHEMA)
+        rest = sorted(r.text for r in substring_dedup.remove_repeats(docs).collect())
+        assert sum(shared in t for t in rest) == 1 and len(rest) == 3
+        assert {r.doc_id for r in substring_dedup.repeated_spans(docs).collect()} <= set(ids)
+    assert [r.text for r in substring_dedup.remove_repeats(spark.createDataFrame([(1, shared, "en", "s", 0)] * 2, SCHEMA)).collect()] == [shared] * 2

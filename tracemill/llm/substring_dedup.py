@@ -16,14 +16,14 @@ same first holder are one span. A digest has 64 bits; a false window would take
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import merged, stage
@@ -38,7 +38,6 @@ TRY_WORDS = 10
 #: Orders chunks by the words before them, then by number: more than a text has chunks.
 STEP = 2**31
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], dtype=np.uint16)
-WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -54,6 +53,27 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Odd, so that its powers have inverses modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+BYTE_CODES = np.array([xxhash.xxh64_intdigest(bytes([b]), 11) for b in range(256)], dtype=np.uint64)
+
+
+@lru_cache(maxsize=4)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, from 0 on."""
+    inverse = pow(BASE, -1, 1 << 64)
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, dtype=np.uint64)]) for base in (BASE, inverse))
+
+
+def stretch_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of ``codes`` from each start to its end: polynomials as differences of one running sum."""
+    powers, inverse = _powers(1 << max(10, int(len(codes)).bit_length()))
+    sums = np.r_[np.uint64(0), np.cumsum(codes * powers[:len(codes)], dtype=np.uint64)]
+    value = (sums[ends] - sums[starts]) * inverse[starts]
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return value ^ (value >> np.uint64(29))
+
+
 def cuts(data: np.ndarray) -> np.ndarray:
     """Ends of the chunks of a non-empty text, in order; the last is its length. Never inside a character."""
     possible = np.flatnonzero(gear_hashes(data) < 65536 // CUT_ONE_IN) + 1
@@ -177,59 +197,70 @@ def _span_columns(stop: str, holder: str) -> list:
             F.first(F.col(holder) == F.col("doc_id")).alias("is_first")]
 
 
-def _windows(docs: DataFrame, doubtful: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def _windows(docs: DataFrame, doubtful: DataFrame, words: int) -> DataFrame:
     """(``doc_id``, ``hash``, ``word``, ``start``, ``stop``): the windows of ``words`` words that meet doubtful places."""
     runs = doubtful.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     runs = runs.withColumnRenamed("doc_id", "__id")
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.join(merged(runs), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "runs")
+    rows = docs.join(merged(runs), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "runs")
 
     def of(raw: bytes, places) -> tuple[np.ndarray, ...] | None:
-        spans = np.array([m.span() for m in WORD_BYTES.finditer(raw)], dtype=np.int64)
-        if len(spans) < words:
+        data = np.frombuffer(raw, dtype=np.uint8)
+        space = SPACE[data]
+        starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        ends = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+        if len(starts) < words:
             return None
-        wanted = np.zeros(len(spans) - words + 1, dtype=bool)
+        wanted = np.zeros(len(starts) - words + 1, dtype=bool)
         for place in places:
-            first = int(np.searchsorted(spans[:, 1], place["start"], side="right"))
-            last = int(np.searchsorted(spans[:, 0], place["stop"])) - 1
+            first = int(np.searchsorted(ends, place["start"], side="right"))
+            last = int(np.searchsorted(starts, place["stop"])) - 1
             wanted[max(0, last - words + 1):max(0, first + 1)] = True
-        if not wanted.any():
-            return None
-        inside = np.flatnonzero(np.convolve(wanted, np.ones(words, dtype=np.int8)) > 0)
-        codes = np.zeros(len(spans), dtype=np.uint64)
-        codes[inside] = np.array([xxhash.xxh3_64_intdigest(raw[spans[i, 0]:spans[i, 1]]) for i in inside], dtype=np.uint64)
         at = np.flatnonzero(wanted)
-        hashes = np.zeros(len(at), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for step in range(words):
-                hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[at + step]
-        return hashes.view(np.int64), at, spans[at, 0], spans[at + words - 1, 1]
+        if not len(at):
+            return None
+        codes = stretch_hashes(BYTE_CODES[data], starts, ends)
+        hashes = stretch_hashes(codes, at, at + words)
+        return hashes.view(np.int64), at, starts[at], ends[at + words - 1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["hash", "word", "start", "stop"]
         for batch in batches:
-            for doc, text, places in zip(batch["doc_id"], batch["text"], batch["runs"], strict=True):
-                found = of(text.encode(), places)
+            owners, parts = [], []
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for row, (text, places) in enumerate(zip(texts, batch.column("runs").to_pylist(), strict=True)):
+                found = of(text, places)
                 if found is not None:
-                    yield pd.DataFrame({"doc_id": [doc] * len(found[0]), **dict(zip(("hash", "word", "start", "stop"), found, strict=True))})
-
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, hash bigint, word int, start int, stop int")
+                    owners.append(np.full(len(found[0]), row))
+                    parts.append(found)
+            if parts:
+                made = [np.concatenate(column) for column in zip(*parts, strict=True)]
+                columns = [pa.array(made[0]), *(pa.array(column.astype(np.int32)) for column in made[1:])]
+                owner = batch.column("doc_id").take(pa.array(np.concatenate(owners)))
+                yield pa.RecordBatch.from_arrays([owner, *columns], names=["doc_id", *names])
 
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, hash bigint, word int, start int, stop int")
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                   try_words: int = TRY_WORDS) -> DataFrame:
-    """Spans of text that other documents share: ``doc_id, start, stop, n_words, first_doc_id, is_first``.
 
-    Each window of ``min_words`` words (or of chunks with that many) has a first holder, the smallest id that holds it
-    as a whole; a span is a row of windows with one first holder, ``first_doc_id``. ``is_first`` marks the spans that no
-    document with a smaller id holds: the occurrence that stays. Where the first holder changes, the spans on both sides
-    overlap by less than a window.
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(``doc_id``, ``text``) of the rows, and whether ``doc_id`` had to become (absent, id, version of the text).
 
-    * null and empty texts have no spans; whole texts are cut, however long; white space does not matter
-    * text that repeats within one document only is no span; ties go to the smaller id
-    * repeated rows of an id are one document
-    * an empty table gives an empty result; other columns, whatever their names, are not read
+    It does where an id stands for several texts or is null: chunks of one text must not meet those of another.
     """
-    pieces = chunks(docs, id_col, text_col)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    version = F.xxhash64("text")
+    several = rows.groupBy("doc_id").agg(F.min(version).alias("low"), F.max(version).alias("high")).where("doc_id is null or low <> high")
+    if several.isEmpty():
+        return rows, False
+    return rows.select(_versioned(F.col("doc_id"), F.col("text")).alias("doc_id"), "text"), True
+
+
+def _versioned(doc_id: Column, text: Column) -> Column:
+    return F.struct(doc_id.isNull().alias("absent"), doc_id.alias("id"), F.xxhash64(text).alias("version"))
+
+
+def _spans(rows: DataFrame, min_words: int, try_words: int) -> DataFrame:
+    """The spans of ``repeated_spans`` over (``doc_id``, ``text``)."""
+    pieces = chunks(rows)
     shared = stage(_shared(pieces, "digest"), "shared-chunks")
     places = _islands(pieces.join(shared, "digest").distinct(), "chunk", 1)
     run_words = F.sum("words").over(Window.partitionBy("doc_id", "island"))
@@ -242,17 +273,42 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Wherever doubtful chunks stand: there may be the other copy.
     doubtful = places.join(known.where("doubtful").select("digest").distinct(), "digest", "left_semi")
-    windows = stage(_windows(docs, doubtful, id_col, text_col, min_words), "windows")
+    windows = stage(_windows(rows, doubtful, min_words), "windows")
     again = windows.join(_shared(windows, "hash"), "hash").drop("hash").distinct()
     checked = _islands(again, "word", min_words, "first_doc_id").groupBy("doc_id", "island").agg(
         *_span_columns("stop", "first_doc_id"), (F.max("word") - F.min("word") + min_words).cast("long").alias("n_words")).drop("island")
     return runs.unionByName(checked)
 
 
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                   try_words: int = TRY_WORDS) -> DataFrame:
+    """Spans of text that other documents share: ``doc_id, start, stop, n_words, first_doc_id, is_first``.
+
+    Each window of ``min_words`` words (or of chunks with that many) has a first holder, the smallest id that holds it
+    as a whole; a span is a row of windows with one first holder, ``first_doc_id``. ``is_first`` marks the spans that no
+    document with a smaller id holds: the occurrence that stays. Where the first holder changes, the spans on both sides
+    overlap by less than a window.
+
+    * null and empty texts have no spans; whole texts are cut, however long; white space does not matter
+    * text that repeats within one document only is no span; ties go to the smaller id
+    * rows that repeat an id with one text are one document, with different texts several; so are rows without id, which
+      come after all others; their ``doc_id`` and ``first_doc_id`` come out as they are
+    * an empty table gives an empty result; other columns, whatever their names, are not read
+    """
+    rows, versions = _documents(docs, id_col, text_col)
+    spans = _spans(rows, min_words, try_words)
+    return spans.withColumns({c: F.col(f"{c}.id") for c in ("doc_id", "first_doc_id")}) if versions else spans
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
                    try_words: int = TRY_WORDS) -> DataFrame:
-    """The documents, all columns, without the spans that an earlier document holds; texts may become empty."""
-    spans = repeated_spans(docs, id_col, text_col, min_words, try_words).where(~F.col("is_first"))
+    """The documents, all columns, without the spans that an earlier document holds; texts may become empty.
+
+    Rows are told apart as in :func:`repeated_spans`: those of one id with different texts, or without id, each lose what
+    they themselves share with an earlier one.
+    """
+    rows, versions = _documents(docs, id_col, text_col)
+    spans = _spans(rows, min_words, try_words).where(~F.col("is_first"))
     gone = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("__gone"))
     gone = stage(gone.withColumnRenamed("doc_id", "__gone_id"), "repeats")
 
@@ -269,5 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append(value)
         return pd.Series(out)
 
-    joined = docs.join(merged(gone), F.col(f"`{id_col}`") == F.col("__gone_id"), "left")
+    own = F.col(f"`{id_col}`")
+    own = _versioned(own, F.col(f"`{text_col}`")) if versions else own
+    joined = docs.join(merged(gone), own == F.col("__gone_id"), "left")
     return joined.withColumn(text_col, rest(F.col(f"`{text_col}`"), F.col("__gone"))).drop("__gone", "__gone_id")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -177,3 +178,20 @@ def test_all_marked_parts_of_a_page(around):
     assert "First!" not in got and "Comments" not in got
     assert main_text(f"<main><p>{LONG}</p>{comments}</main>") == LONG
     assert main_text(f"<article class='post sidebar'><p>{LONG}</p></article>") == LONG
+
+
+@pytest.mark.parametrize("unit", ["<b>x", '<a "', "<b>x</i>", '<a "b"', "<li><p>", "<div>x", "<a", "<a '\"", "<td><tr>", "<dt><dd>", "</p><head>"])
+def test_unclosed_markup_takes_linear_time(unit):
+    times = []
+    for size in (20_000, 160_000):
+        start = time.process_time()
+        main_text(unit * (size // len(unit)))
+        times.append(time.process_time() - start)
+    # Eight times the page: 64 times as long if any step walked over what is open.
+    assert times[1] < 24 * max(times[0], 0.02)
+
+
+def test_unclosed_quotes_end_with_their_tag():
+    assert main_text('<p class="x>Hello</p><p>you</p>') == "Hello\n\nyou"
+    assert main_text("<p title='a > b'>one</p><p title=\"it's\">two</p>") == "one\n\ntwo"
+    assert main_text("1 < 2 and a <b") == "1 < 2 and a <b"

@@ -23,10 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>"
-    r"|[^<]+|<", re.S)
+#: What opens with "<" and is no element; an element's name; its attributes with closed quotes up to its end.
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.S)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>]*)")
+QUOTED = re.compile(r"((?:[^<>\"']+|\"[^\"]*\"|'[^']*')*+)>")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PARTS = re.compile(r"[a-z]+")
 
@@ -40,7 +40,7 @@ IMPLIED_END = {
     "p": BLOCK - {"option", "optgroup", "caption", "tbody", "tfoot", "thead", "tr", "body", "html", "legend"},
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
     "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
-    "option": {"option", "optgroup"}, "head": {"body"},
+    "option": {"option", "optgroup"}, "head": {"head", "body"},
 }
 #: Implied ends do not reach through these.
 SCOPE = frozenset("table ul ol dl article section main div body html blockquote".split())
@@ -94,48 +94,116 @@ def _mark(node: Node, attrs: str) -> None:
     node.in_core = node.in_core or node.core
 
 
+class _Open:
+    """The elements that are open, with the places of those that end tags and implied ends look for.
+
+    No step walks over the open elements one by one, so pages that never close their tags are read in linear time.
+    """
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.by_tag: dict[str, list[int]] = {}
+        self.marks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        if node.tag in SCOPE or node.tag in IMPLIED_END:
+            self.marks.append(len(self.stack))
+        self.by_tag.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, depth: int) -> None:
+        for node in self.stack[depth:]:
+            self.by_tag[node.tag].pop()
+        del self.stack[depth:]
+        while self.marks and self.marks[-1] >= depth:
+            self.marks.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag: closes the innermost element of the name, but not through a scope unless it ends one."""
+        places = self.by_tag.get(name)
+        if places and (name in SCOPE or not any(self.stack[mark].tag in SCOPE for mark in self._above(places[-1]))):
+            self.cut(places[-1])
+
+    def _above(self, depth: int) -> Iterator[int]:
+        for mark in reversed(self.marks):
+            if mark <= depth:
+                return
+            yield mark
+            if self.stack[mark].tag in SCOPE:
+                return
+
+    def imply(self, name: str) -> None:
+        """Ends the outermost element inside the innermost scope that a start tag of the name ends.
+
+        A scope holds one open element of each kind at most, as each is ended by the next of its kind.
+        """
+        found = None
+        for mark in reversed(self.marks):
+            tag = self.stack[mark].tag
+            if name in IMPLIED_END.get(tag, ()):
+                found = mark
+            if tag in SCOPE:
+                break
+        if found is not None:
+            self.cut(found)
+
+
 def parse(html: str) -> list[Node]:
-    """The nodes of a page, parents before children; tolerant of missing and stray tags."""
+    """The nodes of a page, parents before children; tolerant of missing and stray tags.
+
+    An attribute whose quote is never closed ends with its tag, at the next ">".
+    """
     root = Node("html", None)
-    nodes, stack = [root], [root]
-    at, size = 0, len(html)
+    nodes, open_ = [root], _Open(root)
+    stack = open_.stack
+    at, size, end_at = 0, len(html), 0
     while at < size:
-        token = TOKEN.match(html, at)
-        at = token.end()
-        name = token["name"]
-        if name is None:
-            text = token[0]
-            if text[0] != "<" or text == "<":
-                stack[-1].content.append(text)
-            elif text.startswith("<![CDATA["):
-                stack[-1].content.append(text[9:].removesuffix("]]>"))
+        start = html.find("<", at)
+        if start < 0:
+            start = size
+        if start > at:
+            stack[-1].content.append(html[at:start])
+            at = start
             continue
-        name = name.lower()
-        if token["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == name:
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in SCOPE and name not in SCOPE:
-                    break
+        tag = TAG.match(html, at)
+        if tag is None:
+            other = OTHER.match(html, at)
+            if other is None:
+                stack[-1].content.append("<")
+                at += 1
+            else:
+                if other[0].startswith("<![CDATA["):
+                    stack[-1].content.append(other[0][9:].removesuffix("]]>"))
+                at = other.end()
+            continue
+        quoted = QUOTED.match(html, tag.end())
+        if quoted is not None:
+            attrs, at = quoted[1], quoted.end()
+        else:
+            # Looked for once, however many tags come before it.
+            if 0 <= end_at < tag.end():
+                end_at = html.find(">", tag.end())
+            if end_at < 0:
+                stack[-1].content.append("<")
+                at += 1
+                continue
+            attrs, at = html[tag.end():end_at], end_at + 1
+        name = tag[2].lower()
+        if tag[1]:
+            open_.end(name)
             continue
         if name == "html":
             continue
-        for depth in range(len(stack) - 1, 0, -1):
-            if name in IMPLIED_END.get(stack[depth].tag, ()):
-                del stack[depth:]
-                break
-            if stack[depth].tag in SCOPE:
-                break
+        open_.imply(name)
         node = Node(name, stack[-1])
-        _mark(node, token["attrs"])
+        _mark(node, attrs)
         nodes.append(node)
         stack[-1].content.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = end.end() if end else size
         elif name not in VOID:
-            stack.append(node)
+            open_.push(node)
     return nodes
 
 

@@ -92,19 +92,21 @@ def advance(
 
     Calls of sessions that have fallen silent end as interrupted and leave the state: a result that comes later finds
     no call. Sessions, their skill runs and skills called stay known until :func:`forget`.
+
+    ``stage`` writes what is costly to make twice; small parts with two consumers are simply made twice.
     """
     acting = acting_entries(entries)
     directories = stage(resolve_directories(acting.select("cwd"), consent, options.salt), "directories")
     acting = attach_consent(acting, directories, options.scope)
     calls = stage(project_calls(acting, options.name_key, options.harness), "calls")
     new_events = call_events(addressable(calls), addressable(project_results(entries)))
-    carried = carry_calls(stage(new_events.unionByName(state.calls), "call-events"), stage)
+    carried = carry_calls(new_events.unionByName(state.calls), stage)
 
     seen = first_offsets(entries).unionByName(state.sessions)
     sessions = stage(
         seen.groupBy(*SESSION).agg(F.max("last_activity").alias("last_activity"), F.min("first_offset").alias("first_offset")), "sessions")
-    blind = stage(blind_files(entries).unionByName(state.blind).distinct(), "blind")
-    closed = stage(closed_sessions(sessions, blind, options.staleness), "closed-sessions")
+    blind = blind_files(entries).unionByName(state.blind).distinct()
+    closed = closed_sessions(sessions, blind, options.staleness)
 
     left = carried.left.withColumn("session", F.col("call.session_id"))
     flagged = stage(with_closed_flag(left, closed), "left-calls")
@@ -112,7 +114,7 @@ def advance(
     interrupted = flagged.where(given_up).withColumnRenamed("pos", "call_pos")
 
     called = calls.where((F.col("status") == "accepted") & (F.col("call.kind") == "skill")).select(*RUN)
-    invoked = stage(called.unionByName(state.invoked).distinct(), "invoked")
+    invoked = called.unionByName(state.invoked).distinct()
     candidates = collapse_candidates(skill_candidates(acting, options.name_key, options.harness))
     runs = stage(
         candidates.withColumn("done", F.lit(None).cast("string")).unionByName(state.runs).groupBy(*RUN).agg(
@@ -120,7 +122,7 @@ def advance(
             (F.sum(F.col("extra") + 1) - 1).alias("extra"), F.max("done").alias("done")),
         "skill-runs",
     )
-    due = stage(uncovered_runs(runs, invoked, closed).where(~F.col("done").eqNullSafe(F.col("record.event_id"))), "due-runs")
+    due = uncovered_runs(runs, invoked, closed).where(~F.col("done").eqNullSafe(F.col("record.event_id")))
     written = due.select(*RUN, F.col("record.event_id").alias("now_done"))
     marked = runs.join(written, RUN, "left").withColumn("done", F.coalesce("now_done", "done")).drop("now_done")
 

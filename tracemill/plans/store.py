@@ -62,9 +62,12 @@ class EventStore:
     def __init__(self, spark: SparkSession, root: str, leaf_ids: int = LEAF_IDS):
         self.spark, self.leaf_ids = spark, leaf_ids
         self.table = PublishedTable(spark, root, STORED)
+        self._logs: dict[int, CommitLog] = {}
 
     def _log(self, generation: int) -> CommitLog:
-        return CommitLog(self.spark, f"{self.table.root}/log-{generation}", _COMMITTED, ["kind", "id"])
+        if generation not in self._logs:
+            self._logs[generation] = CommitLog(self.spark, f"{self.table.root}/log-{generation}", _COMMITTED, ["kind", "id"])
+        return self._logs[generation]
 
     def _index(self, generation: int) -> IdIndex:
         return IdIndex(self.spark, f"{self.table.root}/ids-{generation}", self.leaf_ids)

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from tests.hostile import not_names
 from tracemill.operators.positions import with_positions
 from tracemill.operators.validation import validate
-from tracemill.plans.commits import FOLD_AFTER, CommitLog
+from tracemill.plans.commits import CommitLog
 from tracemill.plans.id_index import MAX_DIGITS
 from tracemill.plans.store import EventStore, record_differences
 from tracemill.schemas import INVOCATION
@@ -86,16 +86,17 @@ def test_lookup_cost_follows_the_batch_not_the_store(spark, tmp_path):
     assert max(read) <= 1.25 * 10 * 64
 
 
-def test_segments_are_merged_and_stay_few(spark, tmp_path):
+def test_segments_are_merged_and_stay_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tracemill.plans.id_index.FANOUT", 3)
     store = EventStore(spark, str(tmp_path / "store"), leaf_ids=4)
-    for number in range(11):
+    for number in range(6):
         assert store.append(frame(spark, record(number), record(max(0, number - 1)))).written == 1
     contents = store._contents(0)
-    assert len(contents.batches) == 11 and len(contents.segments) < 8 and store.head() == 11
+    assert len(contents.batches) == 6 and len(contents.segments) < 5 and store.head() == 6
     # A batch written again after its ids were merged: what it no longer holds may be stored again.
     assert store.append(frame(spark, record(100)), batch_id=3).written == 1
     assert store.append(frame(spark, record(3), record(4))).written == 1
-    assert sorted(int(r.event_id, 16) for r in store.read().where("event_id < repeat('1', 64)").collect()) == [*range(11), 100]
+    assert sorted(int(r.event_id, 16) for r in store.read().where("event_id < repeat('1', 64)").collect()) == [*range(6), 100]
 
 
 def test_positions_of_later_batches_read_no_earlier_one(spark, tmp_path):
@@ -117,13 +118,16 @@ def test_files_are_written_in_order(spark, tmp_path):
     assert rows == sorted(rows) and len(rows) == 200
 
 
-def test_log_is_folded(spark, tmp_path):
+def test_log_is_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tracemill.plans.commits.FOLD_AFTER", 4)
     log = CommitLog(spark, str(tmp_path / "log"), StructType().add("name", "string").add("n", "long"), ["name"])
-    for number in range(FOLD_AFTER + 3):
+    for number in range(7):
         assert log.commit([{"name": f"k{number % 3}", "n": number}, {"name": "gone", "n": 0, "live": number % 2 == 0}]) == number + 1
     rows, following = log.read()
-    assert following == FOLD_AFTER + 4 and log.table.version() == 1
-    assert {r.name: r.n for r in rows} == {"k0": 33, "k1": 34, "k2": 32, "gone": 0}
+    assert following == 8 and log.table.version() == 1
+    assert {r.name: r.n for r in rows} == {"k0": 6, "k1": 4, "k2": 5, "gone": 0}
+    other = CommitLog(spark, str(tmp_path / "log"), StructType().add("name", "string").add("n", "long"), ["name"])
+    assert other.read() == log.read()
 
 
 def test_rebuild_replaces_and_equals_a_first_ingest(spark, tmp_path):

@@ -195,3 +195,34 @@ def test_unclosed_quotes_end_with_their_tag():
     assert main_text('<p class="x>Hello</p><p>you</p>') == "Hello\n\nyou"
     assert main_text("<p title='a > b'>one</p><p title=\"it's\">two</p>") == "one\n\ntwo"
     assert main_text("1 < 2 and a <b") == "1 < 2 and a <b"
+
+
+def invented_page(seed, tag):
+    """A page with its article in an element of the given name, and the blocks of the article."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join(rng.choices("alpha beta gamma delta epsilon zeta eta theta iota kappa".split(), k=n)) + "."
+    blocks, body = [words(rng.randint(3, 9))], ""
+    for _ in range(rng.randint(1, 12)):
+        blocks.append(words(rng.choice([4, 12, 40, 120])))
+        body += rng.choice(["<p>{}</p>", "<p>{}", "<blockquote>{}</blockquote>", "<ul><li>{}</ul>", "<pre>{}</pre>"]).format(blocks[-1])
+    menu = "<nav><ul>" + "".join(f"<li><a href=/{i}>{words(2)}</a>" for i in range(rng.randint(2, 9))) + "</ul></nav>"
+    links = f"<div>{''.join(f'<a href=/{i}>{words(3)}</a> ' for i in range(6))}</div>"
+    extras = [links, f"<div class=cookie>{words(12)}</div>", f"<aside><p>{words(30)}</p></aside>", f"<div class=comments><p>{words(25)}</p></div>"]
+    rng.shuffle(extras)
+    page = f"<body>{menu}{extras[0]}<{tag}><h1>{blocks[0]}</h1>{body}</{tag}>{''.join(extras[1:])}<footer>{words(9)}</footer></body>"
+    return page, "\n\n".join(blocks)
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section"])
+def test_article_is_found_with_and_without_mark(tag):
+    for seed in range(60):
+        page, want = invented_page(seed, tag)
+        assert main_text(page) == want, page
+
+
+def test_a_mark_is_evidence_only():
+    """A marked teaser of a few words does not hide a dense article that nothing marks."""
+    article = "".join(f"<p>{LONG} {i}</p>" for i in range(12))
+    assert main_text(f"<article><a href=x>Read</a> on</article><div><h1>Head</h1>{article}</div>").startswith(f"Head\n\n{LONG} 0")
+    assert main_text(f"<div><h1>Head</h1><div>{article}</div></div><div><a href=a>one</a> <a href=b>two</a></div>") == "\n\n".join(
+        ["Head", *[f"{LONG} {i}" for i in range(12)]])

@@ -4,10 +4,10 @@ A page becomes a small tree without the elements that never hold article text (m
 page, sidebars, notices, adverts, forms, scripts, styles, reader comments; known by element, role, or class and id).
 Each remaining node gets its characters per tag, adjusted for the share of link characters and link tags in it and
 in the whole body. The subtree whose children's densities sum highest is the article; further parts of the page
-count as content if they are at least as dense as the thinnest node between that subtree and the body. Where a
-page marks its article (article, main), the search stays inside it and the whole marked element is the result, with the
-other marked elements beside it that are as dense. Of several marked elements those with a class or role of noise
-(a reader comment as an article) do not count as marked.
+count as content if they are at least as dense as the thinnest node between that subtree and the body, and so do the
+headings before the article and the paragraphs, lists and the like beside it. Marks (article, main) are evidence: what is
+marked, or holds a mark, counts ``MARKED`` times as dense, and a marked element that is chosen stays whole. Of several marked
+elements those with a class or role of noise (a reader comment as an article) do not count as marked.
 
 Pages are independent: one pass over the table in Arrow batches, no shuffle.
 """
@@ -53,6 +53,11 @@ cookie cookies consent gdpr notice notices popup modal overlay newsletter subscr
 widgets menu menus nav navbar navigation navigations breadcrumb breadcrumbs footer masthead toolbar share sharing social related
 recommended recommendations comment comments commentlist disqus reply replies respond pagination pager login""".split())
 CORE = frozenset(("article", "main"))
+#: What a mark (article, main) is worth: so many times the density.
+MARKED = 4.0
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
+FLOW = HEADINGS | frozenset("p ul ol dl table pre blockquote figure address details".split())
+CONTAINERS = frozenset("html body div section article main center".split())
 
 
 class Node:
@@ -245,51 +250,75 @@ def _measure(nodes: list[Node]) -> list[Node]:
             base = log(log(node.chars / plain * node.link_chars + share * node.chars + e))
             links = node.chars * max(node.tags, 1) / (max(node.link_chars, 1) * max(node.link_tags, 1))
             node.density = node.chars / max(node.tags, 1) * max(log(links), 0.0) / max(base, 0.1)
+            if node.in_core or node.has_core:
+                node.density *= MARKED
         if node.parent is not None:
             node.parent.density_sum += node.density
     return left
 
 
+def _linked(node: Node, share: float) -> bool:
+    return node.link_chars > share * node.chars
+
+
+def _flow_around(best: Node, share: float) -> set[Node]:
+    """What belongs to the densest subtree without being as dense: blocks of its flow, and headings before it.
+
+    The flow are the paragraphs, headings, lists and the like that are children of one container with the subtree. Of a
+    container directly in the body, and further up, only headings before it count. Blocks with more links than the body
+    has are left out.
+    """
+    found, node = set(), best
+    while node.parent is not None and node.tag not in CONTAINERS and node.parent.tag not in CONTAINERS:
+        node = node.parent
+    if not _linked(node, share):
+        found.add(node)
+    whole = node.tag not in CONTAINERS or (node.parent is not None and node.parent.parent is not None and node.parent.tag != "body")
+    while node.parent is not None:
+        before = True
+        for part in node.parent.content:
+            before = before and part is not node
+            if isinstance(part, Node) and part.chars and not _linked(part, share) and (
+                    part.tag in FLOW if whole else before and part.tag in HEADINGS):
+                found.add(part)
+        whole, node = False, node.parent
+    return found
+
+
 def _chosen(left: list[Node]) -> set[Node]:
     """Roots of the content subtrees."""
     body = left[0]
-    cores = [node for node in left if node.core and node.chars]
-    search = [node for node in left if node.in_core] if cores else left
-    best = search[0]
-    for node in search:
-        if node.density_sum > best.density_sum:
-            best = node
+    cores = any(node.core and node.chars for node in left)
+    # An element around the marked ones says nothing that they do not say themselves.
+    search = [node for node in left if node.in_core or not node.has_core] if cores else left
+    best = max(search, key=lambda node: node.density_sum, default=body)
     threshold, node = best.density, best
     while node is not None:
         threshold, node = min(threshold, node.density), node.parent
-    if cores:
-        # The innermost marked element around the densest subtree is the article, others beside it its further parts.
+    if best.in_core:
+        # The innermost marked element around the densest subtree is the article.
         while not best.core and best.parent is not None:
             best = best.parent
-        around, node = set(), best.parent
-        while node is not None:
-            around.add(node)
-            node = node.parent
-        parts, within = set(), set()
-        for node in left:
-            if node.parent in within:
-                within.add(node)
-            elif node is best or (node.core and node.chars and node not in around and node.density >= threshold):
-                parts.add(node)
-                within.add(node)
-        return parts
-    # The densest subtree of every node that is dense enough, found from the leaves up.
+    # The densest subtree of every node that is dense enough, found from the leaves up; a marked element stays whole.
     top: dict[Node, Node] = {}
     for node in reversed(left):
         own = top.get(node)
-        if own is None or node.density_sum >= own.density_sum:
+        if own is None or node.core or node.density_sum >= own.density_sum:
             top[node] = own = node
         if node.parent is not None and (node.parent not in top or own.density_sum >= top[node.parent].density_sum):
             top[node.parent] = own
-    found = {best}
+    around, node = set(), best.parent
+    while node is not None:
+        around.add(node)
+        node = node.parent
+    found, within = {best}, {best}
     for node in left:
-        if node is not body and node.chars and node.density >= threshold:
+        if node.parent in within:
+            within.add(node)
+        elif node is not body and node.chars and node.density >= threshold and not (cores and node in around):
             found.add(top[node] if top[node].density_sum > 0 else node)
+    if not best.core:
+        found |= _flow_around(best, body.link_chars / max(body.chars, 1))
     return found
 
 

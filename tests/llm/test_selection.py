@@ -1,5 +1,6 @@
 """Mixing, packing, outliers and toxicity against brute force and held-out rows."""
 
+import itertools
 import random
 import re
 import zlib
@@ -255,3 +256,52 @@ def test_mixed_keeps_rows_without_id(spark):
     plan, got = mixing.mix(docs).collect(), mixing.mixed(docs).collect()
     assert sum(r.copies for r in plan if r.doc_id is None) == sum(r.doc_id is None for r in got) > 0
     assert sum(r.copies for r in plan) == len(got) and sum(r.taken for r in plan) == sum(len(r.text.split()) for r in got)
+
+
+def exact_mcd(x):
+    """Squared distances under the exact estimate: of all halves the one with the smallest determinant."""
+    d, half = x.shape[1], (len(x) + x.shape[1] + 1) // 2
+    floors = np.diag(np.square(outliers.FLOORS))
+    halves = (x[list(chosen)] for chosen in itertools.combinations(range(len(x)), half))
+    best = min(halves, key=lambda h: np.linalg.det(np.cov(h.T, bias=True) + floors))
+    off = x - best.mean(axis=0)
+    distance = np.einsum("ni,ij,nj->n", off, np.linalg.inv(np.cov(best.T, bias=True) + floors), off)
+    return distance, best.mean(axis=0), d
+
+
+def test_estimates_against_exact_mcd(spark):
+    """On small groups with planted outliers: the centre and the documents beyond the limit are those of the exact estimate."""
+    prepare(spark)
+    rng = np.random.default_rng(5)
+    rows, groups = [], {}
+    for group in range(6):
+        x = rng.normal(0, 0.15, (14, 4)) + rng.normal(0, 1, 4)
+        x[:3] += rng.choice([-4.0, 4.0], (3, 4))
+        groups[f"g{group}"] = x
+        rows += [(f"g{group}", *map(float, row)) for row in x]
+    table_ = spark.createDataFrame(rows, "grp string, x0 double, x1 double, x2 double, x3 double")
+    for row in outliers.mcd(table_).collect():
+        x = groups[row.grp]
+        exact, centre, d = exact_mcd(x)
+        off = x - np.array(row.centre)
+        distance = np.einsum("ni,ij,nj->n", off, np.array(row.inverse).reshape(d, d), off) / row.scale
+        assert set(np.flatnonzero(distance > outliers.CHI2_LIMIT)) == {0, 1, 2}
+        assert set(np.argsort(exact)[-3:]) == {0, 1, 2} and exact[:3].min() > outliers.CHI2_LIMIT
+        assert np.abs(np.array(row.centre) - centre).max() < 0.15
+
+
+def test_estimates_are_drawn_towards_the_language():
+    """The weight of the group around falls evenly with the size: there is no size at which the estimate jumps."""
+    import pandas as pd
+
+    wide, narrow = np.diag([1.0] * 4), np.diag([25.0] * 4)
+    sizes = list(range(1, 400))
+    rows = pd.DataFrame([("g", n, [1.0] * 4, narrow.ravel().tolist(), 2.0, [0.0] * 4, wide.ravel().tolist(), 1.0) for n in sizes],
+                        columns=["grp", "size", "centre", "inverse", "scale", "up_centre", "up_inverse", "up_scale"])
+    got = outliers._mixture(rows, 50)
+    centres = np.array([c[0] for c in got["centre"]])
+    assert np.allclose(centres, [n**2 / (n**2 + 2500) for n in sizes]) and np.all(np.diff(got["scale"]) > 0)
+    assert np.abs(np.diff([m[0] for m in got["inverse"]])).max() < 0.1
+    spread = np.linalg.inv(np.array(got["inverse"][49]).reshape(4, 4)) - np.diag(np.square(outliers.FLOORS))
+    own, above = np.linalg.inv(narrow) - np.diag(np.square(outliers.FLOORS)), np.eye(4) - np.diag(np.square(outliers.FLOORS))
+    assert np.allclose(spread, own / 2 + above / 2 + 0.25)

@@ -29,8 +29,8 @@ DIMENSIONS = ("word_length", "symbols", "dup_lines", "repeats")
 FLOORS = (0.08, 0.1, 0.03, 0.03)
 STEPS = 8
 BINS = 512
-#: Groups with fewer documents borrow the estimate of their language, else that of all documents.
-MIN_GROUP = 50
+#: The size at which a source's own estimate weighs as much as that of its language, and a language's as much as that of everything.
+PRIOR = 50
 #: Chi-square quantiles for four degrees of freedom: the median, and the limit of one in a million.
 CHI2_MEDIAN, CHI2_LIMIT = 3.3567, 33.3768
 
@@ -144,8 +144,8 @@ def _distance_bin() -> Column:
 def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """Estimates (``grp, size, centre, inverse, scale``) of rows with ``grp`` and coordinates ``x0..``.
 
-    The first estimate takes the documents nearest to the coordinate-wise medians; every step then never raises the
-    determinant. ``scale`` is the median squared distance over that of a chi-square variable, which makes the
+    The first estimate takes the documents nearest to the coordinate-wise medians. A step takes whole bins, so the half
+    is larger by up to a bin and the determinant may rise by as much. ``scale`` is the median squared distance over that of a chi-square variable, which makes the
     distances of the clean half comparable.
     """
     x = [f"x{i}" for i in range(len(DIMENSIONS))]
@@ -169,15 +169,47 @@ def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return stage(current.join(scales, "grp"), "mcd")
 
 
+def _mixture(rows: pd.DataFrame, prior: float) -> pd.DataFrame:
+    """Estimates of groups (``centre, inverse, scale, size``) drawn towards those of the groups around them (``up_*``).
+
+    Mean and covariance are those of a mixture of both, by the squares of ``size`` and ``prior``: a few documents cannot
+    outvote an outlier among them, so their estimate counts for little.
+    """
+    d, floors = len(DIMENSIONS), np.diag(np.square(FLOORS))
+    made = []
+    for row in rows.itertuples(index=False):
+        weight = row.size**2 / (row.size**2 + prior**2)
+        centre, up = np.array(row.centre), np.array(row.up_centre)
+        own, above = (np.linalg.inv(np.array(m).reshape(d, d)) - floors for m in (row.inverse, row.up_inverse))
+        between = np.outer(centre - up, centre - up)
+        covariance = weight * own + (1 - weight) * above + weight * (1 - weight) * between
+        made.append((row.grp, row.size, (weight * centre + (1 - weight) * up).tolist(),
+                     np.linalg.inv(covariance + floors).ravel().tolist(), weight * row.scale + (1 - weight) * row.up_scale))
+    return pd.DataFrame(made, columns=["grp", "size", "centre", "inverse", "scale"])
+
+
+def _drawn_to(estimates: DataFrame, above: DataFrame, prior: float) -> DataFrame:
+    """Estimates of one level (keys as JSON arrays) with those of the level above mixed in."""
+    keys = F.from_json("grp", "array<string>")
+    around = above.select(F.col("grp").alias("up"), *[F.col(c).alias(f"up_{c}") for c in ("centre", "inverse", "scale")])
+    paired = estimates.withColumn("up", F.to_json(F.slice(keys, 1, F.size(keys) - 1))).join(around, "up").drop("up")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _mixture(batch, prior)
+
+    return paired.mapInPandas(run, f"{ESTIMATE}, scale double")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           source_col: str = "source", min_words: int = MIN_WORDS, limit: float = CHI2_LIMIT,
-          min_group: int = MIN_GROUP) -> DataFrame:
+          prior: float = PRIOR) -> DataFrame:
     """Quality verdict of every document, with its counts, ``distance`` and ``base_failed``.
 
     ``base_failed``: fewer than ``min_words`` words, or over half of them in repeated windows of three.
     Such documents take no part in the estimates. The others are kept unless their squared robust distance,
-    scaled, exceeds ``limit``. The estimate is that of language and source, of the language where that group has
-    fewer than ``min_group`` documents, of everything where the language has; without any, all are kept.
+    scaled, exceeds ``limit``. The estimate is that of language and source, drawn towards that of the language, which is
+    drawn towards that of everything: by size, without a step, half and half in a group of ``prior`` documents.
 
     * null text: no words, fails the base rule; null language or source is a value of its own
     * very long texts are counted whole; repeated rows count as often as they occur; ties do not matter
@@ -195,15 +227,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     clean = rows.where(~F.col("base_failed"))
     # The same document counts once in each of its three groups.
     grouped = clean.select(*x, F.explode(F.array(*levels.values())).alias("grp"))
-    estimates = stage(mcd(grouped).where(F.col("size") >= min_group), "estimates")
-
-    judged = rows
-    for name, key in levels.items():
-        known = estimates.select(F.col("grp").alias(f"{name}_grp"),
-                                 F.struct("centre", "inverse", "scale").alias(name))
-        judged = judged.withColumn("__key", key).join(known, F.col("__key") == F.col(f"{name}_grp"), "left")
-        judged = judged.drop("__key", f"{name}_grp")
-    judged = judged.withColumn("__used", F.coalesce(*levels))
+    estimates = mcd(grouped)
+    level = F.size(F.from_json("grp", "array<string>"))
+    languages = _drawn_to(estimates.where(level == 1), estimates.where(level == 0), prior)
+    own = stage(_drawn_to(estimates.where(level == 2), languages, prior), "estimates")
+
+    used = own.select(F.col("grp").alias("__grp"), F.struct("centre", "inverse", "scale").alias("__used"))
+    judged = rows.withColumn("__key", levels["__own"]).join(used, F.col("__key") == F.col("__grp"), "left")
     distance = _squared_distance(x, "__used.centre", "__used.inverse") / F.col("__used.scale")
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), distance))
     return judged.select(

@@ -197,6 +197,26 @@ def test_unclosed_quotes_end_with_their_tag():
     assert main_text("1 < 2 and a <b") == "1 < 2 and a <b"
 
 
+def test_names_keep_their_coreference(spark):
+    """Names are drawn again one by one: whoever shares a name before shares it after, and only they do."""
+    prepare(spark)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    family = [f"{alphabet[i // 676].upper()}{alphabet[i // 26 % 26]}{alphabet[i % 26]}x" for i in range(6000)]
+    first = [f"F{alphabet[i // 26]}{alphabet[i % 26]}y" for i in range(300)]
+    texts = [f"Mr. {first[i % 300]} {name} met Dr {first[i % 300]} {name}, Mrs {name} and Herr {name.upper()} there" for i, name in enumerate(family)]
+    docs = table(spark, [*texts, "Mrs Anna Schmidt", "Dr Anna Schmidt", "Prof Schmidt", "Dr Unique Schmidt"])
+    got = [r.text for r in surrogates.pseudonymise(docs, KEY).orderBy("doc_id").collect()]
+    families, firsts = {}, {}
+    for i, text in enumerate(got[:6000]):
+        one, two, three, four = re.fullmatch(r"Mr\. (\w+ \w+) met Dr (\w+ \w+), Mrs (\w+) and Herr (\w+) there", text).groups()
+        assert one == two and one.split(" ")[1] == three and four == three.upper()
+        families.setdefault(three, set()).add(family[i])
+        firsts.setdefault(one.split(" ")[0], set()).add(first[i % 300])
+    assert len(families) == 6000 and len(firsts) == 300 and not families.keys() & set(family)
+    anna, doctor, professor, unique = (text.split(" ") for text in got[6000:])
+    assert anna[1:] == doctor[1:] and anna[2] == professor[1] == unique[2] and anna[1].endswith("a") and unique[1] != anna[1]
+
+
 def invented_page(seed, tag):
     """A page with its article in an element of the given name, and the blocks of the article."""
     rng = random.Random(seed)

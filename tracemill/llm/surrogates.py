@@ -4,7 +4,7 @@ Detectors find e-mail addresses, phone numbers, IPv4 addresses, payment cards, U
 access keys, passwords and tokens, and persons named after a title. The surrogate of an entity is drawn from a keyed
 hash of its type and canonical form, so every mention of it anywhere gets the same replacement (coreference); letters
 stay letters of their case and script, digits stay digits, separators stay where they are, check digits are
-computed, and names keep the gender their title gives them.
+computed, and first names keep the gender their title gives them, or another title gives them elsewhere.
 
 Distinct entities must get distinct surrogates, and no surrogate may be an entity of the corpus. Both are checked
 over the table of distinct entities; whoever collides draws again, until nothing collides. Where a form has few values
@@ -62,8 +62,12 @@ FEMALE_ENDS = {"latin": "a", "cyrillic": "а", "greek": "α"}
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 SYMBOLS = "!#$%&*+-?^_~"
 SENTENCE_END = ".!?:)]}>"
-#: Attempts that keep the length of an entity.
+#: Attempts that keep the length of an entity; names get a syllable more with each.
 LONGER = 4
+#: The kinds of names; a person is one or more of them.
+FIRST, FAMILY = "first", "family"
+#: Attempt, and gender told elsewhere (null: its own), of entities by kind and canonical form.
+Chosen = dict[tuple[str, str], tuple[int, str | None]]
 
 
 def luhn_sum(digits: str) -> int:
@@ -195,19 +199,40 @@ def _script(word: str) -> str:
 def _name(word: str, gender: str, first: bool, draw: Draw, attempt: int) -> str:
     script = _script(word)
     syllables = SYLLABLES[script]
-    made = "".join(syllables[draw.below(len(syllables))] for _ in range(2 + draw.below(2) + attempt // LONGER))
+    made = "".join(syllables[draw.below(len(syllables))] for _ in range(2 + draw.below(2) + attempt))
     if first and gender == "f":
         made = made[:-1] + FEMALE_ENDS[script]
     elif first and gender == "m" or draw.below(2):
         made += ENDS[script][draw.below(3)]
-    if word.isupper() and len(word) > 1:
-        return made.upper()
-    return made[0].upper() + made[1:]
+    return made
+
+
+def names_of(canonical: str) -> list[tuple[str, str, str]]:
+    """(kind, canonical form, word) of each name of a person in canonical form (``gender|names``).
+
+    Names are entities of their own, so a family or a first name alone refers to the same surrogate, drawn again or not.
+    """
+    gender, names = canonical.split("|", 1)
+    *first, family = names.split(" ")
+    return [(FIRST, f"{gender}|{word.casefold()}", word) for word in first] + [(FAMILY, family.casefold(), family)]
+
+
+def person(canonical: str, key: bytes, chosen: Chosen) -> str:
+    """The surrogate of a person: that of each name, in the letter case it is written in."""
+    made = []
+    for kind, name, word in names_of(canonical):
+        attempt, told = chosen.get((kind, name), (0, None))
+        gender = "" if kind == FAMILY else name.rsplit("|", 1)[0] if told is None else told
+        drawn = f"{gender}|{word.casefold()}" if kind == FIRST else name
+        plain = surrogate(kind, drawn, attempt, key)
+        made.append(plain.upper() if word.isupper() and len(word) > 1 else plain[0].upper() + plain[1:])
+    return " ".join(made)
 
 
 def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
-    """The surrogate of an entity in canonical form (of a person: ``gender|names``)."""
-    draw = Draw(key, kind, canonical, attempt)
+    """The surrogate of an entity in canonical form; of a name (first names: ``gender|name``) in small letters."""
+    # A first name draws one stem for each gender.
+    draw = Draw(key, kind, canonical.rsplit("|", 1)[1] if kind == FIRST else canonical, attempt)
     if kind == "email":
         local, domain = canonical.split("@")
         labels = domain.split(".")
@@ -243,15 +268,9 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
         return canonical[:kept] + "".join(str(draw.below(10)) for _ in range(len(canonical) - kept + more))
     if kind == "secret":
         return "AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw.below(32)] for _ in canonical[4:])
-    if kind == "person":
-        gender, names = canonical.split("|", 1)
-        words = names.split(" ")
-        # Each name is drawn for itself, so a family or a first name alone refers to the same surrogate.
-        made = []
-        for place, word in enumerate(words):
-            first = place == 0 and len(words) > 1
-            made.append(_name(word, gender, first, Draw(key, "first" if first else "family", word.casefold(), attempt), attempt))
-        return " ".join(made)
+    if kind in (FIRST, FAMILY):
+        gender, word = canonical.rsplit("|", 1) if kind == FIRST else ("", canonical)
+        return _name(word, gender, kind == FIRST, draw, attempt).casefold()
     return _password(canonical, draw, attempt)
 
 
@@ -273,15 +292,18 @@ def dressed(value: str, kind: str, made: str) -> str:
     return made
 
 
-def replace_entities(text: str | None, key: bytes, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str | None, int]:
+def replace_entities(text: str | None, key: bytes, chosen: Chosen | None = None) -> tuple[str | None, int]:
     """The text with surrogates, and the number of replacements."""
     found = find_entities(text)
     if not found:
         return text, 0
-    out, at = [], 0
+    out, at, chosen = [], 0, chosen or {}
     for start, stop, kind, canonical in found:
-        attempt = attempts.get((kind, canonical), 0) if attempts else 0
-        out += [text[at:start], dressed(text[start:stop], kind, surrogate(kind, canonical, attempt, key))]
+        if kind == "person":
+            made = person(canonical, key, chosen)
+        else:
+            made = surrogate(kind, canonical, chosen.get((kind, canonical), (0, None))[0], key)
+        out += [text[at:start], dressed(text[start:stop], kind, made)]
         at = stop
     return "".join([*out, text[at:]]), len(found)
 
@@ -295,28 +317,42 @@ def _row_key() -> Column:
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``key`` of the row, ``kind``, ``canonical``) of the distinct entities of every row."""
+    """(``key`` of the row, ``kind``, ``canonical``) of the distinct entities of every row, names of persons one by one."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).select(_row_key(), "text")
 
+    def parts(kind: str, canonical: str) -> list[tuple[str, str]]:
+        return [name[:2] for name in names_of(canonical)] if kind == "person" else [(kind, canonical)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [(row, *entity) for row, text in zip(batch["key"], batch["text"], strict=True)
-                     for entity in sorted({(kind, canonical) for _, _, kind, canonical in find_entities(text)})]
+                     for entity in sorted({part for _, _, kind, canonical in find_entities(text) for part in parts(kind, canonical)})]
             yield pd.DataFrame(found, columns=["key", "kind", "canonical"])
 
     return rows.mapInPandas(run, "key bigint, kind string, canonical string")
 
 
-def _marked(kind: str, canonical: str, made: str) -> str:
-    """A surrogate in the form of canonical entities: persons of different gender may share a family name."""
-    return f"{canonical.split('|', 1)[0]}|{made}" if kind == "person" else made
+def _word() -> Column:
+    """What a surrogate must not equal: a first name without its gender, anything else as it is."""
+    return F.when(F.col("kind") == FIRST, F.substring_index("canonical", "|", -1)).otherwise(F.col("canonical"))
+
+
+def told_genders(entities: DataFrame) -> DataFrame:
+    """(``kind``, ``canonical``, ``told``) of first names after a title of no gender that one with a gender goes with elsewhere.
+
+    They take the surrogate of that gender. A name told both ways takes one of them, the same everywhere.
+    """
+    gender = F.substring_index("canonical", "|", 1)
+    firsts = entities.where(F.col("kind") == FIRST).select("kind", "canonical", gender.alias("gender"), _word().alias("word"))
+    known = firsts.where("gender <> ''").groupBy("word").agg(F.max("gender").alias("told"))
+    return firsts.where("gender = ''").join(known, "word").select("kind", "canonical", "told", F.concat("told", F.lit("|"), "word").alias("as"))
 
 
 def _collisions(drawn: DataFrame) -> DataFrame:
     """Entities that must draw again: all but the first of those with one surrogate, and those whose surrogate exists."""
     holders = drawn.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min("canonical").alias("holder"))
     shared = drawn.join(holders.where("n > 1").drop("n"), ["kind", "made"]).where("canonical <> holder")
-    real = drawn.select("kind", F.col("canonical").alias("made")).distinct()
+    real = drawn.select("kind", _word().alias("made")).distinct()
     taken = drawn.join(real, ["kind", "made"], "left_semi")
     return shared.select("kind", "canonical").unionAll(taken.select("kind", "canonical")).distinct()
 
@@ -326,7 +362,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [_marked(k, c, surrogate(k, c, a, key)) for k, c, a in zip(batch["kind"], batch["canonical"], batch["attempt"], strict=True)]
+            made = [surrogate(k, c, a, key) for k, c, a in zip(batch["kind"], batch["canonical"], batch["attempt"], strict=True)]
             yield batch.assign(made=made)
 
     schema = "kind string, canonical string, attempt int, made string"
@@ -350,17 +386,23 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     named = stage(mentions(docs, id_col, text_col), "mentions")
-    redrawn = stage(assign(named.select("kind", "canonical").distinct(), key), "redrawn")
-    special = named.join(redrawn, ["kind", "canonical"]).groupBy("key").agg(
-        F.collect_set(F.struct("kind", "canonical", "attempt")).alias("redrawn"))
+    entities = stage(named.select("kind", "canonical").distinct(), "entities")
+    told = stage(told_genders(entities), "told-genders")
+    redrawn = stage(assign(entities.join(told, ["kind", "canonical"], "left_anti"), key), "redrawn")
+    same = told.join(redrawn.select(F.col("kind").alias("of"), F.col("canonical").alias("drawn_as"), "attempt"),
+                     (F.col("kind") == F.col("of")) & (F.col("as") == F.col("drawn_as")), "left")
+    chosen = redrawn.withColumn("told", F.lit(None).cast("string")).unionByName(
+        same.select("kind", "canonical", F.coalesce("attempt", F.lit(0)).alias("attempt"), "told"))
+    special = named.join(stage(chosen, "chosen"), ["kind", "canonical"]).groupBy("key").agg(
+        F.collect_set(F.struct("kind", "canonical", "attempt", "told")).alias("redrawn"))
     joined = rows.withColumn("key", _row_key()).join(merged(stage(special, "special")), "key", "left").select("doc_id", "text", "redrawn")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = []
             for text, found in zip(batch["text"], batch["redrawn"], strict=True):
-                attempts = {(r["kind"], r["canonical"]): r["attempt"] for r in found} if found is not None else None
-                made.append(replace_entities(text, key, attempts))
+                chosen = {(r["kind"], r["canonical"]): (r["attempt"], r["told"]) for r in found} if found is not None else None
+                made.append(replace_entities(text, key, chosen))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [m[0] for m in made], "n_entities": [m[1] for m in made]})
 
     return joined.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string, n_entities bigint")

@@ -51,17 +51,22 @@ def valid_usage() -> Column:
 
 
 def catalog_usage(primitives: DataFrame, usage: DataFrame) -> DataFrame:
-    """Every catalog row with its counters, zero when never used.
+    """Every catalog row with its counters, zero when never used; ``usage`` has one row per primitive.
 
     Usage of a name outside the catalog is not listed. Kinds must match as they are:
     a catalog ``mcp_server`` is a different primitive from the ``mcp_tool`` calls below it.
+
+    Both sides meet in one combining aggregate: a catalog may be far larger than the files that announce it look, so
+    a join would send it to the driver as a small table.
     """
-    listed = primitives.select(*PRIMITIVE_KEY).where(F.col("kind") != "builtin_tool").distinct()
-    joined = listed.join(usage, PRIMITIVE_KEY, "left").select(
-        *PRIMITIVE_KEY,
-        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("invocations", "failures", "unknown")],
-        "last_used",
-    )
+    counters = ["invocations", "failures", "unknown"]
+    listed = primitives.select(*PRIMITIVE_KEY).where(F.col("kind") != "builtin_tool").select(
+        *PRIMITIVE_KEY, F.lit(True).alias("listed"))
+    both = listed.unionByName(usage.select(*PRIMITIVE_KEY, *counters, "last_used"), allowMissingColumns=True)
+    joined = both.groupBy(*PRIMITIVE_KEY).agg(
+        F.max("listed").alias("listed"), *[F.sum(c).alias(c) for c in counters], F.max("last_used").alias("last_used"),
+    ).where("listed").select(
+        *PRIMITIVE_KEY, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counters], "last_used")
     return joined.where(valid_usage())
 
 

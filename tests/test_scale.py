@@ -1,9 +1,12 @@
 """Plans whose cost must follow the input: no table through the driver, no table in one task."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from tracemill.plans.inventory import catalog_usage
 from tracemill.plans.marts import used_primitives
+from tracemill.workbook.catalog import PARTS_A_TASK, part_catalog
 
 
 
@@ -29,3 +32,9 @@ def test_catalog_usage_of_repeated_unlisted_and_null_rows(spark):
     got = catalog_usage(listed, usage)
     assert got.columns == ["harness", "kind", "name", "invocations", "failures", "unknown", "last_used"]
     assert sorted(tuple(r)[1:6] for r in got.collect()) == [("skill", "a", 3, 1, 1), ("skill", "b", 0, 0, 0)]
+
+def test_parts_of_one_small_file_are_listed_by_many_tasks(spark):
+    parts = spark.range(3 * PARTS_A_TASK).select(F.col("id").alias("p_partkey")).coalesce(1)
+    listed = part_catalog(parts)
+    assert listed.rdd.getNumPartitions() == math.ceil(parts.count() / PARTS_A_TASK)
+    assert listed.select("name").distinct().count() == parts.count() * 25

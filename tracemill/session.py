@@ -79,6 +79,11 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` dealt out to tasks of about so many rows, for steps that make many rows of each; their number follows the input."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def lazy(df: DataFrame, label: str = "") -> DataFrame:
     """The staging function for small inputs: leave the plan as it is."""
     return df

@@ -18,7 +18,7 @@ from tracemill.plans.inventory import (
 from tracemill.plans.jobs import primitives_of, report_of
 from tracemill.plans.marts import unused_overview, unused_primitives, used_primitives
 from tracemill.operators.usage import usage_by_primitive
-from tracemill.session import materialize, scratch_path
+from tracemill.session import materialize, scratch_path, spread
 from tracemill.sources.catalog_files import announced_primitives, listed_primitives, mcp_servers, plugin_paths, primitives_in_layout
 from tracemill.sources.lines import frame
 from tracemill.sources.transcripts import decode_entries
@@ -35,10 +35,13 @@ def _kind(key: str):
 
 #: A part is listed once per supplier group; what no supplier of a group sold is unused, at any scale.
 GROUPS = 25
+PARTS_A_TASK = 20_000
 
 
 def part_catalog(part: DataFrame) -> DataFrame:
-    listed = part.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+    """Each part in every group; the rows are dealt out first, since a task would list all the parts of a small file."""
+    parts = spread(part.select("p_partkey"), PARTS_A_TASK)
+    listed = parts.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
     return listed.select(F.lit("shop").alias("harness"), _kind("p_partkey").alias("kind"),
                          F.concat(F.lit("p"), "p_partkey", F.lit("g"), "g").alias("name"))
 

@@ -4,10 +4,14 @@ import math
 
 from pyspark.sql import functions as F
 
+from tracemill.operators.validation import first_copies
 from tracemill.plans.inventory import catalog_usage
 from tracemill.plans.marts import used_primitives
+from tracemill.plans.store import record_differences
+from tracemill.schemas import INVOCATION
+from tracemill.session import ROWS_A_FILE, materialize
 from tracemill.workbook.catalog import PARTS_A_TASK, part_catalog
-
+from tracemill.workbook.transcripts import event_feed
 
 
 def test_catalog_meets_its_usage_without_a_broadcast(spark, tmp_path):
@@ -38,3 +42,36 @@ def test_parts_of_one_small_file_are_listed_by_many_tasks(spark):
     listed = part_catalog(parts)
     assert listed.rdd.getNumPartitions() == math.ceil(parts.count() / PARTS_A_TASK)
     assert listed.select("name").distinct().count() == parts.count() * 25
+
+
+def test_differences_of_two_stores_meet_in_one_shuffle(spark):
+    def rows(*ids):
+        return spark.createDataFrame([(i,) for i in ids], "event_id string").select(
+            *[F.col(f.name) if f.name == "event_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in INVOCATION.fields])
+
+    found = record_differences(rows("a", "a", "a", "b", "X"), rows("a", "b", "b", "x"))
+    assert sorted((r.event_id, r.side) for r in found.collect()) == [("X", "left"), ("a", "left"), ("a", "left"), ("b", "right"), ("x", "right")]
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_records_and_stored_ids_meet_in_one_shuffle(spark):
+    rows = spark.createDataFrame([("a", 2, "late"), ("a", 1, "first"), ("b", 1, "held"), ("c", 1, "new"), ("c", 1, "old")], "event_id string, ts int, name string")
+    held = spark.createDataFrame([("b",), ("b",), ("z",)], "event_id string")
+    new = first_copies(rows, ["ts"], held)
+    assert sorted(tuple(r) for r in new.collect()) == [("a", 1, "first"), ("c", 1, "new")]
+    assert new.columns == rows.columns and "Join" not in new._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scratch_tables_have_files_of_bounded_rows(spark):
+    table = materialize(spark.range(2 * ROWS_A_FILE + 1).coalesce(1))
+    assert len(table.inputFiles()) == 3 and table.count() == 2 * ROWS_A_FILE + 1
+
+
+def test_lines_of_a_feed_are_dealt_out_evenly(spark):
+    """Files cut from one task are full but for the last; those of a feed hold about the same number of lines."""
+    n = ROWS_A_FILE
+    events = spark.range(n).coalesce(1).select(
+        F.col("id").alias("event_id"), F.lit("2024-01-01").cast("timestamp").alias("ts"), (F.col("id") % 50).alias("user_id"),
+        F.when(F.col("id") % 10 == 0, "view").otherwise("signup").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
+    sizes = [r["count"] for r in event_feed(events).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 2 and max(sizes) - min(sizes) < 100

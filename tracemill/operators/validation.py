@@ -10,6 +10,8 @@ from tracemill.schemas import INVOKERS, KINDS, OUTCOMES, RECORD_VERSION, SOURCES
 
 OPTIONAL_NAMES = ["package", "via_skill", "via_agent", "model", "effort"]
 OPTIONAL_VERSIONS = ["harness_version", "package_version"]
+# Columns that hold lower-case hexadecimal digits in every valid record.
+DIGESTS = ["event_id", "repo"]
 
 
 def _holds(condition: Column) -> Column:
@@ -53,16 +55,31 @@ def validate(records: DataFrame) -> DataFrame:
     return records.withColumn("invalid_reason", invalid_reason())
 
 
-def first_copies(records: DataFrame, order: list[str]) -> DataFrame:
-    """One record per event id, the first by ``order``.
+def packed(records: DataFrame) -> DataFrame:
+    """Valid records with their digests as bytes: half as wide, in the same order."""
+    return records.withColumns({c: F.unhex(c) for c in DIGESTS if c in records.columns})
+
+
+def unpacked(records: DataFrame) -> DataFrame:
+    return records.withColumns({c: F.lower(F.hex(c)) for c in DIGESTS if c in records.columns})
+
+
+def first_copies(records: DataFrame, order: list[str], stored_ids: DataFrame | None = None) -> DataFrame:
+    """One record per event id, the first by ``order``; given ``stored_ids``, only of ids that are not among them.
 
     A combining minimum instead of a ranking window: an id with very many copies shrinks
-    to one row per task before it is shuffled. Ties are broken by the record itself.
+    to one row per task before it is shuffled. Ties are broken by the record itself. Stored ids
+    meet the records in the same shuffle.
     """
     rest = [c for c in records.columns if c != "event_id" and c not in order]
-    return records.groupBy("event_id").agg(
-        F.min(F.struct(*order, *rest)).alias("kept")
-    ).select("event_id", "kept.*").select(*records.columns)
+    copies = records.select("event_id", F.struct(*order, *rest).alias("kept"))
+    if stored_ids is None:
+        first = copies.groupBy("event_id").agg(F.min("kept").alias("kept"))
+    else:
+        known = stored_ids.select("event_id", F.lit(True).alias("known"))
+        first = copies.unionByName(known, allowMissingColumns=True).groupBy("event_id").agg(
+            F.min("kept").alias("kept"), F.max("known").alias("known")).where("known is null")
+    return first.select("event_id", "kept.*").select(*records.columns)
 
 
 def unseen(batch: DataFrame, stored_ids: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, IntegerType, LongType, StringType, StructField, StructType
 
-from tracemill.operators.validation import first_copies, unseen, validate
+from tracemill.operators.validation import first_copies, packed, unpacked, unseen, validate
 from tracemill.plans.commits import CommitLog
 from tracemill.plans.id_index import LEAF_IDS, MAX_DIGITS, IdIndex, Segment
 from tracemill.plans.published import PublishedTable, read_if_present
@@ -24,6 +24,8 @@ STORED = StructType(
 _WRITTEN = StructType(STORED.fields + [StructField("slot", LongType()), StructField("attempt", LongType())])
 _ROW_BITS = 33
 RECORD_ORDER = ["ts"]
+#: Batches up to so many records, which Spark can broadcast, are looked up in the stored ids by joins; larger ones meet them in one shuffle.
+LOOKED_UP = 50_000
 
 _COMMITTED = StructType([
     StructField("kind", StringType()), StructField("id", LongType()), StructField("folder", StringType()), StructField("rows", LongType()),
@@ -169,18 +171,19 @@ class EventStore:
         # Ids of the attempt that this one replaces do not count as stored.
         replaced = contents.batches.get(batch)
         segments = [replace(s, dead=[*s.dead, replaced.attempt]) if replaced else s for s in contents.segments]
-        stored = self._index(generation).stored(segments, prefixes)
-        fresh = (
-            unseen(first_copies(valid, order), stored)
-            .select(*INVOCATION_COLUMNS, F.to_date("ts").alias("event_date"))
+        stored = packed(self._index(generation).stored(segments, prefixes))
+        valid = packed(valid)
+        new = unseen(first_copies(valid, order), stored) if total <= LOOKED_UP else first_copies(valid, order, stored)
+        fresh = unpacked(
+            new.select(*INVOCATION_COLUMNS)
             # Even files over disjoint time ranges: a date filter skips files by their
             # column statistics, a hot day is split, and a sparse batch stays a few files.
             .repartitionByRange("ts", "event_id")
             .sortWithinPartitions("ts", "event_id")
             .withColumn("slot", F.monotonically_increasing_id())
-        )
+        ).select(*INVOCATION_COLUMNS, F.to_date("ts").alias("event_date"), "slot")
         target = f"{self.table.path(generation)}/batch_id={batch}/attempt={contents.next_commit}"
-        fresh.write.mode("overwrite").parquet(target)
+        fresh.write.mode("overwrite").option("compression", "zstd").parquet(target)
         written = read_if_present(self.spark, target, INVOCATION).count()
         self._commit(generation, batch, target, written, contents, segments if replaced else [])
         return AppendResult(batch, written, total - dropped - written, dropped)
@@ -206,9 +209,12 @@ class EventStore:
 
 
 def record_differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows on one side only, with the side: empty when two stores hold the same records."""
+    """Rows on one side only, with the side: empty when two stores hold the same records.
+
+    Copies count: a row is returned as often as one side holds it more. Both sides meet in one aggregate.
+    """
     a, b = left.select(*INVOCATION_COLUMNS), right.select(*INVOCATION_COLUMNS)
-    return (
-        a.exceptAll(b).withColumn("side", F.lit("left"))
-        .unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
-    )
+    both = a.withColumn("more", F.lit(1)).unionByName(b.withColumn("more", F.lit(-1)))
+    net = both.groupBy(*INVOCATION_COLUMNS).agg(F.sum("more").alias("more")).where("more <> 0")
+    side = F.when(F.col("more") > 0, "left").otherwise("right").alias("side")
+    return net.select(*INVOCATION_COLUMNS, side, F.explode(F.array_repeat(F.lit(0), F.abs("more").cast("int")))).drop("col")

@@ -66,16 +66,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of one file of a scratch table. Spark never splits a row group, and text packs so well that one holds millions of lines.
+ROWS_A_FILE = 50_000
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared scratch folder and read it back.
 
     Cuts the lineage, so a lost executor re-reads the table instead of re-running
-    the upstream scan, and several consumers share one evaluation.
+    the upstream scan, and several consumers share one evaluation. Files are bounded by
+    rows, so that the tasks of the next step are even however the table was written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     schema: StructType = df.schema
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_A_FILE).option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

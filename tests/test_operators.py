@@ -14,7 +14,7 @@ from tests.support import SALT, consent_rows
 from tracemill.functions.domains import derived_name
 from tracemill.functions.paths import clean_absolute
 from tracemill.operators.consent import resolve_directories
-from tracemill.operators.pairing import call_events, pair_calls
+from tracemill.operators.pairing import BLOCK_EVENTS, call_events, pair_calls
 from tracemill.operators.sessions import with_line_offsets
 from tracemill.operators.usage import summary, usage_by_provenance
 from tracemill.plans.health import InvalidCounters, ScanHealth, integration_state
@@ -164,6 +164,39 @@ def test_pairing_equals_a_sequential_walk(spark, stage):
     assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in expected.items()}
 
 
+def test_short_ids_are_folded_in_one_step(spark):
+    """Reused ids of one block at most need one staged table; one event more takes the blocks, with the same pairs."""
+    rng, keys = random.Random(8), "file string, call_id string, chunk bigint, line bigint, block int"
+
+    def run(lengths):
+        uses, results, expected, labels = [], [], {}, []
+        for call_id, length in lengths.items():
+            tags = ["use", "use", *rng.choices(["use", "result", "void"], k=length - 2)]
+            for position, tag in enumerate(tags):
+                place = ("f", call_id, position // 11, position, 0)
+                if tag == "result":
+                    results.append((*place, (position,)))
+                else:
+                    uses.append((*place, "accepted" if tag == "use" else "refused", (position,)))
+            expected[call_id] = simulate([(tag, position) for position, tag in enumerate(tags)])
+
+        def stage(df, label):
+            labels.append(label)
+            return materialize(df, label)
+
+        calls = spark.createDataFrame(uses, f"{keys}, status string, call struct<n: bigint>")
+        answers = spark.createDataFrame(results, f"{keys}, result struct<n: bigint>")
+        got = {call_id: [] for call_id in lengths}
+        for row in pair_calls(call_events(calls, answers), stage).collect():
+            got[row.call_id].append((row.call.n, row.result and row.result.n))
+        assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in expected.items()}
+        return labels
+
+    short = {"a": 40, "b": BLOCK_EVENTS - 1, "c": BLOCK_EVENTS}
+    assert run(short) == ["calls-by-id", "reused-calls"]
+    assert "reused-states" in run(short | {"d": BLOCK_EVENTS + 1})
+
+
 # --- files ----------------------------------------------------------------------------
 
 def test_offsets_across_splits(spark, tmp_path):

@@ -15,7 +15,8 @@ Only reused ids need their order. An event maps the three states an id can be in
 states, and such maps compose: a block of events is summed up by where each start state
 ends and which call or result is held then, blocks of a chunk by the composition of their
 summaries, chunks of an id likewise. Walking down again gives every block the state it
-starts in. A block holds a bounded number of events, so no task ever holds a whole id.
+starts in. A block holds a bounded number of events, so no task ever holds a whole id of
+more events than that; an id of one block at most is walked through at once.
 """
 
 from __future__ import annotations
@@ -87,10 +88,10 @@ def pair_calls(
     """
     per_id = _by_id(events, stage)
     once = _as_pairs(per_id.where((F.col("uses") == 1) & (F.col("voids") == 0)))
-    reused = per_id.where((F.col("uses") >= 1) & (F.col("uses") + F.col("voids") > 1)).select(*KEYS)
+    reused = per_id.where((F.col("uses") >= 1) & (F.col("uses") + F.col("voids") > 1))
     if stage is not lazy and reused.isEmpty():
         return once
-    folded = fold_reused(events.join(reused, KEYS, "left_semi"), stage)
+    folded = _fold_by_size(events, reused, stage)
     left = folded.ends.where(F.col("state") == WAITING).select(
         *KEYS, "held.call", F.lit(None).cast(events.schema["result"].dataType).alias("result"),
         F.col("held.pos").alias("call_pos"), F.lit(None).cast(POSITION_TYPE).alias("result_pos"))
@@ -120,10 +121,10 @@ def carry_calls(events: DataFrame, stage: Callable[[DataFrame, str], DataFrame]
     early = once.where("uses = 0").select(*KEYS, "r.pos", F.lit(RESULT).alias("tag"), no_call, "r.result")
     pairs, left = _as_pairs(once.where("uses = 1 and results = 1")), waiting.unionByName(early)
     # Voids alone leave nothing behind.
-    reused = per_id.where(~simple & (F.col("uses") + F.col("results") > 0)).select(*KEYS)
+    reused = per_id.where(~simple & (F.col("uses") + F.col("results") > 0))
     if stage is not lazy and reused.isEmpty():
         return Carried(pairs, left)
-    folded = fold_reused(events.join(reused, KEYS, "left_semi"), stage)
+    folded = _fold_by_size(events, reused, stage)
     held = folded.ends.where(F.col("state") != IDLE).select(
         *KEYS, "held.pos", F.when(F.col("state") == WAITING, USE).otherwise(RESULT).alias("tag"), "held.call", "held.result")
     return Carried(pairs.unionByName(folded.pairs), left.unionByName(held))
@@ -186,39 +187,70 @@ class _Fold:
         start = F.struct(state.alias("state"), held.alias("held"), F.array().cast(part_type).alias("out"))
         return F.aggregate(parts, start, step)
 
-    def pairs(self, events: Column, state: Column, held: Column, pair_type: str) -> Column:
-        """The pairs completed inside a block that starts in the given state."""
+    def block(self, events: Column, state: Column, held: Column, pair_type: str) -> Column:
+        """Struct of the state after a block that starts in the given state, what is held there, and the pairs completed inside."""
+        def pair(call: Column, result: Column) -> Column:
+            return F.array(F.struct(call.alias("c"), result.alias("r")))
+
         def step(at: Column, event: Column) -> Column:
             after, kept = self._next(at["state"], at["held"], event)
-            by_use = (at["state"] == EARLY) & (event["code"] == TAGS.index(USE))
-            by_result = (at["state"] == WAITING) & (event["code"] == TAGS.index(RESULT))
-            pair = F.when(by_use, F.struct(event.alias("c"), at["held"].alias("r"))).when(
-                by_result, F.struct(at["held"].alias("c"), event.alias("r")))
-            return F.struct(after.alias("state"), kept.alias("held"),
-                            F.when(pair.isNull(), at["out"]).otherwise(F.concat(at["out"], F.array(pair))).alias("out"))
+            met = at["state"] * 3 + event["code"]
+            out = F.when(met == WAITING * 3 + TAGS.index(RESULT), F.concat(at["out"], pair(at["held"], event))).when(
+                met == EARLY * 3 + TAGS.index(USE), F.concat(at["out"], pair(event, at["held"]))).otherwise(at["out"])
+            return F.struct(after.alias("state"), kept.alias("held"), out.alias("out"))
 
         start = F.struct(state.alias("state"), held.alias("held"), F.array().cast(pair_type).alias("out"))
-        return F.aggregate(events, start, step)["out"]
+        return F.aggregate(events, start, step)
+
+
+def _coded(events: DataFrame) -> DataFrame:
+    """The keys and the events as the structs that are folded."""
+    code = F.array_position(F.array(*map(F.lit, TAGS)), F.col("tag")).cast("int") - 1
+    return events.select(*KEYS, F.struct("pos", code.alias("code"), "call", "result").alias("event"))
+
+
+def _pairs_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*KEYS, "c.call", "r.result", F.col("c.pos").alias("call_pos"), F.col("r.pos").alias("result_pos"))
+
+
+def _fold_by_size(events: DataFrame, reused: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> Folded:
+    """Exact pairing of the ``reused`` ids: those of one block in one step, longer ones by blocks."""
+    size = F.col("uses") + F.col("voids") + F.col("results")
+    short = fold_short(events.join(reused.where(size <= BLOCK_EVENTS).select(*KEYS), KEYS, "left_semi"), stage)
+    long = reused.where(size > BLOCK_EVENTS).select(*KEYS)
+    if stage is not lazy and long.isEmpty():
+        return short
+    blocks = fold_reused(events.join(long, KEYS, "left_semi"), stage)
+    return Folded(short.pairs.unionByName(blocks.pairs), short.ends.unionByName(blocks.ends))
+
+
+def fold_short(events: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = lazy) -> Folded:
+    """Exact pairing for ids of at most ``BLOCK_EVENTS`` events each, a bounded array per id."""
+    coded = _coded(events)
+    event_type = coded.schema["event"].dataType.simpleString()
+    fold = _Fold(event_type)
+    whole = coded.groupBy(*KEYS).agg(F.sort_array(F.collect_list("event")).alias("events"))
+    through = fold.block(F.col("events"), F.lit(IDLE), fold.nothing, f"array<struct<c: {event_type}, r: {event_type}>>")
+    walks = stage(whole.select(*KEYS, through.alias("walk")), "reused-calls")
+    return Folded(_pairs_of(walks.select(*KEYS, F.inline("walk.out"))), walks.select(*KEYS, "walk.state", "walk.held"))
 
 
 def fold_reused(events: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = lazy) -> Folded:
     """Exact pairing for ids that occur more than once, in any mixture of calls, voids and results."""
-    code = F.array_position(F.array(*map(F.lit, TAGS)), F.col("tag")).cast("int") - 1
-    event = F.struct("pos", code.alias("code"), "call", "result")
-    chunk = F.col("pos.chunk")
-    rank = F.row_number().over(Window.partitionBy(*KEYS, chunk).orderBy("pos"))
-    numbered = events.select(*KEYS, chunk.alias("chunk"), event.alias("event"), F.floor((rank - 1) / BLOCK_EVENTS).cast("int").alias("part"))
+    chunk = F.col("event.pos.chunk")
+    rank = F.row_number().over(Window.partitionBy(*KEYS, chunk).orderBy("event.pos"))
+    numbered = _coded(events).select(*KEYS, chunk.alias("chunk"), "event", F.floor((rank - 1) / BLOCK_EVENTS).cast("int").alias("part"))
     event_type = numbered.schema["event"].dataType.simpleString()
     fold = _Fold(event_type)
     by_chunk = [*KEYS, "chunk"]
     blocks = stage(
-        numbered.groupBy(*by_chunk, "part").agg(F.array_sort(F.collect_list("event")).alias("events"))
+        numbered.groupBy(*by_chunk, "part").agg(F.sort_array(F.collect_list("event")).alias("events"))
         .withColumn("ends", fold.of_events(F.col("events"))),
         "reused-calls",
     )
-    chunks = blocks.groupBy(*by_chunk).agg(F.array_sort(F.collect_list(F.struct("part", "ends"))).alias("parts"))
+    chunks = blocks.groupBy(*by_chunk).agg(F.sort_array(F.collect_list(F.struct("part", "ends"))).alias("parts"))
     summed = chunks.select(*by_chunk, fold.of_parts(F.col("parts")).alias("ends"))
-    ids = summed.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("chunk", "ends"))).alias("chunks"))
+    ids = summed.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("chunk", "ends"))).alias("chunks"))
     walked = fold.walk(F.col("chunks"), "chunk", F.lit(IDLE), fold.nothing,
                        f"array<struct<chunk: bigint, state: int, held: {event_type}>>")
     walks = stage(ids.select(*KEYS, walked.alias("walk")), "reused-states")
@@ -226,12 +258,9 @@ def fold_reused(events: DataFrame, stage: Callable[[DataFrame, str], DataFrame]
     inside = fold.walk(F.col("parts"), "part", F.col("state"), F.col("held"),
                        f"array<struct<part: int, state: int, held: {event_type}>>")
     into_blocks = chunks.join(into_chunks, by_chunk).select(*by_chunk, inside.alias("walk")).select(*by_chunk, F.inline("walk.out"))
-    completed = fold.pairs(F.col("events"), F.col("state"), F.col("held"), f"array<struct<c: {event_type}, r: {event_type}>>")
+    completed = fold.block(F.col("events"), F.col("state"), F.col("held"), f"array<struct<c: {event_type}, r: {event_type}>>")["out"]
     pairs = blocks.join(into_blocks, [*by_chunk, "part"]).select(*KEYS, F.inline(completed))
-    return Folded(
-        pairs.select(*KEYS, "c.call", "r.result", F.col("c.pos").alias("call_pos"), F.col("r.pos").alias("result_pos")),
-        walks.select(*KEYS, "walk.state", "walk.held"),
-    )
+    return Folded(_pairs_of(pairs), walks.select(*KEYS, "walk.state", "walk.held"))
 
 
 def first_results(results: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -144,7 +144,8 @@ def _(spark, tables):
         F.col("l_partkey").cast("int").alias("block"),
         F.struct(F.coalesce(_flag_outcome(), F.lit("unknown")).alias("outcome")).alias("result"),
     )
-    pairs = pair_calls(call_events(uses, results), materialize)
+    # Read once to count the events of each id and once to fold them.
+    pairs = pair_calls(materialize(call_events(uses, results), "call-events"), materialize)
     return pairs.select(
         F.col("call_id").cast("bigint").alias("customer"), F.col("call.order").alias("call_order"),
         F.col("result.outcome").alias("outcome"), F.col("result").isNull().alias("is_open"),

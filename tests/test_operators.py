@@ -197,6 +197,19 @@ def test_short_ids_are_folded_in_one_step(spark):
     assert "reused-states" in run(short | {"d": BLOCK_EVENTS + 1})
 
 
+def test_events_without_chunk_pair_alike_in_short_and_long_ids(spark):
+    """A pair completed among events of an unknown chunk is left out, however many events the id has; later ones are paired."""
+    calls, answers = [], []
+    for call_id, length in (("short", 4), ("long", BLOCK_EVENTS)):
+        calls += [("f", call_id, None, 1, 0, "accepted", (1,)), ("f", call_id, None, 3, 0, "accepted", (3,))]
+        answers += [("f", call_id, None, 2, 0, (2,)), *(("f", call_id, 0, 4 + i, 0, (4 + i,)) for i in range(length))]
+    keys = "file string, call_id string, chunk bigint, line bigint, block int"
+    uses = spark.createDataFrame(calls, f"{keys}, status string, call struct<n: bigint>")
+    results = spark.createDataFrame(answers, f"{keys}, result struct<n: bigint>")
+    got = sorted((r.call_id, r.call.n, r.result.n) for r in pair_calls(call_events(uses, results)).collect())
+    assert got == [("long", 3, 4), ("short", 3, 4)]
+
+
 # --- files ----------------------------------------------------------------------------
 
 def test_offsets_across_splits(spark, tmp_path):

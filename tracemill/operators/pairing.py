@@ -232,7 +232,9 @@ def fold_short(events: DataFrame, stage: Callable[[DataFrame, str], DataFrame] =
     whole = coded.groupBy(*KEYS).agg(F.sort_array(F.collect_list("event")).alias("events"))
     through = fold.block(F.col("events"), F.lit(IDLE), fold.nothing, f"array<struct<c: {event_type}, r: {event_type}>>")
     walks = stage(whole.select(*KEYS, through.alias("walk")), "reused-calls")
-    return Folded(_pairs_of(walks.select(*KEYS, F.inline("walk.out"))), walks.select(*KEYS, "walk.state", "walk.held"))
+    # Events without a chunk come first and change the state, but blocks give no pair that is completed among them; nor does this.
+    placed = walks.select(*KEYS, F.inline("walk.out")).where("c.pos.chunk is not null or r.pos.chunk is not null")
+    return Folded(_pairs_of(placed), walks.select(*KEYS, "walk.state", "walk.held"))
 
 
 def fold_reused(events: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = lazy) -> Folded:

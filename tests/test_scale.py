@@ -4,12 +4,18 @@ import math
 
 from pyspark.sql import functions as F
 
+from tracemill import session
+from tracemill.operators import pairing
 from tracemill.operators.validation import first_copies
 from tracemill.plans.inventory import catalog_usage
 from tracemill.plans.marts import used_primitives
 from tracemill.plans.store import record_differences
 from tracemill.schemas import INVOCATION
 from tracemill.session import ROWS_A_FILE, materialize
+from tracemill.sources.lines import feed_lines
+from tracemill.sources.transcripts import decode_entries
+from tracemill.streaming.collect import FEED, Collector
+from tracemill.workbook import QUERIES, streams
 from tracemill.workbook.catalog import PARTS_A_TASK, part_catalog
 from tracemill.workbook.transcripts import event_feed
 
@@ -75,3 +81,91 @@ def test_lines_of_a_feed_are_dealt_out_evenly(spark):
         F.when(F.col("id") % 10 == 0, "view").otherwise("signup").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
     sizes = [r["count"] for r in event_feed(events).groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) == 2 and max(sizes) - min(sizes) < 100
+
+
+def test_a_lump_of_lines_is_dealt_out_before_it_is_parsed(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_FILE", 100)
+    lump = spark.range(2000, numPartitions=1)
+    dealt = session.evened(lump)
+    sizes = [r.n for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 200
+    assert dealt.distinct().count() == 2000
+    # Even tasks, and few rows, stay as they are.
+    even, few = spark.range(2000, numPartitions=8), spark.range(90, numPartitions=1)
+    assert session.evened(even) is even and session.evened(few) is few and session.evened(few.where("id < 0")).isEmpty()
+
+
+def test_refused_calls_are_settled_without_a_fold(spark, monkeypatch):
+    """(line, tag) of one id each, and what is left: only a result behind every refused call waits."""
+    cases = {
+        "a": ([(1, "void"), (2, "result")], 2), "b": ([(1, "result"), (2, "void")], None), "c": ([(1, "void")], None),
+        "d": ([(1, "void"), (2, "result"), (3, "void")], None), "e": ([(1, "void"), (2, "void"), (3, "result")], 3), "f": ([(1, "result")], 1),
+        "g": ([(None, "result"), (1, "void")], None), "h": ([(None, "void"), (1, "result")], 1),
+    }
+    rows = [("f", i, (0 if line else None, line, 0), tag, None, (line,) if tag == "result" else None)
+            for i, (events, _) in cases.items() for line, tag in events]
+    events = spark.createDataFrame(rows, f"file string, call_id string, pos {pairing.POSITION_TYPE}, tag string, "
+                                         "call struct<event_id: int>, result struct<at: int>")
+
+    def left(carried):
+        assert carried.pairs.isEmpty()
+        return {r.call_id: r.result.at for r in carried.left.collect() if r.tag == "result"}
+
+    want = {i: line for i, (_, line) in cases.items() if line}
+    ends = pairing.fold_short(events).ends.where("state = 2").collect()
+    assert {r.call_id: r.held.result.at for r in ends} == want
+
+    def never(*_):
+        raise AssertionError("folded")
+
+    monkeypatch.setattr(pairing, "_fold_by_size", never)
+    assert left(pairing.carry_calls(events, session.materialize)) == want
+
+
+def test_micro_batches_are_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A feed whose lines pack into one row group still comes as three micro-batches of many tasks."""
+    epochs = []
+    process = Collector.process
+
+    def counted(self, feed, epoch):
+        epochs.append(feed.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first())
+        return process(self, feed, epoch)
+
+    monkeypatch.setattr(streams, "ROWS_A_FILE", 40)
+    monkeypatch.setattr(Collector, "process", counted)
+    events = spark.range(300).selectExpr(
+        "id as event_id", "timestamp_ntz '2024-01-02 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as ts", "id % 7 as user_id",
+        "'click' as event_type", "cast(100 as double) as value", "'{\"k\": 5}' as props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = QUERIES["incremental_collection"](spark, str(tmp_path))
+        assert got.count() == 300 and len(epochs) == 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    lines = sum(n for _, n in epochs)
+    assert lines == 300 + 285 + 15 and max(n for n, _ in epochs) < lines / 4
+
+
+def test_only_the_named_members_of_a_line_are_built(spark):
+    """Members are read straight from the text, and give the verdicts that a parse of the whole line gives."""
+    own = '"uuid":"u","sessionId":"s","timestamp":"2024-01-01T00:00:00Z"'
+    blind, fine = ("malformed", "blind"), ("entry", None)
+    verdicts = {
+        "{%s}" % own: fine, " {%s} " % own: fine, "{%s}}" % own: blind, '{%s},{"uuid":"v"}' % own: blind, "": blind,
+        '{%s},{"end-of-document":true}' % own: blind, '{%s},{"end-of-document":true}] x' % own: blind, '{%s,"q":"end-of-document"}' % own: fine,
+        "null": ("malformed", "bookkeeping"), "5": ("malformed", "bookkeeping"), "[]": ("malformed", "bookkeeping"),
+        "{'uuid':'u'}": blind, '{%s,"q":NaN}' % own: blind, '{%s,"q":1e400}' % own: fine, '{%s,"uuid":5}' % own: ("malformed", "mistyped"),
+        '{%s,"message":5}' % own: ("malformed", "mistyped"), '{%s,"message":{"content":[]},"message":5}' % own: ("malformed", "mistyped"),
+        '{%s,"message":{"content":[null,{"type":"tool_use","id":"c"}]}}' % own: fine,
+        '{%s,"message":{"content":["x",{"type":"tool_use","id":"c"}]}}' % own: ("malformed", "mistyped"),
+        '{%s,"message":{"content":[{"type":"tool_use","input":"x"}]}}' % own: ("malformed", "mistyped"),
+        '{%s,"message":{"content":[{"type":"tool_use","input":{"skill":5}}]}}' % own: ("malformed", "mistyped"),
+        '{%s,"toolUseResult":"x"}' % own: fine,
+    }
+    feed = spark.createDataFrame([("f", i, line) for i, line in enumerate(verdicts)], FEED)
+    entries = decode_entries(feed_lines(feed))
+    assert [(r.status, r.malformed_reason) for r in entries.orderBy("offset").collect()] == list(verdicts.values())
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    # One generator keeps later conditions from parsing a line again; more would interpret what they hold.
+    assert plan.count("from_json") == 1 and plan.count("Generate ") == 1

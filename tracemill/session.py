@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 RUNTIME_SETTINGS = {
@@ -89,6 +90,14 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(max(1, -(-df.count() // rows)))
 
 
+def evened(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if one of its tasks holds more than twice its share of the rows, as when Spark may not split a large file."""
+    tasks = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    most, rows = tasks.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    share = 2 * rows / df.sparkSession.sparkContext.defaultParallelism
+    return df if most <= max(ROWS_A_FILE, share) else df.repartition(-(-rows // ROWS_A_FILE))
+
+
 def lazy(df: DataFrame, label: str = "") -> DataFrame:
     """The staging function for small inputs: leave the plan as it is."""
     return df

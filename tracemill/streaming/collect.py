@@ -34,7 +34,7 @@ from tracemill.plans.commits import CommitLog
 from tracemill.plans.derive import DeriveOptions
 from tracemill.plans.ingest import WALK_ORDER, in_walk_order
 from tracemill.plans.store import AppendResult, EventStore
-from tracemill.session import materialize
+from tracemill.session import evened, materialize
 from tracemill.sources.lines import feed_lines
 from tracemill.sources.transcripts import decode_entries
 
@@ -119,7 +119,7 @@ class Collector:
         batch = known[epoch].batch_id if epoch in known else self.store.next_batch()
         if epoch not in known:
             self.log.commit([{"kind": "epoch", "id": epoch, "batch_id": batch, "merged": False}])
-        entries = materialize(decode_entries(feed_lines(feed, self.cap)), "entries")
+        entries = materialize(decode_entries(feed_lines(evened(feed), self.cap)), "entries")
         return self._advance(entries, self._buckets_of(entries), batch, epoch)
 
     def _buckets_of(self, files: DataFrame) -> list[int]:

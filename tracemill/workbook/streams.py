@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.plans.ingest import ingest
 from tracemill.plans.store import EventStore
-from tracemill.session import scratch_path
+from tracemill.session import ROWS_A_FILE, scratch_path
 from tracemill.sources.lines import list_files, scan_lines
 from tracemill.streaming.collect import FEED, Collector, collect_available, run_until_closed, session_closures
 from tracemill.workbook.registry import query
@@ -54,13 +54,15 @@ def _(spark, tables):
     """Three micro-batches cut at offsets, collected as they arrive, then one sweep."""
     events = tables("events")
     feed_path = scratch_path(spark, "feed")
-    event_feed(events).repartition(3, F.pmod(F.xxhash64("file", "offset"), F.lit(3))).select(
-        "file", F.col("offset").cast("bigint").alias("offset"), "value").write.parquet(feed_path)
+    lines = event_feed(events).select("file", F.col("offset").cast("bigint").alias("offset"), "value")
+    # Each micro-batch is as many files of bounded size: Spark does not split one that packs well.
+    files = max(1, -(-lines.count() // (3 * ROWS_A_FILE)))
+    lines.repartition(3 * files, "file", "offset").write.parquet(feed_path)
     store = EventStore(spark, scratch_path(spark, "store"))
     # Until the sweep the clock stands before any session could have fallen silent.
     collector = Collector(spark, scratch_path(spark, "landing"), store, event_consent(events), OPTIONS,
                           clock=lambda: QUIET.now - timedelta(days=60))
-    feed = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(feed_path)
+    feed = spark.readStream.schema(FEED).option("maxFilesPerTrigger", files).parquet(feed_path)
     collect_available(collector.stream(feed, scratch_path(spark, "checkpoint")))
     collector.clock = lambda: QUIET.now
     collector.sweep()

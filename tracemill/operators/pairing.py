@@ -70,6 +70,7 @@ def _by_id(events: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> D
             F.count_if(tag == RESULT).alias("results"),
             F.min(F.when(tag == USE, F.struct(pos, "call"))).alias("c"),
             F.min(F.when(tag == RESULT, F.struct(pos, "result"))).alias("r"),
+            F.max(F.when(tag == VOID, pos)).alias("last_void"),
         ),
         "calls-by-id",
     )
@@ -113,12 +114,14 @@ def carry_calls(events: DataFrame, stage: Callable[[DataFrame, str], DataFrame]
     in pieces gives the pairs of feeding them at once; a call and its only result may come in any order.
     """
     per_id = _by_id(events, stage)
-    simple = (F.col("uses") <= 1) & (F.col("results") <= 1) & (F.col("voids") == 0)
+    # A call that was never accepted only discards a result before it.
+    refused = (F.col("uses") == 0) & (F.col("results") <= 1)
+    simple = refused | ((F.col("uses") == 1) & (F.col("results") <= 1) & (F.col("voids") == 0))
     once = per_id.where(simple)
     call_type, result_type = events.schema["call"].dataType, events.schema["result"].dataType
     no_call, no_result = F.lit(None).cast(call_type).alias("call"), F.lit(None).cast(result_type).alias("result")
-    waiting = once.where("results = 0").select(*KEYS, "c.pos", F.lit(USE).alias("tag"), "c.call", no_result)
-    early = once.where("uses = 0").select(*KEYS, "r.pos", F.lit(RESULT).alias("tag"), no_call, "r.result")
+    waiting = once.where("uses = 1 and results = 0").select(*KEYS, "c.pos", F.lit(USE).alias("tag"), "c.call", no_result)
+    early = once.where("uses = 0 and results = 1 and (last_void is null or r.pos >= last_void)").select(*KEYS, "r.pos", F.lit(RESULT).alias("tag"), no_call, "r.result")
     pairs, left = _as_pairs(once.where("uses = 1 and results = 1")), waiting.unionByName(early)
     # Voids alone leave nothing behind.
     reused = per_id.where(~simple & (F.col("uses") + F.col("results") > 0))

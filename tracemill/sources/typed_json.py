@@ -27,6 +27,27 @@ def parse(text: Column) -> Column:
     return F.when(closed, wrapped)
 
 
+_MARK = "end-of-document"
+# The syntax that ``parse`` accepts: strict JSON.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+# A variant is bounded; a longer text is first parsed as a whole, as its members alone could still fit.
+_WHOLE_BYTES = 8 * 1024 * 1024
+
+
+def read(text: Column, *names: str) -> Column:
+    """The named members of the object that ``text`` holds, each a variant of its own, for :func:`opened`; nothing else is built."""
+    fields = ", ".join(f"`{n}`: variant" for n in (*names, _MARK))
+    return F.from_json(F.concat(F.lit("["), text, F.lit(f',{{"{_MARK}":true}}]')), f"array<struct<{fields}>>", _STRICT)
+
+
+def opened(text: Column, found: Column) -> Column:
+    """(sound, root) of a text from which ``found`` was read: does :func:`parse` accept it, and its members, NULL of anything but an object."""
+    ended = F.coalesce(F.try_variant_get(F.get(found, F.lit(1))[_MARK], "$", "boolean"), F.lit(False))
+    plain = found.isNotNull() & (F.octet_length(text) <= _WHOLE_BYTES) & ~text.contains(_MARK)
+    sound = F.when(plain, (F.size(found) == 2) & ended).otherwise(parse(text).isNotNull())
+    return F.struct(sound.alias("sound"), F.when(sound, F.get(found, F.lit(0))).alias("root"))
+
+
 @dataclass(frozen=True)
 class Typed:
     value: Column
@@ -95,6 +116,16 @@ def elements(doc: Column, path: str) -> Typed:
     return Typed(items, ~F.coalesce(_present(raw), F.lit(False)) | items.isNotNull())
 
 
+def objects(raw: Column, *names: str) -> Typed:
+    """A JSON array of objects as their named members; it fits if its elements are objects or JSON nulls, which read as NULL."""
+    items = elements(raw, "$")
+    found = F.try_variant_get(raw, "$", f"array<struct<{', '.join(f'`{n}`: variant' for n in names)}>>")
+    # Only an element without members is looked at again.
+    nulls = F.forall(items.value, lambda item: is_object(item) | F.coalesce(F.is_variant_null(item), F.lit(False)))
+    whole = F.size(F.array_compact(found)) == F.size(found)
+    return Typed(found, items.fits & F.when(found.isNull() | whole, F.lit(True)).otherwise(nulls))
+
+
 def string_list(doc: Column, path: str) -> Typed:
     """A JSON array of strings; a null element reads as the empty string."""
     items = elements(doc, path)

@@ -12,7 +12,8 @@ from tracemill.plans.marts import used_primitives
 from tracemill.plans.store import record_differences
 from tracemill.schemas import INVOCATION
 from tracemill.session import ROWS_A_FILE, materialize
-from tracemill.sources.lines import feed_lines
+from tracemill.sources.catalog_files import listed_primitives
+from tracemill.sources.lines import feed_lines, frame
 from tracemill.sources.transcripts import decode_entries
 from tracemill.streaming.collect import FEED, Collector
 from tracemill.workbook import QUERIES, streams
@@ -169,3 +170,40 @@ def test_only_the_named_members_of_a_line_are_built(spark):
     plan = entries._jdf.queryExecution().executedPlan().toString()
     # One generator keeps later conditions from parsing a line again; more would interpret what they hold.
     assert plan.count("from_json") == 1 and plan.count("Generate ") == 1
+
+
+def test_a_listing_is_read_once_for_all_its_names(spark):
+    """The names of a listing come from the members that the decode reads anyway; no text is parsed again, and none for each name."""
+    def line(attachment, cwd='"cwd":"/repo",'):
+        return '{%s"uuid":"u","sessionId":"s","timestamp":"2024-01-01T00:00:00Z","attachment":%s}' % (cwd, attachment)
+
+    def told(kind, *names, cwd="/repo"):
+        return [(cwd, kind, n) for n in names]
+
+    agents = '{"type":"agent_listing_delta","addedTypes":%s}'
+    many = [f"n{i}" for i in range(2000)]
+    cases = {
+        line('{"type":"skill_listing","content":"x\\n- a: b: c\\n- d:e\\n-f: g\\n- h: "}'): told("skill", "a", "h"),
+        line(agents % str(many).replace("'", '"')): told("subagent", *many), line(agents % '["a",null,"a"]'): told("subagent", "a", "", "a"),
+        line(agents % "[]"): [], line(agents % "null"): None, line(agents % '["a",5]'): None, line(agents % '["a",["b"]]'): None,
+        line(agents % '"a"'): None, line(agents % "[null]"): told("subagent", ""), line(agents % '["a"]', cwd=""): told("subagent", "a", cwd=""),
+        line(agents % '["a"]', cwd='"cwd":5,'): None, line(agents % '["a"]', cwd='"cwd":null,'): told("subagent", "a", cwd=""),
+        line('{"type":"mcp_instructions_delta","addedNames":["m"],"addedTypes":["t"]}'): told("mcp_server", "m"),
+        line('{"type":"mcp_instructions_delta","addedNames":["m"],"addedTypes":[5]}'): None,
+        line('{"type":"other","content":"- a: b"}'): None, line('{"type":5,"content":"- a: b"}'): None, line('"attachment"'): None, line("null"): None,
+        line(agents % '["a"]') + "}": None, "attachment": None, '["attachment"]': None, line(agents % '["a"],"q":"end-of-document"'): told("subagent", "a"),
+    }
+    feed = spark.createDataFrame([("f", i, text) for i, text in enumerate(cases)], FEED)
+    entries = decode_entries(feed_lines(feed), announced=True)
+    got = [r.announced and [tuple(x) for x in r.announced] for r in entries.orderBy("offset").collect()]
+    assert got == list(cases.values())
+    assert entries.drop("announced").collect() == decode_entries(feed_lines(feed)).collect()
+    names = {n for want in cases.values() for n in want or []}
+    listed = listed_primitives(frame(feed.select("file", F.lit(0).alias("chunk"), F.col("offset").alias("line"), F.lit(0).alias("nbytes"), "value")),
+                               spark.createDataFrame([("/repo",)], "root string"))
+    assert {tuple(r) for r in listed.collect()} == {(kind, name) for cwd, kind, name in names if cwd}
+
+    def parses(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
+
+    assert parses(entries) == parses(decode_entries(feed_lines(feed)))

@@ -107,21 +107,20 @@ def may_announce(text: Column) -> Column:
     return text.contains("attachment")
 
 
-def announced_names(doc: Column) -> Column:
-    """Array of (cwd, kind, name) that a parsed line announces; empty for any other line.
+# The members of an attachment that tell a listing.
+ATTACHMENT = ("type", "content", "addedNames", "addedTypes")
+
+
+def announced_names(cwd: Column, attachment: Column, given: Column) -> Column:
+    """Array of (cwd, kind, name) that a line announces, from its members ``cwd`` and ``attachment`` and those in ``given``
+    of the latter (``ATTACHMENT``); NULL for any other line.
 
     Skill listings are text, one ``- name: description`` per line; agents and servers come as arrays. A line that does
-    not decode announces nothing.
+    not decode announces nothing. The cost follows the text: what is the same for all names of a line is read once.
     """
-    cwd = J.string(doc, f"{J.ROOT}.cwd")
-    label = J.string(doc, f"{J.ROOT}.attachment.type")
-    content = J.string(doc, f"{J.ROOT}.attachment.content")
-    names = J.string_list(doc, f"{J.ROOT}.attachment.addedNames")
-    types = J.string_list(doc, f"{J.ROOT}.attachment.addedTypes")
-    fits = J.all_fit(
-        cwd.fits, label.fits, content.fits, names.fits, types.fits,
-        J.object_fits(doc, f"{J.ROOT}.attachment"),
-    )
+    where, label, content = (J.leaf(v, "STRING", "string") for v in (cwd, given["type"], given["content"]))
+    names, types = J.strings(given["addedNames"]), J.strings(given["addedTypes"])
+    fits = J.all_fit(where.fits, label.fits, content.fits, names.fits, types.fits, J.members_fit(attachment, given))
     skills = F.transform(
         F.filter(
             F.split(content.value, "\n"),
@@ -129,18 +128,21 @@ def announced_names(doc: Column) -> Column:
         ),
         lambda line: F.substring_index(F.substr(line, F.lit(3)), ": ", 1),
     )
-    listed = (
-        F.when(label.value == "skill_listing", skills)
-        .when(label.value == "agent_listing_delta", types.value)
-        .when(label.value == "mcp_instructions_delta", names.value)
-    )
-    kind = (
+    listing = F.struct(
+        F.coalesce(where.value, F.lit("")).alias("cwd"),
         F.when(label.value == "skill_listing", "skill")
         .when(label.value == "agent_listing_delta", "subagent")
         .otherwise("mcp_server")
+        .alias("kind"),
+        F.when(label.value == "skill_listing", skills)
+        .when(label.value == "agent_listing_delta", types.value)
+        .when(label.value == "mcp_instructions_delta", names.value)
+        .alias("names"),
     )
-    found = F.transform(listed, lambda name: F.struct(F.coalesce(cwd.value, F.lit("")).alias("cwd"), kind.alias("kind"), name.alias("name")))
-    return F.when(doc.isNotNull() & fits, found)
+    # A lambda's variable is computed once, an expression inside it for every name.
+    found = F.transform(F.array(listing), lambda one: F.transform(
+        one["names"], lambda name: F.struct(one["cwd"].alias("cwd"), one["kind"].alias("kind"), name.alias("name"))))
+    return F.when(fits, F.get(found, F.lit(0)))
 
 
 def announced_primitives(announced: DataFrame, roots: DataFrame) -> DataFrame:
@@ -154,7 +156,11 @@ def listed_primitives(lines: DataFrame, roots: DataFrame) -> DataFrame:
 
     Reads framed lines (use the larger listing cap). An ingest that is asked to gives the same names from its one read.
     """
+    text, line = F.col("value"), F.col("_line")
+    read = lines.where(may_announce(text)).select("value", J.read(text, "cwd", "attachment").alias("_read"))
+    opened = read.select(J.opened(text, F.col("_read")).alias("_doc")).select(F.col("_doc.root").alias("_line"))
+    given = opened.select("_line", J.members(line["attachment"], *ATTACHMENT).alias("_given"))
     # The one-row generator keeps later filters from parsing a line again.
-    parsed = lines.where(may_announce(F.col("value"))).select(J.parse(F.col("value")).alias("doc"))
-    named = parsed.select(F.inline(F.array(F.struct(announced_names(F.col("doc")).alias("announced")))))
+    names = announced_names(line["cwd"], line["attachment"], F.col("_given"))
+    named = given.select(F.inline(F.array(F.struct(names.alias("announced")))))
     return announced_primitives(named.select(F.inline("announced")), roots)

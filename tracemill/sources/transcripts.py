@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.domains import bounded_token
 from tracemill.sources import typed_json as J
-from tracemill.sources.catalog_files import announced_names, may_announce
+from tracemill.sources.catalog_files import ATTACHMENT, announced_names, may_announce
 
 # The text fields of an entry, as (JSON path, column).
 TEXT_FIELDS = [
@@ -94,19 +94,23 @@ def decode_entries(lines: DataFrame, announced: bool = False) -> DataFrame:
     passthrough = [c for c in lines.columns if c not in ("value", "oversize")]
     kept = [*passthrough, "oversize"]
     top = dict.fromkeys([path.split(".")[0] for path, _ in TEXT_FIELDS] + ["isSidechain", "timestamp", "toolUseResult"])
+    if announced:
+        top["attachment"] = None
     listing = {"_lists": may_announce(F.col("value"))} if announced else {}
     parsed = _made(lines, kept, _text=F.col("value"), _read=J.read(F.col("value"), *top), **listing)
-    opened = parsed.select(*kept, *(["_text", "_lists"] if announced else []), J.opened(F.col("_text"), F.col("_read")).alias("_doc"))
-    if announced:
-        doc = J.parse(F.col("_text"))
-        opened = _made(opened, [*kept, "_doc"], announced=F.when(F.col("_lists"), announced_names(doc)))
-        passthrough, kept = [*passthrough, "announced"], [*kept, "announced"]
+    opened = parsed.select(*kept, *listing, J.opened(F.col("_text"), F.col("_read")).alias("_doc"))
     line = F.col("_line")
-    opened = opened.select(*kept, F.col("_doc.sound").alias("_sound"), F.col("_doc.root").alias("_line")).select(
-        *kept, "_sound", "_line",
+    given = {"_given": J.members(line["attachment"], *ATTACHMENT)} if announced else {}
+    opened = opened.select(*kept, *listing, F.col("_doc.sound").alias("_sound"), F.col("_doc.root").alias("_line")).select(
+        *kept, *listing, "_sound", "_line",
         J.members(line["message"], "model", "stop_reason", "content").alias("_message"),
         J.members(line["toolUseResult"], "interrupted").alias("_result"),
+        *(c.alias(n) for n, c in given.items()),
     )
+    if announced:
+        names = announced_names(line["cwd"], line["attachment"], F.col("_given"))
+        opened = _made(opened, [*kept, "_sound", "_line", "_message", "_result"], announced=F.when(F.col("_lists"), names))
+        passthrough, kept = [*passthrough, "announced"], [*kept, "announced"]
     message = F.col("_message")
     content = J.objects(message["content"], "type", "id", "name", "tool_use_id", "is_error", "input")
     opened = opened.select("*", content.value.alias("_members"), content.fits.alias("_content_fits")).select(

@@ -138,6 +138,13 @@ def string_list(doc: Column, path: str) -> Typed:
     return Typed(values, items.fits & F.coalesce(shape_ok, F.lit(True)))
 
 
+def strings(raw: Column) -> Typed:
+    """A JSON array of strings that stands for one field, as in :func:`string_list`; its type is looked at once, not that of each element."""
+    shape = F.schema_of_variant(raw)
+    values = F.transform(F.try_variant_get(raw, "$", "array<string>"), lambda item: F.coalesce(item, F.lit("")))
+    return Typed(values, raw.isNull() | shape.isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID"))
+
+
 def all_fit(*fits: Column) -> Column:
     result = F.lit(True)
     for fit in fits:

@@ -1,6 +1,7 @@
 """Append, rebuild, import and positions."""
 
 import hashlib
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -8,11 +9,12 @@ from pyspark.sql.types import StructType
 
 from tests.hostile import not_names
 from tracemill.operators.positions import with_positions
-from tracemill.operators.validation import validate
+from tracemill.operators.validation import first_copies, validate
 from tracemill.plans.commits import CommitLog
 from tracemill.plans.id_index import MAX_DIGITS
 from tracemill.plans.store import EventStore, record_differences
 from tracemill.schemas import INVOCATION
+from tracemill.session import lazy
 from tracemill.sources.event_lines import read_event_lines
 from tracemill.sources.lines import list_files, scan_lines
 
@@ -162,3 +164,39 @@ def test_event_lines(spark, tmp_path):
     (tmp_path / "events.ndjson").write_text("\n".join(lines) + "\n")
     got = read_event_lines(scan_lines(spark, path, glob="*.ndjson"), list_files(spark, path, "*.ndjson"))
     assert got.count() == 3
+
+
+def test_a_batch_that_is_read_again_is_not_copied_and_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    """Records of stored files are evaluated by each step, one value of all records crosses no shuffle, and a write gives its files back."""
+    rows = [record(i % 900, name=f"n{i % 7}", model="m", package=None if i % 5 else "p", duration_ms=7, ts=BASE["ts"].replace(second=i % 60)) for i in range(1000)]
+    frame(spark, *rows, record(5000, name="a/b"), record(5001, repo="x")).write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.schema(INVOCATION).parquet(str(tmp_path / "batch"))
+    crossed = []
+    monkeypatch.setattr("tracemill.plans.store.first_copies", lambda valid, *given: (crossed.append(set(valid.columns)), first_copies(valid, *given))[1])
+    folders = SparkContextFiles(spark)
+    store = EventStore(spark, str(tmp_path / "store"))
+    before = folders.shuffles()
+    done = store.append(batch, stage=lazy)
+    assert (done.written, done.duplicate, done.dropped) == (900, 100, 2)
+    again = store.append(batch, stage=lazy)
+    assert (again.written, again.duplicate, again.dropped) == (0, 1000, 2)
+    assert crossed == [{"event_id", "ts", "name", "package"}] * 2
+    want = {}
+    for row in sorted(rows, key=lambda r: (r[2], r[8], r[9] is not None, r[9] or "")):
+        want.setdefault(row[1], row)
+    kept = [c for c in INVOCATION.fieldNames() if c != "ts"]
+    assert sorted(str(tuple(r)) for r in store.read().select(kept).collect()) == sorted(str((*w[:2], *w[3:])) for w in want.values())
+    for _ in range(50):
+        if folders.shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert folders.shuffles() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+class SparkContextFiles:
+    def __init__(self, spark):
+        self.disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles(self):
+        return self.disk.getAllFiles().mkString("\n").count("/shuffle_")

@@ -14,7 +14,7 @@ from tracemill.plans.commits import CommitLog
 from tracemill.plans.id_index import LEAF_IDS, MAX_DIGITS, IdIndex, Segment
 from tracemill.plans.published import PublishedTable, read_if_present
 from tracemill.schemas import INVOCATION, INVOCATION_COLUMNS
-from tracemill.session import materialize
+from tracemill.session import materialize, releasing_shuffles
 
 STORED = StructType(
     INVOCATION.fields
@@ -26,6 +26,8 @@ _ROW_BITS = 33
 RECORD_ORDER = ["ts"]
 #: Batches up to so many records, which Spark can broadcast, are looked up in the stored ids by joins; larger ones meet them in one shuffle.
 LOOKED_UP = 50_000
+# Columns that may hold one value throughout a batch; such a column is written as that value and crosses no shuffle.
+_UNIFORM = [f.name for f in INVOCATION.fields if f.name not in ("event_id", "ts")]
 
 _COMMITTED = StructType([
     StructField("kind", StringType()), StructField("id", LongType()), StructField("folder", StringType()), StructField("rows", LongType()),
@@ -136,8 +138,11 @@ class EventStore:
 
         ``order`` ranks copies of one id inside the batch; the first one is kept. Counts
         are taken from staged and committed files, so a retried task cannot inflate them.
+        With ``lazy`` as ``stage`` the records are evaluated anew by each step instead of being
+        copied first: for records that are a projection of stored files and so always the same.
         """
-        return self._write(records, batch_id, self.table.version(), order or RECORD_ORDER, stage)
+        with releasing_shuffles(self.spark):
+            return self._write(records, batch_id, self.table.version(), order or RECORD_ORDER, stage)
 
     def rebuild(
         self,
@@ -152,7 +157,8 @@ class EventStore:
             self._log(generation).commit([
                 {"kind": kind, "id": n, "live": False} for kind, ids in (
                     ("batch", abandoned), ("segment", [s.number for s in self._contents(generation).segments])) for n in ids])
-        result = self._write(records, 0, generation, order or RECORD_ORDER, stage)
+        with releasing_shuffles(self.spark):
+            result = self._write(records, 0, generation, order or RECORD_ORDER, stage)
         self.table.point_to(generation)
         return result
 
@@ -162,11 +168,18 @@ class EventStore:
         extra = [c for c in order if c not in INVOCATION_COLUMNS]
         checked = stage(validate(records.select(*INVOCATION_COLUMNS, *extra)), "append")
         valid = checked.where("invalid_reason is null").drop("invalid_reason")
+        sample = valid.select(*_UNIFORM).head()
+        types = {f.name: f.dataType for f in INVOCATION.fields}
+        same = {c: F.lit(sample[c] if sample else None).cast(types[c]) for c in _UNIFORM if c not in order}
+        is_valid = F.col("invalid_reason").isNull()
         # At most 16 ** MAX_DIGITS prefixes.
-        prefix = F.when(F.col("invalid_reason").isNull(), F.substring("event_id", 1, MAX_DIGITS))
-        total, dropped, prefixes = checked.agg(
-            F.count(F.lit(1)), F.count("invalid_reason"), F.collect_set(prefix)
+        prefix = F.when(is_valid, F.substring("event_id", 1, MAX_DIGITS))
+        total, dropped, prefixes, *held = checked.agg(
+            F.count(F.lit(1)), F.count("invalid_reason"), F.collect_set(prefix),
+            *[F.bool_and(~is_valid | F.col(c).eqNullSafe(value)) for c, value in same.items()],
         ).first()
+        same = {c: value for (c, value), holds in zip(same.items(), held, strict=True) if holds}
+        valid = valid.drop(*same)
 
         # Ids of the attempt that this one replaces do not count as stored.
         replaced = contents.batches.get(batch)
@@ -175,13 +188,13 @@ class EventStore:
         valid = packed(valid)
         new = unseen(first_copies(valid, order), stored) if total <= LOOKED_UP else first_copies(valid, order, stored)
         fresh = unpacked(
-            new.select(*INVOCATION_COLUMNS)
+            new.select(*[c for c in INVOCATION_COLUMNS if c not in same])
             # Even files over disjoint time ranges: a date filter skips files by their
             # column statistics, a hot day is split, and a sparse batch stays a few files.
             .repartitionByRange("ts", "event_id")
             .sortWithinPartitions("ts", "event_id")
             .withColumn("slot", F.monotonically_increasing_id())
-        ).select(*INVOCATION_COLUMNS, F.to_date("ts").alias("event_date"), "slot")
+        ).withColumns(same).select(*INVOCATION_COLUMNS, F.to_date("ts").alias("event_date"), "slot")
         target = f"{self.table.path(generation)}/batch_id={batch}/attempt={contents.next_commit}"
         fresh.write.mode("overwrite").option("compression", "zstd").parquet(target)
         written = read_if_present(self.spark, target, INVOCATION).count()

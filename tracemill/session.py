@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +87,23 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def releasing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Writes inside give their shuffle files back as soon as they end, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_RELEASE)
+        else:
+            spark.conf.set(_RELEASE, before)
+
+
 def spread(df: DataFrame, rows: int) -> DataFrame:
     """``df`` dealt out to tasks of about so many rows, for steps that make many rows of each; their number follows the input."""
     return df.repartition(max(1, -(-df.count() // rows)))

@@ -12,7 +12,7 @@ from tracemill.operators.validation import first_copies, unseen, validate
 from tracemill.plans.health import ScanHealth
 from tracemill.plans.store import EventStore, record_differences
 from tracemill.schemas import COUNTER_NAMES, INVOCATION
-from tracemill.session import materialize, scratch_path
+from tracemill.session import lazy, materialize, scratch_path
 from tracemill.sources.event_lines import decode_records
 from tracemill.workbook.facts import FACTS, event_facts
 from tracemill.workbook.registry import query
@@ -74,7 +74,7 @@ def _(spark, tables):
     lineitem = tables("lineitem")
     everything = line_facts(lineitem)
     steps = [line_facts(lineitem.where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"))), everything, everything]
-    results = [store.append(rows) for rows in steps]
+    results = [store.append(rows, stage=lazy) for rows in steps]
     rows = [(i + 1, r.written, r.duplicate, r.dropped) for i, r in enumerate(results)]
     return spark.createDataFrame(rows, "step int, written bigint, duplicate bigint, dropped bigint")
 

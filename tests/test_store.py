@@ -200,3 +200,24 @@ class SparkContextFiles:
 
     def shuffles(self):
         return self.disk.getAllFiles().mkString("\n").count("/shuffle_")
+
+
+def test_stores_are_compared_part_by_part(spark, tmp_path):
+    """Records meet in a shuffle only in the parts that differ, and copies, NULLs and swapped values are told apart."""
+    left = frame(spark, *[record(i) for i in range(3000)])
+    same = record_differences(left, left.repartition(3))
+    assert "Exchange" not in same._jdf.queryExecution().executedPlan().toString() and same.isEmpty()
+    one = record_differences(left, left.where(F.col("event_id") != f"{7:064x}"))
+    read = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(xxhash64" in read and [(int(r.event_id, 16), r.side) for r in one.collect()] == [(7, "left")]
+    cases = [
+        ([record(1), record(1)], [record(1)], ["left"]),
+        ([record(1), record(1)], [record(2), record(2)], ["left", "left", "right", "right"]),
+        ([record(1, package="a")], [record(1, package_version="a")], ["left", "right"]),
+        ([record(1, package="")], [record(1)], ["left", "right"]),
+        ([record(1, name="a", session_id="b")], [record(1, name="b", session_id="a")], ["left", "right"]),
+        ([record(1), record(2)], [record(2), record(1)], []),
+        ([record(1, duration_ms=1), record(1, duration_ms=4)], [record(1, duration_ms=2), record(1, duration_ms=3)], ["left", "left", "right", "right"]),
+    ]
+    for a, b, want in cases:
+        assert sorted(r.side for r in record_differences(frame(spark, *a), frame(spark, *b)).collect()) == want, (a, b)

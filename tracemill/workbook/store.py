@@ -101,9 +101,9 @@ SELECT (SELECT count(*) FROM kept) AS stored, 0::BIGINT AS differences""")
 def _(spark, tables):
     rows = line_facts(tables("lineitem"))
     rebuilt, fresh = EventStore(spark, scratch_path(spark, "rebuilt")), EventStore(spark, scratch_path(spark, "fresh"))
-    rebuilt.append(line_facts(tables("lineitem").where("l_linenumber = 1")))
-    rebuilt.rebuild(rows)
-    fresh.append(rows)
+    rebuilt.append(line_facts(tables("lineitem").where("l_linenumber = 1")), stage=lazy)
+    rebuilt.rebuild(rows, stage=lazy)
+    fresh.append(rows, stage=lazy)
     differences = record_differences(rebuilt.read(), fresh.read()).groupBy().agg(F.count(F.lit(1)).alias("differences"))
     stored = rebuilt.read().groupBy().agg(F.count(F.lit(1)).alias("stored"))
     return stored.unionByName(differences, allowMissingColumns=True).agg(

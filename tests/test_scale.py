@@ -1,6 +1,7 @@
 """Plans whose cost must follow the input: no table through the driver, no table in one task."""
 
 import math
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from tracemill.plans.store import record_differences
 from tracemill.schemas import INVOCATION
 from tracemill.session import ROWS_A_FILE, materialize
 from tracemill.sources.catalog_files import listed_primitives
-from tracemill.sources.lines import feed_lines, frame
+from tracemill.sources.folders import write_files
+from tracemill.sources.lines import feed_lines, frame, scan_lines
 from tracemill.sources.transcripts import decode_entries
 from tracemill.streaming.collect import FEED, Collector
 from tracemill.workbook import QUERIES, streams
@@ -207,3 +209,40 @@ def test_a_listing_is_read_once_for_all_its_names(spark):
         return df._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
 
     assert parses(entries) == parses(decode_entries(feed_lines(feed)))
+
+
+def test_many_transcripts_are_written_in_place_and_listed_by_few_tasks(spark, tmp_path):
+    """No task is started for each folder, and no file is copied, checked or moved; the text is that of the feed."""
+    n = 9000
+    events = spark.range(n).selectExpr(
+        "id as event_id", "timestamp_ntz '2024-01-02 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as ts", "if(id < 6000, 1, if(id = 6000, null, id)) as user_id",
+        "'click' as event_type", "cast(100 as double) as value", "'{\"k\": 5}' as props")
+    path = streams.write_transcripts(spark, events)
+    root = Path(path.removeprefix("file:"))
+    names = {str(p.relative_to(root)) for p in root.rglob("*") if p.is_file()}
+    want = {}
+    for row in event_feed(events).orderBy("offset").collect():
+        want.setdefault(f"file={row.file or '__HIVE_DEFAULT_PARTITION__'}/part.txt", []).append(row.value)
+    assert names == set(want) and len(names) > 1000
+    assert all((root / name).read_text() == "".join(f"{v}\n" for v in lines) for name, lines in want.items())
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        lines = scan_lines(spark, path, glob="*.txt")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    assert lines.count() == sum(map(len, want.values()))
+
+
+def test_lines_are_written_as_they_come(spark, tmp_path, monkeypatch):
+    """A long file is written piece by piece, an absent value is an empty line, and writing again changes nothing."""
+    monkeypatch.setattr("tracemill.sources.folders.FRAME_ENTRIES", 7)
+    rows = [(f"a/f{i // 100}.txt", None if i % 10 == 0 else f"line {i} é") for i in range(250)]
+    lines = spark.createDataFrame(rows, "path string, value string").coalesce(1)
+    for _ in range(2):
+        assert write_files(lines, str(tmp_path)) == 3
+    text = "".join((tmp_path / "a" / f"f{i}.txt").read_text() for i in range(3))
+    assert text == "".join(f"{value or ''}\n" for _, value in rows)
+    assert write_files(lines.limit(0), str(tmp_path / "none")) == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,21 +87,26 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 @contextmanager
-def releasing_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Writes inside give their shuffle files back as soon as they end, not when the driver happens to collect its garbage."""
-    before = spark.conf.get(_RELEASE, None)
-    spark.conf.set(_RELEASE, "true")
+def settings(spark: SparkSession, **given: object) -> Iterator[None]:
+    """Session settings that hold inside only; ``__`` in a name stands for the dot."""
+    names = {key.replace("__", "."): str(value) for key, value in given.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_RELEASE)
-        else:
-            spark.conf.set(_RELEASE, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def releasing_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Writes inside give their shuffle files back as soon as they end, not when the driver happens to collect its garbage."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
 def spread(df: DataFrame, rows: int) -> DataFrame:

@@ -12,8 +12,10 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,3 +108,26 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_documents(paths: DataFrame) -> DataFrame:
     """(path, value) of the small configuration documents at ``paths(path)``; a missing one is no row."""
     return paths.select("path").distinct().mapInPandas(_read, "path string, value string")
+
+
+def write_files(lines: DataFrame, root: str) -> int:
+    """Write the ``value`` of ``lines(path, value)``, a line each, to the files below ``root`` that ``path`` names, and count the files.
+
+    A file's rows must lie together and in order in one task. Tasks write files in place, without a start of other programs or a
+    move for each; a task that runs again writes the same files again.
+    """
+    folder = _plain(root).rstrip("/")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _open(folder)
+        rows = (row for batch in batches for row in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True))
+        written = 0
+        for path, group in groupby(rows, key=lambda row: row[0]):
+            system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(f"{base}/{path}") as out:
+                while some := list(islice(group, FRAME_ENTRIES)):
+                    out.write("".join(f"{value or ''}\n" for _, value in some).encode())
+            written += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+
+    return lines.select("path", "value").mapInArrow(write, "files bigint").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]

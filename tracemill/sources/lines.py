@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.schemas import LINES
-from tracemill.sources.folders import list_tree
+from tracemill.session import settings
+from tracemill.sources.folders import TASKS_PER_CORE, list_tree
 
 # Byte width of the coarse bucket that stands for an input split on a feed.
 FEED_CHUNK_BYTES = 64 * 1024 * 1024
@@ -47,15 +48,18 @@ def scan_lines(
     ``chunk`` is where the split starts, so (chunk, line) is file order. A file that fails
     midway yields the lines before the fault; ``incomplete_files`` finds it by its length.
     """
+    # Spark lists each folder of a level in a task of its own; a task of many folders costs far less to start.
+    tasks = spark.sparkContext.defaultParallelism * TASKS_PER_CORE
     try:
-        text = (
-            spark.read.option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", glob)
-            .option("ignoreMissingFiles", "true")
-            .option("ignoreCorruptFiles", "true")
-            .option("lineSep", "\n")
-            .text(path)
-        )
+        with settings(spark, spark__sql__sources__parallelPartitionDiscovery__parallelism=tasks):
+            text = (
+                spark.read.option("recursiveFileLookup", "true")
+                .option("pathGlobFilter", glob)
+                .option("ignoreMissingFiles", "true")
+                .option("ignoreCorruptFiles", "true")
+                .option("lineSep", "\n")
+                .text(path)
+            )
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise

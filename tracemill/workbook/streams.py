@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracemill.plans.ingest import ingest
 from tracemill.plans.store import EventStore
 from tracemill.session import ROWS_A_FILE, scratch_path
+from tracemill.sources.folders import OPENED, write_files
 from tracemill.sources.lines import list_files, scan_lines
 from tracemill.streaming.collect import FEED, Collector, collect_available, run_until_closed, session_closures
 from tracemill.workbook.registry import query
@@ -26,11 +27,12 @@ from tracemill.workbook.transcripts import (
 def write_transcripts(spark: SparkSession, events: DataFrame) -> str:
     """The event feed as text files, one folder per transcript."""
     path = scratch_path(spark, "transcripts")
-    feed = event_feed(events)
-    (
-        feed.repartition("file").sortWithinPartitions("file", "offset")
-        .select("file", "value").write.partitionBy("file").text(path)
-    )
+    lines = event_feed(events).repartition("file").sortWithinPartitions("file", "offset")
+    if not OPENED.match(path):
+        lines.select("file", "value").write.partitionBy("file").text(path)
+        return path
+    name = F.concat(F.lit("file="), F.coalesce("file", F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit("/part.txt"))
+    write_files(lines.select(name.alias("path"), "value"), path)
     return path
 
 

@@ -186,6 +186,8 @@ def test_a_listing_is_read_once_for_all_its_names(spark):
     many = [f"n{i}" for i in range(2000)]
     cases = {
         line('{"type":"skill_listing","content":"x\\n- a: b: c\\n- d:e\\n-f: g\\n- h: "}'): told("skill", "a", "h"),
+        line('{"type":"skill_listing","content":"- a: b\\r\\n- \\r: c\\n- : d\\n\\n - e: f\\n- \u2028- g: h: - i: j"}'): told("skill", "a", "\r", "", "\u2028- g"),
+        line('{"type":"skill_listing","content":""}'): [], line('{"type":"skill_listing"}'): None,
         line(agents % str(many).replace("'", '"')): told("subagent", *many), line(agents % '["a",null,"a"]'): told("subagent", "a", "", "a"),
         line(agents % "[]"): [], line(agents % "null"): None, line(agents % '["a",5]'): None, line(agents % '["a",["b"]]'): None,
         line(agents % '"a"'): None, line(agents % "[null]"): told("subagent", ""), line(agents % '["a"]', cwd=""): told("subagent", "a", cwd=""),

@@ -107,6 +107,8 @@ def may_announce(text: Column) -> Column:
     return text.contains("attachment")
 
 
+# A line of a skill listing, ended by nothing but a newline, and the name in it.
+SKILL_LINE = r"(?md)^- ([^\n]*?): "
 # The members of an attachment that tell a listing.
 ATTACHMENT = ("type", "content", "addedNames", "addedTypes")
 
@@ -121,13 +123,7 @@ def announced_names(cwd: Column, attachment: Column, given: Column) -> Column:
     where, label, content = (J.leaf(v, "STRING", "string") for v in (cwd, given["type"], given["content"]))
     names, types = J.strings(given["addedNames"]), J.strings(given["addedTypes"])
     fits = J.all_fit(where.fits, label.fits, content.fits, names.fits, types.fits, J.members_fit(attachment, given))
-    skills = F.transform(
-        F.filter(
-            F.split(content.value, "\n"),
-            lambda line: line.startswith("- ") & F.substr(line, F.lit(3)).contains(": "),
-        ),
-        lambda line: F.substring_index(F.substr(line, F.lit(3)), ": ", 1),
-    )
+    skills = F.regexp_extract_all(content.value, F.lit(SKILL_LINE), F.lit(1))
     listing = F.struct(
         F.coalesce(where.value, F.lit("")).alias("cwd"),
         F.when(label.value == "skill_listing", "skill")

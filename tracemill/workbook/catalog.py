@@ -189,8 +189,9 @@ FROM w WHERE n % 5 < 3 AND word <> ''"""
 
 
 def _listing_lines(conversations: DataFrame) -> DataFrame:
-    n = F.col("conv_id") * 100 + F.col("turn")
-    words = F.filter(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
+    n, words = F.col("conv_id") * 100 + F.col("turn"), F.col("words")
+    conversations = conversations.withColumn(
+        "words", F.filter(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "), lambda w: w != ""))
     listing = F.concat(F.lit("Available:\n"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("- "), w, F.lit(": does it"))), "\n"))
     cwd = F.when(n % 5 < 2, "/repo/a").when(n % 5 == 2, "/repo").when(n % 5 == 3, "/repository").otherwise("/repo")
     kind = F.when(n % 3 == 0, "skill_listing").when(n % 3 == 1, "agent_listing_delta").otherwise("mcp_instructions_delta")
